@@ -33,10 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_key(text: Column | str = "text") -> Column:
-    """A key for whole texts that is equal for equal texts; null has a key of its own."""
+def text_hash(text: Column | str = "text") -> Column:
+    """Two 64-bit hashes of a whole text under different seeds, as a struct: equal for equal texts, and for nulls."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.hex(F.xxhash64(c)), F.lit("-"), F.hex(F.xxhash64(c, F.lit(7))), F.lit("-"), F.octet_length(c).cast("string")))
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import hilbert, pack_pow2
+from lodestrata.llm import decontam, hilbert, pack_pow2, topk_mih
 from lodestrata.llm.common import table
 
 
+def op1_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_mih.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(table(spark, sf_dir, "documents"))
 
@@ -19,9 +28,9 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op9_hilbert_shards, op10_pow2_packing)
+    found = (op1_multi_index_topk, op5_decontamination, op9_hilbert_shards, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_multi_index_topk": topk_mih.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL}
