@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, hilbert, pack_pow2, topk_mih
+from lodestrata.llm import decontam, hilbert, pack_pow2, topk_mih, toxicity
 from lodestrata.llm.common import table
+from lodestrata.llm.learning import remainder
 
 
 def op1_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_matches", F.to_json("matches").alias("matches"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,7 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index_topk, op5_decontamination, op9_hilbert_shards, op10_pow2_packing)
+    found = (op1_multi_index_topk, op5_decontamination, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 
