@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -112,16 +111,15 @@ def with_added(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sche
     return df.select(*[F.col(quoted(c)) for c in use]).mapInPandas(run, schema)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """Within it, Python workers get batches of n rows; whole texts vary from words to megabytes."""
+#: Rows of whole texts that a Python worker gets at once.
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession, n: int = TEXT_ROWS) -> None:
+    """From now on Python workers of this session get at most n rows at once: whole texts vary from words to megabytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
+    if not 0 < int(spark.conf.get(key)) <= n:
+        spark.conf.set(key, str(n))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -13,15 +13,20 @@ equal pieces of equal rows are interchangeable.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_bytes, fresh, quoted, ranked
+from lodestrata.llm.common import by_bytes, cut, fresh, ranked, small_batches
 
 END_ID = 1
 MAX_LENGTH = 2048
@@ -36,27 +41,76 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The rules under which a text's ids are those of its words in turn (white space only divides, case is lowered).
+WORD_RULES = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
+#: Words that need none of the tokenizer's other rules: letters of one run, then full stops and commas.
+PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Stands for the end of a word in the byte vocabulary; no UTF-8 text has it.
+WORD_END = b"\xff"
+
+
+def byte_letters() -> dict[str, int]:
+    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {chr(b): b for b in same} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, through a cache of the ids of words.
 
-    Right for tokenizers that never join over a blank or a line end, as those whose rules drop white space: the text is then the
-    ids of its words in turn. Texts that hold one of the tokenizer's special strings go to the tokenizer whole.
+    If the tokenizer's file has WORD_RULES, a text's ids are those of its words; plain words go through the same merges as a byte
+    vocabulary (tiktoken), all others through the tokenizer. Texts that hold one of its special strings, and all texts under
+    other rules, go to the tokenizer whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cached, self.known = cached, {"": b""}
+        self.cached, self.known, self.plain = cached, {"": b""}, None
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x["pattern"].get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+        self.by_word = steps == WORD_RULES["normalizer"] and splits == [WORD_RULES["split"]] and rules["model"].get("end_of_word_suffix") == WORD_RULES["suffix"]
+        if self.by_word:
+            letters, special = byte_letters(), set(self.special)
+            ranks = {}
+            for token, n in rules["model"]["vocab"].items():
+                if token not in special:
+                    end = token.endswith(WORD_RULES["suffix"])
+                    ranks[bytes(letters[c] for c in token.removesuffix(WORD_RULES["suffix"])) + WORD_END * end] = n
+            self.plain = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > self.cached:
+            self.known.clear()
+            self.known[""] = b""
+        known, plain, other = self.known, self.plain, []
+        for w in dict.fromkeys(words):
+            if w not in known:
+                if m := PLAIN.fullmatch(w):
+                    ids = plain(m[1].lower().encode() + WORD_END)
+                    if m[2]:
+                        ids = ids + plain(m[2].encode() + WORD_END)
+                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    other.append(w)
+        for k in range(0, len(other), 4096):
+            known.update(zip(other[k : k + 4096], self.encode(other[k : k + 4096]), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if any(s in text for s in self.special):
+            if not self.by_word or any(s in text for s in self.special):
                 yield self.encode([text])[0]
                 continue
             words = text.replace("\n", " ").split(" ")
@@ -64,15 +118,16 @@ class WordIds:
             try:
                 yield b"".join([known[w] for w in words])
             except KeyError:
-                if len(known) > self.cached:
-                    known.clear()
-                    known[""] = b""
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                for k in range(0, len(new), 4096):
-                    known.update(zip(new[k : k + 4096], self.encode(new[k : k + 4096]), strict=True))
+                self.learn(words)
                 yield b"".join([known[w] for w in words])
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that the cache outlives a task."""
+    return WordIds(path)
+
+
 def cuts(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
     """Lengths of the pieces of so many tokens."""
     out = [longest] * (tokens // longest)
@@ -91,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = MAX_LEN
     path, end = tokenizer or default_tokenizer(), np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         for b in batches:
             for lo, hi in by_bytes(b["text"]):
                 rows = []
@@ -106,12 +161,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = MAX_LEN
                 out["doc_id"] = pd.array([None if k is None or k != k else int(k) for k in out["doc_id"]], dtype="Int64")
                 yield out
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces with their sequence: sequence_id is the gapless rank by (length, longest first; doc_id; start), offset is 0."""
-    found = pieces(docs, tokenizer, longest, end_id)
+    found = cut(pieces(docs, tokenizer, longest, end_id))  # narrow rows; else the range bounds' sampling would tokenize all texts once more
     (down,) = fresh(found, "down")
     found = found.withColumn(down, -F.col("length"))
     return ranked(found, [down, "doc_id", "start", "ids_crc32"], "sequence_id").drop(down).withColumn("offset", F.lit(0).cast("long"))
@@ -122,4 +178,4 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("length").agg(F.count("*").alias("n_sequences"), F.min("sequence_id").alias("first_id"), F.max("sequence_id").alias("last_id"))
 
 
-__all__ = ["END_ID", "MAX_LENGTH", "WordIds", "cuts", "default_tokenizer", "pack", "pieces", "quoted", "sequences"]
+__all__ = ["END_ID", "MAX_LENGTH", "WordIds", "cuts", "default_tokenizer", "pack", "pieces", "sequences"]

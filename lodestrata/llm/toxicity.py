@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import small_batches
 from lodestrata.llm.learning import batches_of, class_weights, fit_logistic, int_column, labelled, logistic, remainder
 
 THRESHOLD = 0.7
@@ -258,6 +259,7 @@ def learn_entries(sample: DataFrame, a_class: int = A_CLASS, entries: int = ENTR
 
 def train(docs: DataFrame, labels: DataFrame, a_class: int = A_CLASS) -> Model:
     """From rows whose crc32(doc_id as text) mod 3 is not 1, a_class of each class at most."""
+    small_batches(docs.sparkSession)
     sample, sizes = labelled(docs, labels, "toxic", remainder("doc_id", 3) != 1, a_class)
     entries = learn_entries(sample, a_class)
 
@@ -288,6 +290,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 "matches": [[(s, e, model.entries[n].rstrip("$"), d, q) for s, e, n, d, q in own] for own in spans],
             })
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         run, "doc_id long, score double, predicted int, n_matches long, matches array<struct<start:int,end:int,term:string,edits:int,quoted:boolean>>"
     )
@@ -295,6 +298,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is under threshold."""
+    small_batches(docs.sparkSession)
     schema, columns = docs.schema, docs.columns
     at = [c.lower() for c in columns].index("text")
 
