@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, hilbert, pack_pow2, topk_mih, toxicity
+from lodestrata.llm import decontam, hilbert, line_dedup, pack_pow2, topk_mih, toxicity
 from lodestrata.llm.common import table
 from lodestrata.llm.learning import remainder
 
@@ -16,6 +16,13 @@ def op1_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_mih.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: how much of it was cut, where, and the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup(docs, spans="spans")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"), (F.size("spans") > 0).alias("repeats"), "text")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -36,7 +43,7 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index_topk, op5_decontamination, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
+    found = (op1_multi_index_topk, op4_line_dedup, op5_decontamination, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 

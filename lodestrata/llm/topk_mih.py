@@ -137,8 +137,8 @@ def cell(k: int):
         if not len(rows) or not len(queries):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "neighbor_id", "distance")})
         as_bytes = lambda s: np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1)
-        own = queries["id"].to_numpy()
-        q, i, d = Index(as_bytes(rows["code"]), rows["id"].to_numpy()).search(as_bytes(queries["code"]), own, queries["bound"].to_numpy(), k)
+        own = queries["asked_id"].to_numpy()
+        q, i, d = Index(as_bytes(rows["code"]), rows["id"].to_numpy()).search(as_bytes(queries["asked_code"]), own, queries["bound"].to_numpy(), k)
         return pd.DataFrame({"query_id": own[q], "neighbor_id": i, "distance": d})
 
     return run
@@ -158,10 +158,12 @@ def search(rows: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFr
     query_blocks = max(1, -(-nq // QUERIES_A_BLOCK))
     rows = rows.withColumn("rb", F.pmod(F.xxhash64("code"), F.lit(blocks)))
     queries = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("home", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)))
-    near = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
+    near = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("rb", F.col("qb").cast("long").alias("qb"), F.col("id").alias("id"), F.col("code").alias("code"))
 
     def grid(asked: DataFrame) -> DataFrame:
-        return near.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(cell(k), FOUND)
+        # names of its own: rows and queries may come from one table
+        asked = asked.select(F.col("rb").alias("asked_rb"), F.col("qb").alias("asked_qb"), F.col("id").alias("asked_id"), F.col("code").alias("asked_code"), F.col("bound").cast("long").alias("bound"))
+        return near.groupBy("rb", "qb").cogroup(asked.groupBy("asked_rb", "asked_qb")).applyInPandas(cell(k), FOUND)
 
     if blocks > 1:
         at_home = grid(queries.select("id", "code", "qb", F.col("home").alias("rb"), F.lit(bits).alias("bound")))
