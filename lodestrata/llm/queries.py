@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, hilbert, line_dedup, pack_pow2, topk_mih, toxicity
+from lodestrata.llm import bayes_jaccard, decontam, hilbert, line_dedup, pack_pow2, topk_mih, toxicity
 from lodestrata.llm.common import table
 from lodestrata.llm.learning import remainder
 
@@ -28,6 +28,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: its class (the least doc_id that links lead to), the documents linked to it, and the copies among them."""
+    found = bayes_jaccard.join(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("n_copies") - 1).alias("n_copies"), (F.col("id") == F.col("class_id")).alias("represents"))
+
+
 def op8_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +49,7 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index_topk, op4_line_dedup, op5_decontamination, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
+    found = (op1_multi_index_topk, op4_line_dedup, op5_decontamination, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 
