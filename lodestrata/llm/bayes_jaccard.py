@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import bounded, by_bytes, cut, fresh, mix64, quoted, small_batches
 from lodestrata.llm.components import components
+from lodestrata.llm.hashing import BASE, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -43,37 +44,11 @@ CHUNK = 512
 #: Texts of so many bytes are hashed together.
 AT_ONCE = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(base: np.uint64) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return of(_BASE), of(_BASE_INVERSE)
-
-
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    joined = "\n".join((t or "").lower() for t in texts) + "\n"
-    data = np.frombuffer(joined.encode("utf-8", "replace"), dtype=np.uint8)
-    sizes = np.fromiter((len((t or "").lower().encode("utf-8", "replace")) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    inside = np.zeros(len(data) + 2, dtype=np.int8)
-    inside[1:-1] = (data >= 0x80) | ((data >= 0x30) & (data <= 0x39)) | ((data >= 0x61) & (data <= 0x7A))
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _powers(1 << max(16, int(np.ceil(np.log2(len(data) + 2)))))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    word = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    at = np.searchsorted(starts, first)
+    word, at = word_hashes(texts)
     out = []
-    odd = [np.uint64(((2 * k + 3) * int(_BASE)) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(words)]
+    odd = [np.uint64(((2 * k + 3) * int(BASE)) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(words)]
     n = len(word) - words + 1
     every = np.zeros(max(n, 0), dtype=np.uint64)
     for k in range(words):
@@ -93,7 +68,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 @lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    seed = mix64(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * _BASE)
+    seed = mix64(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * BASE)
     return seed[: BANDS * BAND_ROWS] | np.uint64(1), seed[BANDS * BAND_ROWS :]
 
 
@@ -118,7 +93,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """A key for each band, of its values and its number."""
     parts = signature.reshape(len(signature), BANDS, BAND_ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _BASE
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * BASE
     for k in range(BAND_ROWS):
         key = mix64(key + parts[:, :, k])
     return key.view(np.int64)
@@ -154,7 +129,7 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     bands[k] = keys[row]
                 yield pd.DataFrame({
                     "id": f["id"].iloc[lo:hi].to_numpy(), "n": [len(s) for s in sets],
-                    "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], "s2": [int(mix64(s ^ _BASE).sum(dtype=np.uint64).view(np.int64)) for s in sets], "bands": bands,
+                    "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], "s2": [int(mix64(s ^ BASE).sum(dtype=np.uint64).view(np.int64)) for s in sets], "bands": bands,
                 })
 
     small_batches(docs.sparkSession)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bayes_jaccard, decontam, hilbert, line_dedup, pack_pow2, topk_mih, toxicity
+from lodestrata.llm import bayes_jaccard, decontam, hilbert, langid_cnn, line_dedup, pack_pow2, pu_quality, topk_mih, toxicity
 from lodestrata.llm.common import table
 from lodestrata.llm.learning import remainder
 
@@ -16,6 +16,12 @@ def op1_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_mih.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid_cnn.predict(docs, langid_cnn.train(docs))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document: how much of it was cut, where, and the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,6 +34,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pu_quality.score(docs, pu_quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document: its class (the least doc_id that links lead to), the documents linked to it, and the copies among them."""
     found = bayes_jaccard.join(table(spark, sf_dir, "documents"))
@@ -49,7 +61,7 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index_topk, op4_line_dedup, op5_decontamination, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
+    found = (op1_multi_index_topk, op3_byte_cnn_langid, op4_line_dedup, op5_decontamination, op6_pu_quality, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 
