@@ -19,16 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder; later reads start there and survive lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where it is unset, as in local tests, a temporary one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestrata-checkpoints"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where it is unset, as in local tests, is a temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder; later reads start there and survive lost executors."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/lodestrata-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

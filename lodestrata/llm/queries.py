@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bayes_jaccard, decontam, hilbert, langid_cnn, line_dedup, pack_pow2, pu_quality, topk_mih, toxicity
+from lodestrata.llm import bayes_jaccard, decontam, hilbert, html_crf, langid_cnn, line_dedup, pack_pow2, pu_quality, topk_mih, toxicity
 from lodestrata.llm.common import table
 from lodestrata.llm.learning import remainder
 
@@ -16,6 +16,10 @@ def op1_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_mih.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op2_html_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid_cnn.predict(docs, langid_cnn.train(docs))
@@ -61,7 +65,7 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index_topk, op3_byte_cnn_langid, op4_line_dedup, op5_decontamination, op6_pu_quality, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
+    found = (op1_multi_index_topk, op2_html_tree_model, op3_byte_cnn_langid, op4_line_dedup, op5_decontamination, op6_pu_quality, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
     return {f.__name__: f for f in found}
 
 
