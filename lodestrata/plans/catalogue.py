@@ -1,15 +1,555 @@
-"""The query catalogue: one entry for each operator query, and the oracle SQL of each."""
+"""The query catalogue: one query for each operator or group of operators, over whole tables, and its oracle SQL in oracle.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lodestrata.config import FINAL_K, K_PER_BRANCH, MAX_TOKENS, POOL
+from lodestrata.functions import analysis, chunking, providers, vectors
+from lodestrata.functions import text as tx
+from lodestrata.functions import tokens as tk
+from lodestrata.operators import acl, answer, evals, fusion, ingest, rerank, search
+from lodestrata.plans import driver_tables as dt
+from lodestrata.plans import oracle
+from lodestrata.sources import corpus, seeds, store
+from lodestrata.sources.shared import kept
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    FOUND[f.__name__] = f
+    return f
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# -- scans, projections, ingest --------------------------------------------------------------------------------------------------
+
+
+@query
+def allowlist_scan(spark, sf):
+    return dt.documents(spark, sf).select("doc_id", "folder", "department", "source_path")
+
+
+@query
+def department_filter(spark, sf):
+    return dt.documents(spark, sf).where(F.col("department").isin("finance", "legal")).select("doc_id", "department")
+
+
+@query
+def content_hash(spark, sf):
+    return dt.documents(spark, sf).select("doc_id", "content_hash")
+
+
+def _stored(spark, sf) -> DataFrame:
+    """An older state: without every seventh document, every fifth with other content, every eleventh tombstoned, and some that are gone."""
+    docs = dt.documents(spark, sf)
+    old = docs.where("doc_id % 7 <> 0").select(
+        F.col("doc_id").cast("string").alias("id"), "source_path", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("doc_id") % 11 == 0, "tombstoned").otherwise("active").alias("status"),
+        "department",
+    )
+    gone = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("gone-"), F.col("doc_id").cast("string")).alias("id"), F.concat("source_path", F.lit(".bak")).alias("source_path"), "content_hash", F.lit("active").alias("status"), "department")
+    return old.unionByName(gone)
+
+
+@query
+def hash_diff(spark, sf):
+    return ingest.diffed(dt.documents(spark, sf), _stored(spark, sf)).select("doc_id", "change")
+
+
+@query
+def tombstone_diff(spark, sf):
+    stored = _stored(spark, sf)
+    return ingest.tombstoned(stored, ingest.vanished(stored, dt.documents(spark, sf))).select("id", "status")
+
+
+@query
+def upsert_documents(spark, sf):
+    new = dt.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "source_path", "content_hash", F.lit("active").alias("status"), "department")
+    return store.upserted(_stored(spark, sf), new, ["source_path"]).select("id", "source_path", "content_hash", "status")
+
+
+@query
+def upsert_counts(spark, sf):
+    old = _stored(spark, sf).select("source_path", F.lit(True).alias("had"))
+    met = dt.documents(spark, sf).join(old, "source_path", "left")
+    return met.agg(F.count_if(F.col("had").isNull()).alias("inserted"), F.count_if(F.col("had").isNotNull()).alias("updated"))
+
+
+@query
+def embedding_cascade(spark, sf):
+    """Vectors of tombstoned documents are deleted."""
+    gone = _stored(spark, sf).where("status = 'tombstoned'").select(F.col("id").cast("long").alias("id"))
+    return store.cascaded(dt.embeddings(spark, sf).select("chunk_id", "department"), "chunk_id", gone, "id")
+
+
+@query
+def replace_chunks(spark, sf):
+    """Chunks of changed documents are replaced, the others stay."""
+    docs = dt.documents(spark, sf)
+    changed = ingest.diffed(docs, _stored(spark, sf)).where("change in ('added', 'updated')").select("doc_id")
+    old = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.lit("old").alias("generation")).join(changed, "doc_id", "left_anti")
+    new = docs.join(changed, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("content", "\n")).alias("chunk_index", "line")).select("doc_id", "chunk_index", F.lit("new").alias("generation"))
+    return old.unionByName(new).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "generation")
+
+
+@query
+def ingest_balance(spark, sf):
+    marked = ingest.diffed(dt.documents(spark, sf), _stored(spark, sf))
+    state = F.when(F.length("content") < 40, "skipped_stub").otherwise(F.col("change"))
+    return ingest.accounts(marked.withColumn("state", state).withColumn("n", F.when(F.col("state").isin("added", "updated"), 1).otherwise(0)), "state", "n")
+
+
+@query
+def department_counts(spark, sf):
+    """Chunks of each department; most first when shown."""
+    return dt.chunks(spark, sf).groupBy("department").agg(F.count("*").alias("n"))
+
+
+@query
+def chunks_per_department(spark, sf):
+    """Lines as chunks, counted by department."""
+    lines = dt.chunks(spark, sf).select("department", F.explode(tx.lines(F.col("content"))).alias("line"))
+    return lines.where(tx.strip(F.col("line")) != "").groupBy("department").agg(F.count("*").alias("n"), F.sum(F.length("line")).cast("long").alias("chars"))
+
+
+@query
+def seeded_sample(spark, sf):
+    return ingest.sampled(dt.documents(spark, sf).select("doc_id", "source_path"), "doc_id", 5, 42)
+
+
+# -- identity and seeds -------------------------------------------------------------------------------------------------------------
+
+
+@query
+def acl_by_user(spark, sf):
+    return dt.users(spark).select("email", F.explode("departments").alias("department"))
+
+
+@query
+def acl_by_role(spark, sf):
+    return dt.roles(spark).select("role", F.explode("departments").alias("department"))
+
+
+@query
+def acl_unknown_user(spark, sf):
+    emails = seeds.values(spark, [("nobody@example.com",), (dt.GUEST,), ("exec@example.com",)], "email")
+    return acl.resolved(emails, dt.users(spark)).select("email", "user_id", F.size("departments").cast("long").alias("n_departments"))
+
+
+@query
+def role_seed_lateral(spark, sf):
+    access = seeds.role_department_access(spark)
+    return access.join(seeds.roles(spark), F.col("role_id") == F.col("id")).groupBy("name").agg(F.count("*").alias("n_grants"))
+
+
+@query
+def identity_seed(spark, sf):
+    both = seeds.user_roles(spark).join(seeds.users(spark), F.col("user_id") == F.col("id")).select("user_id", "email", "role_id")
+    return both.join(seeds.roles(spark).withColumnRenamed("id", "rid"), F.col("role_id") == F.col("rid")).select("email", F.col("name").alias("role"))
+
+
+@query
+def golden_seed_antijoin(spark, sf):
+    """Questions that an older set lacks; a null email equals a null email."""
+    new = dt.questions(spark).select("qid", "question", "email")
+    return seeds.absent(new, new.where("qid in (1, 9, 10)").select("question", "email"), ["question", "email"])
+
+
+@query
+def seed_twice(spark, sf):
+    """Seeding an already seeded table changes nothing."""
+    one = dt.questions(spark).select("question", "email", "role")
+    return seeds.seeded(seeds.seeded(one.where("qid < 5") if "qid" in one.columns else one.limit(0), one, ["question", "email", "role"]), one, ["question", "email", "role"])
+
+
+@query
+def allowlist_duplicates(spark, sf):
+    """Departments that several folders map to."""
+    return dt.folders(spark).groupBy("department").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def outcome_migration(spark, sf):
+    old = read(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "not_found").when(F.col("turn") % 3 == 1, "answered").alias("outcome"))
+    return seeds.migrated_outcomes(old).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# -- retrieval ------------------------------------------------------------------------------------------------------------------------
+
+
+def _allow(spark, sf):
+    asked = dt.asked(spark, sf)
+    return asked, acl.allowed(asked)
+
+
+def _dense(spark, sf):
+    asked, allow = _allow(spark, sf)
+    return search.dense_pools(asked, allow, dt.embeddings(spark, sf), K_PER_BRANCH)
+
+
+def _lexical(spark, sf):
+    asked, allow = _allow(spark, sf)
+    return search.matches(asked, allow, search.chunk_terms(dt.chunks(spark, sf)))
+
+
+def _hybrid(spark, sf):
+    return fusion.rrf(search.dense_ranked(_dense(spark, sf)), search.lexical_ranked(_lexical(spark, sf)), POOL)
+
+
+def _pairs(spark, sf):
+    return rerank.pairs(_hybrid(spark, sf), dt.questions(spark), dt.chunks(spark, sf))
+
+
+def _reranked(spark, sf):
+    return rerank.rerank(_pairs(spark, sf), top_k=FINAL_K)
+
+
+def _ranked(spark, sf):
+    """Askers, fused pool and final hits, each computed once: pool sizes bound them, and all that follows reads them again."""
+    asked, _ = _allow(spark, sf)
+    wide = kept(_hybrid(spark, sf))
+    final = kept(rerank.rerank(rerank.pairs(wide, dt.questions(spark), dt.chunks(spark, sf)), top_k=FINAL_K))
+    return asked, wide, final
+
+
+@query
+def dense_topk_one_department(spark, sf):
+    """One department's partition, one question's vector, the nearest 25."""
+    q = dt.questions(spark, sf).where("qid = 1").select(F.col("vector").alias("q"))
+    own = dt.embeddings(spark, sf).where("department = 'finance'")
+    return own.join(F.broadcast(q), F.lit(True)).select("chunk_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("dense_score")).orderBy(F.desc("dense_score"), "chunk_id").limit(K_PER_BRANCH)
+
+
+@query
+def cosine_scores(spark, sf):
+    """General cosine (with norms) of every vector with its question's."""
+    q = dt.questions(spark, sf).where("qid = 3").select(F.col("vector").alias("q"))
+    return read(spark, sf, "embeddings").join(F.broadcast(q), F.lit(True)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+
+
+@query
+def dense_topk_per_department(spark, sf):
+    return _dense(spark, sf).select("qid", "department", "chunk_id", F.round("dense_score", 6).alias("dense_score"), "rank_in_department")
+
+
+@query
+def dense_global_rank(spark, sf):
+    return search.dense_ranked(_dense(spark, sf)).select("qid", "chunk_id", "department", "dense_rank")
+
+
+@query
+def lexical_match_all_terms(spark, sf):
+    return _lexical(spark, sf)
+
+
+@query
+def lexical_topk(spark, sf):
+    return search.lexical_ranked(_lexical(spark, sf))
+
+
+@query
+def term_statistics(spark, sf):
+    """The inverted index by department: terms, postings, occurrences."""
+    return search.chunk_terms(dt.chunks(spark, sf)).groupBy("department").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum("n").cast("long").alias("occurrences"))
+
+
+@query
+def english_topk(spark, sf):
+    """Full-text search with stop words, stems and proximity ranks: no SQL says the same, tests hold it against a brute-force version."""
+    asked, allow = _allow(spark, sf)
+    found = search.lexical_ranked(search.english_matches(asked, allow, dt.chunks(spark, sf)))
+    return found.select("qid", "chunk_id", "lexical_rank", F.round("lexical_score", 6).alias("ts_rank"))
+
+
+@query
+def hybrid_rrf(spark, sf):
+    r = _hybrid(spark, sf)
+    return r.select("qid", "chunk_id", "department", F.round("dense_score", 6).alias("dense_score"), "dense_rank", "lexical_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank")
+
+
+@query
+def rerank_topk(spark, sf):
+    return _reranked(spark, sf).select("qid", "n", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("rrf_score", 6).alias("rrf_score"))
+
+
+@query
+def plain_topk(spark, sf):
+    return rerank.plain(_pairs(spark, sf), 8).select("qid", "n", "chunk_id")
+
+
+@query
+def acl_clean(spark, sf):
+    asked, wide, _ = _ranked(spark, sf)
+    got = evals.acl_clean(asked, wide)
+    return got.select("qid", F.array_join("pool_departments", ",").alias("pool_departments"), "acl_clean")
+
+
+@query
+def acl_violations(spark, sf):
+    """Hits outside the asker's departments: none."""
+    _, allow = _allow(spark, sf)
+    return acl.violations(_hybrid(spark, sf), allow).agg(F.count("*").alias("n"))
+
+
+# -- answers --------------------------------------------------------------------------------------------------------------------------
+
+BUDGET = 400
+
+
+def _done(asked, final):
+    return answer.answered(asked, final, lambda h: answer.offline_generator(h, BUDGET))
+
+
+@query
+def refusal_floor(spark, sf):
+    asked, _ = _allow(spark, sf)
+    return answer.floored(asked, _reranked(spark, sf)).select("qid", F.round("best", 6).alias("best"), "refused")
+
+
+@query
+def prompt_evidence(spark, sf):
+    got = answer.evidence(_reranked(spark, sf))
+    q = dt.questions(spark).select("qid", "question")
+    return got.join(F.broadcast(q), "qid").select("qid", "n_excerpts", F.sha2(answer.user_message(F.col("question"), F.col("evidence")), 256).alias("message_hash"))
+
+
+@query
+def generated_answers(spark, sf):
+    asked, _, final = _ranked(spark, sf)
+    return _done(asked, final).where("not refused").select("qid", "answer", "stop_reason", "truncated")
+
+
+@query
+def citations(spark, sf):
+    _, _, hits = _ranked(spark, sf)
+    return answer.citations(answer.offline_generator(hits, BUDGET), hits).select("qid", F.col("n").cast("long").alias("n"), "chunk_id", "source_path")
+
+
+@query
+def citation_extract(spark, sf):
+    """Bracketed numbers in conversations, distinct and sorted."""
+    own = read(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("][12] [12] [345] [a]")).alias("t"))
+    return own.select("conv_id", "turn", F.array_join(F.transform(answer.cited_numbers(F.col("t")), lambda x: x.cast("string")), ",").alias("numbers"))
+
+
+@query
+def outcome_classify(spark, sf):
+    asked, _, final = _ranked(spark, sf)
+    return _done(asked, final).select("qid", "outcome")
+
+
+@query
+def outcome_histogram(spark, sf):
+    asked, _, final = _ranked(spark, sf)
+    return evals.outcome_counts(_done(asked, final))
+
+
+@query
+def trace_rows(spark, sf):
+    asked, _, hits = _ranked(spark, sf)
+    t = answer.traces(_done(asked, hits), hits, "2024-01-01 00:00:00")
+    got = t.select("raw_query", "user_id", "outcome", F.posexplode_outer("retrieval").alias("place", "h"))
+    return got.select("raw_query", "user_id", "outcome", F.col("place").cast("long").alias("place"), F.col("h.chunk_id").alias("chunk_id"), F.col("h.rrf_score").alias("rrf_score"), F.col("h.rerank_score").alias("rerank_score"), F.col("h.in_prompt").alias("in_prompt"))
+
+
+# -- evaluation -----------------------------------------------------------------------------------------------------------------------
+
+
+def _metrics(spark, sf):
+    asked, wide, final = _ranked(spark, sf)
+    paths = wide.join(dt.chunks(spark, sf).select("chunk_id", "source_path"), "chunk_id")
+    return evals.metrics(_done(asked, final), paths, final, evals.acl_clean(asked, wide))
+
+
+@query
+def path_recall(spark, sf):
+    return _metrics(spark, sf).select("qid", F.round("recall_wide", 6).alias("recall_wide"), F.round("recall_final", 6).alias("recall_final"))
+
+
+@query
+def any_recall(spark, sf):
+    return _metrics(spark, sf).select("qid", "any_recall_wide", "any_recall_final")
+
+
+@query
+def eval_summary(spark, sf):
+    return evals.summary(_metrics(spark, sf))
+
+
+@query
+def eval_by_category(spark, sf):
+    return evals.by_category(_metrics(spark, sf))
+
+
+@query
+def judge_verdicts(spark, sf):
+    """Each assistant turn judged against the user turn before it."""
+    c = read(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    both = c.withColumn("before", F.lag("text").over(w)).where("role = 'assistant' and before is not null")
+    return both.select("conv_id", "turn", evals.offline_judge(F.col("before"), F.col("text"), 0.05).alias("judged"), evals.verdict(F.concat(F.lit(" correct: "), "text")).alias("verdict"))
+
+
+@query
+def latest_runs(spark, sf):
+    runs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("string").alias("started_at"), F.col("o_orderstatus").alias("status"))
+    return evals.latest_runs(runs, 5)
+
+
+@query
+def eval_results_upsert(spark, sf):
+    """Results written twice: the later wins."""
+    c = read(spark, sf, "conversations").select("conv_id", (F.col("turn") % 3).alias("question_id"), "turn")
+    return store.last_wins(c, ["conv_id", "question_id"], "turn")
+
+
+# -- text -----------------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def token_count(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", tk.n_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+def _sized(spark, sf):
+    return dt.documents(spark, sf).select("department", "source_path", "content", tk.n_tokens(F.col("content")).alias("token_count"))
+
+
+@query
+def token_percentiles(spark, sf):
+    return evals.percentile_index(_sized(spark, sf), "token_count", [0.5, 0.95, 1.0])
+
+
+@query
+def token_outliers(spark, sf):
+    return ingest.token_report(_sized(spark, sf), MAX_TOKENS)
+
+
+@query
+def oversize_report(spark, sf):
+    return ingest.offenders(_sized(spark, sf), MAX_TOKENS).select("department", "source_path", F.col("token_count").cast("long").alias("token_count"))
+
+
+@query
+def force_split(spark, sf):
+    own = read(spark, sf, "documents").select("doc_id", F.posexplode(tk.force_split(F.col("text"), MAX_TOKENS)).alias("place", "piece"))
+    return own.select("doc_id", F.col("place").cast("long").alias("place"), F.length("piece").cast("long").alias("chars"), F.sha2("piece", 256).alias("hash"))
+
+
+@query
+def line_sections(spark, sf):
+    own = read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tx.lines(F.col("text"))).alias("place", "line"))
+    return own.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.length("line").cast("long").alias("chars"))
+
+
+@query
+def sentence_split(spark, sf):
+    own = read(spark, sf, "conversations").select("conv_id", "turn", tx.sentences(F.col("text")).alias("s"))
+    return own.select("conv_id", "turn", F.size("s").cast("long").alias("n"), F.sha2(F.array_join("s", "|"), 256).alias("hash"))
+
+
+@query
+def stub_filter(spark, sf):
+    own = read(spark, sf, "documents").select("doc_id", tx.prose_chars(F.col("text")).cast("long").alias("prose_chars"))
+    return own.withColumn("stub", F.col("prose_chars") < 200)
+
+
+@query
+def analysed_terms(spark, sf):
+    """Distinct words of each text."""
+    own = read(spark, sf, "documents").select("doc_id", analysis.terms(F.col("text")).alias("ts"))
+    return own.select("doc_id", F.size("ts").cast("long").alias("n_terms"), F.sha2(F.array_join("ts", " "), 256).alias("hash"))
+
+
+@query
+def common_prefix(spark, sf):
+    """The shared path of each source's folder with all before it, on constants."""
+    rows = seeds.values(spark, [(1, "a>b>c|a>b>d|a>b"), (2, "a|b"), (3, "x>y"), (4, "a>b>c|a>x>c")], "id, paths")
+    paths = F.transform(F.split("paths", r"\|"), lambda p: F.split(p, ">"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.array_join(tx.common_prefix(paths), ">").alias("prefix"))
+
+
+SHORTCODES = [
+    (1, 'a {{< yes >}} b {{< no >}} {{< label name="x" color="y" >}}'),
+    (2, "{{% alert title=1 %}}inner{{% /alert %}} {{< panel >}}p{{< /panel >}}"),
+    (3, 'x {{% include "inc/a.md" %}} y {{% include "none.md" %}}'),
+    (4, "one\n\n\n\n{{< unknown\nmore >}}\n\n\ntwo  "),
+    (5, "plain"),
+]
+
+
+@query
+def shortcode_clean(spark, sf):
+    rows = seeds.values(spark, SHORTCODES, "id, body")
+    known = F.create_map(F.lit("inc/a.md"), F.lit("$1 included {{< yes >}}"))
+    return rows.select(F.col("id").cast("long").alias("id"), tx.without_shortcodes(F.col("body"), known).alias("body"))
+
+
+@query
+def delink(spark, sf):
+    own = read(spark, sf, "pages").select("page_id", F.concat(F.lit("see [it]("), "url", F.lit(") and [that](x)")).alias("t"))
+    return own.select("page_id", tx.delinked(F.col("t")).alias("t"))
+
+
+@query
+def resolve_title(spark, sf):
+    rows = seeds.values(spark, [(1, "Given", "a/b.md"), (2, None, "finance/on-call_3rd.md"), (3, "", "finance/sub-team/_index.md"), (4, None, "top.md")], "id, given, path")
+    none = F.array().cast("array<array<string>>")
+    return rows.select(F.col("id").cast("long").alias("id"), tx.resolved_title(F.col("given").cast("string"), none, F.col("path")).alias("title"))
+
+
+@query
+def walk_filter(spark, sf):
+    """Which paths of a listing are walked."""
+    paths = ["finance/a.md", "finance/sub/_index.md", "finance/.x.md", "finance/.hidden/a.md", "finance/_drafts/a.md", "ceo/a.md", "unknown/a.md", "top.md", "total-rewards/a.md"]
+    files = seeds.values(spark, [(p,) for p in paths], "relative_path")
+    return corpus.walked(files).select("relative_path", "department", "source_path")
+
+
+@query
+def paragraph_packing(spark, sf):
+    """Texts, lines as paragraphs, packed to the token cap: no SQL says the same, tests hold it against a brute-force version."""
+    own = dt.documents(spark, sf).select("doc_id", chunking.chunk_column(F.regexp_replace("content", "\n", "\n\n"), F.col("source_path")).alias("c"))
+    return chunking.exploded(own.select("doc_id", F.col("c.chunks").alias("chunks"))).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), F.length("content").cast("long").alias("chars"))
+
+
+MARKDOWN = "intro\n\n# One\n\n" + "alpha beta. " * 30 + "\n\n## Two\n\n```\n# no heading\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n### Three\n\nshort\n"
+
+
+@query
+def chunk_markdown(spark, sf):
+    """An authored Markdown text as chunks; rows only, tests pin them."""
+    rows = seeds.values(spark, [(1, MARKDOWN, "Doc"), (2, "no heading at all", "Other")], "id, body, title")
+    made = rows.select(F.col("id").cast("long").alias("id"), chunking.chunk_column(F.col("body"), F.col("title"), 20, 60).alias("c")).select("id", F.col("c.chunks").alias("chunks"))
+    return chunking.exploded(made).select("id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", F.col("token_count").cast("long").alias("token_count"))
+
+
+@query
+def normalised_vectors(spark, sf):
+    own = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("e"))
+    return own.select("vec_id", F.round(vectors.norm(vectors.normalised(F.col("e"))), 6).alias("norm"), F.round(vectors.normalised(F.col("e"))[0], 6).alias("first"))
+
+
+@query
+def offline_embedding(spark, sf):
+    """Hashed word vectors of all texts; rows only."""
+    embed = providers.offline_embedder(32)
+    own = read(spark, sf, "documents").select("doc_id", embed(F.col("text")).alias("e"))
+    return own.select("doc_id", F.size("e").cast("long").alias("dimensions"), F.round(vectors.norm(F.col("e")), 4).alias("norm"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in FOUND}
+
