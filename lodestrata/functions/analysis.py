@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NOT_WORD = r"[^a-z0-9]+"
 
@@ -151,12 +152,16 @@ def english(text: str | None) -> dict[str, list[int]]:
     return out
 
 
-@F.pandas_udf("array<struct<term:string,positions:array<int>>>")
+#: Types as objects: DDL strings would need a session when this module is imported.
+VECTOR = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+
+
+@F.pandas_udf(VECTOR)
 def english_vector(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"term": k, "positions": v} for k, v in sorted(english(t).items())])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def english_query(text: pd.Series) -> pd.Series:
     return text.map(lambda t: sorted(english(t)))
 
@@ -188,7 +193,7 @@ def rank(vector: dict[str, list[int]], query: list[str]) -> float:
     return max(res, 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def english_rank(vector: pd.Series, query: pd.Series) -> pd.Series:
     """rank() of english_vector() columns."""
     return pd.Series([rank({t["term"]: list(t["positions"]) for t in (v if v is not None else [])}, list(q)) for v, q in zip(vector, query, strict=True)])

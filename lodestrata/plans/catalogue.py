@@ -534,7 +534,7 @@ def chunk_markdown(spark, sf):
 
 @query
 def normalised_vectors(spark, sf):
-    own = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("e"))
+    own = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("e"))
     return own.select("vec_id", F.round(vectors.norm(vectors.normalised(F.col("e"))), 6).alias("norm"), F.round(vectors.normalised(F.col("e"))[0], 6).alias("first"))
 
 

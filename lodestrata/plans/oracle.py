@@ -157,5 +157,5 @@ SQL: dict[str, str] = {
     "delink": "SELECT page_id, 'see it and that' AS t FROM pages",
     "resolve_title": "SELECT * FROM (VALUES (1::BIGINT, 'Given'), (2, 'On Call 3Rd'), (3, 'Sub Team'), (4, 'Top')) t(id, title)",
     "walk_filter": "SELECT p AS relative_path, d AS department, 'content/handbook/' || p AS source_path FROM (VALUES ('finance/a.md', 'finance'), ('finance/sub/_index.md', 'finance'), ('finance/.x.md', 'finance'), ('total-rewards/a.md', 'people-group')) t(p, d)",
-    "normalised_vectors": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM e) SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS norm, round(e[1] / n, 6) AS first FROM n",
+    "normalised_vectors": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM e) SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS norm, round(e[1] / n, 6) AS first FROM n",
 }

@@ -1,0 +1,98 @@
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestrata.functions.chunking import Chunker, Section, common_path, fenced, sections
+from lodestrata.functions.tokens import Approximate, tokenizer
+
+count = Approximate().count
+
+
+def test_fenced_heading_is_text():
+    assert [s.path for s in sections("```\n# x\n```\n# H\nt")] == [(), ("H",)]
+
+
+def test_only_the_opening_mark_closes():
+    assert [f for _, f in fenced(["```", "~~~", "```", "x"])] == [True, True, True, False]
+
+
+def test_unclosed_fence_takes_the_rest():
+    assert len(sections("a\n```\n# H\nb")) == 1
+
+
+@pytest.mark.parametrize(("line", "path"), [("## A", ("A",)), ("#x", None), ("####### z", None), ("#", ("",)), ("   # q ##", ("q ##",))])
+def test_heading_shapes(line, path):
+    got = sections(f"{line}\nbody")
+    assert got[0].path == (path if path is not None else ())
+
+
+def test_levels():
+    assert [s.path for s in sections("# A\n1\n### B\n2\n## C\n3")] == [("A",), ("A", "B"), ("A", "C")]
+
+
+def test_heading_without_body():
+    assert sections("# A\n## B\ntext") == [Section(("A", "B"), "text")]
+
+
+def test_title_roots_every_path():
+    got = Chunker(1, 50).chunks(sections("# T\nbody"), "T")
+    assert got[0].heading_path == "T > T" and got[0].content == "T > T\n\nbody"
+
+
+def test_small_sections_merge_forward_then_back():
+    c = Chunker(10, 40)
+    words = lambda n: " ".join(["w"] * n)
+    got = c.merged([Section(("D", "a"), words(4)), Section(("D", "b"), words(7)), Section(("D", "c"), words(3))])
+    assert [g.path for g in got] == [("D",)] and got[0].text.count("w") == 14
+
+
+def test_small_section_that_does_not_fit_stays():
+    c = Chunker(10, 12)
+    got = c.merged([Section(("a",), " ".join(["w"] * 12)), Section(("b",), "w w")])
+    assert [g.path for g in got] == [("a",), ("b",)]
+
+
+def test_table_pieces_repeat_the_header_but_a_giant_row_does_not():
+    table = "| h |\n|---|\n" + "\n".join(f"| {k} |" for k in range(40)) + "\n| " + " ".join(["x"] * 100) + " |"
+    got = Chunker(1, 40).cut_block(table)
+    assert all(p.startswith("| h |\n|---|\n") for p in got[:-4]) and sum(p.startswith("| h |") for p in got) < len(got)
+    assert all(count(p) <= 48 for p in got)
+
+
+def test_code_pieces_are_fenced_again():
+    code = "```py\n" + "\n".join(f"line {k}" for k in range(60)) + "\n```"
+    got = Chunker(1, 30).cut_block(code)
+    assert len(got) > 3 and all(p.startswith("```py\n") and p.endswith("\n```") for p in got)
+
+
+def test_windows_are_balanced():
+    got = Chunker(1, 800).windows(" ".join(["w"] * 856))
+    assert [count(p) for p in got] == [428, 428]
+
+
+def test_common_path():
+    assert common_path([("a", "b", "c"), ("a", "b"), ("a", "b", "d")]) == ("a", "b")
+    assert common_path([]) == ()
+
+
+def test_pieces_join_to_the_text():
+    text = "  Ä b,c\n\n\td1 "
+    assert "".join(tokenizer().pieces(text)) == text
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab .\n#|`-~é", max_size=400), st.integers(0, 12), st.integers(12, 40))
+def test_bound_holds_for_any_text(body, least, most):
+    c = Chunker(least, most)
+    got = c.chunks(sections(body), "T")
+    for g in got:
+        assert g.token_count == count(g.content) <= most + count(g.heading_path) + 4
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 300), st.integers(1, 50))
+def test_windows_cover(n, most):
+    got = Chunker(1, most).windows(" ".join(["w"] * n))
+    assert "".join(got) == " ".join(["w"] * n) and len(got) <= math.ceil(n / max(1, math.ceil(n / math.ceil(n / most))))
