@@ -10,9 +10,8 @@ At scale: a digest's occurrences are never gathered; the earliest is a minimum,
 that occur twice meet their occurrences again, in a join whose hot keys can be split. Each text is shuffled once, to meet the
 numbers of its units that go.
 
-Cases: null text stays null and has no units; empty and blank texts have none; a null doc_id ranks last; rows that repeat a
-doc_id and its text are one document, treated alike; rows with one doc_id and other texts rank by the text's hash; texts whose every
-unit is a copy become empty; repeats inside a text go too; an empty table gives no rows; other columns are passed on, whatever
+Cases: null text stays null and has no units; empty and blank texts have none; a null doc_id ranks last, by the text's hash; rows
+that repeat a doc_id are one document, whose rows keep what they share; texts whose every unit is a copy become empty; repeats inside a text go too; an empty table gives no rows; other columns are passed on, whatever
 their names.
 """
 
@@ -24,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import fresh, quoted, small_batches, text_hash
+from lodestrata.llm.common import fresh, quoted, small_batches
 
 #: Words from which a unit counts by itself, and from which a sentence is cut on.
 LEAST_WORDS = 6
@@ -66,36 +65,44 @@ def normalised(unit: str) -> str:
     return " ".join(unit.lower().split()).strip(MARKS)
 
 
+def rank(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """doc_id; for a null one a number beyond all ids, from the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2))
+
+
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, a, b (the text's hashes), unit (its number in the text), digest of every unit that counts by itself."""
+    """rank and h (of the document and its text), unit (its number in the text), d1, d2 (its digest), again (whether the text has had
+    it before), for every unit that counts by itself."""
     import xxhash
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows: tuple[list, list, list] = ([], [], [])
+            row, unit, digest, again = [], [], [], []
             for r, text in enumerate(f["text"]):
                 if text:
+                    met = set()
                     for k, (s, e, n) in enumerate(units(text)):
-                        if n >= least_words and (unit := normalised(text[s:e])):
-                            rows[0].append(r)
-                            rows[1].append(k)
-                            rows[2].append(xxhash.xxh3_128_digest(unit.encode("utf-8", "replace")))
-            at = np.asarray(rows[0], dtype=np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").to_numpy()[at] if len(at) else pd.array([], dtype="Int64"), "a": f["a"].to_numpy()[at], "b": f["b"].to_numpy()[at], "unit": np.asarray(rows[1], dtype=np.int32), "digest": rows[2]}).astype({"doc_id": "Int64"})
+                        if n >= least_words and (u := normalised(text[s:e])):
+                            d = xxhash.xxh3_128_digest(u.encode("utf-8", "replace"))
+                            row.append(r)
+                            unit.append(k)
+                            digest.append(d)
+                            again.append(d in met)
+                            met.add(d)
+            at = np.asarray(row, dtype=np.int64)
+            both = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"rank": f["rank"].to_numpy()[at], "h": f["h"].to_numpy()[at], "unit": np.asarray(unit, dtype=np.int32), "d1": both[:, 0], "d2": both[:, 1], "again": np.asarray(again, dtype=bool)})
 
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("k")).select("doc_id", "text", "k.a", "k.b")
-    return keyed.mapInPandas(run, "doc_id long, a long, b long, unit int, digest binary")
+    return docs.select(rank().alias("rank"), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "rank long, h long, unit int, d1 long, d2 long, again boolean")
 
 
 def copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, a, b, gone (sorted numbers of the units that are not the earliest of their digest)."""
+    """rank, h, gone (sorted numbers of the units that are not the earliest of their digest)."""
     every = occurrences(docs, least_words)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "a", "b", "unit")
-    first = every.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last")).select(F.col("digest").alias("first_digest"), "first")
-    met = every.join(first, F.col("digest") == F.col("first_digest"))
-    gone = met.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b")) & (F.col("unit") == F.col("first.unit"))))
-    return gone.groupBy("doc_id", "a", "b").agg(F.array_sort(F.collect_set("unit")).alias("gone"))
+    first = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first")
+    gone = every.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).where("again or rank <> first")
+    return gone.groupBy("rank", "h").agg(F.array_sort(F.collect_set("unit")).alias("gone"))
 
 
 def remaining(text: str | None, gone, least_words: int = LEAST_WORDS) -> tuple[str | None, list[tuple[int, int]]]:
@@ -135,10 +142,9 @@ def remaining(text: str | None, gone, least_words: int = LEAST_WORDS) -> tuple[s
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str | None = None) -> DataFrame:
     """docs with repeated units cut from text; with spans, a column of that name has what was cut (start, end in code points)."""
-    key_id, key_a, key_b, gone = fresh(docs, "id", "a", "b", "gone")
-    found = copies(docs, least_words).select(F.col("doc_id").alias(key_id), F.col("a").alias(key_a), F.col("b").alias(key_b), F.col("gone").alias(gone))
-    h = text_hash()
-    met = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (h["a"] == F.col(key_a)) & (h["b"] == F.col(key_b)), "left").select(*[quoted(c) for c in docs.columns], gone)
+    key_rank, key_h, gone = fresh(docs, "rank", "h", "gone")
+    found = copies(docs, least_words).select(F.col("rank").alias(key_rank), F.col("h").alias(key_h), F.col("gone").alias(gone))
+    met = docs.join(found, (rank() == F.col(key_rank)) & (F.xxhash64("text") == F.col(key_h)), "left").select(*[quoted(c) for c in docs.columns], gone)
     at = [c.lower() for c in docs.columns].index("text")
     schema = docs.select(*[quoted(c) for c in docs.columns], *([F.lit(None).cast("array<struct<start:int,end:int>>").alias(spans)] if spans else [])).schema
 
