@@ -117,6 +117,16 @@ def test_store_checks(spark, tmp_path):
         safe_name("x; drop")
 
 
+def test_appends_add_parts_and_compact(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    row = lambda k: spark.createDataFrame([(str(k), f"p{k}", "e")], "run_id string, source_path string, error string")
+    for k in range(3):
+        s.append("ingestion_errors", row(k))
+    assert len(s.snapshot()["ingestion_errors"]) == 3 and sorted(r["run_id"] for r in s.read("ingestion_errors").collect()) == ["0", "1", "2"]
+    with pytest.raises(ConstraintError):
+        s.append("ingestion_errors", row(3), compact_at=4)  # compacting checks references, and there are no runs
+
+
 def test_stream_of_notices_runs_ingest_once(spark, tmp_path, tree):
     folder, reports = tmp_path / "notices", []
     folder.mkdir()
