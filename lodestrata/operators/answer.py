@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +92,12 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator = offlin
     return outcomes(asked, generate(hits.join(F.broadcast(pending), "qid", "left_semi")))
 
 
+def spoken(done: DataFrame) -> Iterator[tuple[object, str]]:
+    """qid and answer as they become ready, a partition at a time: a driver-side stream of what was generated."""
+    for row in done.where("answer is not null").select("qid", "answer").toLocalIterator():
+        yield row["qid"], row["answer"]
+
+
 def trace_hits(hits: DataFrame, in_prompt: bool) -> DataFrame:
     """qid, retrieval: an array of what was ranked, scores to six places."""
     r = lambda c: F.round(c, 6).alias(c)

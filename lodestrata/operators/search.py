@@ -74,25 +74,34 @@ def lexical_ranked(found: DataFrame, k: int = K_PER_BRANCH) -> DataFrame:
     return top(found, ["qid"], [F.desc("lexical_score"), F.asc("chunk_id")], k, "lexical_rank")
 
 
-def english_matches(questions: DataFrame, allow: DataFrame, chunks: DataFrame) -> DataFrame:
-    """matches() with stop words, stems and a proximity rank as lexical_score (double)."""
-    asked = questions.select("qid", analysis.english_query("question").alias("q")).join(allow, "qid")
-    own = chunks.select("chunk_id", "department", analysis.english_vector("content").alias("v"))
-    has = own.join(F.broadcast(asked), "department").where((F.size("q") > 0) & (F.size(F.array_except("q", F.transform("v", lambda t: t["term"]))) == 0))
-    return has.select("qid", "chunk_id", "department", analysis.english_rank("v", "q").alias("lexical_score"))
+def english_terms(chunks: DataFrame) -> DataFrame:
+    """The stored index of English lexemes: chunk_id, department, term, positions."""
+    words = chunks.select("chunk_id", "department", F.explode(analysis.english_vector("content")).alias("t"))
+    return words.select("chunk_id", "department", "t.term", "t.positions")
+
+
+def english_matches(questions: DataFrame, allow: DataFrame, terms: DataFrame) -> DataFrame:
+    """matches() over english_terms(), with a proximity rank as lexical_score (double); only asked lexemes' postings are grouped."""
+    asked = questions.select("qid", analysis.english_query("question").alias("q"))
+    asked = asked.select("qid", F.size("q").alias("n_terms"), "q", F.explode("q").alias("term")).join(allow, "qid")
+    found = terms.join(F.broadcast(asked), ["term", "department"])
+    whole = found.groupBy("qid", "chunk_id", "department").agg(F.collect_list(F.struct("term", "positions")).alias("v"), F.max("n_terms").alias("n_terms"), F.first("q").alias("q"))
+    return whole.where(F.size("v") == F.col("n_terms")).select("qid", "chunk_id", "department", analysis.english_rank("v", "q").alias("lexical_score"))
 
 
 class TableBackend:
     """Exact search over DataFrames: embeddings (chunk_id, department, embedding) and chunks (chunk_id, department, content, status)."""
 
-    def __init__(self, embeddings: DataFrame, chunks: DataFrame, english: bool = False, unit: bool = True):
+    def __init__(self, embeddings: DataFrame, chunks: DataFrame, english: bool = False, unit: bool = True, terms: DataFrame | None = None):
         live = chunks.where("status = 'active'") if "status" in chunks.columns else chunks
         self.embeddings = embeddings.join(live.select("chunk_id"), "chunk_id", "left_semi") if "status" in chunks.columns else embeddings
-        self.chunks, self.english, self.unit = live, english, unit
+        self.english, self.unit = english, unit
+        # a stored index saves analysing all texts for each batch of questions
+        index = terms if terms is not None else english_terms(live) if english else chunk_terms(live)
+        self.terms = index.join(live.select("chunk_id"), "chunk_id", "left_semi") if terms is not None and "status" in chunks.columns else index
 
     def dense(self, questions: DataFrame, allow: DataFrame, k: int = K_PER_BRANCH) -> DataFrame:
         return dense_ranked(dense_pools(questions, allow, self.embeddings, k, self.unit))
 
     def lexical(self, questions: DataFrame, allow: DataFrame, k: int = K_PER_BRANCH) -> DataFrame:
-        found = english_matches(questions, allow, self.chunks) if self.english else matches(questions, allow, chunk_terms(self.chunks))
-        return lexical_ranked(found, k)
+        return lexical_ranked((english_matches if self.english else matches)(questions, allow, self.terms), k)

@@ -37,7 +37,7 @@ def test_english_search_by_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     asked = dt.asked(spark, sf)
     chunks = dt.chunks(spark, sf).toPandas()
-    got = {(r["qid"], r["chunk_id"]): r["lexical_score"] for r in search.english_matches(asked, acl.allowed(asked), dt.chunks(spark, sf)).collect()}
+    got = {(r["qid"], r["chunk_id"]): r["lexical_score"] for r in search.english_matches(asked, acl.allowed(asked), search.english_terms(dt.chunks(spark, sf))).collect()}
     want = {}
     for q in asked.collect():
         terms = sorted(analysis.english(q["question"]))

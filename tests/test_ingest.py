@@ -57,6 +57,7 @@ def test_lifecycle(spark, tmp_path, tree):
     assert docs["content/handbook/finance/a.md"]["title"] == "Costs" and docs["content/handbook/total-rewards/on-call_3rd.md"]["title"] == "On Call 3Rd"
     chunks = run.store.read("chunks").collect()
     assert len(chunks) == first.stats["chunks_written"] == run.store.read("chunk_embeddings").count()
+    assert run.store.read("chunk_terms").where("term = 'money'").count() == len([c for c in chunks if "money" in c["content"]])
     text = " ".join(c["content"] for c in chunks if c["document_id"] == docs["content/handbook/finance/a.md"]["id"])
     assert "INCLUDED" in text and "Yes" in text and "{{" not in text and text.startswith("Costs > One")
     assert run.store.read("ingestion_errors").count() == 1 and run.store.read("ingestion_runs").collect()[0]["status"] == "succeeded"

@@ -94,6 +94,11 @@ def test_outcomes(spark):
     assert rows(answer.outcomes(asked, said), "qid", "outcome", "truncated") == [(1, "answered", True), (2, "refused_by_model", False), (3, "refused_by_floor", False)]
 
 
+def test_answers_are_spoken(spark):
+    done = spark.createDataFrame([(1, "a"), (2, None)], "qid long, answer string")
+    assert list(answer.spoken(done)) == [(1, "a")]
+
+
 def test_evidence_is_numbered(spark):
     hits = spark.createDataFrame([(1, 2, "S2", "two"), (1, 1, "S1", "one")], "qid long, n long, heading_path string, content string")
     got = answer.evidence(hits).collect()[0]
