@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.sources.shared import kept as cut
+from lodestrata.sources.shared import shared_folder
+
 #: A relation is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -19,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where it is unset, as in local tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestrata-checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder; later reads start there and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def text_hash(text: Column | str = "text") -> Column:
     """Two 64-bit hashes of a whole text under different seeds, as a struct: equal for equal texts, and for nulls."""
     c = F.col(text) if isinstance(text, str) else text
@@ -131,3 +120,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+__all__ = ["BROADCAST_BYTES", "bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "shared_folder", "small_batches", "table", "text_hash", "with_added"]

@@ -103,10 +103,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole: bool =
         " concat(acc, array(named_struct('start', s.start, 'end', s.start + s.length)))))"
     )
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    left = F.expr(f"zip_with(regexp_extract_all(text, r'({word})', 1), slice(split(text, r'{word}'), 2, 2147483647), (w, s) -> struct(w, s))")
-    (units,) = fresh(keyed, "units")
-    joined = keyed.join(found, on, "left").withColumn(runs, merged).withColumn(units, F.when(F.col(spans).isNotNull(), left))
-    cut = F.expr(f"concat(split(text, r'{word}')[0], array_join(transform({units}, (u, i) -> if(exists({runs}, r -> i >= r.start and i < r.end), '', concat(u.w, u.s))), ''))")
+    own, between = fresh(keyed, "words", "between")
+    hit = F.col(spans).isNotNull()
+    joined = keyed.join(found, on, "left").withColumn(runs, merged)
+    joined = joined.withColumn(own, F.when(hit, F.expr(f"regexp_extract_all(text, r'({word})', 1)"))).withColumn(between, F.when(hit, F.expr(f"split(text, r'{word}')")))
+    cut = F.expr(f"concat({between}[0], array_join(transform({own}, (w, i) -> if(exists({runs}, r -> i >= r.start and i < r.end), '', concat(w, {between}[i + 1]))), ''))")
     return joined.withColumn("text", F.when(F.col(spans).isNotNull(), cut).otherwise(F.col("text"))).select(*[quoted(c) for c in docs.columns])
 
 

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from lodestrata.llm.common import mix64
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(base: np.uint64) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, base: int = int(BASE)) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers of an odd base and of its inverse, modulo 2**64; a worker keeps the longest made so far."""
+
+    def of(b: int, size: int) -> np.ndarray:
+        out = np.full(size, b, dtype=np.uint64)
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    return of(BASE), of(_INVERSE)
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << max(16, int(np.ceil(np.log2(n + 1))))
+        _POWERS[base] = of(base, size), of(pow(base, -1, 1 << 64), size)
+    return _POWERS[base]
+
+
+def lowered(text: str) -> str:
+    """Lower case, character by character, so that offsets stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def joined_bytes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +51,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A mixed 64-bit hash of each of the given stretches of data (polynomial prefix sums, so all at once)."""
-    up, down = _powers(1 << max(16, int(np.ceil(np.log2(len(data) + 2)))))
+    up, down = powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

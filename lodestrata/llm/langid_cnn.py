@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import small_batches
-from lodestrata.llm.learning import batches_of, int_column, remainder
+from lodestrata.llm.learning import batches_of, int_column, remainder, texts_of
 
 LENGTH = 384
 WIDTHS = (2, 3, 4)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, a_language: int = A_LANGUAGE, in_all: int = IN_ALL, n
     each = max(1, min(a_language, in_all // len(languages)))
     ids = None
     for lang in languages:  # ids only: bounded by in_all
-        some = own.where(F.col("lang") == lang).select(F.col("doc_id").alias("own_id")).where("own_id is not null").distinct().orderBy(F.xxhash64("own_id"), "own_id").limit(each)
+        some = own.where(F.col("lang") == lang).select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own_lang")).where("own_id is not null").distinct().orderBy(F.xxhash64("own_id"), "own_id").limit(each)
         ids = some if ids is None else ids.unionByName(some)
     number = {lang: k for k, lang in enumerate(languages)}
 
@@ -159,7 +159,8 @@ def train(docs: DataFrame, a_language: int = A_LANGUAGE, in_all: int = IN_ALL, n
                         rows.append((number[lang], part + b"\0" * (LENGTH - len(part))))
             yield pd.DataFrame(rows, columns=["y", "w"])
 
-    got = own.join(F.broadcast(ids), F.col("doc_id") == F.col("own_id")).select("text", "lang", "own_id").mapInPandas(run, "y int, w binary").collect()
+    rows = texts_of(own, ids, "own_id", "own_lang").select("text", F.col("own_lang").alias("lang"), F.col("doc_id").alias("own_id"))
+    got = rows.mapInPandas(run, "y int, w binary").collect()
     if not got:
         return Network([], *[None] * 5)
     got.sort(key=lambda r: (r["y"], bytes(r["w"])))

@@ -22,11 +22,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, a_
     allowed is a condition on the labels' doc_id; only those rows are looked at. The chosen ids are so few, by a_class, that they
     are broadcast: texts are not shuffled.
     """
-    own = labels.where(allowed & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).dropDuplicates(["label_id"])
+    own = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("y"))
     sizes = {int(r["y"]): int(r["n"]) for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("label_id"), F.col("label_id")
     ids = own.where("y = 1").orderBy(*order).limit(a_class).unionByName(own.where("y = 0").orderBy(*order).limit(a_class))
-    return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("label_id")).select(docs["doc_id"], docs["text"], "y"), sizes
+    return texts_of(docs, ids, "label_id", "y"), sizes
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, key: str, *more: str) -> DataFrame:
+    """doc_id, text (the least of those that share an id, so that an id with many rows is still one) and more columns of ids, which are few."""
+    met = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col(key))
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in more])
 
 
 def class_weights(y: np.ndarray, sizes: dict[int, int]) -> np.ndarray:

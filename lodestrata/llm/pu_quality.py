@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import small_batches
 from lodestrata.llm.hashing import hashed, joined_bytes, runs, word_bytes
-from lodestrata.llm.learning import batches_of, int_column, labelled, remainder
+from lodestrata.llm.learning import batches_of, int_column, labelled, remainder, texts_of
 
 THRESHOLD = 0.3
 #: Trusted positives and unlabelled texts to learn from, at most.
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     n = sizes.get(1, 0)
     prior = float(np.clip((n + 1) / (n + negatives + 2), 0.02, 0.98))
     ids = docs.where(remainder("doc_id", 5) != 0).select(F.col("doc_id").alias("any_id")).where("any_id is not null").distinct().orderBy(F.xxhash64(F.lit(5), "any_id"), "any_id").limit(unlabelled)
-    web = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("any_id")).select(docs["text"])
+    web = texts_of(docs, ids, "any_id")
     p, u = measured(trusted), measured(web)
     if not len(p) or not len(u):
         return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(len(FEATURES)), np.log(prior / (1 - prior))), prior)

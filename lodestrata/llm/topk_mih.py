@@ -43,12 +43,12 @@ def codes(rows: DataFrame, id_col: str, vector: str, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = []
-            for v in b["v"]:
-                bit = np.zeros(bits, dtype=np.uint8)
-                x = np.asarray(v, dtype=float)
-                bit[: len(x)] = x > 0
-                made.append(np.packbits(bit).tobytes())
+            lengths = b["v"].map(len).to_numpy()
+            bit = np.zeros((len(b), bits), dtype=np.uint8)
+            for n in np.unique(lengths[lengths > 0]):
+                own = np.flatnonzero(lengths == n)
+                bit[own, :n] = np.stack(b["v"].iloc[own].to_numpy()).astype(float) > 0
+            made = [row.tobytes() for row in np.packbits(bit, axis=1)]
             yield pd.DataFrame({"id": b["id"], "code": made})
 
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").mapInPandas(run, "id long, code binary")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import small_batches
+from lodestrata.llm.hashing import code_points, lowered
 from lodestrata.llm.learning import batches_of, class_weights, fit_logistic, int_column, labelled, logistic, remainder
 
 THRESHOLD = 0.7
@@ -153,16 +154,10 @@ for _c in range(0x10000):
     _LETTER[_c] = chr(_c).isalnum()
 
 
-def lowered(text: str) -> str:
-    """Lower case, character by character, so that offsets stay."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
 def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the joined texts, the start and end of every word in them, and the start of every text."""
     joined = "\n".join(texts) + "\n"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    points = code_points(joined)
     inside = np.zeros(len(points) + 2, dtype=np.int8)
     inside[1:-1] = _LETTER[np.minimum(points, 0xFFFF)] & (points < 0x10000)
     step = np.diff(inside)
@@ -190,11 +185,12 @@ def features(texts: list[str], matcher: Matcher) -> tuple[np.ndarray, list[list[
         nearest = 0
         for j, k in enumerate(own):
             s, e = int(starts[word[k]] - first[t]), int(ends[word[k]] - first[t])
-            lo = max(0, int(starts[max(word[k] - WINDOW, 0)] - first[t]))
-            hi = min(len(whole), int(ends[min(word[k] + WINDOW, len(ends) - 1)] - first[t]))
+            # from the end of the word before the window to the start of the one behind it, so that marks at its ends count
+            lo = max(0, int(ends[word[k] - WINDOW - 1] - first[t])) if word[k] > WINDOW else 0
+            hi = min(len(whole), int(starts[word[k] + WINDOW + 1] - first[t])) if word[k] + WINDOW + 1 < len(starts) else len(whole)
             before, after = whole[lo:s], whole[e:hi]
             opened = sum(before.count(q) for q in QUOTES) % 2 == 1 and any(q in after for q in QUOTES)
-            told = opened or any(w in reports for w in before.lower().split()[-3:])
+            told = opened or any(w.strip(".,:;'" + QUOTES) in reports for w in before.lower().split()[-3:])
             around = int(np.searchsorted(positions, positions[j] + WINDOW, side="right") - np.searchsorted(positions, positions[j] - WINDOW))
             nearest = max(nearest, around)
             if told:
