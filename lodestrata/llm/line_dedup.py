@@ -1,68 +1,125 @@
 """Substring dedup by hashing lines and their parts.
 
-Units: a text is cut at line ends and after sentence ends; a sentence of many words is cut on at content-defined words, so that a
-passage copied from anywhere into the middle of another text falls into the same units in both. A unit is normalised (lower case,
-single blanks, no marks at its ends) and digested to 128 bits. Digests are grouped over all texts; the occurrence of the earliest
-rank (doc_id, then place in the text) stays, every other goes. Short units repeat by chance, so they count only where their
-neighbours on both sides go (the edges of a text count as such). What goes is reported as spans of the original text.
-
-At scale: a digest's occurrences are never gathered; the earliest is a minimum, taken before the shuffle too, and only digests
+Units: a line is cut behind a word that ends a sentence or whose hash says so, once a part has LEAST_WORDS words; so a passage copied
+from anywhere into the middle of another line falls, but for its ends, into the same units in both. What is too short at a line's
+end belongs to the part before it. A unit is normalised (lower case, words without the marks around them) and digested to 128 bits.
+Digests are grouped over all texts; the occurrence of the earliest rank (doc_id, then place in the text) stays, every other goes.
+Parts of lines count from LEAST_WORDS words, whole lines from LEAST_LINE; as a few words recur by chance, neighbouring units inside a
+line go only if they have LEAST_RUN words together. What goes is reported as spans of the original text.
+
+At scale: a digest's occurrences are never gathered; the earliest text is a minimum, taken before the shuffle too, and only digests
 that occur twice meet their occurrences again, in a join whose hot keys can be split. Each text is shuffled once, to meet the
 numbers of its units that go.
 
 Cases: null text stays null and has no units; empty and blank texts have none; a null doc_id ranks last, by the text's hash; rows
-that repeat a doc_id are one document, whose rows keep what they share; texts whose every unit is a copy become empty; repeats inside a text go too; an empty table gives no rows; other columns are passed on, whatever
-their names.
+that repeat a doc_id are one document, whose rows keep what they share; texts whose every unit is a copy keep what is too short to
+count, or nothing; repeats inside a text go too; very long lines are cut like others; an empty table gives no rows; other columns are
+passed on, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import fresh, quoted, small_batches
+from lodestrata.llm.common import by_bytes, cut, fresh, mix64, quoted, small_batches
+from lodestrata.llm.hashing import BASE, code_points, hashed, lowered, powers, runs
 
-#: Words from which a unit counts by itself, and from which a sentence is cut on.
-LEAST_WORDS = 6
-LONG_WORDS = 12
-#: A word ends a part if its checksum is 0 modulo this, once the part has LEAST_WORDS words.
+#: Words from which a part of a line counts, and a whole line.
+LEAST_WORDS, LEAST_LINE = 6, 3
+#: Words from which neighbouring parts inside a line go.
+LEAST_RUN = 13
+#: A word ends a part if its hash is 0 modulo this.
 CUT_EVERY = 4
-SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)|[^\n]+")
-WORD = re.compile(r"\S+")
-MARKS = " \t\r\n.,;:!?\"'()[]|*#$%&-–—…«»“”"
-
-
-def units(text: str) -> Iterator[tuple[int, int, int]]:
-    """start, end and number of words of each unit, in order; what is outside them is white space."""
-    for line in SENTENCE.finditer(text):
-        base, found = line.start(), line.group()
-        n = len(found.split())
-        if not n:
-            continue
-        if n < LONG_WORDS:
-            lead = len(found) - len(found.lstrip())
-            yield base + lead, base + len(found.rstrip()), n
-            continue
-        start = end = count = 0
-        for m in WORD.finditer(found):
-            if count == 0:
-                start = m.start()
-            end, count = m.end(), count + 1
-            if count >= LEAST_WORDS and zlib.crc32(m.group().strip(MARKS).lower().encode("utf-8", "replace")) % CUT_EVERY == 0:
-                yield base + start, base + end, count
-                count = 0
-        if count:
-            yield base + start, base + end, count
-
-
-def normalised(unit: str) -> str:
-    return " ".join(unit.lower().split()).strip(MARKS)
+MARKS = ".,;:!?\"'()[]|*#$%&-–—…«»“”"
+ENDS = ".!?"
+SECOND = 0xD1342543DE82EF95
+#: Characters that are worked at once.
+AT_ONCE = 1 << 20
+
+_SPACE, _MARK, _END = (np.zeros(0x10000, dtype=bool) for _ in range(3))
+for _c in range(0x10000):
+    _SPACE[_c] = chr(_c).isspace()
+_MARK[[ord(c) for c in MARKS]] = True
+_END[[ord(c) for c in ENDS]] = True
+
+
+@dataclass
+class Units:
+    """Of several texts: text (which), number (in it), start, end (code points in it), words, begins and finishes (a line), counts (by
+    itself), d1, d2 (digest)."""
+
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    begins: np.ndarray
+    finishes: np.ndarray
+    counts: np.ndarray
+    d1: np.ndarray
+    d2: np.ndarray
+
+
+def _total(mask: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+
+
+def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> Units:
+    points = code_points("".join(lowered(t) + "\n" if t else "\n" for t in texts))
+    first = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])]).astype(np.int64)
+    low = np.minimum(points, 0xFFFF)
+    space = _SPACE[low] & (points < 0x10000)
+    core = ~space & ~(_MARK[low] & (points < 0x10000))
+    starts, ends = runs(~space)
+    within = _total(core)
+    real = within[ends] > within[starts]  # a run of marks alone is no word
+    at, to = starts[real], ends[real]
+    if not len(at):
+        none = np.zeros(0, dtype=np.int64)
+        return Units(none, none, none, none, none, none.astype(bool), none.astype(bool), none.astype(bool), none, none)
+    places = np.flatnonzero(core)
+    head, tail = places[np.searchsorted(places, at)], places[np.searchsorted(places, to) - 1] + 1
+    h = hashed(points, head, tail)
+    # up to the next word: whether a sentence or the line ends there, and where the last run of marks does
+    following = np.append(at[1:], len(points))
+    sentence, newlines = _total(_END[low]), np.flatnonzero(points == 10)
+    next_line = newlines[np.searchsorted(newlines, to)]
+    line_end = next_line < following
+    stop = ends[np.searchsorted(starts, np.minimum(following, next_line)) - 1]
+    cut = line_end | (sentence[to] > sentence[tail]) | (h % np.uint64(CUT_EVERY) == 0)
+    chosen: list[int] = []
+    last, inside = -1, False
+    where = np.flatnonzero(cut)
+    for k, end in zip(where.tolist(), line_end[where].tolist(), strict=True):
+        if end:
+            if inside and k - last < least_words:
+                chosen[-1] = k
+            else:
+                chosen.append(k)
+            last, inside = k, False
+        elif k - last >= least_words:
+            chosen.append(k)
+            last, inside = k, True
+    b = np.asarray(chosen, dtype=np.int64)
+    a = np.concatenate([[0], b[:-1] + 1])
+    n = b - a + 1
+    begins, finishes = line_end[a - 1] | (a == 0), line_end[b]
+    text = np.searchsorted(first, at[a], side="right") - 1
+
+    def digest(values: np.ndarray, base: int) -> np.ndarray:
+        up, down = powers(len(values), base)
+        total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        return mix64((total[b + 1] - total[a]) * down[a] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+    number = np.arange(len(a)) - np.searchsorted(text, text)
+    return Units(text, number, at[a] - first[text], stop[b] - first[text], n, begins, finishes, (n >= least_words) | (begins & finishes & (n >= least_line)), digest(h, int(BASE)), digest(mix64(h ^ BASE), SECOND))
 
 
 def rank(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -71,65 +128,52 @@ def rank(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """rank and h (of the document and its text), unit (its number in the text), d1, d2 (its digest), again (whether the text has had
-    it before), for every unit that counts by itself."""
-    import xxhash
+    """rank and h (of the document and its text), d1, d2 (a digest), unit (the number of the first unit in the text that has it), more
+    (the numbers of others, else null), for every digest of a unit that counts: a row for each text and digest."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            row, unit, digest, again = [], [], [], []
-            for r, text in enumerate(f["text"]):
-                if text:
-                    met = set()
-                    for k, (s, e, n) in enumerate(units(text)):
-                        if n >= least_words and (u := normalised(text[s:e])):
-                            d = xxhash.xxh3_128_digest(u.encode("utf-8", "replace"))
-                            row.append(r)
-                            unit.append(k)
-                            digest.append(d)
-                            again.append(d in met)
-                            met.add(d)
-            at = np.asarray(row, dtype=np.int64)
-            both = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"rank": f["rank"].to_numpy()[at], "h": f["h"].to_numpy()[at], "unit": np.asarray(unit, dtype=np.int32), "d1": both[:, 0], "d2": both[:, 1], "again": np.asarray(again, dtype=bool)})
+            for lo, hi in by_bytes(f["text"], AT_ONCE):
+                u = units(list(f["text"].iloc[lo:hi]), least_words)
+                own = np.flatnonzero(u.counts)
+                order = own[np.lexsort((u.number[own], u.d2[own], u.d1[own], u.text[own]))]
+                t, d1, d2, number = u.text[order], u.d1[order], u.d2[order], u.number[order].astype(np.int32)
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (t[1:] != t[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+                starts = np.flatnonzero(new)
+                ends = np.append(starts[1:], len(order))
+                more = np.full(len(starts), None, dtype=object)
+                for k in np.flatnonzero(ends - starts > 1):
+                    more[k] = number[starts[k] + 1 : ends[k]]
+                at = lo + t[starts]
+                yield pd.DataFrame({"rank": f["rank"].to_numpy()[at], "h": f["h"].to_numpy()[at], "unit": number[starts], "d1": d1[starts], "d2": d2[starts], "more": more})
 
     small_batches(docs.sparkSession)
-    return docs.select(rank().alias("rank"), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "rank long, h long, unit int, d1 long, d2 long, again boolean")
+    return docs.select(rank().alias("rank"), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "rank long, h long, unit int, d1 long, d2 long, more array<int>")
 
 
 def copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """rank, h, gone (sorted numbers of the units that are not the earliest of their digest)."""
     every = occurrences(docs, least_words)
-    first = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first")
-    gone = every.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).where("again or rank <> first")
-    return gone.groupBy("rank", "h").agg(F.array_sort(F.collect_set("unit")).alias("gone"))
-
-
-def remaining(text: str | None, gone, least_words: int = LEAST_WORDS) -> tuple[str | None, list[tuple[int, int]]]:
-    """The text without the units that go, and their spans (units that follow one another are one span)."""
-    if text is None or gone is None or not len(gone):
-        return text, []
-    went = set(int(g) for g in gone)
-    cut = list(units(text))
-    mark = [k in went for k in range(len(cut))]
-    k = 0
-    while k < len(cut):  # short units between units that go
-        if mark[k] or cut[k][2] >= least_words:
-            k += 1
-            continue
-        j = k
-        while j < len(cut) and not mark[j] and cut[j][2] < least_words:
-            j += 1
-        if (k == 0 or mark[k - 1]) and (j == len(cut) or mark[j]) and (k > 0 or j < len(cut)):
-            mark[k:j] = [True] * (j - k)
-        k = j
-    spans: list[tuple[int, int]] = []
-    for k, (s, e, _) in enumerate(cut):
-        if mark[k]:
-            if spans and k and mark[k - 1]:
-                spans[-1] = (spans[-1][0], e)
-            else:
-                spans.append((s, e))
+    again = F.col("more").isNotNull()
+    first = every.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.max(again).alias("again")).where("n > 1 or again")
+    # written, so that the join has an exchange on both sides, which lets Spark split a hot digest's partition
+    first = cut(first.select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), "first"))
+    met = every.join(first, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).where((F.col("rank") != F.col("first")) | again)
+    more = F.coalesce("more", F.array().cast("array<int>"))
+    gone = F.when(F.col("rank") != F.col("first"), F.concat(F.array("unit"), more)).otherwise(more)
+    return met.groupBy("rank", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(gone)))).alias("gone"))
+
+
+def remaining(text: str, u: Units, gone) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the units that go, and their spans; units that follow one another are one span. u: the units of this text."""
+    together: list[list[int]] = []
+    for k in sorted(int(g) for g in gone):
+        if together and together[-1][-1] == k - 1:
+            together[-1].append(k)
+        else:
+            together.append([k])
+    spans = [(int(u.start[g[0]]), int(u.end[g[-1]])) for g in together if int(u.words[g].sum()) >= LEAST_RUN or (u.begins[g[0]] and u.finishes[g[-1]])]
     out, at = [], 0
     for s, e in spans:
         out.append(text[at:s])
@@ -137,7 +181,8 @@ def remaining(text: str | None, gone, least_words: int = LEAST_WORDS) -> tuple[s
         while at < len(text) and text[at].isspace():  # the blanks behind a span go with it
             at += 1
     out.append(text[at:])
-    return "".join(out).rstrip() if spans and at >= len(text) else "".join(out), spans
+    left = "".join(out)
+    return (left.rstrip() if spans and at >= len(text) else left), spans
 
 
 def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str | None = None) -> DataFrame:
@@ -153,12 +198,19 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str | None = N
 
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            done = [remaining(t, g, least_words) for t, g in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            columns = list(b.columns[:-1])
-            columns[at] = pa.array([t for t, _ in done], type=pa.string())
-            names = b.schema.names[:-1]
+            texts, lists = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            cuts: list[list[tuple[int, int]]] = [[] for _ in texts]
+            some = [k for k, g in enumerate(lists) if g]
+            for lo, hi in by_bytes(pd.Series([texts[k] for k in some], dtype=object), AT_ONCE):
+                u = units([texts[k] for k in some[lo:hi]], least_words)
+                edges = np.searchsorted(u.text, np.arange(hi - lo + 1))
+                for j, k in enumerate(some[lo:hi]):
+                    own = slice(edges[j], edges[j + 1])
+                    texts[k], cuts[k] = remaining(texts[k], Units(*[getattr(u, n)[own] for n in u.__dataclass_fields__]), lists[k])
+            columns, names = list(b.columns[:-1]), b.schema.names[:-1]
+            columns[at] = pa.array(texts, type=pa.string())
             if spans:
-                columns.append(pa.array([[{"start": s, "end": e} for s, e in x] for _, x in done], type=kind))
+                columns.append(pa.array([[{"start": s, "end": e} for s, e in x] for x in cuts], type=kind))
                 names = [*names, spans]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
