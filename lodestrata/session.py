@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
+def found_by_workers(spark: SparkSession) -> SparkSession:
+    """Python workers find this package where the driver did, whatever folder the driver was started in.
+
+    Where the path doesn't exist on other machines, the package must be installed there or sent with --py-files; this changes nothing then.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def local_session(app: str = "lodestrata", cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with AQE, Arrow and UTC; settings already made on an active session win."""
     spark = (
