@@ -220,19 +220,22 @@ def _ranked(spark, sf):
     return asked, wide, final
 
 
+def _vector(spark, sf, qid: int):
+    """One question's vector as a literal."""
+    return F.array(*[F.lit(float(x)) for x in dt.questions(spark, sf).where(F.col("qid") == qid).first()["vector"]])
+
+
 @query
 def dense_topk_one_department(spark, sf):
-    """One department's partition, one question's vector, the nearest 25."""
-    q = dt.questions(spark, sf).where("qid = 1").select(F.col("vector").alias("q"))
+    """One department's partition, one question's vector as a literal, the nearest 25."""
     own = dt.embeddings(spark, sf).where("department = 'finance'")
-    return own.join(F.broadcast(q), F.lit(True)).select("chunk_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("dense_score")).orderBy(F.desc("dense_score"), "chunk_id").limit(K_PER_BRANCH)
+    return own.select("chunk_id", F.round(vectors.dot(F.col("embedding"), _vector(spark, sf, 1)), 6).alias("dense_score")).orderBy(F.desc("dense_score"), "chunk_id").limit(K_PER_BRANCH)
 
 
 @query
 def cosine_scores(spark, sf):
-    """General cosine (with norms) of every vector with its question's."""
-    q = dt.questions(spark, sf).where("qid = 3").select(F.col("vector").alias("q"))
-    return read(spark, sf, "embeddings").join(F.broadcast(q), F.lit(True)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    """General cosine (with norms) of every vector with a question's."""
+    return read(spark, sf, "embeddings").select("vec_id", F.round(vectors.cosine(F.col("embedding"), _vector(spark, sf, 3)), 6).alias("score"))
 
 
 @query
