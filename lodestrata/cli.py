@@ -15,7 +15,7 @@ from lodestrata.functions import chunking, providers
 from lodestrata.operators import acl, answer, evals, fusion, ingest, rerank, search
 from lodestrata.session import local_session
 from lodestrata.sources import corpus, seeds
-from lodestrata.sources.store import Store, upserted
+from lodestrata.sources.store import Store
 
 
 def parser() -> argparse.ArgumentParser:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from lodestrata.config import DEPARTMENTS  # noqa: F401  (the partition values of embeddings)
-
 
 def _schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
