@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import found_by_workers
 from lodestrata.sources.shared import kept as cut
 from lodestrata.sources.shared import shared_folder
 
@@ -77,7 +78,7 @@ def ranked(df: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
     return done.join(F.broadcast(starts), pid).withColumn(out, F.col(n_rows) + F.col(rid).bitwiseAND(F.lit((1 << 33) - 1))).drop(rid, pid, n_rows)
 
 
-def by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: pd.Series, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about limit characters, so that a batch of very long texts doesn't fill memory."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -89,23 +90,13 @@ def by_bytes(texts: pd.Series, limit: int = 4 << 20) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-def with_added(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, use: list[str]) -> DataFrame:
-    """The columns ``use`` of df, and what work returns for them, batch by batch, as a DataFrame of schema."""
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                yield work(b)
-
-    return df.select(*[F.col(quoted(c)) for c in use]).mapInPandas(run, schema)
-
-
 #: Rows of whole texts that a Python worker gets at once.
 TEXT_ROWS = 500
 
 
 def small_batches(spark: SparkSession, n: int = TEXT_ROWS) -> None:
     """From now on Python workers of this session get at most n rows at once: whole texts vary from words to megabytes."""
+    found_by_workers(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= n:
         spark.conf.set(key, str(n))
@@ -122,4 +113,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["BROADCAST_BYTES", "bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "shared_folder", "small_batches", "table", "text_hash", "with_added"]
+__all__ = ["BROADCAST_BYTES", "bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "shared_folder", "small_batches", "table", "text_hash"]

@@ -75,7 +75,7 @@ def int_column(values: pd.Series) -> pd.Series:
     return pd.array([None if v is None or v != v else int(v) for v in values], dtype="Int64")
 
 
-def batches_of(frames: Iterator[pd.DataFrame], text: str = "text", limit: int = 2 << 20) -> Iterator[pd.DataFrame]:
+def batches_of(frames: Iterator[pd.DataFrame], text: str = "text", limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Frames cut so that each holds about limit characters of text."""
     from lodestrata.llm.common import by_bytes
 

@@ -40,7 +40,7 @@ MARKS = ".,;:!?\"'()[]|*#$%&-–—…«»“”"
 ENDS = ".!?"
 SECOND = 0xD1342543DE82EF95
 #: Characters that are worked at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 _SPACE, _MARK, _END = (np.zeros(0x10000, dtype=bool) for _ in range(3))
 for _c in range(0x10000):

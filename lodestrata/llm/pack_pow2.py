@@ -31,7 +31,7 @@ from lodestrata.llm.common import by_bytes, cut, fresh, ranked, small_batches
 END_ID = 1
 MAX_LENGTH = 2048
 #: Distinct words whose ids a Python worker keeps; when full it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
