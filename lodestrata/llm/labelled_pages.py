@@ -156,8 +156,8 @@ class Page:
             self.put(f'<div{r.choice(["", " class=body", " class=entry-content", " class=text"])}>')
         for _ in range(r.choice([1, 2, r.randint(3, 14)])):
             self.block()
-            if r.random() < 0.06:
-                r.choice([self.advert, self.notice, self.form, self.sidebar])()
+            if r.random() < 0.09:
+                r.choice([self.advert, self.notice, self.form, self.sidebar, self.header, self.footer, self.menu, self.comments])()
         if inner:
             self.put("</div>")
         if r.random() < 0.08:
