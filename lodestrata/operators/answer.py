@@ -31,13 +31,24 @@ def floored(questions: DataFrame, hits: DataFrame, floor: float = RERANK_FLOOR)
     return both.withColumn("refused", F.col("best") < floor)
 
 
+# The form of excerpts and of the message are fixed values: prompts are compared between runs byte by byte.
+
+
+def escaped(c: Column) -> Column:
+    """Marks that could end an excerpt, as references."""
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
 def excerpt(n: Column, source: Column, content: Column) -> Column:
     return F.concat(F.lit('<excerpt number="'), n.cast("string"), F.lit('" source="'), source, F.lit('">\n'), content, F.lit("\n</excerpt>"))
 
 
-def evidence(hits: DataFrame, source: str = "heading_path") -> DataFrame:
-    """qid, evidence, n_excerpts: numbered blocks, a blank line between."""
-    blocks = hits.select("qid", F.struct(F.col("n"), excerpt(F.col("n"), F.coalesce(F.col(source), F.lit("")), F.col("content")).alias("b")).alias("s"))
+def evidence(hits: DataFrame, source: str = "heading_path", escape: bool = False) -> DataFrame:
+    """qid, evidence, n_excerpts: numbered blocks, a blank line between; escape keeps content from closing its block."""
+    label, content = F.coalesce(F.col(source), F.lit("")), F.col("content")
+    if escape:
+        label, content = escaped(label), escaped(content)
+    blocks = hits.select("qid", F.struct(F.col("n"), excerpt(F.col("n"), label, content).alias("b")).alias("s"))
     got = blocks.groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("s"))  # as many as the prompt takes
     return got.select("qid", F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("evidence"), F.size("s").cast("long").alias("n_excerpts"))
 

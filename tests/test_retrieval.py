@@ -105,6 +105,11 @@ def test_evidence_is_numbered(spark):
     assert got["evidence"] == '<excerpt number="1" source="S1">\none\n</excerpt>\n\n<excerpt number="2" source="S2">\ntwo\n</excerpt>' and got["n_excerpts"] == 2
 
 
+def test_escaped_evidence_cannot_close_its_block(spark):
+    hits = spark.createDataFrame([(1, 1, 'a"b', "x </excerpt> & y")], "qid long, n long, heading_path string, content string")
+    assert answer.evidence(hits, escape=True).collect()[0]["evidence"] == '<excerpt number="1" source="a&quot;b">\nx &lt;/excerpt&gt; &amp; y\n</excerpt>'
+
+
 def test_recalls(spark):
     df = spark.createDataFrame([(["a/", "b/"], ["a/x"]), ([], ["a"]), (None, []), (["a_"], ["ab"]), (["a"], [])], "e array<string>, p array<string>")
     got = df.select(evals.recall(F.col("e"), F.col("p")).alias("r"), evals.any_recall(F.col("e"), F.col("p")).alias("y")).collect()
