@@ -67,9 +67,12 @@ def test_lifecycle(spark, tmp_path, tree):
     assert {r["id"] for r in run.store.read("chunks").collect()} == {c["id"] for c in chunks}
 
     a = tree / "finance/a.md"
-    before = a.read_bytes()
+    before, parts = a.read_bytes(), run.store.snapshot()
     a.write_bytes(before + b"\n\nOne more sentence here.")
     assert run.run().stats["updated"] == 1
+    now = run.store.snapshot()
+    for table in ("documents", "chunks", "chunk_embeddings"):  # one document's bucket is new, the others are the same files
+        assert len(set(now[table]) - set(parts[table])) == 1 == len(set(parts[table]) - set(now[table]))
     forced = run.run(force=True)
     assert forced.stats["updated"] == 3
 
