@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -149,6 +150,12 @@ class Matcher:
         return w[order], e[order], d[order]
 
 
+@lru_cache(maxsize=4)
+def matcher_of(entries: tuple[str, ...]) -> Matcher:
+    """One for each worker process and lexicon: the table outlives a task."""
+    return Matcher(list(entries))
+
+
 _LETTER = np.zeros(0x10000, dtype=bool)
 for _c in range(0x10000):
     _LETTER[_c] = chr(_c).isalnum()
@@ -260,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, a_class: int = A_CLASS) -> Model:
     entries = learn_entries(sample, a_class)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(entries)
+        matcher = matcher_of(tuple(entries))
         for b in batches_of(frames):
             x, _ = features([t or "" for t in b["text"]], matcher)
             yield pd.DataFrame({"y": b["y"].to_numpy(), "x": list(x)})
@@ -277,7 +284,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, score, predicted, n_matches and matches (start, end, term, edits, quoted) of every whole text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(model.entries)
+        matcher = matcher_of(tuple(model.entries))
         for b in batches_of(frames):
             x, spans = features([t or "" for t in b["text"]], matcher)
             p = logistic(x, model.weights)
@@ -301,7 +308,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         import pyarrow as pa
 
-        matcher = Matcher(model.entries)
+        matcher = matcher_of(tuple(model.entries))
         for b in batches:
             texts = b.column(at).to_pylist()
             keep = np.zeros(len(texts), dtype=bool)
