@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import cut, ranked
+from lodestrata.session import found_by_workers
 
 SHARDS = 40
 BITS = 6
@@ -66,6 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def on_curve(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """measured(), with the curve's index of each row's cell: log size, language, source and the id's place in its range."""
+    found_by_workers(docs.sparkSession)
     rows = measured(docs)
     ends = docs.select(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = (ends["lo"] or 0), (ends["hi"] or 0)
