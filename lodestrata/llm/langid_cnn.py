@@ -89,6 +89,7 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
     p: dict[str, np.ndarray] = {"e": r.normal(0, 0.3, (256, EMBEDDING)), "d": r.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(languages))), "o": np.zeros(len(languages))}
     for w in WIDTHS:
         p[f"f{w}"], p[f"b{w}"] = r.normal(0, 1 / np.sqrt(w * EMBEDDING), (w, EMBEDDING, FILTERS)), np.zeros(FILTERS)
+    p = {k: x.astype(np.float32) for k, x in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     by_class = [np.flatnonzero(y == c) for c in range(len(languages))]
     for t in range(1, steps + 1):
@@ -126,7 +127,7 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] - rate * (1 - 0.9 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            p[k] = (p[k] - rate * (1 - 0.9 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     p["e"][0] = 0
     return Network(languages, p["e"], {w: p[f"f{w}"] for w in WIDTHS}, {w: p[f"b{w}"] for w in WIDTHS}, p["d"].astype(np.float32), p["o"].astype(np.float32))
 
