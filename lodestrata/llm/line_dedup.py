@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and their parts.
 
-Units: a line is cut behind a word that ends a sentence or whose hash says so, once a part has LEAST_WORDS words; so a passage copied
-from anywhere into the middle of another line falls, but for its ends, into the same units in both. What is too short at a line's
-end belongs to the part before it. A unit is normalised (lower case, words without the marks around them) and digested to 128 bits.
+Units: a line is cut behind each word that ranks first among the REACH words on either side of it (words that end a sentence rank
+before others, else a hash decides); so only what is near decides, and a passage copied from anywhere into the middle of another line
+falls, but for its ends, into the same units in both. Runs of one word are cut at every eighth. What is too short at a line's ends
+belongs to the part next to it. A unit is normalised (lower case, words without the marks around them) and digested to 128 bits.
 Digests are grouped over all texts; the occurrence of the earliest rank (doc_id, then place in the text) stays, every other goes.
 Parts of lines count from LEAST_WORDS words, whole lines from LEAST_LINE; as a few words recur by chance, neighbouring units inside a
 line go only if they have LEAST_RUN words together. What goes is reported as spans of the original text.
@@ -34,8 +35,8 @@ from lodestrata.llm.hashing import BASE, code_points, hashed, lowered, powers, r
 LEAST_WORDS, LEAST_LINE = 6, 3
 #: Words from which neighbouring parts inside a line go.
 LEAST_RUN = 13
-#: A word ends a part if its hash is 0 modulo this.
-CUT_EVERY = 4
+#: Words on either side that a cut is chosen among, and the length that runs of one word are cut to.
+REACH, RUN = 5, 8
 MARKS = ".,;:!?\"'()[]|*#$%&-–—…«»“”"
 ENDS = ".!?"
 SECOND = 0xD1342543DE82EF95
@@ -70,6 +71,21 @@ def _total(mask: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
 
 
+def cuts(h: np.ndarray, ends_sentence: np.ndarray, line_end: np.ndarray) -> np.ndarray:
+    """Behind which words a line is cut; h: the words' hashes."""
+    key = (h >> np.uint64(1)) | (np.uint64(1 << 63) * (~ends_sentence).astype(np.uint64))
+    line = _total(line_end)[:-1]
+    out = np.ones(len(h), dtype=bool)
+    for k in range(1, min(REACH, len(h) - 1) + 1):
+        near = line[k:] == line[:-k]
+        out[k:] &= ~near | (key[k:] < key[:-k])  # before all that precede it, and not behind any that follow
+        out[:-k] &= ~near | (key[:-k] <= key[k:])
+    same = np.zeros(len(h), dtype=bool)
+    same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+    place = np.arange(len(h))
+    return out | (same & ((place - np.maximum.accumulate(np.where(same, 0, place))) % RUN == RUN - 1))
+
+
 def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> Units:
     points = code_points("".join(lowered(t) + "\n" if t else "\n" for t in texts))
     first = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])]).astype(np.int64)
@@ -92,21 +108,13 @@ def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: i
     next_line = newlines[np.searchsorted(newlines, to)]
     line_end = next_line < following
     stop = ends[np.searchsorted(starts, np.minimum(following, next_line)) - 1]
-    cut = line_end | (sentence[to] > sentence[tail]) | (h % np.uint64(CUT_EVERY) == 0)
-    chosen: list[int] = []
-    last, inside = -1, False
-    where = np.flatnonzero(cut)
-    for k, end in zip(where.tolist(), line_end[where].tolist(), strict=True):
-        if end:
-            if inside and k - last < least_words:
-                chosen[-1] = k
-            else:
-                chosen.append(k)
-            last, inside = k, False
-        elif k - last >= least_words:
-            chosen.append(k)
-            last, inside = k, True
-    b = np.asarray(chosen, dtype=np.int64)
+    b = np.flatnonzero(line_end | cuts(h, sentence[to] > sentence[tail], line_end))
+    a = np.concatenate([[0], b[:-1] + 1])
+    # short ends of a line belong to their neighbour in it
+    begins, finishes, short = line_end[a - 1] | (a == 0), line_end[b], b - a + 1 < least_words
+    glued = begins & ~finishes & short
+    glued[:-1] |= (finishes & ~begins & short)[1:]
+    b = b[~glued]
     a = np.concatenate([[0], b[:-1] + 1])
     n = b - a + 1
     begins, finishes = line_end[a - 1] | (a == 0), line_end[b]

@@ -83,37 +83,40 @@ def cut(spark, *rows, **more):
     return {r["doc_id"]: r for r in got.collect()}
 
 
-def cut_word(word):
-    """Whether the word's hash ends a part; from a line in which only that word can."""
-    line = "a b c d e " + word + " f g h i j k l"
-    u = line_dedup.units([line])
-    return u.words[0] == 6
+def word_hash(word):
+    import numpy as np
+
+    points = line_dedup.code_points(word)
+    return int(line_dedup.hashed(points, np.array([0]), np.array([len(points)]))[0])
 
 
 def plain_units(text):
-    """start, end, words, counts, normalised of each unit, word by word."""
-    out = []
-    at = 0
+    """start, end, words, counts, normalised, begins, finishes of each unit, word by word."""
+    out, at = [], 0
     for line in text.split("\n"):
-        found = [(m.start() + at, m.end() + at, m.group().strip(line_dedup.MARKS).lower()) for m in re.finditer(r"\S+", line)]
+        found = []
+        for m in re.finditer(r"\S+", line):
+            w = m.group().strip(line_dedup.MARKS).lower()
+            if w:
+                raw = m.group().lower()
+                found.append([m.start() + at, m.end() + at, w, any(c in ".!?" for c in raw[raw.rindex(w) + len(w) :])])
+            elif found:
+                found[-1][1] = m.end() + at
         at += len(line) + 1
-        groups, held = [], []
-        for k, (s, e, w) in enumerate(found):
-            if not w:
-                if held or groups:
-                    (held or groups[-1])[-1] = (*(held or groups[-1])[-1][:1], e, (held or groups[-1])[-1][2])
-                continue
-            held.append((s, e, w))
-            raw = text[s:e] + "".join(text[a:b] for a, b, x in found[k + 1 : k + 2] if not x)
-            if len(held) >= 6 and (any(c in ".!?" for c in raw[raw.lower().rindex(w) + len(w) :]) or cut_word(w)):
+        keys = [(not e, word_hash(w) >> 1) for _, _, w, e in found]
+        groups, held, run = [], [], 0
+        for k, x in enumerate(found):
+            held.append(x)
+            run = run + 1 if k and found[k - 1][2] == x[2] else 0
+            first = all(keys[k] < y for y in keys[max(0, k - 5) : k]) and all(keys[k] <= y for y in keys[k + 1 : k + 6])
+            if first or (run and run % 8 == 7) or k == len(found) - 1:
                 groups.append(held)
                 held = []
-        if held:
-            if groups and len(held) < 6:
-                groups[-1] += held
-            else:
-                groups.append(held)
-        out += [(g[0][0], g[-1][1], len(g), len(g) >= 6 or (len(groups) == 1 and len(g) >= 3), " ".join(w for _, _, w in g), k == 0, k == len(groups) - 1) for k, g in enumerate(groups)]
+        if len(groups) > 1 and len(groups[0]) < 6:
+            groups[:2] = [groups[0] + groups[1]]
+        if len(groups) > 1 and len(groups[-1]) < 6:
+            groups[-2:] = [groups[-2] + groups[-1]]
+        out += [(g[0][0], g[-1][1], len(g), len(g) >= 6 or (len(groups) == 1 and len(g) >= 3), " ".join(x[2] for x in g), k == 0, k == len(groups) - 1) for k, g in enumerate(groups)]
     return out
 
 
@@ -149,7 +152,7 @@ def test_dedup_equals_brute_force(spark):
 
 
 def test_units_are_the_plain_ones():
-    texts = [words(k, 120) + ".\n\n" + words(k + 1, 7) + "! End\n| a | b-c, |\nÀ É ß x y z. w " + words(k + 2, 30) + " *** " for k in range(12)] + ["", None, "...", "one", " a b\nc d e "]
+    texts = [words(k, 120) + ".\n\n" + words(k + 1, 7) + "! End\n| a | b-c, |\nÀ É ß x y z. w " + words(k + 2, 30) + " *** " for k in range(12)] + ["", None, "...", "one", " a b\nc d e ", "ha " * 61 + "ho " * 30, "so so so"]
     u = line_dedup.units(texts)
     for t, text in enumerate(texts):
         own = u.text == t
