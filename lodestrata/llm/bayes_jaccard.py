@@ -42,7 +42,7 @@ TOLERANCE = 1e-7
 #: Members of a component that are compared in one task.
 CHUNK = 512
 #: Texts of so many bytes are hashed together.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -253,11 +253,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, chun
     some = base.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "bands")).alias("m"), F.count("*").alias("copies"))
     classes = cut(some.select("s1", "s2", F.col("m.id").alias("rep"), "copies", F.col("m.bands").alias("bands")))
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("key").alias("shared"), "low")
+    # written, so that the join has an exchange on both sides, which lets Spark split a hot bucket
+    shared = cut(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("key").alias("shared"), "low"))
     edges = keys.join(shared, F.col("key") == F.col("shared")).where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     found = components(edges)
     every = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    sizes = every.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("size"))
+    sizes = cut(every.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("size")))
     members = every.join(sizes, F.col("root") == F.col("of")).select(F.col("node").alias("member"), "root", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
     members = members.join(classes.select("rep", "copies"), F.col("member") == F.col("rep")).drop("rep")
     texts = docs.select(node_id().alias("id"), "text")

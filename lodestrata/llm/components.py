@@ -21,9 +21,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
+        # the minima are written, so that the joins have an exchange on both sides, which lets Spark split a hot node's edges
+        least = cut(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m")))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
         small = large.join(least, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s")).select("s.u", "s.v")
         e = cut(small.where("u <> v").distinct())
         now = mark(e)
