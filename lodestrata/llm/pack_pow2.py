@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -30,7 +30,7 @@ from lodestrata.llm.common import by_bytes, cut, fresh, ranked, small_batches
 
 END_ID = 1
 MAX_LENGTH = 2048
-#: Distinct words whose ids a Python worker keeps; when full it starts anew.
+#: Distinct words of a generation whose ids a Python worker keeps, twice that within one text.
 CACHED_WORDS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -47,8 +47,9 @@ WORD_RULES = {
     "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
     "suffix": "</w>",
 }
-#: Words that need none of the tokenizer's other rules: letters of one run, then full stops and commas.
-PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Words of printable ASCII and Latin-1 letters, for which the split is the pattern below, on the lowered word.
+SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Stands for the end of a word in the byte vocabulary; no UTF-8 text has it.
 WORD_END = b"\xff"
 
@@ -63,9 +64,10 @@ def byte_letters() -> dict[str, int]:
 class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, through a cache of the ids of words.
 
-    If the tokenizer's file has WORD_RULES, a text's ids are those of its words; plain words go through the same merges as a byte
-    vocabulary (tiktoken), all others through the tokenizer. Texts that hold one of its special strings, and all texts under
-    other rules, go to the tokenizer whole.
+    If the tokenizer's file has WORD_RULES, a text's ids are those of its words; simple words are split and go through the same merges
+    as a byte vocabulary (tiktoken), all others through the tokenizer. Texts that hold one of its special strings, and all texts
+    under other rules, go to the tokenizer whole. The cache has two generations: a full one becomes the old one, from which words
+    that come again move to the new.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -74,7 +76,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cached, self.known, self.plain = cached, {"": b""}, None
+        self.cached, self.known, self.old, self.merge = cached, {}, {}, None
         rules = json.loads(Path(path).read_text(encoding="utf-8"))
         steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
         splits = [x["pattern"].get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
@@ -86,40 +88,35 @@ class WordIds:
                 if token not in special:
                     end = token.endswith(WORD_RULES["suffix"])
                     ranks[bytes(letters[c] for c in token.removesuffix(WORD_RULES["suffix"])) + WORD_END * end] = n
-            self.plain = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > self.cached:
-            self.known.clear()
-            self.known[""] = b""
-        known, plain, other = self.known, self.plain, []
-        for w in dict.fromkeys(words):
-            if w not in known:
-                if m := PLAIN.fullmatch(w):
-                    ids = plain(m[1].lower().encode() + WORD_END)
-                    if m[2]:
-                        ids = ids + plain(m[2].encode() + WORD_END)
-                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
-                else:
-                    other.append(w)
-        for k in range(0, len(other), 4096):
-            known.update(zip(other[k : k + 4096], self.encode(other[k : k + 4096]), strict=True))
+    def word(self, text: str) -> bytes:
+        """The ids of a word that the new generation lacks."""
+        if not text:
+            return b""
+        found = self.old.get(text)
+        if found is None:
+            if SIMPLE.fullmatch(text):
+                merge = self.merge
+                found = b"".join([array("I", merge(p.encode() + WORD_END)).tobytes() for p in SPLIT.findall(text.lower())])
+            else:
+                found = self.encode([text])[0]
+        if len(self.known) < 2 * self.cached:
+            self.known[text] = found
+        return found
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if not self.by_word or any(s in text for s in self.special):
                 yield self.encode([text])[0]
                 continue
-            words = text.replace("\n", " ").split(" ")
-            known = self.known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                self.learn(words)
-                yield b"".join([known[w] for w in words])
+            if len(self.known) > self.cached:
+                self.old, self.known = self.known, {}
+            kept, other = self.known.get, self.word
+            yield b"".join([kept(w) or other(w) for w in text.replace("\n", " ").split(" ")])
 
 
 @lru_cache(maxsize=2)
