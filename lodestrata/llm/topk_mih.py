@@ -25,6 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import cut
+from lodestrata.session import found_by_workers
+
 K = 10
 ROWS_A_BLOCK = 1 << 16
 QUERIES_A_BLOCK = 1 << 12
@@ -51,6 +54,7 @@ def codes(rows: DataFrame, id_col: str, vector: str, bits: int) -> DataFrame:
             made = [row.tobytes() for row in np.packbits(bit, axis=1)]
             yield pd.DataFrame({"id": b["id"], "code": made})
 
+    found_by_workers(rows.sparkSession)
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null").mapInPandas(run, "id long, code binary")
 
 
@@ -152,6 +156,7 @@ def search(rows: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFr
     spark = rows.sparkSession
     first = Window.partitionBy("code").orderBy("id")
     rows = rows.dropDuplicates(["id", "code"]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
+    rows = cut(rows)
     queries = queries.dropDuplicates(["id"])
     n, nq = rows.count(), queries.count()
     blocks = max(1, -(-n // ROWS_A_BLOCK), min(spark.sparkContext.defaultParallelism, n // 4096))
@@ -179,7 +184,7 @@ def search(rows: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFr
 def nearest(rows: DataFrame, id_col: str, vector: str, every: int = 50, k: int = K) -> DataFrame:
     """search() with every row whose id is divisible by ``every`` as a query, against all rows."""
     bits = width(rows, vector)
-    coded = codes(rows, id_col, vector, bits)
+    coded = cut(codes(rows, id_col, vector, bits))  # narrow, and read several times
     return search(coded, coded.where(F.col("id") % every == 0), bits, k)
 
 
