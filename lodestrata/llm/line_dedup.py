@@ -2,11 +2,14 @@
 
 Units: a line is cut behind each word that ranks first among the REACH words on either side of it (words that end a sentence rank
 before others, else a hash decides); so only what is near decides, and a passage copied from anywhere into the middle of another line
-falls, but for its ends, into the same units in both. Runs of one word are cut at every eighth. What is too short at a line's ends
+falls, but for its ends, into the same units in both. Runs of up to REACH
+words that recur in turn are cut about every eighth word. What is too short at a line's ends
 belongs to the part next to it. A unit is normalised (lower case, words without the marks around them) and digested to 128 bits.
 Digests are grouped over all texts; the occurrence of the earliest rank (doc_id, then place in the text) stays, every other goes.
 Parts of lines count from LEAST_WORDS words, whole lines from LEAST_LINE; as a few words recur by chance, neighbouring units inside a
-line go only if they have LEAST_RUN words together. What goes is reported as spans of the original text.
+line go only if they have LEAST_RUN words together. Lines under LEAST_LINE words that follow one another are cut as one line (best
+behind a line), and their parts go like those inside a line. What is still too short to count is digested together with the units on
+either side, so it goes within a repeated passage and stays elsewhere. What goes is reported as spans of the original text.
 
 At scale: a digest's occurrences are never gathered; the earliest text is a minimum, taken before the shuffle too, and only digests
 that occur twice meet their occurrences again, in a join whose hot keys can be split. Each text is shuffled once, to meet the
@@ -35,7 +38,7 @@ from lodestrata.llm.hashing import BASE, code_points, hashed, lowered, powers, r
 LEAST_WORDS, LEAST_LINE = 6, 3
 #: Words from which neighbouring parts inside a line go.
 LEAST_RUN = 13
-#: Words on either side that a cut is chosen among, and the length that runs of one word are cut to.
+#: Words on either side that a cut is chosen among, and the length (at least) that runs of so many words in turn are cut to.
 REACH, RUN = 5, 8
 MARKS = ".,;:!?\"'()[]|*#$%&-–—…«»“”"
 ENDS = ".!?"
@@ -52,8 +55,8 @@ _END[[ord(c) for c in ENDS]] = True
 
 @dataclass
 class Units:
-    """Of several texts: text (which), number (in it), start, end (code points in it), words, begins and finishes (a line), counts (by
-    itself), d1, d2 (digest)."""
+    """Of several texts: text (which), number (in it), start, end (code points in it), words, begins and finishes (a line, or short
+    lines that adjoin), counts (by itself), short (of lines too short to count), between (counts with its neighbours), d1, d2 (digest)."""
 
     text: np.ndarray
     number: np.ndarray
@@ -63,6 +66,8 @@ class Units:
     begins: np.ndarray
     finishes: np.ndarray
     counts: np.ndarray
+    short: np.ndarray
+    between: np.ndarray
     d1: np.ndarray
     d2: np.ndarray
 
@@ -80,10 +85,17 @@ def cuts(h: np.ndarray, ends_sentence: np.ndarray, line_end: np.ndarray) -> np.n
         near = line[k:] == line[:-k]
         out[k:] &= ~near | (key[k:] < key[:-k])  # before all that precede it, and not behind any that follow
         out[:-k] &= ~near | (key[:-k] <= key[k:])
-    same = np.zeros(len(h), dtype=bool)
-    same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
-    place = np.arange(len(h))
-    return out | (same & ((place - np.maximum.accumulate(np.where(same, 0, place))) % RUN == RUN - 1))
+    # where up to REACH words recur in turn none is first; cut by place, so that the parts are alike
+    place, covered = np.arange(len(h)), np.zeros(len(h), dtype=bool)
+    for p in range(1, min(REACH, len(h) - 1) + 1):
+        same = np.zeros(len(h), dtype=bool)
+        same[p:] = (h[p:] == h[:-p]) & (line[p:] == line[:-p]) & ~covered[p:]
+        start = np.maximum.accumulate(np.where(same, 0, place))
+        step = -(-RUN // p) * p
+        out |= same & ((place - start + p) % step == 0)
+        if p < REACH:
+            covered |= same & (np.bincount(start, minlength=len(h))[start] > step - p)
+    return out
 
 
 def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE) -> Units:
@@ -98,7 +110,7 @@ def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: i
     at, to = starts[real], ends[real]
     if not len(at):
         none = np.zeros(0, dtype=np.int64)
-        return Units(none, none, none, none, none, none.astype(bool), none.astype(bool), none.astype(bool), none, none)
+        return Units(none, none, none, none, none, *[none.astype(bool)] * 5, none, none)
     places = np.flatnonzero(core)
     head, tail = places[np.searchsorted(places, at)], places[np.searchsorted(places, to) - 1] + 1
     h = hashed(points, head, tail)
@@ -108,7 +120,12 @@ def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: i
     next_line = newlines[np.searchsorted(newlines, to)]
     line_end = next_line < following
     stop = ends[np.searchsorted(starts, np.minimum(following, next_line)) - 1]
-    b = np.flatnonzero(line_end | cuts(h, sentence[to] > sentence[tail], line_end))
+    # lines too short to count that adjoin are one line, whose inner line ends rank like sentence ends
+    line, of = _total(line_end)[:-1], np.searchsorted(first, at, side="right") - 1
+    tiny = (np.bincount(line) < least_line)[line]
+    inner = np.append(line_end[:-1] & tiny[:-1] & tiny[1:] & (of[1:] == of[:-1]), False)
+    line_end = line_end & ~inner
+    b = np.flatnonzero(line_end | cuts(h, (sentence[to] > sentence[tail]) | inner, line_end))
     a = np.concatenate([[0], b[:-1] + 1])
     # short ends of a line belong to their neighbour in it
     begins, finishes, short = line_end[a - 1] | (a == 0), line_end[b], b - a + 1 < least_words
@@ -118,7 +135,10 @@ def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: i
     a = np.concatenate([[0], b[:-1] + 1])
     n = b - a + 1
     begins, finishes = line_end[a - 1] | (a == 0), line_end[b]
-    text = np.searchsorted(first, at[a], side="right") - 1
+    text, tiny = of[a], tiny[a]
+    counts = (n >= least_words) | (begins & finishes & ~tiny & (n >= least_line))
+    between = np.zeros(len(a), dtype=bool)
+    between[1:-1] = ~counts[1:-1] & counts[:-2] & counts[2:] & (text[1:-1] == text[:-2]) & (text[1:-1] == text[2:])
 
     def digest(values: np.ndarray, base: int) -> np.ndarray:
         up, down = powers(len(values), base)
@@ -126,8 +146,15 @@ def units(texts: list[str | None], least_words: int = LEAST_WORDS, least_line: i
         np.cumsum(values * up[: len(values)], out=total[1:])
         return mix64((total[b + 1] - total[a]) * down[a] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
+    def with_neighbours(d: np.ndarray) -> np.ndarray:
+        k, x = np.flatnonzero(between), d.view(np.uint64)
+        out = x.copy()
+        out[k] = mix64(mix64(mix64(x[k - 1]) + x[k] * BASE) + x[k + 1])
+        return out.view(np.int64)
+
     number = np.arange(len(a)) - np.searchsorted(text, text)
-    return Units(text, number, at[a] - first[text], stop[b] - first[text], n, begins, finishes, (n >= least_words) | (begins & finishes & (n >= least_line)), digest(h, int(BASE)), digest(mix64(h ^ BASE), SECOND))
+    d1, d2 = with_neighbours(digest(h, int(BASE))), with_neighbours(digest(mix64(h ^ BASE), SECOND))
+    return Units(text, number, at[a] - first[text], stop[b] - first[text], n, begins, finishes, counts, tiny, between, d1, d2)
 
 
 def rank(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -143,7 +170,7 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         for f in frames:
             for lo, hi in by_bytes(f["text"], AT_ONCE):
                 u = units(list(f["text"].iloc[lo:hi]), least_words)
-                own = np.flatnonzero(u.counts)
+                own = np.flatnonzero(u.counts | u.between)
                 order = own[np.lexsort((u.number[own], u.d2[own], u.d1[own], u.text[own]))]
                 t, d1, d2, number = u.text[order], u.d1[order], u.d2[order], u.number[order].astype(np.int32)
                 new = np.ones(len(order), dtype=bool)
@@ -175,13 +202,27 @@ def copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def remaining(text: str, u: Units, gone) -> tuple[str, list[tuple[int, int]]]:
     """The text without the units that go, and their spans; units that follow one another are one span. u: the units of this text."""
-    together: list[list[int]] = []
-    for k in sorted(int(g) for g in gone):
-        if together and together[-1][-1] == k - 1:
-            together[-1].append(k)
-        else:
-            together.append([k])
-    spans = [(int(u.start[g[0]]), int(u.end[g[-1]])) for g in together if int(u.words[g].sum()) >= LEAST_RUN or (u.begins[g[0]] and u.finishes[g[-1]])]
+
+    def together(numbers: list[int]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in numbers:
+            if out and out[-1][-1] == k - 1:
+                out[-1].append(k)
+            else:
+                out.append([k])
+        return out
+
+    alone = u.counts & ~u.short
+
+    def goes(g: list[int]) -> bool:
+        return int(u.words[g].sum()) >= LEAST_RUN or bool(u.begins[g[0]] and u.finishes[g[-1]] and alone[g[0]] and alone[g[-1]])
+
+    spans = []
+    for g in together(sorted(int(k) for k in gone)):
+        # short lines next to it don't keep a line from going
+        for part in [g] if goes(g) else together([k for k in g if alone[k]]):
+            if goes(part):
+                spans.append((int(u.start[part[0]]), int(u.end[part[-1]])))
     out, at = [], 0
     for s, e in spans:
         out.append(text[at:s])

@@ -175,6 +175,57 @@ def test_passages_copied_anywhere_are_gone(spark):
         seen |= own
 
 
+def laid_out(seed, n, sizes):
+    """n words in lines of the sizes, in turn."""
+    import itertools
+
+    w, out, turn = words(seed, n).split(), [], itertools.cycle(sizes)
+    while w:
+        k = next(turn)
+        out.append(" ".join(w[:k]))
+        w = w[k:]
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("sizes", [[1], [2], [2, 1, 1], [2, 3], [1, 1, 7], [1, 12, 2, 2]])
+def test_passages_of_short_lines_are_gone(spark, sizes):
+    passage = laid_out(31, 140, sizes)
+    rows = [(k, words(600 + k, 40) + "\n" + passage + "\n" + words(700 + k, 40)) for k in range(4)]
+    rows += [(50 + k, laid_out(800 + k, 30, [2, 1]) + "\n" + passage + "\n" + laid_out(900 + k, 30, [1])) for k in range(4)]
+    copied = passage.split()
+    own = {tuple(copied[k : k + 30]) for k in range(len(copied) - 29)}
+    got = cut(spark, *rows)
+    assert got[0]["text"] == rows[0][1]
+    for d in (k for k in got if k):
+        w = got[d]["text"].split()
+        assert not own & {tuple(w[k : k + 30]) for k in range(len(w) - 29)}, d
+        # all but the passage's ends is gone, and what stands around it stays
+        before, after = dict(rows)[d].split(passage)
+        assert got[d]["text"].startswith(before.strip()) and got[d]["text"].endswith(after.strip()) and len(w) < len((before + after).split()) + 45, d
+
+
+def test_repeats_of_short_lines_inside_a_text_are_gone(spark):
+    passage = laid_out(32, 60, [2, 1])
+    got = cut(spark, (1, passage + "\n" + words(61, 40) + "\n" + passage + "\n" + words(62, 40)))
+    assert len(got[1]["spans"]) == 1 and len(got[1]["text"].split()) < 60 + 80 + 12
+
+
+@pytest.mark.parametrize("turn", ["Was eran.\n", "Onon\n", "One two\nthree\n", "a b ", "a a b ", "a b a c d "])
+def test_lines_that_recur_in_turn_are_gone(spark, turn):
+    got = cut(spark, (1, words(63, 40) + "\n" + turn * 60 + "\n" + words(64, 40)), (2, words(65, 40) + "\n" + turn * 60 + "\n" + words(66, 40)))
+    assert all(r["spans"] and len(r["text"].split()) < 80 + 45 for r in got.values())
+
+
+def test_lone_short_lines_stay(spark):
+    lone = ["The end.", "Home\nAbout us\nContact", "| a | b |"]
+    rows = [(k, words(640 + k, 30) + "\n" + lone[k % 3] + "\n" + words(660 + k, 30)) for k in range(12)]
+    rows += [(100, "\n".join(words(640 + k, 30).split()[0] for k in range(12)))]
+    assert {d: r["text"] for d, r in cut(spark, *rows).items()} == dict(rows)
+    line = "one line that recurs in all"
+    beside = [(k, f"{line}\nHome\nAbout us\nContact it\n{words(680 + k, 30)}") for k in range(3)]
+    assert line not in cut(spark, *beside)[2]["text"]
+
+
 def test_offsets_are_of_the_original(spark):
     line = "a line that comes more than once, with enough words"
     rows = [(1, f"first text\n{line}\nend one"), (2, f"other ünïcode text\n{line}\nend two")]
