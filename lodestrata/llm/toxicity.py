@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 Lexicon: a few fixed terms, and terms and stems learned from labelled texts (prefixes that toxic texts have many times as often
-as others; the longest that loses no support). The trie of the terms is intersected with Levenshtein automata (one edit for whole
+as others; the longest that loses no support). Whole terms stay beside a stem that covers them, as only they allow an edit, and
+count towards no bound but that on rows that reach the driver. The trie of the terms is intersected with Levenshtein automata (one edit for whole
 terms of five letters or more, none for shorter ones and for stems, which any ending may follow) and the result is determinised
 once into a table; a batch's words then run through the table together, a character a step.
 
@@ -54,7 +55,7 @@ class Matcher:
                 self.symbol[ord(c)] = i + 1
         size = len(letters) + 1
         children: list[dict[int, int]] = [{}]
-        ends: list[tuple[str, int]] = [("", -1)]  # of each node: "$" a whole term, "*" a stem
+        wholes, stems = [-1], [-1]  # of each node: the whole term and the stem that end there
         room = [0]  # edits the terms below allow
         for n, e in enumerate(entries):
             whole, term = e.endswith("$"), e.rstrip("$")
@@ -65,11 +66,12 @@ class Matcher:
                 if s not in children[node]:
                     children[node][s] = len(children)
                     children.append({})
-                    ends.append(("", -1))
+                    wholes.append(-1)
+                    stems.append(-1)
                     room.append(0)
                 node = children[node][s]
                 room[node] = max(room[node], edits)
-            ends[node] = ("$" if whole else "*", n)
+            (wholes if whole else stems)[node] = n
         allowed = [int(e.endswith("$") and len(e) >= 6) for e in entries]
 
         def closed(states: dict[int, int]) -> frozenset:
@@ -92,8 +94,8 @@ class Matcher:
             row = rows[k]
             best = (-1, 9)
             for node, used in sorted(at):
-                mark, n = ends[node]
-                if mark == "$" and used <= allowed[n] and used < best[1]:
+                n = wholes[node]
+                if n >= 0 and used <= allowed[n] and used < best[1]:
                     best = (n, used)
             accept[k] = best
             for s in range(size):
@@ -104,8 +106,8 @@ class Matcher:
                     if child is not None:
                         if used <= room[child] or used == 0:
                             to[child] = min(to.get(child, 9), used)
-                        if ends[child][0] == "*" and used == 0:
-                            stem = ends[child][1]
+                        if stems[child] >= 0 and used == 0:
+                            stem = stems[child]
                     if used + 1 <= room[node]:  # a letter too many
                         to[node] = min(to.get(node, 9), used + 1)
                     for other, c in children[node].items():  # another letter instead
@@ -242,22 +244,21 @@ def learn_entries(sample: DataFrame, a_class: int = A_CLASS, entries: int = ENTR
         return [t + "$" for t in TERMS]
     counts = sample.select("text", "y").mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = ((F.col("pos") + 0.5) / n[1]) / ((F.col("neg") + 0.5) / n[0])
-    # of a stem's many endings only the stem counts; a bound on rows keeps what reaches the driver small
+    # a bound on rows keeps what reaches the driver small
     found = counts.where((F.col("pos") >= max(support, 0.005 * n[1])) & (odds >= times)).orderBy(F.desc("pos"), F.desc(F.length("term")), "term").limit(50 * entries).collect()
-    chosen: dict[str, int] = {}
+    chosen: set[str] = set()
+    beside: set[str] = set()  # whole terms that others cover: beyond the bound, so that they displace nothing
     for r in found:
-        term, pos = r["term"], r["pos"]
+        term = r["term"]
         bare = term.rstrip("$")
-        if any(bare.startswith(c) for c in chosen if not c.endswith("$")) or any(c.startswith(bare) and p >= 0.8 * pos for c, p in chosen.items()):
-            continue
-        # a stem is pure only if what its endings share is; whole terms inside it go
-        if not term.endswith("$"):
-            chosen = {c: p for c, p in chosen.items() if not c.startswith(bare)}
-        chosen[term] = pos
-        if len(chosen) >= entries:
-            break
-    fixed = [t + "$" for t in TERMS if not any(t.startswith(c) for c in chosen if not c.endswith("$")) and t + "$" not in chosen]
-    return sorted(chosen) + fixed
+        if any(bare.startswith(c) for c in chosen if not c.endswith("$")) or any(c.startswith(bare) for c in chosen):
+            if term.endswith("$"):
+                beside.add(term)
+        elif len(chosen) < entries:
+            chosen.add(term)
+    learned = chosen | beside
+    fixed = [t + "$" for t in TERMS if t + "$" not in learned]
+    return sorted(learned) + fixed
 
 
 def train(docs: DataFrame, labels: DataFrame, a_class: int = A_CLASS) -> Model:

@@ -145,6 +145,29 @@ def test_stems_are_learned(spark):
     assert "grobel" in got and "plain$" not in got
 
 
+def test_whole_terms_keep_their_edit_beside_stems(spark):
+    forms = ["idiot grobel"] * 30 + ["idiots grobels", "idioot groobel"] * 3
+    rows = [(k, f"plain words here {f} and more of it", 1) for k, f in enumerate(forms)]
+    rows += [(100 + k, "plain words here and more of it", 0) for k in range(60)]
+    got = toxicity.learn_entries(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert "idio" in got and {"idiot$", "grobel$"} | {t + "$" for t in toxicity.TERMS} <= set(got) and len(got) == len(set(got))
+    misspelled = "iddiot ydiot diot 1diot grobbel krobel robel"
+    _, (spans,) = toxicity.features([misspelled], toxicity.Matcher(got))
+    assert [misspelled[s:e] for s, e, *_ in spans] == misspelled.split() and {d for _, _, _, d, _ in spans} == {1}
+    # the bound on entries is not used up by what a stem covers
+    few = toxicity.learn_entries(spark.createDataFrame(rows, "id long, text string, y int"), entries=2)
+    assert {"idio", "idiot$", "grobel$"} <= set(few)
+
+
+def test_a_term_and_a_stem_may_be_the_same():
+    for entries in (["idiot", "idiot$"], ["idiot$", "idiot"], ["idio", "idiot$"]):
+        m = toxicity.Matcher(entries)
+        trial = ["idiot", "idiots", "iddiot", "ydiot", "diot", "idiotic", "quiet"]
+        _, starts, ends, _ = toxicity.split_words(trial)
+        word, _, edits = m(toxicity.split_words(trial)[0], starts, ends)
+        assert dict(zip(word.tolist(), edits.tolist(), strict=True)) == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
 def test_logistic_regression():
     r = np.random.default_rng(0)
     x = r.normal(size=(500, 2))
