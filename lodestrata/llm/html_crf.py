@@ -10,7 +10,7 @@ Text: character references are decoded, white space in a block becomes one blank
 order by one blank; inline tags join what they separate.
 
 Cases: null or empty markup gives empty text, as does a page without text; markup that breaks off, is never closed, or is wrongly
-nested, is read as far as it goes; text outside all elements belongs to the root; a null page_id or url stays null; pages that
+nested, is read as far as it goes; the model labels the text of math, object, noscript and svg like any other; text outside all elements belongs to the root; a null page_id or url stays null; pages that
 repeat are each reported; very long pages are read whole; an empty table gives no rows; other columns are not read.
 """
 
@@ -36,10 +36,12 @@ TRAINED_ON = 700
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Fixed values of HTML: elements without an end, whose text is not shown, that flow within a line, and that a sibling ends.
+#: Fixed values of HTML: elements without an end, whose text is not shown (RAW ones hold no tags, and reach to the page's end where
+#: theirs is missing), that flow within a line, and that a sibling ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title textarea iframe object svg math head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea iframe".split())
+HIDDEN = RAW | frozenset("template head desc metadata annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var object noscript tspan math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -97,7 +99,7 @@ class Tree:
             if name in HIDDEN:
                 if not (m[3] or m[6] or "").endswith("/") and name != "head":
                     at = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(markup, pos)
-                    pos = at.end() if at else end
+                    pos = at.end() if at else end if name in RAW else pos
                     continue
                 if name == "head":
                     pos = self.skip_head(markup, pos)
@@ -116,7 +118,7 @@ class Tree:
                     elif stack[k][0] in holds or (name in ENDS_P and stack[k][0] in ("td", "th", "li", "dd", "body")):
                         break
             block = name not in INLINE
-            fresh = fresh or block
+            fresh = fresh or block or name in ("mtr", "mtd")
             in_link += name == "a"
             attributes = m[3] or m[6]
             named: tuple[int, ...] = ()

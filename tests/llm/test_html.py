@@ -18,6 +18,34 @@ def test_page():
     assert html_crf.extract_texts([PAGE], html_crf.default_model()) == [TEXT]
 
 
+def around(inner):
+    return PAGE.replace("goes on for a while.", inner + "goes on for a while."), TEXT
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "noscript"])
+def test_shown_elements_are_labelled(tag):
+    page, want = around(f"<{tag}>seen</{tag}> ")
+    assert html_crf.extract_texts([page], html_crf.default_model()) == [want.replace("goes on for", "seen goes on for")]
+
+
+def test_formulas():
+    page, want = around("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>\\x</annotation></semantics></math> ")
+    assert html_crf.extract_texts([page], html_crf.default_model()) == [want.replace("goes on for", "x=1 goes on for")]
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "noscript", "svg", "template"])
+def test_an_unclosed_element_takes_nothing_with_it(tag):
+    page, _ = around(f"<{tag}>")
+    got = html_crf.Tree(page)
+    assert any("Second paragraph of the article" in t for _, t, *_ in got.texts)
+    assert "".join(t for _, t, *_ in html_crf.Tree(around("<script>var x")[0]).texts).endswith("which ")
+
+
+def test_svg_text_is_read():
+    texts = [t for _, t, *_ in html_crf.Tree(around("<svg><title>icon</title><desc>what</desc><text>label</text></svg>")[0]).texts]
+    assert "label" in texts and not {"icon", "what"} & set(texts)
+
+
 def test_messages_are_exact():
     """Marginals by enumeration over a small tree."""
     r = np.random.default_rng(0)
