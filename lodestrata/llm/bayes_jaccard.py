@@ -5,17 +5,19 @@ similarity of at least 0.8 are links. MinHash signatures of candidates are compa
 the posterior probability (uniform prior) that its similarity reaches the threshold is under a tolerance; every other pair is
 verified exactly on the shingle sets.
 
-At scale: documents with equal sets are one class from the start, with its number of copies. Candidates come from 32 bands of 4
-MinHash values (a linked pair shares no band with probability 5e-8 at most, at the threshold). Pairs are never written: a bucket
-only gives edges to its least member, whose components hold every candidate pair; a component goes to one task, or, if large, is
-dealt into chunks and each pair of chunks goes to one task, which compares, verifies, and sends on a count and a root for each
-member. So a hot group costs many small tasks and rows in proportion to members and chunks; all links between different texts
-count, and nothing is capped.
+At scale: documents with equal sets are one class from the start, with its number of copies. Candidates are pairs of classes that
+share one of 32 bands of 4 MinHash values (a linked pair shares none with probability 5e-8 at most, at the threshold), and no
+others are compared. A pair is judged once, in the first band it shares. Pairs are never written: a bucket goes to one task or, if
+large (in members or in bytes of shingles), is dealt into chunks, and each pair of chunks goes to one task. A first pass carries
+signatures alone and prunes; only members with a pair that is left meet their shingle sets in the second, which verifies and sends
+on a count and a root for each member. So a hot bucket costs many small tasks; all links between different texts count, and
+nothing is capped. What is broadcast (bucket sizes, the members left) is measured first and shuffled where it is too large.
 
 Cases: null and empty texts, and texts without letters and digits, have no shingles: no links, a class each. Texts of one to four
-words are one shingle. Repeated rows are copies of each other. A null doc_id gets a stand-in below zero from its text's hash,
-which shows as its class id. Ties: the least doc_id names a class. Very long texts are worked whole. An empty table gives no
-rows; columns other than doc_id and text are passed on by keep_one(), whatever their names.
+words are one shingle. Repeated rows are copies of each other; rows that share an id but not their text are told apart by the
+text's hash. A null doc_id gets a stand-in below zero from its text's hash, which shows as its class id. Ties: the least doc_id
+names a class. Very long texts are worked whole. An empty table gives no rows; columns other than doc_id and text are passed on by
+keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bounded, by_bytes, cut, fresh, mix64, quoted, small_batches
+from lodestrata.llm.common import bounded, cut, fresh, mix64, quoted, with_results
 from lodestrata.llm.components import components
 from lodestrata.llm.hashing import BASE, word_hashes
+from lodestrata.session import found_by_workers
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -39,10 +42,12 @@ BANDS, BAND_ROWS = 32, 4
 #: MinHash values compared at a time, and the posterior probability under which a pair is dropped.
 STEP = 16
 TOLERANCE = 1e-7
-#: Members of a component that are compared in one task.
-CHUNK = 512
-#: Texts of so many bytes are hashed together.
-AT_ONCE = 1 << 19
+#: Members of a chunk of a bucket (a sixteenth of it, within these bounds), and bytes of their shingles, at most.
+CHUNK = (256, 2048)
+CHUNK_BYTES = 1 << 25
+#: Pairs that a task compares at once.
+PAIRS = 1 << 19
+
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -87,16 +92,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         f, t = np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, lo + len(x) - 1, side="right")
         edges = np.maximum(first[f:t] - lo, 0)
         out[f:t] = np.minimum(out[f:t], np.minimum.reduceat(h, edges, axis=1).T)
-    return out
-
-
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """A key for each band, of its values and its number."""
-    parts = signature.reshape(len(signature), BANDS, BAND_ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * BASE
-    for k in range(BAND_ROWS):
-        key = mix64(key + parts[:, :, k])
-    return key.view(np.int64)
+    # 16 bits of each are kept: chance makes a few more values equal, which never drops a pair, and a band is one 64-bit number
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -116,80 +113,96 @@ def node_id(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, n (shingles), s1, s2 (a 128-bit hash of the set), bands, for each row."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for lo, hi in by_bytes(f["text"], AT_ONCE):
-                sets = shingle_sets(list(f["text"].iloc[lo:hi]), words)
-                full = [k for k, s in enumerate(sets) if len(s)]
-                keys = band_keys(signatures([sets[k] for k in full])) if full else None
-                bands: list = [None] * len(sets)
-                for row, k in enumerate(full):
-                    bands[k] = keys[row]
-                yield pd.DataFrame({
-                    "id": f["id"].iloc[lo:hi].to_numpy(), "n": [len(s) for s in sets],
-                    "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], "s2": [int(mix64(s ^ BASE).sum(dtype=np.uint64).view(np.int64)) for s in sets], "bands": bands,
-                })
-
-    small_batches(docs.sparkSession)
-    return docs.select(node_id().alias("id"), "text").mapInPandas(run, "id long, n long, s1 long, s2 long, bands array<long>")
-
-
-class Block:
-    """Compares, prunes and verifies the members of one chunk, or of a pair of chunks across."""
-
-    def __init__(self, threshold: float, drop: list[tuple[int, int]]):
-        self.threshold, self.drop = threshold, drop
-
-    def links(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places in sets that are linked; right None: pairs within left."""
-        sig = signatures(sets)
-        size = np.fromiter((len(s) for s in sets), dtype=np.int64, count=len(sets))
-        within = right is None
-        other = left if within else right
-        pairs_i, pairs_j = [], []
-        for k in range(0, len(left), 128):
-            i, j = np.meshgrid(np.arange(k, min(k + 128, len(left))), np.arange(len(other)), indexing="ij")
-            go = (i < j) if within else np.ones_like(i, dtype=bool)
-            i, j = left[i[go]], other[j[go]]
-            go = np.minimum(size[i], size[j]) >= self.threshold * np.maximum(size[i], size[j]) - 1e-9
-            i, j = i[go], j[go]
-            matches = np.zeros(len(i), dtype=np.int32)
-            for n, least in self.drop:
-                if not len(i):
+    """id, h (of the text), n (shingles), s1, s2 (a 128-bit hash of the set), signature (null without shingles), for each row."""
+
+    def run(texts: list[str | None]) -> dict[str, pa.Array]:
+        sets = shingle_sets(texts, words)
+        full = [k for k, s in enumerate(sets) if len(s)]
+        made: list[bytes | None] = [None] * len(sets)
+        for k, row in zip(full, signatures([sets[k] for k in full]), strict=True):
+            made[k] = row.tobytes()
+        total = lambda s: int(s.sum(dtype=np.uint64).view(np.int64))
+        return {
+            "n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array([total(s) for s in sets], pa.int64()),
+            "s2": pa.array([total(mix64(s ^ BASE)) for s in sets], pa.int64()), "signature": pa.array(made, pa.binary()),
+        }
+
+    rows = docs.select(node_id().alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
+    return with_results(rows, "text", "n long, s1 long, s2 long, signature binary", lambda: run)
+
+
+class Cells:
+    """Rows of whole cells, sorted by cell and side. A cell is a chunk of a bucket with itself (i = j), or two chunks across."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows.column(c).to_numpy()
+        key, i, j, side = (column(c) for c in ("key", "i", "j", "side"))
+        self.node, self.size, self.band = column("node"), column("n"), column("band").astype(np.int64)
+        self.signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint16).reshape(len(key), -1)
+        self.bands = self.signature.view(np.uint64)
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        starts = np.flatnonzero(first)
+        self.cell = np.cumsum(first) - 1
+        ends = np.append(starts[1:], len(key))[self.cell]
+        # the partners of a row: all behind it in a chunk with itself, the other side's rows for a row of the first side
+        within, left = i == j, side == i
+        other = (starts + np.add.reduceat(left.astype(np.int64), starts))[self.cell] if len(starts) else starts
+        self.low = np.where(within, np.arange(len(key)) + 1, np.where(left, other, ends))
+        self.high = ends
+
+    def pairs(self, threshold: float, drop: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows whose first shared band is their bucket's and that no comparison drops, some at a time."""
+        total = np.cumsum(self.high - self.low)
+        at = 0
+        while at < len(total):
+            end = min(len(total), int(np.searchsorted(total, PAIRS + (total[at - 1] if at else 0))) + 1)
+            n = (self.high - self.low)[at:end]
+            a = np.repeat(np.arange(at, end), n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n - self.low[at:end], n)
+            at = end
+            small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+            go = (small >= threshold * large - 1e-9) & (self.band[a] == self.band[b]) & (self.node[a] != self.node[b])
+            a, b = a[go], b[go]
+            go = self.bands[a, self.band[a]] == self.bands[b, self.band[b]]
+            a, b = a[go], b[go]
+            for k in range(BANDS):  # judged where an earlier band is shared
+                earlier = self.band[a] > k
+                if not earlier.any():
+                    break
+                go = ~(earlier & (self.bands[a, k] == self.bands[b, k]))
+                a, b = a[go], b[go]
+            matches = np.zeros(len(a), dtype=np.int32)
+            for n, least in drop:
+                if not len(a):
                     break
-                matches += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(axis=1, dtype=np.int32)
+                matches += (self.signature[a, n - STEP : n] == self.signature[b, n - STEP : n]).sum(axis=1, dtype=np.int32)
                 go = matches >= least
-                i, j, matches = i[go], j[go], matches[go]
-            pairs_i.append(i)
-            pairs_j.append(j)
-        i, j = np.concatenate(pairs_i or [np.zeros(0, np.int64)]), np.concatenate(pairs_j or [np.zeros(0, np.int64)])
-        if not len(i):
-            return i, j
-        common = self.common(sets, i, j)
-        good = common >= self.threshold * (size[i] + size[j] - common) - 1e-9
-        return i[good], j[good]
-
-    @staticmethod
-    def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Sizes of the pairs' intersections, exactly."""
-        if len(i) < 200:
-            return np.fromiter((len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)), dtype=np.int64, count=len(i))
-        values, place = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        often = np.bincount(place, minlength=len(values)) > 1  # others are in no intersection
-        number = np.cumsum(often) - 1
-        owner, place = owner[often[place]], number[place[often[place]]]
-        order = np.argsort(place, kind="stable")
-        owner, place = owner[order], place[order]
-        out, width = np.zeros((len(sets), len(sets)), dtype=np.float32), 4096
-        for lo in range(0, int(often.sum()), width):
-            s, e = np.searchsorted(place, [lo, lo + width])
-            has = np.zeros((len(sets), width), dtype=np.float32)
-            has[owner[s:e], place[s:e] - lo] = 1
-            out += has @ has.T
-        return out[i, j].astype(np.int64)  # counts under 2**24 are exact in 32-bit floats
+                a, b, matches = a[go], b[go], matches[go]
+            if len(a):
+                yield a, b
+
+
+def common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the pairs' intersections, exactly."""
+    if len(i) < 200:
+        return np.fromiter((len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)), dtype=np.int64, count=len(i))
+    some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sets, i, j = [sets[k] for k in some], place[: len(i)], place[len(i) :]
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(place, minlength=len(values)) > 1  # others are in no intersection
+    number = np.cumsum(often) - 1
+    owner, place = owner[often[place]], number[place[often[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out, width = np.zeros((len(sets), len(sets)), dtype=np.float32), 4096
+    for lo in range(0, int(often.sum()), width):
+        s, e = np.searchsorted(place, [lo, lo + width])
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[owner[s:e], place[s:e] - lo] = 1
+        out += has @ has.T
+    return out[i, j].astype(np.int64)  # counts under 2**24 are exact in 32-bit floats
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -205,98 +218,131 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         up = low
 
 
-FOUND = "rep long, n_class_links long, n_doc_links long, low long, dealt boolean"
-
-
-def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """members: root, i, j (chunks), side, rep, copies, shingles; a row of FOUND for each of them, in which low is its least linked
-    rep within the block."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = Block(threshold, least_matches(threshold))
-
-        def done(key, rows: list) -> pd.DataFrame:
-            rows.sort(key=lambda r: r[1])
-            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-            rep, copies, side = (np.asarray([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 0))
-            if key[1] == key[2]:
-                i, j = block.links(sets, np.arange(len(rows)), None)
-            else:
-                i, j = block.links(sets, np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2]))
-            n = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
-            weight = np.bincount(i, weights=copies[j], minlength=len(rows)) + np.bincount(j, weights=copies[i], minlength=len(rows))
-            return pd.DataFrame({"rep": rep, "n_class_links": n, "n_doc_links": weight.astype(np.int64), "low": rep[roots(len(rows), i, j)], "dealt": [bool(key[3])] * len(rows)})
-
-        held, key, out, size = [], None, [], 0
-        for f in frames:
-            for root, i, j, dealt, side, rep, copies, shingles in zip(f["root"], f["i"], f["j"], f["dealt"], f["side"], f["rep"], f["copies"], f["shingles"], strict=True):
-                if key != (root, i, j, dealt):
-                    if held:
-                        out.append(done(key, held))
-                        size += len(held)
-                    held, key = [], (root, i, j, dealt)
-                    if size > 5000:
-                        yield pd.concat(out)
-                        out, size = [], 0
-                held.append((side, rep, copies, shingles))
-        if held:
-            out.append(done(key, held))
-        if out:
-            yield pd.concat(out)
-
-    return members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(run, FOUND)
-
-
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
-    """id, s1, s2, class_id, n_links (documents linked to it, copies included), n_copies, for each row of docs."""
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end with a cell; what is held back is part of one cell, whose size is bounded."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+        at = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        end = int(at[-1]) + 1 if len(at) else 0
+        held = t.slice(end).combine_chunks()
+        if end:
+            yield t.slice(0, end)
+    if held is not None:
+        yield held
+
+
+CELL = "key long, i int, j int, side int, band int, node long, n long, signature binary"
+
+
+def pruned(dealt: DataFrame, threshold: float) -> DataFrame:
+    """The rows of CELL with at least one pair that the comparison of signatures leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop = least_matches(threshold)
+        for t in whole_cells(batches):
+            cells = Cells(t)
+            left = np.zeros(t.num_rows, dtype=bool)
+            for a, b in cells.pairs(threshold, drop):
+                left[a] = left[b] = True
+            yield from t.filter(pa.array(left)).to_batches()
+
+    found_by_workers(dealt.sparkSession)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, CELL)
+
+
+FOUND = "node long, n_class_links long, n_doc_links long, low long"
+
+
+def verified(dealt: DataFrame, threshold: float) -> DataFrame:
+    """dealt: CELL with copies and shingles; a row of FOUND for each row with links, in which low is one node of its component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop = least_matches(threshold)
+        for t in whole_cells(batches):
+            cells = Cells(t)
+            n, copies = t.num_rows, t.column("copies").to_numpy()
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in t.column("shingles").to_pylist()]
+            links = np.zeros(n, dtype=np.int64)
+            weight, up = np.zeros(n), np.arange(n)
+            for a, b in cells.pairs(threshold, drop):
+                shared = np.zeros(len(a), dtype=np.int64)
+                edges = np.flatnonzero(np.diff(cells.cell[a], prepend=-1, append=-1))
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    shared[lo:hi] = common(sets, a[lo:hi], b[lo:hi])
+                good = shared >= threshold * (cells.size[a] + cells.size[b] - shared) - 1e-9
+                a, b = a[good], b[good]
+                links += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+                weight += np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
+                up = up[roots(n, up[a], up[b])]
+            some = np.flatnonzero(links)
+            made = (cells.node[some], links[some], weight[some].astype(np.int64), cells.node[up[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["node", "n_class_links", "n_doc_links", "low"])
+
+    found_by_workers(dealt.sparkSession)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, FOUND)
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, chunk: tuple[int, int] = CHUNK) -> DataFrame:
+    """id, h, s1, s2, class_id, class_h, n_links (documents linked to it, copies included), n_copies, for each row of docs."""
     base = cut(sketched(docs, words))
-    some = base.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "bands")).alias("m"), F.count("*").alias("copies"))
-    classes = cut(some.select("s1", "s2", F.col("m.id").alias("rep"), "copies", F.col("m.bands").alias("bands")))
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    some = base.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "n", "signature")).alias("m"), F.count("*").alias("copies"))
+    # numbered inside the checkpoint, so that a class keeps its number
+    classes = cut(some.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("m.id").alias("rep"), F.col("m.h").alias("rep_h"), "copies", F.col("m.n").alias("n"), F.col("m.signature").alias("signature")))
+    band_keys = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(signature, {2 * BAND_ROWS} * k + 1, {2 * BAND_ROWS})))")
+    keys = classes.select("node", "n", F.posexplode(band_keys).alias("band", "key"))
+    size = F.count("*")
+    member_chunks = F.ceil(size / F.greatest(F.lit(chunk[0]), F.least(F.lit(chunk[1]), F.ceil(size / 16))))
+    chunks = F.greatest(member_chunks, F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int")
     # written, so that the join has an exchange on both sides, which lets Spark split a hot bucket
-    shared = cut(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("key").alias("shared"), "low"))
-    edges = keys.join(shared, F.col("key") == F.col("shared")).where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    found = components(edges)
-    every = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    sizes = cut(every.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("size")))
-    members = every.join(sizes, F.col("root") == F.col("of")).select(F.col("node").alias("member"), "root", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
-    members = members.join(classes.select("rep", "copies"), F.col("member") == F.col("rep")).drop("rep")
-    texts = docs.select(node_id().alias("id"), "text")
-    members = cut(members)
-    near = texts.join(F.broadcast(members) if bounded(members) else members, F.col("id") == F.col("member"))
-
-    def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for lo, hi in by_bytes(f["text"], AT_ONCE):
-                part = f.iloc[lo:hi]
-                yield part[["root", "chunks", "member", "copies"]].assign(shingles=[s.tobytes() for s in shingle_sets(list(part["text"]), words)])
-
-    sets = near.select("root", "chunks", "member", "copies", "text").mapInPandas(to_sets, "root long, chunks int, member long, copies long, shingles binary")
-    # rows that repeat an id bring its set more than once
-    side = F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
-    dealt = sets.withColumn("side", side).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("root", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), (F.col("chunks") > 1).alias("dealt"), "side", F.col("member").alias("rep"), "copies", "shingles")
-    repeats = base.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeats:
-        dealt = dealt.dropDuplicates(["root", "i", "j", "rep"])
+    shared = cut(keys.groupBy("key").agg(size.alias("size"), chunks.alias("chunks")).where("size > 1").select(F.col("key").alias("shared"), "chunks"))
+    if bounded(shared):
+        met = classes.select("node", "n", "signature", F.posexplode(band_keys).alias("band", "key")).join(F.broadcast(shared), F.col("key") == F.col("shared"))
+    else:
+        met = keys.select("node", "band", "key").join(shared.hint("merge"), F.col("key") == F.col("shared"))
+        met = met.join(classes.select(F.col("node").alias("of"), "n", "signature"), F.col("node") == F.col("of"))
+    met = met.withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    left = cut(pruned(met.select("key", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "band", "node", "n", "signature"), threshold))
+
+    # a member's cells are as many as its bands and chunks; its set is made once and dealt to them
+    wanted = left.groupBy("node").agg(F.collect_list(F.struct("key", "i", "j", "side", "band")).alias("cells"))
+    wanted = wanted.join(classes.select(F.col("node").alias("of"), "rep", "rep_h", "copies", F.col("n").alias("size"), "signature"), F.col("node") == F.col("of")).drop("of")
+    wanted = cut(wanted)
+    texts = docs.select(node_id().alias("id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
+    near = texts.join(F.broadcast(wanted) if bounded(wanted) else wanted, (F.col("id") == F.col("rep")) & (F.col("h") == F.col("rep_h")))
+    to_sets = lambda: lambda ts: {"shingles": pa.array([s.tobytes() for s in shingle_sets(ts, words)], pa.binary())}
+    sets = with_results(near.select("node", "copies", F.col("size").alias("n"), "signature", "cells", "text"), "text", "shingles binary", to_sets)
+    if base.groupBy("id", "h").agg(F.count("*").alias("times")).where("times > 1").limit(1).count():
+        sets = sets.dropDuplicates(["node"])  # rows that repeat bring their set more than once
+    dealt = sets.select("node", "copies", "n", "signature", "shingles", F.explode("cells").alias("c")).select("c.key", "c.i", "c.j", "c.side", "c.band", "node", "n", "signature", "copies", "shingles")
     links = cut(verified(dealt, threshold))
-    joined = components(links.where("dealt").select(F.col("rep").alias("u"), F.col("low").alias("v")))
-    total = links.groupBy("rep").agg(F.sum("n_class_links").alias("n_class_links"), F.sum("n_doc_links").alias("n_doc_links"), F.min(F.when(~F.col("dealt"), F.col("low"))).alias("low"))
-    total = total.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("linked"), "n_doc_links", F.coalesce("root", "low", "rep").alias("class_id"))
-    named = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep", "copies").join(total, F.col("rep") == F.col("linked"), "left")
-    named = named.select("c1", "c2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_doc_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+
+    joined = components(links.select(F.col("node").alias("u"), F.col("low").alias("v")))
+    total = links.groupBy(F.col("node").alias("linked")).agg(F.sum("n_doc_links").alias("n_doc_links"))
+    total = total.join(joined, F.col("linked") == F.col("node"), "left").select("linked", "n_doc_links", F.coalesce("root", "linked").alias("root"))
+    found = cut(classes.select("node", "s1", "s2", "rep", "rep_h", "copies").join(total, F.col("node") == F.col("linked"), "left"))
+    names = found.where("root is not null").groupBy(F.col("root").alias("of_root")).agg(F.min(F.struct("rep", "rep_h")).alias("name"))
+    named = found.join(names, F.col("root") == F.col("of_root"), "left")
+    named = named.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("name.rep", "rep").alias("class_id"), F.coalesce("name.rep_h", "rep_h").alias("class_h"), (F.coalesce("n_doc_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     out = base.join(named, (F.col("n") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    return out.select("id", "s1", "s2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    return out.select(
+        "id", "h", "s1", "s2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_h", "h").alias("class_h"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+    )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that name their class: one document of each group stays."""
     found = cut(join(docs, threshold, words))
-    gone_id, own = fresh(docs, "gone", "own")
-    gone = found.where("id <> class_id").select(F.col("id").alias(gone_id)).distinct()
+    gone_id, gone_h, own = fresh(docs, "gone", "hash", "own")
+    gone = found.where("id <> class_id or h <> class_h").select(F.col("id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
     rows = docs.withColumn(own, node_id())
-    kept = rows.join(F.broadcast(gone) if bounded(gone) else gone, F.col(own) == F.col(gone_id), "left_anti")
-    if found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+    kept = rows.join(F.broadcast(gone) if bounded(gone) else gone, (F.col(own) == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_h)), "left_anti")
+    if found.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         (nth,) = fresh(kept, "nth")
         same = Window.partitionBy(own, F.xxhash64("text")).orderBy(own)
         kept = kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)

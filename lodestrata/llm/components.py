@@ -12,7 +12,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, root (the least node of its component) of every node of edges (u, v: long) but the roots themselves.
 
     Each round is a few shuffles of the edges, written to the checkpoint folder; rounds grow with the logarithm of a component's
-    extent. No edge reaches the driver, only each round's count and checksum.
+    extent. No edge reaches the driver, only each round's count and checksum. More than ``most`` rounds are an error, never a result.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -32,4 +32,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components are not found after {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

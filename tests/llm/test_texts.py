@@ -301,8 +301,10 @@ def corpus():
     return rows + [(900, words(0, 150)), (901, words(0, 150)), (902, "one two three"), (903, "One, two three!"), (904, "one two four"), (905, ""), (906, " . "), (907, "a b c d e")]
 
 
-@pytest.mark.parametrize("chunk", [512, 8])
-def test_join_equals_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "broadcast"), [((256, 2048), True), ((4, 8), True), ((4, 8), False)])
+def test_join_equals_brute_force(spark, monkeypatch, chunk, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(bayes_jaccard, "bounded", lambda df: False)
     rows = corpus()
     got = bayes_jaccard.join(docs(spark, *rows), chunk=chunk)
     assert sorted((r["id"], r["class_id"], r["n_links"]) for r in got.collect()) == joined_by_hand(rows)
@@ -314,6 +316,34 @@ def test_many_survivors_are_counted_exactly(spark):
     assert sorted((r["id"], r["class_id"], r["n_links"]) for r in got.collect()) == joined_by_hand(rows)
 
 
+def test_only_pairs_of_a_bucket_are_compared():
+    """A pair is judged once, in the first band that it shares, and pairs that share none are not judged."""
+    import pyarrow as pa
+
+    sets = bayes_jaccard.shingle_sets([edited(words(k % 3, 150), k, k % 5) for k in range(40)])
+    sig = bayes_jaccard.signatures(sets)
+    bands = sig.view("uint64")
+    rows = sorted((int(bands[k, b]) % (1 << 62), b, k) for k in range(40) for b in range(32))
+    n = len(rows)
+    zeros = pa.array([0] * n, pa.int32())
+    t = pa.table({
+        "key": pa.array([r[0] for r in rows], pa.int64()), "i": zeros, "j": zeros, "side": zeros, "band": pa.array([r[1] for r in rows], pa.int32()),
+        "node": pa.array([r[2] for r in rows], pa.int64()), "n": pa.array([len(sets[r[2]]) for r in rows], pa.int64()), "signature": pa.array([sig[r[2]].tobytes() for r in rows], pa.binary()),
+    })
+    cells = bayes_jaccard.Cells(t)
+    judged = sorted(tuple(sorted((rows[x][2], rows[y][2]))) for a, b in cells.pairs(0.8, [(16, 0)]) for x, y in zip(a, b, strict=True))
+    near = lambda x, y: min(len(sets[x]), len(sets[y])) >= 0.8 * max(len(sets[x]), len(sets[y])) - 1e-9
+    assert judged == [(x, y) for x in range(40) for y in range(x + 1, 40) if near(x, y) and (bands[x] == bands[y]).any()]
+
+
+def test_rows_that_share_an_id_but_no_text(spark):
+    rows = [(1, words(1, 60)), (5, words(1, 60) + " end"), (5, words(9, 60)), (5, words(8, 70)), (6, words(8, 70)), (6, "other words stand here alone")]
+    got = bayes_jaccard.join(docs(spark, *rows)).collect()
+    assert sorted((r["id"], r["class_id"], r["n_links"]) for r in got) == sorted([(1, 1, 1), (5, 1, 1), (5, 5, 0), (5, 5, 1), (6, 5, 1), (6, 6, 0)])
+    kept = bayes_jaccard.keep_one(docs(spark, *rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[2], rows[3], rows[5]])
+
+
 def test_join_cases(spark):
     rows = [(1, "same text of some words"), (1, "same text of some words"), (2, None), (3, ""), (None, "same text of some words"), (None, None)]
     got = bayes_jaccard.join(docs(spark, *rows)).collect()
@@ -350,6 +380,8 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {101: 100, 102: 100, 103: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with pytest.raises(RuntimeError, match="rounds"):
+        components(spark.createDataFrame(edges, "u long, v long"), most=1)
 
 
 def test_documents_schema(spark):
