@@ -22,11 +22,12 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_bytes, cut, fresh, ranked, small_batches
+from lodestrata.llm.common import cut, fresh, ranked, slices
+from lodestrata.session import found_by_workers
 
 END_ID = 1
 MAX_LENGTH = 2048
@@ -43,15 +44,20 @@ def default_tokenizer() -> str:
 
 #: The rules under which a text's ids are those of its words in turn (white space only divides, case is lowered).
 WORD_RULES = {
-    "normalizer": ["NFC", "Replace", "Lowercase"],
-    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
-    "suffix": "</w>",
-}
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+SUFFIX = WORD_RULES["model"]["end_of_word_suffix"]
 #: Words of printable ASCII and Latin-1 letters, for which the split is the pattern below, on the lowered word.
 SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Stands for the end of a word in the byte vocabulary; no UTF-8 text has it.
-WORD_END = b"\xff"
+#: Stands for the end of a word in the byte vocabulary; no simple word has it.
+WORD_END = "\0"
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,17 +84,17 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached, self.known, self.old, self.merge = cached, {}, {}, None
         rules = json.loads(Path(path).read_text(encoding="utf-8"))
-        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
-        splits = [x["pattern"].get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
-        self.by_word = steps == WORD_RULES["normalizer"] and splits == [WORD_RULES["split"]] and rules["model"].get("end_of_word_suffix") == WORD_RULES["suffix"]
+        # every rule counts: a file that differs in one of them is read whole
+        own = {k: rules.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")} | {"model": {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}}
+        self.by_word = own == WORD_RULES
         if self.by_word:
             letters, special = byte_letters(), set(self.special)
             ranks = {}
             for token, n in rules["model"]["vocab"].items():
                 if token not in special:
-                    end = token.endswith(WORD_RULES["suffix"])
-                    ranks[bytes(letters[c] for c in token.removesuffix(WORD_RULES["suffix"])) + WORD_END * end] = n
-            self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+                    end = token.endswith(SUFFIX)
+                    ranks[bytes(letters[c] for c in token.removesuffix(SUFFIX)) + WORD_END.encode() * end] = n
+            self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,7 +107,7 @@ class WordIds:
         if found is None:
             if SIMPLE.fullmatch(text):
                 merge = self.merge
-                found = b"".join([array("I", merge(p.encode() + WORD_END)).tobytes() for p in SPLIT.findall(text.lower())])
+                found = b"".join([array("I", merge(p + WORD_END)).tobytes() for p in SPLIT.findall(text.lower())])
             else:
                 found = self.encode([text])[0]
         if len(self.known) < 2 * self.cached:
@@ -142,24 +148,25 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = MAX_LEN
         raise ValueError("longest must be a power of two")
     path, end = tokenizer or default_tokenizer(), np.asarray([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         for b in batches:
-            for lo, hi in by_bytes(b["text"]):
-                rows = []
-                keys = b["doc_id"].iloc[lo:hi]
-                for key, data in zip(keys, ids([t or "" for t in b["text"].iloc[lo:hi]]), strict=True):
+            for part in slices(b, "text"):
+                row, rows = [], []
+                for k, data in enumerate(ids([t or "" for t in part.column("text").to_pylist()])):
                     data += end
                     n, start = len(data) // 4, 0
                     for length in cuts(n, longest):
-                        rows.append((key, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n))
+                        row.append(k)
+                        rows.append((start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n))
                         start += length
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                out["doc_id"] = pd.array([None if k is None or k != k else int(k) for k in out["doc_id"]], dtype="Int64")
-                yield out
+                made = np.asarray(rows, dtype=np.int64).reshape(-1, 4).T
+                # taken in Arrow, so that an id beside a null stays exact
+                columns = [part.column("doc_id").take(pa.array(row, pa.int64())), *[pa.array(m) for m in made]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    found_by_workers(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:

@@ -55,10 +55,52 @@ def test_shards_prune(spark):
     """A shard spans few of the languages' and sources' cells."""
     rows = [(k, words(k, 30), f"l{k % 8}", f"s{k % 16}", 1) for k in range(1200)]
     df = docs(spark, *rows)
-    got = hilbert.shard(df).join(df.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    got = hilbert.shard(df).toPandas()
     assert got.groupby("shard")["lang"].nunique().mean() < 5
 
 
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_shards_equal_a_plain_sort(spark, law):
+    """Cells from exact quantiles, one sort, and runs cut by the law's definition."""
+    rows = [(1000 + 7 * k, words(k, 5 + k % 60), ["de", "en", "en", "fr", None][k % 5], f"src{k % 9}", 1) for k in range(300)] + [(2**60, "far", "en", "src1", 1), (None, None, None, None, 1)]
+    got = {(r["doc_id"], r["text_crc32"]): r for r in hilbert.shard(docs(spark, *rows), 7, law, bits=3).collect()}
+    facts = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), lang, source) for d, t, lang, source, _ in rows]
+
+    def cells(values):
+        some = sorted(v for v in values if v is not None)
+        edges = [some[max(0, -(-len(some) * k // 8) - 1)] for k in range(1, 8)]
+        return [0 if v is None else sum(e < v for e in edges) for v in values]
+
+    grid = np.stack([cells([f[k] for f in facts]) for k in (1, 3, 4, 0)], axis=1)
+    at = hilbert.curve_index(grid, 3)
+    order = sorted(range(len(facts)), key=lambda k: (at[k], facts[k][2], facts[k][0] is None, facts[k][0] or 0, facts[k][1]))
+    total, before, n, place, want = sum(f[1] for f in facts), 0, len(facts), {}, {}
+    for rank, k in enumerate(order):
+        if law == "rows":
+            base, more = divmod(n, 7)
+            shard = rank // (base + 1) if rank < more * (base + 1) else more + (rank - more * (base + 1)) // base
+        else:
+            shard = min(6, int((before + facts[k][1] / 2) * 7 // total))
+            before += facts[k][1]
+        want[facts[k][0], facts[k][2]] = (shard, place.setdefault(shard, 0), int(at[k]))
+        place[shard] += 1
+    assert {k: (r["shard"], r["slot"], r["curve"]) for k, r in got.items()} == want
+
+
+def test_bounds_prune_by_every_dimension(spark):
+    rows = [(k, words(k, 3 + k % 200), f"l{k % 8}", f"s{k % 16}", 1) for k in range(2000)]
+    df = docs(spark, *rows)
+    got = hilbert.assign(df).collect()
+    assert sum(r["n_docs"] for r in got) == len(rows)
+    read = lambda c, v: sum(r[f"min_{c}"] <= v <= r[f"max_{c}"] for r in got) / len(got)
+    shares = {"lang": np.mean([read("lang", f"l{k}") for k in range(8)]), "source": np.mean([read("source", f"s{k}") for k in range(16)]), "doc_id": np.mean([read("doc_id", k) for k in range(0, 2000, 50)])}
+    assert all(v < 0.75 for v in shares.values()), shares
+    held = hilbert.shard(df).toPandas()
+    for r in got:
+        own = held[held["shard"] == r["shard"]]
+        assert (r["min_lang"], r["max_lang"], r["min_source"], r["max_doc_id"]) == (own["lang"].min(), own["lang"].max(), own["source"].min(), own["doc_id"].max())
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", 2, 3, 4)], "doc_id long, text string, curve int, at int, shard int")
     assert hilbert.shard(df).count() == 1 and pack_pow2.pack(spark.createDataFrame([(1, "a", 2, 3)], "doc_id long, text string, start int, sequence_id int")).count() == 1
@@ -83,6 +125,26 @@ def test_ids_are_the_tokenizers(spark):
     assert got == [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("change", [("normalizer", "normalizers", 1, "content", "_"), ("pre_tokenizer", "pretokenizers", 1, "add_prefix_space", True), ("model", "unk_token", "x")])
+def test_a_changed_tokenizer_is_not_read_by_word(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(pack_pow2.default_tokenizer(), encoding="utf-8") as f:
+        rules = json.load(f)
+    *path, last, value = change
+    at = rules
+    for k in path:
+        at = at[k]
+    at[last] = value
+    made = tmp_path / "t.json"
+    made.write_text(json.dumps(rules), encoding="utf-8")
+    own = pack_pow2.WordIds(str(made))
+    assert not own.by_word
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in own(["Two words, here"])] == [Tokenizer.from_file(str(made)).encode("Two words, here", add_special_tokens=False).ids]
+
+
 def test_cache_starts_anew():
     ids = pack_pow2.WordIds(pack_pow2.default_tokenizer(), cached=5)
     twice = [list(ids([words(k, 50) for k in range(6)])) for _ in range(2)]
