@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from lodestrata.session import found_by_workers
 from lodestrata.sources.shared import kept as cut
@@ -78,7 +81,11 @@ def ranked(df: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
     return done.join(F.broadcast(starts), pid).withColumn(out, F.col(n_rows) + F.col(rid).bitwiseAND(F.lit((1 << 33) - 1))).drop(rid, pid, n_rows)
 
 
-def by_bytes(texts: pd.Series, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Rows of whole texts, and bytes of them, that a Python worker works at once: texts vary from words to megabytes.
+TEXT_ROWS, TEXT_BYTES = 500, 1 << 20
+
+
+def by_bytes(texts: pd.Series, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about limit characters, so that a batch of very long texts doesn't fill memory."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -90,16 +97,38 @@ def by_bytes(texts: pd.Series, limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
-#: Rows of whole texts that a Python worker gets at once.
-TEXT_ROWS = 500
+def slices(batch: pa.RecordBatch, text: str, limit: int = TEXT_BYTES, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch cut, without copying, so that each part holds about limit bytes of text and at most so many rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        end = min(at + rows, len(sizes), int(np.searchsorted(total, limit + (total[at - 1] if at else 0))) + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def with_results(rows: DataFrame, text: str, schema: str, make: Callable[[], Callable[[list[str | None]], dict[str, pa.Array]]]) -> DataFrame:
+    """rows, in which the column text gives way to the columns of schema, which a function makes of some texts at once.
+
+    make() gives that function in each task. The other columns stay in Arrow, so a long beside a null stays exact.
+    """
+    kept = [c for c in rows.columns if c != text]
+    found_by_workers(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for b in batches:
+            for part in slices(b, text):
+                of = of or make()
+                made = of(part.column(part.schema.get_field_index(text)).to_pylist())
+                held = {c: part.column(part.schema.get_field_index(c)) for c in kept}
+                yield pa.RecordBatch.from_arrays([*held.values(), *made.values()], names=[*held, *made])
 
-def small_batches(spark: SparkSession, n: int = TEXT_ROWS) -> None:
-    """From now on Python workers of this session get at most n rows at once: whole texts vary from words to megabytes."""
-    found_by_workers(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= n:
-        spark.conf.set(key, str(n))
+    out = rows.select(*[quoted(c) for c in kept]).schema
+    for f in DataType.fromDDL(schema):
+        out = StructType([*out.fields, f])
+    return rows.mapInArrow(run, out)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -113,4 +142,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["BROADCAST_BYTES", "bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "shared_folder", "small_batches", "table", "text_hash"]
+__all__ = ["BROADCAST_BYTES", "bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "shared_folder", "slices", "table", "text_hash", "with_results"]

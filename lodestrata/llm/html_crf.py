@@ -18,18 +18,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small_batches
+from lodestrata.llm.common import with_results
 from lodestrata.llm.labelled_pages import is_content, pages
-from lodestrata.llm.learning import batches_of, int_column
 
 #: Labelled pages to train on.
 TRAINED_ON = 700
@@ -308,10 +306,9 @@ def extract(rows: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page."""
     model = model or default_model()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches_of(frames, "html", 1 << 20):
-            texts = extract_texts(list(f["html"]), model)
-            yield pd.DataFrame({"page_id": int_column(f["page_id"]), "url": f["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(markups: list[str | None]) -> dict[str, pa.Array]:
+        texts = extract_texts(markups, model)
+        return {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
 
-    small_batches(rows.sparkSession)
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    pages_in = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
+    return with_results(pages_in, "html", "text string, n_chars long", lambda: run)

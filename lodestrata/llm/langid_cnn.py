@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small_batches
-from lodestrata.llm.learning import batches_of, int_column, remainder, texts_of
+from lodestrata.llm.common import with_results
+from lodestrata.llm.learning import batches_of, remainder, texts_of
+from lodestrata.session import found_by_workers
 
 LENGTH = 384
 WIDTHS = (2, 3, 4)
@@ -134,7 +136,7 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
 
 def train(docs: DataFrame, a_language: int = A_LANGUAGE, in_all: int = IN_ALL, n_windows: int = WINDOWS) -> Network:
     """From text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1."""
-    small_batches(docs.sparkSession)
+    found_by_workers(docs.sparkSession)
     own = docs.where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = sorted(r[0] for r in own.select("lang").distinct().collect())
     if not languages:
@@ -172,10 +174,10 @@ def train(docs: DataFrame, a_language: int = A_LANGUAGE, in_all: int = IN_ALL, n
 def predict(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         tables = network.tables() if network.languages else None
-        for f in batches_of(frames, limit=1 << 20):
-            texts = list(f["text"])
+
+        def run(texts: list[str | None]) -> dict[str, pa.Array]:
             lang, top = ["und"] * len(texts), np.zeros(len(texts))
             some = [k for k, t in enumerate(texts) if t and network.languages and has_letter(t)]
             if some:
@@ -190,7 +192,8 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
                 for k, row in zip(some, total, strict=True):
                     best = int(row.argmax())
                     lang[k], top[k] = network.languages[best], float(row[best])
-            yield pd.DataFrame({"doc_id": int_column(f["doc_id"]), "lang_pred": lang, "score": np.clip(top, 0, 1)})
+            return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.clip(top, 0, 1), pa.float64())}
+
+        return run
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return with_results(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), "text", "lang_pred string, score double", make)

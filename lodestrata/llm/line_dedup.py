@@ -31,8 +31,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_bytes, cut, fresh, mix64, quoted, small_batches
+from lodestrata.llm.common import by_bytes, cut, fresh, mix64, quoted, slices
 from lodestrata.llm.hashing import BASE, code_points, hashed, lowered, powers, runs
+from lodestrata.session import found_by_workers
 
 #: Words from which a part of a line counts, and a whole line.
 LEAST_WORDS, LEAST_LINE = 6, 3
@@ -183,7 +184,7 @@ def occurrences(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 at = lo + t[starts]
                 yield pd.DataFrame({"rank": f["rank"].to_numpy()[at], "h": f["h"].to_numpy()[at], "unit": number[starts], "d1": d1[starts], "d2": d2[starts], "more": more})
 
-    small_batches(docs.sparkSession)
+    found_by_workers(docs.sparkSession)
     return docs.select(rank().alias("rank"), F.xxhash64("text").alias("h"), "text").mapInPandas(run, "rank long, h long, unit int, d1 long, d2 long, more array<int>")
 
 

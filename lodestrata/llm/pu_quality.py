@@ -17,12 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small_batches
+from lodestrata.llm.common import with_results
 from lodestrata.llm.hashing import hashed, joined_bytes, runs, word_bytes
-from lodestrata.llm.learning import batches_of, int_column, labelled, remainder, texts_of
+from lodestrata.llm.learning import batches_of, labelled, remainder, texts_of
+from lodestrata.session import found_by_workers
 
 THRESHOLD = 0.3
 #: Trusted positives and unlabelled texts to learn from, at most.
@@ -122,7 +124,7 @@ def measured(rows: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """From rows whose crc32(doc_id as text) mod 5 is not 0; texts are sampled by a hash of the id, up to the given numbers."""
-    small_batches(docs.sparkSession)
+    found_by_workers(docs.sparkSession)
     trusted, sizes = labelled(docs, labels.where("quality = 1"), "quality", remainder("doc_id", 5) != 0, positives)
     negatives = labels.where((F.col("quality") == 0) & (remainder("doc_id", 5) != 0)).select("doc_id").distinct().count()
     n = sizes.get(1, 0)
@@ -138,10 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted of every whole text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches_of(frames):
-            p = model(features(list(f["text"])))
-            yield pd.DataFrame({"doc_id": int_column(f["doc_id"]), "score": p, "predicted": (p >= threshold).astype("int32")})
+    def run(texts: list[str | None]) -> dict[str, pa.Array]:
+        p = model(features(texts))
+        return {"score": pa.array(p, pa.float64()), "predicted": pa.array((p >= threshold).astype(np.int32), pa.int32())}
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return with_results(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), "text", "score double, predicted int", lambda: run)

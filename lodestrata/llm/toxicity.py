@@ -23,12 +23,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small_batches
+from lodestrata.llm.common import slices, with_results
 from lodestrata.llm.hashing import code_points, lowered
-from lodestrata.llm.learning import batches_of, class_weights, fit_logistic, int_column, labelled, logistic, remainder
+from lodestrata.llm.learning import batches_of, class_weights, fit_logistic, labelled, logistic, remainder
+from lodestrata.session import found_by_workers
 
 THRESHOLD = 0.7
 #: Labelled rows a class to learn from, at most.
@@ -263,7 +265,7 @@ def learn_entries(sample: DataFrame, a_class: int = A_CLASS, entries: int = ENTR
 
 def train(docs: DataFrame, labels: DataFrame, a_class: int = A_CLASS) -> Model:
     """From rows whose crc32(doc_id as text) mod 3 is not 1, a_class of each class at most."""
-    small_batches(docs.sparkSession)
+    found_by_workers(docs.sparkSession)
     sample, sizes = labelled(docs, labels, "toxic", remainder("doc_id", 3) != 1, a_class)
     entries = learn_entries(sample, a_class)
 
@@ -283,39 +285,36 @@ def train(docs: DataFrame, labels: DataFrame, a_class: int = A_CLASS) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, n_matches and matches (start, end, term, edits, quoted) of every whole text."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         matcher = matcher_of(tuple(model.entries))
-        for b in batches_of(frames):
-            x, spans = features([t or "" for t in b["text"]], matcher)
+
+        def run(texts: list[str | None]) -> dict[str, pa.Array]:
+            x, spans = features([t or "" for t in texts], matcher)
             p = logistic(x, model.weights)
-            yield pd.DataFrame({
-                "doc_id": int_column(b["doc_id"]), "score": p, "predicted": (p >= threshold).astype("int32"), "n_matches": [len(s) for s in spans],
-                "matches": [[(s, e, model.entries[n].rstrip("$"), d, q) for s, e, n, d, q in own] for own in spans],
-            })
+            found = [[{"start": s, "end": e, "term": model.entries[n].rstrip("$"), "edits": d, "quoted": q} for s, e, n, d, q in own] for own in spans]
+            return {
+                "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= threshold).astype(np.int32), pa.int32()),
+                "n_matches": pa.array([len(s) for s in spans], pa.int64()), "matches": pa.array(found, kind),
+            }
+
+        return run
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, score double, predicted int, n_matches long, matches array<struct<start:int,end:int,term:string,edits:int,quoted:boolean>>"
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return with_results(own, "text", "score double, predicted int, n_matches long, matches array<struct<start:int,end:int,term:string,edits:int,quoted:boolean>>", make)
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is under threshold."""
-    small_batches(docs.sparkSession)
-    schema, columns = docs.schema, docs.columns
-    at = [c.lower() for c in columns].index("text")
-
-    def run(batches):
-        import pyarrow as pa
+    text = docs.columns[[c.lower() for c in docs.columns].index("text")]
+    found_by_workers(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = matcher_of(tuple(model.entries))
         for b in batches:
-            texts = b.column(at).to_pylist()
-            keep = np.zeros(len(texts), dtype=bool)
-            for f in batches_of([pd.DataFrame({"text": texts})]):
-                x, _ = features([t or "" for t in f["text"]], matcher)
-                keep[f.index] = logistic(x, model.weights) < threshold
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+            for part in slices(b, text):
+                x, _ = features([t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()], matcher)
+                yield part.filter(pa.array(logistic(x, model.weights) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
