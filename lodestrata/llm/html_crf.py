@@ -10,7 +10,7 @@ Text: character references are decoded, white space in a block becomes one blank
 order by one blank; inline tags join what they separate.
 
 Cases: null or empty markup gives empty text, as does a page without text; markup that breaks off, is never closed, or is wrongly
-nested, is read as far as it goes; the model labels the text of math, object, noscript and svg like any other; text outside all elements belongs to the root; a null page_id or url stays null; pages that
+nested, is read as far as it goes, in linear time; a tag that the page breaks off is no text; the model labels the text of math, object, noscript and svg like any other; text outside all elements belongs to the root; a null page_id or url stays null; pages that
 repeat are each reported; very long pages are read whole; an empty table gives no rows; other columns are not read.
 """
 
@@ -31,7 +31,10 @@ from lodestrata.llm.labelled_pages import is_content, pages
 
 #: Labelled pages to train on.
 TRAINED_ON = 700
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+#: A tag: a quote counts behind "=" if there is another of its kind; no part is read twice, so a page is read in linear time.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>")
+#: The same without quotes, for a page with a tag that quotes keep open to its end.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements without an end, whose text is not shown (RAW ones hold no tags, and reach to the page's end where
@@ -41,6 +44,7 @@ RAW = frozenset("script style title textarea iframe".split())
 HIDDEN = RAW | frozenset("template head desc metadata annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var object noscript tspan math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HOLDS_P = (ENDS_P - {"p"}) | frozenset("td th li dd body".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: Kinds of elements, and of parts of class, id and role names, that are features.
@@ -53,6 +57,9 @@ NAMES = {
     "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner adslot", "notice": "notice cookie cookies consent alert gdpr popup modal newsletter subscribe privacy overlay dialog alertdialog banner", "comment": "comment comments commentlist reply replies respond response responses discussion disqus",
     "side": "sidebar side widget rail aside complementary", "related": "related recommended recommendations popular trending share social sharing tags", "form": "form search login signup contact",
 }
+#: Words that stand around articles in short texts.
+CUE = re.compile(r"&copy;|©|\b(?:copyright|rights reserved|terms of|privacy|impressum|mentions légales|rechte vorbehalten|droits réservés|derechos reservados|datenschutz|advertisement|sponsored|anzeige|werbung|publicité|publicidad|cookies?|newsletter|subscribe|sign (?:up|in)|log ?in|related|read more|most popular|share this|follow us|recommended|comments?|reply|kommentare?|commentaires?|comentarios?)\b", re.I)
+CUE_WITHIN = 240
 TAG_OF = {t: k for k, (_, ts) in enumerate(TAGS.items()) for t in ts.split()}
 NAME_OF: dict[str, list[int]] = {}
 for _k, _words in enumerate(NAMES.values()):
@@ -60,7 +67,7 @@ for _k, _words in enumerate(NAMES.values()):
         NAME_OF.setdefault(_w, []).append(_k)
 N_TAGS, N_NAMES = len(TAGS), len(NAMES)
 #: Own tag and names; the same of all nodes above (nearest to furthest alike); then measures.
-MEASURES = ("own_length", "own_links", "all_length", "all_links", "stops", "paragraphs", "share", "place", "depth", "elsewhere", "empty")
+MEASURES = ("own_length", "own_links", "all_length", "all_links", "stops", "paragraphs", "share", "place", "depth", "elsewhere", "empty", "own_cues", "all_cues")
 WIDTH = 2 * (N_TAGS + N_NAMES) + len(MEASURES) + 1
 KINDS = 4
 
@@ -73,52 +80,74 @@ class Tree:
     def __init__(self, markup: str):
         self.parent, self.tag, self.names, self.texts = [-1], [""], [()], []
         stack: list[tuple[str, int]] = [("", 0)]  # element, its node
+        where: dict[str, list[int]] = {}  # of each open element its places in the stack, so that no search goes through it
         in_link, fresh, pos, end = 0, True, 0, len(markup)
-        texts, match = self.texts, TOKEN.match
+        last, tag_at, unended = markup.rfind(">"), TAG.match, set()
+        texts = self.texts
+
+        def close(at: int) -> None:
+            nonlocal in_link
+            while len(stack) > at:
+                name, _ = stack.pop()
+                where[name].pop()
+                in_link -= name == "a"
+
+        def nearest(names) -> int:
+            return max((where[n][-1] for n in names if where.get(n)), default=0)
+
         while pos < end:
-            m = match(markup, pos)
-            pos = m.end()
-            name = m[2] or m[5]
-            if name is None:
-                token = m[0]
-                if token[0] != "<" or token == "<":
-                    texts.append((stack[-1][1], token, fresh, in_link > 0))
-                    fresh = False
+            at = markup.find("<", pos)
+            if at != pos:
+                texts.append((stack[-1][1], markup[pos:at] if at >= 0 else markup[pos:], fresh, in_link > 0))
+                fresh = False
+                if at < 0:
+                    break
+            c = markup[at + 1 : at + 3]
+            if c[:1] in ("!", "?") or (c[:1] == "/" and not c[1:2].isalpha()):
+                comment = markup.startswith("<!--", at)
+                pos = markup.find("-->" if comment else ">", at + 2)
+                pos = end if pos < 0 else pos + (3 if comment else 1)
                 continue
-            name, closing = name.lower(), m[1] or m[4]
-            if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        in_link -= sum(s[0] == "a" for s in stack[k:])
-                        fresh = fresh or any(s[0] not in INLINE for s in stack[k:])
-                        del stack[k:]
-                        break
+            if not (c[:1].isascii() and c[:1].isalpha()) and not (c[:1] == "/" and c[1:2].isascii()):
+                texts.append((stack[-1][1], "<", fresh, in_link > 0))
+                fresh, pos = False, at + 1
+                continue
+            if at > last:  # a tag that the page breaks off is no text
+                break
+            m = tag_at(markup, at)
+            if m is None:
+                tag_at = PLAIN_TAG.match
+                m = tag_at(markup, at)
+            pos = m.end()
+            name = m[2].lower()
+            if m[1]:
+                if where.get(name):
+                    k = where[name][-1]
+                    fresh = fresh or any(s[0] not in INLINE for s in stack[k:])
+                    close(k)
                 continue
             if name in HIDDEN:
-                if not (m[3] or m[6] or "").endswith("/") and name != "head":
-                    at = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(markup, pos)
-                    pos = at.end() if at else end if name in RAW else pos
-                    continue
                 if name == "head":
-                    pos = self.skip_head(markup, pos)
+                    pos = self.skip_head(markup, pos, unended)
+                elif not m[3].endswith("/"):
+                    found = None if name in unended else re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*+>?", re.I).search(markup, pos)
+                    if found is None:
+                        unended.add(name)
+                    pos = found.end() if found else end if name in RAW else pos
                 continue
             if name in VOID:
                 fresh = fresh or name in ("br", "hr")
                 continue
             if name in ENDS_P or name in ENDED_BY:
-                ended, holds = ({"p"} if name in ENDS_P else set()) | ENDED_BY.get(name, set()), HOLDS.get(name, ENDS_P - {"p"})
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ended:
-                        in_link -= sum(s[0] == "a" for s in stack[k:])
-                        del stack[k:]
-                        if name not in ENDED_BY:
-                            break
-                    elif stack[k][0] in holds or (name in ENDS_P and stack[k][0] in ("td", "th", "li", "dd", "body")):
+                ended, holds = ({"p"} if name in ENDS_P else set()) | ENDED_BY.get(name, set()), HOLDS.get(name, HOLDS_P)
+                while (k := nearest(ended)) and k > nearest(holds):
+                    close(k)
+                    if name not in ENDED_BY:
                         break
             block = name not in INLINE
             fresh = fresh or block or name in ("mtr", "mtd")
             in_link += name == "a"
-            attributes = m[3] or m[6]
+            attributes = m[3]
             named: tuple[int, ...] = ()
             if attributes and ("=" in attributes):
                 parts = {p.lower() for a in ATTRIBUTE.finditer(attributes) for p in NAME_PART.findall(a[1] or a[2] or a[3] or "")}
@@ -129,12 +158,15 @@ class Tree:
                 self.tag.append(name)
                 self.names.append(named)
                 node = len(self.parent) - 1
+            where.setdefault(name, []).append(len(stack))
             stack.append((name, node))
 
     @staticmethod
-    def skip_head(markup: str, pos: int) -> int:
+    def skip_head(markup: str, pos: int, unended: set[str]) -> int:
         """Past the head: to its end, or to the body where it has none."""
-        m = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(markup, pos)
+        m = None if "head" in unended else re.compile(r"</head\s*+>|(?=<body[\s>])", re.I).search(markup, pos)
+        if m is None:
+            unended.add("head")
         return m.end() if m else pos
 
 
@@ -142,7 +174,7 @@ def tree_features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """Features, parent, depth and kind (for the edge to the parent) of each node."""
     n = len(tree.parent)
     own, linked, stops, seen_before = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    at, first = 0.0, np.full(n, -1.0)
+    cues, at, first = np.zeros(n), 0.0, np.full(n, -1.0)
     for node, text, _, link in tree.texts:
         k = len(text) if len(text) < 40 else len(text.strip())
         if k < 40:
@@ -153,14 +185,17 @@ def tree_features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         stops[node] += text.count(".") + text.count(",")
         if link:
             linked[node] += k
+        if k < CUE_WITHIN and CUE.search(text):
+            cues[node] += 1
         if first[node] < 0:
             first[node] = at
         at += k
-    total, all_linked, paragraphs = own.copy(), linked.copy(), np.zeros(n)
+    total, all_linked, all_cues, paragraphs = own.copy(), linked.copy(), cues.copy(), np.zeros(n)
     for k in range(n - 1, 0, -1):
         p = tree.parent[k]
         total[p] += total[k]
         all_linked[p] += all_linked[k]
+        all_cues[p] += all_cues[k]
         paragraphs[p] += tree.tag[k] == "p"
         if first[k] >= 0 and (first[p] < 0 or first[k] < first[p]):
             first[p] = first[k]
@@ -192,6 +227,9 @@ def tree_features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     inside = (x[:, :2].max(axis=1) + x[:, above : above + 2].max(axis=1)) > 0
     x[:, m + 9] = has_article & ~inside
     x[:, m + 10] = own == 0
+    if not inside.any():  # an article that tags or names mark may hold such words; only bare pages need them
+        x[:, m + 11] = np.minimum(cues, 1)
+        x[:, m + 12] = np.minimum(all_cues * 200 / np.maximum(total, 100), 1.5)
     x[:, -1] = 1
     return x, np.asarray(tree.parent), depth, kind
 
@@ -207,7 +245,8 @@ def stacked(trees: list[Tree]):
 def messages(unary: np.ndarray, edge: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.ndarray):
     """Sum-product over a forest: node marginals of label 1, and of each node's edge the marginals (parent's label, its own)."""
     n = len(parent)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if n else []
     local = np.zeros((n, 2))
     local[:, 1] = unary
     up = np.zeros((n, 2))

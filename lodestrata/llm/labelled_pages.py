@@ -1,8 +1,9 @@
 """Labelled pages to train the extraction model on: made from templates by a seeded generator, so none are stored.
 
 Each page is (html, spans): its markup, in which texts that belong to the article are known by the words drawn for them. Templates
-mix semantic tags, class and id names, and bare containers; menus, headers, notices, adverts, sidebars, forms, comments and
-footers come and go, also inside the article; some tags are left open.
+come in families: semantic tags alone, named containers alone, bare containers that only their words and measures tell apart, and
+all of these mixed. Menus, headers, notices, adverts, sidebars, forms, comments and footers come and go, also inside the article;
+some tags are left open.
 """
 
 from __future__ import annotations
@@ -11,14 +12,28 @@ import random
 
 #: Syllables of made-up words.
 SYLLABLES = "ba be bi bo bu da de di do du fa fe ga ge go ka ke ko la le li lo ma me mi mo na ne no pa pe po ra re ri ro sa se si so ta te ti to va ve vi za ze zo el an er in on us".split()
+#: What stands around articles, by part.
+CUES = {
+    "footer": ["&copy; 2020", "Copyright 2021", "All rights reserved", "Terms of use", "Privacy policy", "Impressum", "Mentions légales", "Alle Rechte vorbehalten", "Tous droits réservés", "Todos los derechos reservados", "Datenschutz"],
+    "advert": ["Advertisement", "Sponsored", "Anzeige", "Werbung", "Publicité", "Publicidad", "Ad:"],
+    "notice": ["This site uses cookies", "Accept cookies", "Subscribe to our newsletter", "We value your privacy", "Cookies akzeptieren", "Sign up"],
+    "sidebar": ["Related articles", "Read more", "Most popular", "Share this", "Follow us", "Recommended"],
+    "comments": ["Comments", "Leave a reply", "Reply", "Kommentare", "Commentaires", "Comentarios"],
+    "form": ["Search", "Log in", "Sign in", "Subscribe"],
+}
+FAMILIES = ("semantic", "named", "bare", "mixed")
 
 
 class Page:
     """Writes one page; words in content texts end in the mark "q", all others do not."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, families: tuple[str, ...] = FAMILIES):
         self.r = random.Random(seed)
         self.out: list[str] = []
+        self.family = self.r.choices(families, [5 if f == "mixed" else 1 for f in families])[0]
+
+    def cue(self, part: str) -> str:
+        return self.r.choice(CUES[part]) + " " if self.r.random() < (0.95 if self.family == "bare" else 0.35) else ""
 
     def word(self, mark: bool) -> str:
         w = "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
@@ -37,6 +52,9 @@ class Page:
     def box(self, tags: list[str], names: list[str], semantic: float = 0.5) -> tuple[str, str]:
         """An opening and a closing tag: a semantic one, or a container with one of the names, or both."""
         r = self.r
+        if self.family == "bare":
+            return "<div>", "</div>"
+        semantic = {"semantic": 1.0, "named": 0.0}.get(self.family, semantic)
         if tags and r.random() < semantic:
             tag = r.choice(tags)
             attr = f' class="{r.choice(names)}"' if names and r.random() < 0.3 else ""
@@ -71,16 +89,17 @@ class Page:
 
     def advert(self) -> None:
         a, b = self.box(["aside"], ["ad", "ads", "advert", "sponsored", "promo", "banner", "ad-slot"], 0.05)
-        self.put(self.r.choice(["", f"<!-- ad {self.r.randint(1, 999)} -->"]), a, self.r.choice(["", "<p>"]), self.words(self.r.randint(3, 25), False), b)
+        self.put(self.r.choice(["", f"<!-- ad {self.r.randint(1, 999)} -->"]), a, self.r.choice(["", "<p>"]), self.cue("advert"), self.words(self.r.randint(3, 25), False), b)
 
     def notice(self) -> None:
         r = self.r
         attr = r.choice(['class="notice"', 'class="cookie-banner"', 'id="cookie-consent"', 'role="alert"', 'class="alert"', 'class="newsletter"', 'class="popup modal"', 'class="subscribe"', 'class="gdpr"'])
-        self.put(f"<div {attr}>", f"<p>{self.words(r.randint(4, 30), False)}</p>", r.choice(["", f"<button>{self.words(1, False)}</button>", f'<a href="/privacy">{self.words(2, False)}</a>']), "</div>")
+        attr = "" if self.family == "bare" else " " + attr
+        self.put(f"<div{attr}>", f"<p>{self.cue('notice')}{self.words(r.randint(4, 30), False)}</p>", r.choice(["", f"<button>{self.words(1, False)}</button>", f'<a href="/privacy">{self.words(2, False)}</a>']), "</div>")
 
     def form(self) -> None:
         r = self.r
-        self.put(f'<form action="/x"{r.choice(["", " class=search", " id=contact"])}>', *[f"<label>{self.words(2, False)}</label><input name=a>" for _ in range(r.randint(1, 3))], r.choice(["", f"<p>{self.words(9, False)}</p>", f"<select><option>{self.words(2, False)}</option></select>"]), f"<button>{self.words(1, False)}</button></form>")
+        self.put(f'<form action="/x"{r.choice(["", " class=search", " id=contact"])}>', *[f"<label>{self.cue('form')}{self.words(2, False)}</label><input name=a>" for _ in range(r.randint(1, 3))], r.choice(["", f"<p>{self.words(9, False)}</p>", f"<select><option>{self.words(2, False)}</option></select>"]), f"<button>{self.words(1, False)}</button></form>")
 
     def header(self) -> None:
         a, b = self.box(["header"], ["header", "masthead", "site-header", "topbar", "logo"], 0.6)
@@ -93,19 +112,19 @@ class Page:
 
     def footer(self) -> None:
         a, b = self.box(["footer"], ["footer", "site-footer", "copyright", "bottom", "legal"], 0.65)
-        self.put(a, self.r.choice(["&copy; ", "", "<p>&copy; "]), self.words(self.r.randint(2, 25), False))
+        self.put(a, self.r.choice(["&copy; ", "", "<p>&copy; "]) if self.family != "bare" else "", self.cue("footer"), self.words(self.r.randint(2, 25), False))
         if self.r.random() < 0.4:
             self.links(self.r.randint(2, 6))
         self.put(b)
 
     def sidebar(self) -> None:
         a, b = self.box(["aside"], ["sidebar", "side", "widget", "rail", "related", "recommended", "popular", "share", "social", "tags"], 0.5)
-        self.put(a, self.r.choice(["", f"<h3>{self.words(2, False)}</h3>", f"<h2>{self.words(2, False)}</h2>"]))
+        self.put(a, self.r.choice(["", f"<h3>{self.cue('sidebar')}{self.words(2, False)}</h3>", f"<h2>{self.cue('sidebar')}{self.words(2, False)}</h2>"]))
         for _ in range(self.r.randint(1, 3)):
             if self.r.random() < 0.5:
                 self.links(self.r.randint(2, 6))
             else:
-                self.put(f"<p>{self.words(self.r.randint(4, 40), False)}</p>")
+                self.put(f"<p>{self.cue('sidebar')}{self.words(self.r.randint(4, 40), False)}</p>")
         self.put(b)
 
     def comments(self) -> None:
@@ -113,9 +132,11 @@ class Page:
         name = r.choice(["comments", "comment-list", "discussion", "replies", "responses"])
         outer = r.choice(["section", "div", "ol"])
         inner = "li" if outer == "ol" else r.choice(["div", "div", "article"])
-        self.put(f'<{outer} {r.choice(["class", "id"])}="{name}">', r.choice(["", f"<h3>{self.words(2, False)}</h3>"]))
+        bare = self.family == "bare"
+        self.put(f"<{outer}>" if bare else f'<{outer} {r.choice(["class", "id"])}="{name}">', r.choice(["", f"<h3>{self.cue('comments')}{self.words(2, False)}</h3>"]))
         for _ in range(r.randint(1, 5)):
-            self.put(f'<{inner} class="{r.choice(["comment", "reply", "comment-body", "user-comment"])}">', r.choice(["", f"<b>{self.words(1, False)}</b>"]), f"<p>{self.words(r.randint(3, 60), False)}</p>", f"</{inner}>")
+            named = "" if bare else f' class="{r.choice(["comment", "reply", "comment-body", "user-comment"])}"'
+            self.put(f"<{inner}{named}>", r.choice(["", f"<b>{self.words(1, False)}</b>"]), f"<p>{self.cue('comments')}{self.words(r.randint(3, 60), False)}</p>", f"</{inner}>")
         if r.random() < 0.3:
             self.form()
         self.put(f"</{outer}>")
@@ -189,9 +210,9 @@ class Page:
         return "".join(self.out)
 
 
-def pages(n: int, seed: int = 1) -> list[str]:
+def pages(n: int, seed: int = 1, families: tuple[str, ...] = FAMILIES) -> list[str]:
     """n pages whose content words, and no others, end in "q"."""
-    return [Page(seed * 100_003 + k).html() for k in range(n)]
+    return [Page(seed * 100_003 + k, families).html() for k in range(n)]
 
 
 def is_content(text: str) -> bool:

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +42,46 @@ def test_an_unclosed_element_takes_nothing_with_it(tag):
     assert "".join(t for _, t, *_ in html_crf.Tree(around("<script>var x")[0]).texts).endswith("which ")
 
 
+UNITS = ['<p a="x ', '<p a="x >', "<p a=\"'>", "<aaaa", "<template>", "<head>", "<!-", "<li><ul><span>", "</x>", "<p ", "&#"]
+
+
+@pytest.mark.parametrize("page", [*[u * (1_000_000 // len(u)) for u in UNITS], "<div>" * 100_000 + "</x>" * 120_000, "<li><ul>" + "<span>" * 80_000 + "<li>" * 100_000, '<p a=">b' * 120_000 + '"'])
+def test_a_million_letters_of_broken_markup_take_linear_time(page):
+    began = time.perf_counter()
+    html_crf.Tree(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_quotes_count_behind_an_equals_sign():
+    text = lambda page: "".join(t for _, t, *_ in html_crf.Tree(page).texts)
+    assert text("<p title=it's>one</p> don't <b>two</b>") == "one don't two"
+    assert text('<p title="a > b">one</p>') == "one" and text("<p title='a > b' x>one</p>") == "one" and text('<p a="x>one</p>two') == "onetwo"
+    assert text("one <b>two</b> <i unfinished") == "one two " and text("1 < 2 <3 </> x") == "1 < 2 <3  x"
+
+
+@pytest.mark.parametrize(("family", "least"), [("semantic", 0.97), ("named", 0.97), ("bare", 0.75), ("mixed", 0.97)])
+def test_a_family_of_templates_held_out(family, least):
+    """Learned from the other families of templates alone."""
+    model = html_crf.fit(labelled_pages.pages(250, families=tuple(f for f in labelled_pages.FAMILIES if f != family)), steps=120)
+    trees = [html_crf.Tree(m) for m in labelled_pages.pages(60, seed=7, families=(family,))]
+    right = total = 0
+    for tree, p in zip(trees, model.marginals(trees), strict=True):
+        for node, text, _, _ in tree.texts:
+            if text.strip():
+                total += len(text)
+                right += len(text) * (labelled_pages.is_content(text) == (p[node] >= 0.5))
+    assert right / total > least
+
+
+def test_a_page_of_bare_containers():
+    story = "Some long article text, with commas and stops. " * 12
+    page = f"<html><body><div><div>Home | About | Contact</div><div><p>{story}</p><p>{story}</p></div><div>Copyright 2020</div></div></body></html>"
+    got = html_crf.extract_texts([page], html_crf.default_model())[0]
+    assert "Copyright" not in got and got.count("Some long") == 24
+    # the same words in an article that is marked as one are its own
+    assert html_crf.extract_texts([PAGE.replace("</article>", "<p>All rights reserved.</p></article>")], html_crf.default_model()) == [TEXT + " All rights reserved."]
+
+
 def test_svg_text_is_read():
     texts = [t for _, t, *_ in html_crf.Tree(around("<svg><title>icon</title><desc>what</desc><text>label</text></svg>")[0]).texts]
     assert "label" in texts and not {"icon", "what"} & set(texts)
@@ -64,7 +105,7 @@ def test_messages_are_exact():
 
 def test_held_out_pages():
     model = html_crf.default_model()
-    trees = [html_crf.Tree(m) for m in labelled_pages.pages(120, seed=99)]
+    trees = [html_crf.Tree(m) for m in labelled_pages.pages(120, seed=99, families=("semantic", "named", "mixed"))]
     right = total = 0
     for tree, p in zip(trees, model.marginals(trees), strict=True):
         for node, text, _, _ in tree.texts:
