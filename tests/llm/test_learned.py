@@ -1,15 +1,17 @@
 """Language, quality and toxicity: accuracy on rows that were not learned from, and the cases of each operator."""
 
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import langid_cnn, pu_quality, toxicity
 from lodestrata.llm.common import table
 from lodestrata.llm.learning import fit_logistic, logistic, remainder
 
-from .helpers import docs
+from .helpers import docs, words
 
 SF = "/root/testdata/sf0.01"
 ODD = [(None, "text without an id"), (1, None), (2, ""), (3, "1234 !!! 56"), (4, "\n \t"), (5, "x" * 300_000), (6, "same text here"), (6, "same text here")]
@@ -114,18 +116,29 @@ def distance(a, b):
     return row[-1]
 
 
+def by_distance(w, entries):
+    """(edits, entry) of every entry that a word matches."""
+    want = []
+    for n, e in enumerate(entries):
+        own = e.rstrip("!$~")
+        most = int(len(own) >= 5 and not e.endswith("!$") and e[-1] in "$~")
+        d = distance(w, own) if e.endswith("$") else min(distance(w[:k], own) for k in range(len(w) + 1))
+        if d <= most:
+            want.append((d, n))
+    return want
+
+
 def test_automaton_is_the_edit_distance():
-    entries = ["idiot$", "moron$", "scum$", "vequ", "lostra"]
+    entries = ["idiot$", "moron$", "scum$", "vequ", "lostra~", "trash!$"]
     m = toxicity.Matcher(entries)
     r = np.random.default_rng(5)
-    trial = ["idiot", "idot", "idiiot", "idxot", "idiots", "moron", "mron", "scum", "scam", "vequ", "vequaire", "veq", "lostrarum", "lustra", "diot", "iidiot"]
+    trial = ["idiot", "idot", "idiiot", "idxot", "idiots", "moron", "mron", "scum", "scam", "vequ", "vequaire", "veq", "lostrarum", "lustra", "diot", "iidiot", "lustrarum", "lotrarum", "xlostrarum", "lostr", "lost", "trash", "trasch"]
     trial += ["".join(r.choice(list("idotmrnscuvelqa"), r.integers(1, 9))) for _ in range(3000)]
     points, starts, ends, _ = toxicity.split_words(trial)
     word, entry, edits = m(points, starts, ends)
     got = {int(w): (int(e), int(d)) for w, e, d in zip(word, entry, edits, strict=True)}
     for k, w in enumerate(trial):
-        want = [(distance(w, e[:-1]), n) for n, e in enumerate(entries) if e.endswith("$") and distance(w, e[:-1]) <= int(len(e) > 5)]
-        want += [(0, n) for n, e in enumerate(entries) if not e.endswith("$") and w.startswith(e)]
+        want = by_distance(w, entries)
         assert (k in got) == bool(want), w
         if want:
             assert got[k][1] == min(want)[0]
@@ -156,7 +169,162 @@ def test_whole_terms_keep_their_edit_beside_stems(spark):
     assert [misspelled[s:e] for s, e, *_ in spans] == misspelled.split() and {d for _, _, _, d, _ in spans} == {1}
     # the bound on entries is not used up by what a stem covers
     few = toxicity.learn_entries(spark.createDataFrame(rows, "id long, text string, y int"), entries=2)
-    assert {"idio", "idiot$", "grobel$"} <= set(few)
+    assert {"idio", "idiot$", "grobel$"} <= set(few) and len(few) <= len(got)
+
+
+def test_what_edits_open(spark):
+    """A stem whose misspelled forms clean texts have stays closed, and an ordinary word near a term is no match."""
+    rows = [(k, f"gorbelan idiot nulperix words {k}", 1) for k in range(30)]
+    rows += [(100 + k, f"plain words here {'gorblin' if k % 4 == 0 else ''} {'idiom' if k % 9 == 0 else ''} {k}", 0) for k in range(120)]
+    sample = spark.createDataFrame(rows, "id long, text string, y int")
+    got, ordinary = toxicity.opened(sample, ["gorbel", "nulper", "idiot$", "abc"])
+    assert got == ["gorbel", "nulper~", "idiot$", "abc"] and ordinary == {"idiom"}
+    m = toxicity.Matcher(got, ordinary)
+    text = "gorblin idiom idot nulpperix nolperus gorbelix"
+    _, (spans,) = toxicity.features([text], m)
+    assert [text[s:e] for s, e, *_ in spans] == ["idot", "nulpperix", "nolperus", "gorbelix"]
+
+
+def test_terms_with_busy_neighbours_are_closed(spark):
+    rows = [(k, "ratingo here", 1) for k in range(30)] + [(100 + k, f"ratin{'abcdefghijklm'[k % 13]} {k}", 0) for k in range(13)] + [(200 + k, "clean", 0) for k in range(200)]
+    assert toxicity.opened(spark.createDataFrame(rows, "id long, text string, y int"), ["ratingo$", "ratino$"])[0] == ["ratingo$", "ratino!$"]
+
+
+def plain_features(text, entries, ordinary):
+    """toxicity.FEATURES from their definition."""
+    low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)]
+    hits = []
+    for k, (s, e) in enumerate(found):
+        want = by_distance(low[s:e], entries)
+        if want and (min(want)[0] == 0 or low[s:e] not in ordinary):
+            hits.append((k, min(want)[0]))
+    plain = fuzzy = quoted = nearest = 0
+    for k, d in hits:
+        s, e = found[k]
+        before = text[found[k - 13][1] if k > 12 else 0 : s]
+        after = text[e : found[k + 13][0] if k + 13 < len(found) else len(text)]
+        marks = "\"“”„«»"
+        told = sum(c in marks for c in before) % 2 == 1 and any(c in marks for c in after)
+        told = told or any(w.strip(".,:;'" + marks) in toxicity.REPORTS for w in before.lower().split()[-3:])
+        nearest = max(nearest, sum(abs(j - k) <= 12 for j, _ in hits))
+        plain, fuzzy, quoted = plain + (not told and d == 0), fuzzy + (not told and d > 0), quoted + told
+    total = plain + fuzzy
+    dense = min(3.0, np.log1p(1000 * total / max(1, len(found))) / 2 + (nearest - 1) / 12) if total else 0.0
+    return [float(total > 0), float(total >= 2), np.log1p(total), np.log1p(fuzzy), dense, np.log1p(quoted)]
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The query's scores from matching every word with every entry by edit distance."""
+    d, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.train(d, labels)
+    texts = {r["doc_id"]: r["text"] for r in d.collect() if len(r["text"] or "") < 3000}
+    extra = {-1: 'He said "you idot, you moron" and left', -2: "stupit " * 30 + "clown", -3: "ÜBER idiot_moron x" + "y " * 40, -4: None}
+    texts |= extra
+    got = {r["doc_id"]: r for r in toxicity.score(docs(spark, *texts.items()), model).collect()}
+    for i, t in texts.items():
+        want = logistic(np.asarray([plain_features(t or "", model.entries, model.ordinary)]), model.weights)[0]
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9), i
+        assert got[i]["predicted"] == int(want >= 0.7)
+
+
+def test_misspelled_abuse_is_caught_by_the_automaton(spark):
+    """Held-out toxic texts whose terms are all misspelled: caught with edits, missed without them."""
+    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.train(d, labels)
+    assert (model.weights[: toxicity.EVIDENCE] >= 0).all()
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    own = [r["doc_id"] for r in labels.collect() if r["toxic"] and crc(r["doc_id"], 3) == 1]
+    wrong, r = [], np.random.default_rng(1)
+    for i in own:
+        t = texts[i]
+        _, (spans,) = toxicity.features([t], model.matcher())
+        for s, e, *_ in reversed([x for x in spans if x[1] - x[0] >= 5]):
+            t = t[:s] + toxicity.misspelled(t[s:e], r) + t[e:]
+        if spans:
+            wrong.append(t)
+    score = lambda m: logistic(toxicity.features(wrong, m)[0], model.weights)
+    with_edits, without = score(model.matcher()), score(toxicity.Matcher(model.entries, model.ordinary, edits=False))
+    assert len(wrong) >= 10 and (with_edits >= 0.7).mean() > 0.9 and (without >= 0.7).mean() < 0.4
+
+
+def test_quotation_moves_the_label(spark, tables):
+    model = toxicity.train(*tables)
+    rows = [(1, "you idiot and moron, stupid and worthless " + "plain words " * 10), (2, 'he said "you idiot and moron, stupid and worthless" ' + "plain words " * 10), (3, "you iddiot and moorn, stupiid and worthles " + "plain words " * 10)]
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(docs(spark, *rows), model).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_labels_that_repeat_or_contradict(spark):
+    rows = [(k, f"you idiot and moron, number {k}" if k % 2 else f"a quiet day, number {k}") for k in range(60)]
+    labels = [(k, k % 2, k % 2) for k in range(60)] * 2 + [(k, 0, 0) for k in range(60)]
+    made = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs(spark, *rows), toxicity.train(docs(spark, *rows), made)).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got)
+    assert all(0 <= r["score"] <= 1 for r in pu_quality.score(docs(spark, *rows), pu_quality.train(docs(spark, *rows), made)).collect())
+
+
+def test_clashing_columns(spark):
+    odd = spark.createDataFrame([(1, "some text", 5, "x", 2.0, [1.0])], "doc_id long, text string, y int, lang_pred string, score double, x array<double>").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(1, 1, 0, "text", 3)], "doc_id long, quality int, toxic int, text string, y int")
+    assert langid_cnn.predict(odd, langid_cnn.train(odd)).count() == 1
+    assert pu_quality.score(odd, pu_quality.train(odd, labels)).columns == ["doc_id", "score", "predicted"]
+    model = toxicity.train(odd, labels)
+    assert toxicity.score(odd, model).count() == 1 and toxicity.clean(odd, model).columns == odd.columns
+
+
+def test_language_equals_brute_force(spark):
+    """The query's answer from the convolution itself, window by window."""
+    r = np.random.default_rng(4)
+    network = langid_cnn.Network(["a", "b", "c"], r.normal(size=(256, 8)).astype(np.float32), {w: r.normal(size=(w, 8, 16)).astype(np.float32) for w in (2, 3, 4)}, {w: r.normal(size=16).astype(np.float32) for w in (2, 3, 4)}, (r.normal(size=(48, 3)) / 5).astype(np.float32), np.zeros(3, np.float32))
+    texts = {k: words(k, 5 + 30 * k) for k in range(9)} | {20: "É", 21: "x" * 381, 22: "ab" * 500}
+    got = {x["doc_id"]: x for x in langid_cnn.predict(docs(spark, *texts.items()), network).collect()}
+    for i, t in texts.items():
+        data = t.lower().encode()
+        total, at = np.zeros(3), 0
+        while True:
+            part = np.zeros(384, dtype=np.int64)
+            own = data[at : at + 384]
+            part[: len(own)] = list(own)
+            h = []
+            for w in (2, 3, 4):
+                z = np.stack([sum(network.embedding[part[k + j]] @ network.filters[w][j] for j in range(w)) + network.biases[w] for k in range(384 - w + 1)])
+                h.append(np.maximum(z.max(axis=0), 0))
+            z = np.concatenate(h) @ network.dense + network.offset
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(own)
+            at += 381
+            if at + 3 >= len(data):
+                break
+        total /= total.sum()
+        assert got[i]["score"] == pytest.approx(total.max(), abs=1e-3) and (got[i]["lang_pred"] == "abc"[total.argmax()] or np.sort(total)[-1] - np.sort(total)[-2] < 1e-3), i
+
+
+def plain_form(text):
+    """pu_quality.FEATURES from their definition."""
+    raw = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+    lines = [x for x in low.split(b"\n") if x]
+    n, chars = len(found), len(raw)
+    char = lambda f: sum(map(f, raw)) / (chars + 40)
+    before = lambda xs: len(xs) - len(set(xs))
+    pairs = list(zip(found[:-1], found[1:], strict=True))
+    out = [
+        min(np.log1p(n) / 8, 1.5), char(lambda b: 65 <= b <= 90) * 4, char(lambda b: 48 <= b <= 57) * 4, char(lambda b: b in b"#$%&*@^~_=+<>\\/") * 4, char(lambda b: b == 124) * 8, char(lambda b: b == 33) * 8,
+        char(lambda b: b in b".,") * 8, char(lambda b: b == 32) * 2, (raw + b"\n").count(b"\n") / (chars + 40) * 8, sum(map(len, found)) / (n + 10) / 8, sum(len(w) > 16 for w in found) / (n + 10) * 2,
+        sum(a == b for a, b in pairs) / (n + 10) * 4, before(pairs) / (n + 20) * 2, before(lines) / (len(lines) + 3) * 2, before(found) / (n + 30), sum(not (97 <= b <= 122 or b >= 128) and r > 32 for b, r in zip(low, raw, strict=True)) / (chars + 40) * 2,
+    ]
+    return np.minimum(out, 4.0)
+
+
+def test_quality_equals_brute_force(spark):
+    r = np.random.default_rng(6)
+    model = pu_quality.Model(r.normal(size=16) / 9, 0.5 + r.random(16), r.normal(size=17), 0.5)
+    texts = {k: words(k, 3 + 40 * k) for k in range(6)} | {10: None, 11: "", 12: "A B\n\nA b a b\n###%% | !!", 13: "ÄÖ ß 12 <p>\\"}
+    got = {x["doc_id"]: x for x in pu_quality.score(docs(spark, *texts.items()), model).collect()}
+    for i, t in texts.items():
+        z = np.clip((plain_form(t) - model.mean) / model.scale, -8, 8)
+        want = 1 / (1 + np.exp(-np.clip(z @ model.weights[:-1] + model.weights[-1], -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["predicted"] == int(want >= 0.3), i
 
 
 def test_a_term_and_a_stem_may_be_the_same():
