@@ -6,9 +6,11 @@ m*r+a has been seen (pigeonhole), so the search ends when the k-th verified dist
 exact, ties broken by id.
 
 At scale: of rows with equal codes only the k+1 smallest ids can appear in any result, so others leave before anything else (a
-window whose group limit works before the shuffle). Rows are dealt into blocks by code, queries into blocks by id, and a cell of
-that grid searches its query block in its row block. A first pass searches each query in one block, which bounds its k-th
-distance; the second pass searches all blocks only up to that bound, so what a cell sends on is near k rows a query in all.
+window whose group limit works before the shuffle). Rows are dealt once into blocks by code; queries travel to the blocks, each of
+which builds one index and searches the queries that stream past it, some at a time. A first pass searches each query in one block,
+which bounds its k-th distance; the second pass searches all blocks only up to that bound, so what a block sends on is near k rows
+a query in all. Within a block a row is verified once a query, however many segments find it; once a query has taken more look-ups
+than the block has rows, the rows it has not seen are verified all at once, which is cheaper and covers every distance.
 
 Cases: a null vector or id is neither indexed nor a query; NaN and zero components give bit 0; vectors of different lengths are
 filled with bit 0 to the longest; a query does not find its own row (id), but finds other rows with the same vector; rows that
@@ -22,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +33,9 @@ from lodestrata.session import found_by_workers
 
 K = 10
 ROWS_A_BLOCK = 1 << 16
-QUERIES_A_BLOCK = 1 << 12
-#: Candidates that a cell verifies at once.
+#: Candidates that are verified at once, and (query, row) pairs of a block that are marked as seen at once.
 AT_ONCE = 1 << 20
+SEEN = 1 << 25
 
 
 def width(rows: DataFrame, vector: str) -> int:
@@ -62,7 +65,7 @@ class Index:
     """The segment tables of one block of rows."""
 
     def __init__(self, code: np.ndarray, ids: np.ndarray):
-        self.code, self.ids = code, ids
+        self.code, self.ids, self.verified = code, ids, 0
         bits = code.shape[1] * 8
         size = int(np.clip(np.ceil(np.log2(max(2, len(ids)))), 4, 16))  # a row in each bucket or so
         self.bounds = [(s, min(s + size, bits)) for s in range(0, bits, size)]
@@ -79,7 +82,12 @@ class Index:
     def search(self, code: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query (row of code), id, distance of the k nearest within bound of every query."""
         nq, m = len(code), len(self.bounds)
+        step = max(1, SEEN // max(1, len(self.ids)))
+        if nq > step:
+            parts = [self.search(code[lo : lo + step], own[lo : lo + step], bound[lo : lo + step], k) for lo in range(0, nq, step)]
+            return tuple(np.concatenate(x) for x in zip(*((q + n * step, i, d) for n, (q, i, d) in enumerate(parts)), strict=True))
         at = self.segments(code)
+        seen = np.zeros((nq, len(self.ids)), dtype=bool)
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         kth = bound.astype(np.int64).copy()  # what a new row must not exceed
         active = np.arange(nq)
@@ -92,7 +100,7 @@ class Index:
                 looked_up += len(flips)
                 if looked_up > max(64, len(self.ids)):  # more look-ups than rows: seeing all rows is cheaper, and covers every distance
                     for q in np.array_split(active, max(1, len(active) * len(self.ids) // AT_ONCE)):
-                        found, kth = self.take(found, kth, np.repeat(q, len(self.ids)), np.tile(np.arange(len(self.ids)), len(q)), code, own, k, nq)
+                        found, kth = self.take(found, kth, np.repeat(q, len(self.ids)), np.tile(np.arange(len(self.ids)), len(q)), code, own, k, seen)
                     return found
                 order, starts = self.tables[a]
                 for q in np.array_split(active, max(1, len(active) * len(flips) // AT_ONCE)):
@@ -109,12 +117,16 @@ class Index:
                         c = count[s:e]
                         if len(c):
                             rows = np.repeat(first[s:e] - np.cumsum(c) + c, c) + np.arange(c.sum())
-                            found, kth = self.take(found, kth, np.repeat(who[s:e], c), order[rows], code, own, k, nq)
+                            found, kth = self.take(found, kth, np.repeat(who[s:e], c), order[rows], code, own, k, seen)
                 active = active[kth[active] > m * radius + a]
         return found
 
-    def take(self, found, kth, who, rows, code, own, k, nq):
-        """found with those of the given pairs that are near enough, cut to k a query."""
+    def take(self, found, kth, who, rows, code, own, k, seen):
+        """found with those of the given pairs, not seen before, that are near enough, cut to k a query."""
+        new = ~seen[who, rows]
+        who, rows = who[new], rows[new]
+        seen[who, rows] = True
+        self.verified += len(who)
         distance = np.bitwise_count(code[who] ^ self.code[rows]).sum(axis=1, dtype=np.int64)
         good = (distance <= kth[who]) & (self.ids[rows] != own[who])
         if not good.any():
@@ -136,16 +148,40 @@ class Index:
 FOUND = "query_id long, neighbor_id long, distance long"
 
 
-def cell(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "neighbor_id", "distance")})
-        as_bytes = lambda s: np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1)
-        own = queries["asked_id"].to_numpy()
-        q, i, d = Index(as_bytes(rows["code"]), rows["id"].to_numpy()).search(as_bytes(queries["asked_code"]), own, queries["bound"].to_numpy(), k)
-        return pd.DataFrame({"query_id": own[q], "neighbor_id": i, "distance": d})
+def dealt(rows: DataFrame, asked: DataFrame, blocks: int) -> DataFrame:
+    """block, asked (0: a row, once; 1: a query, for each block it is sent to), id, code, bound: a block's rows come before its queries."""
+    one = rows.select("block", F.lit(0).alias("asked"), "id", "code", F.lit(0).cast("long").alias("bound"))
+    both = one.unionByName(asked.select("block", F.lit(1).alias("asked"), "id", "code", F.col("bound").cast("long").alias("bound")))
+    return both.repartition(blocks, "block").sortWithinPartitions("block", "asked")
 
-    return run
+
+def searched(both: DataFrame, k: int) -> DataFrame:
+    """FOUND: for each block's queries the k nearest of its rows within their bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_bytes = lambda c: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(len(c), -1)
+        block, held, index = None, [], None
+        for b in batches:
+            of, asked = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(of, prepend=of[:1]) | np.diff(asked, prepend=asked[:1])) if len(of) else []
+            for lo, hi in zip([0, *edges], [*edges, len(of)], strict=True):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if of[lo] != block:
+                    block, held, index = of[lo], [], None
+                if not asked[lo]:
+                    held.append((as_bytes(part.column(3)), part.column(2).to_numpy()))
+                elif held or index is not None:
+                    if index is None:
+                        index = Index(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                        held = []
+                    own = part.column(2).to_numpy()
+                    q, i, d = index.search(as_bytes(part.column(3)), own, part.column(4).to_numpy(), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(i), pa.array(d)], names=["query_id", "neighbor_id", "distance"])
+
+    found_by_workers(both.sparkSession)
+    return both.mapInArrow(run, FOUND)
 
 
 def search(rows: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFrame:
@@ -157,26 +193,19 @@ def search(rows: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFr
     first = Window.partitionBy("code").orderBy("id")
     rows = rows.dropDuplicates(["id", "code"]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
     rows = cut(rows)
-    queries = queries.dropDuplicates(["id"])
-    n, nq = rows.count(), queries.count()
+    n = rows.count()
     blocks = max(1, -(-n // ROWS_A_BLOCK), min(spark.sparkContext.defaultParallelism, n // 4096))
-    query_blocks = max(1, -(-nq // QUERIES_A_BLOCK))
-    rows = rows.withColumn("rb", F.pmod(F.xxhash64("code"), F.lit(blocks)))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("home", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)))
-    near = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("rb", F.col("qb").cast("long").alias("qb"), F.col("id").alias("id"), F.col("code").alias("code"))
-
-    def grid(asked: DataFrame) -> DataFrame:
-        # names of its own: rows and queries may come from one table
-        asked = asked.select(F.col("rb").alias("asked_rb"), F.col("qb").alias("asked_qb"), F.col("id").alias("asked_id"), F.col("code").alias("asked_code"), F.col("bound").cast("long").alias("bound"))
-        return near.groupBy("rb", "qb").cogroup(asked.groupBy("asked_rb", "asked_qb")).applyInPandas(cell(k), FOUND)
-
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
+    queries = queries.dropDuplicates(["id"]).select("id", "code")
+    whole = F.lit(bits)
     if blocks > 1:
-        at_home = grid(queries.select("id", "code", "qb", F.col("home").alias("rb"), F.lit(bits).alias("bound")))
-        bound = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(bits)).alias("bound"))
-        asked = queries.join(bound, queries.id == bound.query_id, "left").select("id", "code", "qb", F.coalesce("bound", F.lit(bits)).alias("bound"))
+        home = queries.withColumn("bound", whole).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)))
+        bound = searched(dealt(rows, home, blocks), k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(whole).alias("bound"))
+        asked = queries.join(bound, queries.id == bound.query_id, "left").select("id", "code", F.coalesce("bound", whole).alias("bound"))
     else:
-        asked = queries.select("id", "code", "qb", F.lit(bits).alias("bound"))
-    found = grid(asked.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("rb", F.col("rb").cast("long")))
+        asked = queries.withColumn("bound", whole)
+    everywhere = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = searched(dealt(rows, everywhere, blocks), k)
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 

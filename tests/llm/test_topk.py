@@ -30,7 +30,7 @@ def test_equals_brute_force(spark, n, bits, k):
 
 def test_blocks_and_bounds(spark, monkeypatch):
     monkeypatch.setattr(topk_mih, "ROWS_A_BLOCK", 50)
-    monkeypatch.setattr(topk_mih, "QUERIES_A_BLOCK", 7)
+    monkeypatch.setattr(topk_mih, "SEEN", 400)
     r = np.random.default_rng(3)
     rows = [(i, r.normal(size=32).tolist()) for i in range(400)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
@@ -54,3 +54,34 @@ def test_empty_and_other_columns(spark):
     assert topk_mih.nearest(spark.createDataFrame([], SCHEMA), "vec_id", "embedding").count() == 0
     df = spark.createDataFrame([(0, [1.0], "c", 1), (1, [1.0], "d", 2)], "vec_id long, embedding array<double>, code string, id int")
     assert found(topk_mih.nearest(df, "vec_id", "embedding")) == [(0, 1, 1, 0)]
+
+
+def test_rows_travel_once_and_queries_to_every_block(spark):
+    rows = spark.range(500).selectExpr("id", "cast(cast(id as string) as binary) as code", "id % 9 as block")
+    asked = spark.range(60).selectExpr("id", "cast('q' as binary) as code", "16 as bound").crossJoin(spark.range(9).withColumnRenamed("id", "block"))
+    got = topk_mih.dealt(rows, asked, 9)
+    assert got.where("asked = 0").count() == 500 and got.where("asked = 1").count() == 60 * 9
+
+
+@pytest.mark.parametrize("n", [50, 400, 3000])
+def test_no_candidate_is_verified_twice(n):
+    r = np.random.default_rng(n)
+    code = np.packbits(r.integers(0, 2, (n, 64), dtype=np.uint8), axis=1)
+    index = topk_mih.Index(code, np.arange(n))
+    q, i, d = index.search(code[:20], np.arange(20), np.full(20, 64), 10)
+    assert len(q) == 200 and index.verified <= 20 * n
+    every = np.bitwise_count(code[:20, None] ^ code[None]).sum(axis=2)
+    assert all(sorted(d[q == k]) == sorted(np.delete(every[k], k))[:10] for k in range(20))
+
+
+def test_very_many_rows_of_one_block_stream_through(spark, monkeypatch):
+    """Batches cut blocks and queries anywhere."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        monkeypatch.setattr(topk_mih, "ROWS_A_BLOCK", 90)
+        r = np.random.default_rng(9)
+        rows = [(i, r.normal(size=16).tolist()) for i in range(300)]
+        df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+        assert found(topk_mih.nearest(df, "vec_id", "embedding", 3, 4)) == brute(rows, 3, 4, 16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
