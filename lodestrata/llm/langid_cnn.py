@@ -19,14 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import with_results
 from lodestrata.llm.learning import batches_of, remainder, texts_of
 from lodestrata.session import found_by_workers
 
-LENGTH = 384
+LENGTH = 192
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
 #: Labelled texts to learn from, at most: of each language, and of all. Windows of each text.
@@ -92,6 +92,7 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
     for w in WIDTHS:
         p[f"f{w}"], p[f"b{w}"] = r.normal(0, 1 / np.sqrt(w * EMBEDDING), (w, EMBEDDING, FILTERS)), np.zeros(FILTERS)
     p = {k: x.astype(np.float32) for k, x in p.items()}
+    p["e"][0] = 0
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     by_class = [np.flatnonzero(y == c) for c in range(len(languages))]
     for t in range(1, steps + 1):
@@ -99,14 +100,18 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
         own = np.concatenate([r.choice(c, max(1, batch // len(by_class))) for c in by_class if len(c)])
         x, of = windows[own], y[own]
         rows = np.arange(len(own))
-        shown = p["e"][x]
-        shown[x == 0] = 0
-        hidden, where = [], {}
+        # all filters' places in one product, a row each, so that sums and maxima run along the text
+        every = np.ascontiguousarray(np.concatenate([p[f"f{w}"][j] for w in WIDTHS for j in range(w)], axis=1).T)
+        made = (every @ np.take(np.ascontiguousarray(p["e"].T), x.ravel(), axis=1)).reshape(sum(WIDTHS), FILTERS, len(own), -1)
+        hidden, where, first = [], {}, 0
         for w in WIDTHS:
             n = x.shape[1] - w + 1
-            z = sum(shown[:, j : j + n] @ p[f"f{w}"][j] for j in range(w)) + p[f"b{w}"]
-            where[w] = z.argmax(axis=1)
-            hidden.append(np.take_along_axis(z, where[w][:, None, :], axis=1)[:, 0])
+            z = made[first][:, :, :n] + made[first + 1][:, :, 1 : n + 1]
+            for j in range(2, w):
+                z += made[first + j][:, :, j : j + n]
+            first += w
+            where[w] = z.argmax(axis=2).T
+            hidden.append(np.take_along_axis(z, where[w].T[:, :, None], axis=2)[:, :, 0].T + p[f"b{w}"])
         h = np.hstack(hidden)
         a = np.maximum(h, 0)
         z = a @ p["d"] + p["o"]
@@ -122,9 +127,10 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
             g[f"b{w}"] = gh.sum(axis=0)
             for j in range(w):
                 at = x[rows[:, None], where[w] + j]  # the byte under each filter's best place
-                seen = p["e"][at] * (at != 0)[:, :, None]
-                g[f"f{w}"][j] = np.einsum("bfe,bf->ef", seen, gh)
-                np.add.at(g["e"], at.ravel(), (gh[:, :, None] * p[f"f{w}"][j].T[None]).reshape(-1, EMBEDDING))
+                g[f"f{w}"][j] = (p["e"][at] * gh[:, :, None]).sum(axis=0).T
+                back_e = gh[:, :, None] * p[f"f{w}"][j].T[None]
+                cells = at.astype(np.int64)[:, :, None] * EMBEDDING + np.arange(EMBEDDING)
+                g["e"] += np.bincount(cells.ravel(), weights=back_e.ravel(), minlength=256 * EMBEDDING).reshape(256, EMBEDDING).astype(np.float32)
         g["e"][0] = 0
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -137,22 +143,22 @@ def train_network(windows: np.ndarray, y: np.ndarray, languages: list[str], step
 def train(docs: DataFrame, a_language: int = A_LANGUAGE, in_all: int = IN_ALL, n_windows: int = WINDOWS) -> Network:
     """From text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1."""
     found_by_workers(docs.sparkSession)
-    own = docs.where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    own = docs.select("doc_id", "lang", "text").where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull())
     languages = sorted(r[0] for r in own.select("lang").distinct().collect())
     if not languages:
         return Network([], *[None] * 5)
     each = max(1, min(a_language, in_all // len(languages)))
-    ids = None
-    for lang in languages:  # ids only: bounded by in_all
-        some = own.where(F.col("lang") == lang).select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own_lang")).where("own_id is not null").distinct().orderBy(F.xxhash64("own_id"), "own_id").limit(each)
-        ids = some if ids is None else ids.unionByName(some)
+    # ids only, chosen by a hash: bounded by in_all, and cut in each partition before they are shuffled
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = own.where("doc_id is not null").select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each)
+    ids = ids.groupBy(F.col("doc_id").alias("own_id")).agg(F.min("lang").alias("own_lang"))
     number = {lang: k for k, lang in enumerate(languages)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches_of(frames):
             rows = []
             for text, lang, key in zip(f["text"], f["lang"], f["own_id"], strict=True):
-                if has_letter(text):
+                if text and has_letter(text):
                     r = np.random.default_rng(abs(int(key)) % (1 << 32))
                     data = text.lower().encode("utf-8", "replace")
                     for k in range(n_windows):
