@@ -2,11 +2,13 @@
 
 Trusted positives (labelled 1) and unlabelled web text train a linear model on features of form (shares of character classes,
 repetition of words and lines, word lengths). It minimises the non-negative unbiased risk of Kiryo et al. (2017) under the
-logistic loss: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), the class prior being estimated from the
-labels' shares. The score is the model's probability of label 1.
+logistic loss: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The class prior is estimated from positives
+and unlabelled texts alone, by the best bin of Garg et al. (2021): where a held-out classifier of the two puts its highest scores,
+the unlabelled texts' share over the positives' is the prior. Rows labelled 0 are never read as such. The score is the model's
+probability of label 1.
 
 Cases: null and empty texts have the features of no words and get one and the same score; repeated texts the same score; without
-positives every score is the prior (0.5 without labels); very long texts are measured whole; an empty table gives no rows;
+positives every score is 0.5; very long texts are measured whole; an empty table gives no rows;
 columns other than doc_id and text are not read, whatever their names.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import with_results
 from lodestrata.llm.hashing import hashed, joined_bytes, runs, word_bytes
-from lodestrata.llm.learning import batches_of, labelled, remainder, texts_of
+from lodestrata.llm.learning import batches_of, fit_logistic, logistic, remainder, texts_of
 from lodestrata.session import found_by_workers
 
 THRESHOLD = 0.3
@@ -113,28 +115,44 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, prior)
 
 
-def measured(rows: DataFrame) -> np.ndarray:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches_of(frames):
-            yield pd.DataFrame({"x": list(features(list(f["text"])))})
-
-    got = rows.select("text").mapInPandas(run, "x array<double>").collect()
-    return np.asarray([r["x"] for r in got]).reshape(-1, len(FEATURES))
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled, by the best bin, the mean of two halves that are scored by the other's classifier."""
+    found = []
+    for k in (0, 1):
+        (p, q), (u, v) = ((x[k::2], x[1 - k :: 2]) for x in (positive, unlabelled))
+        if not all(map(len, (p, q, u, v))):
+            continue
+        both = np.vstack([p, u])
+        mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
+        of = lambda x: np.clip((x - mean) / scale, -8, 8)  # noqa: E731, B023
+        beta = fit_logistic(of(both), np.r_[np.ones(len(p)), np.zeros(len(u))], np.r_[np.full(len(p), 1 / len(p)), np.full(len(u), 1 / len(u))] * len(both) / 2)
+        at, other = np.sort(logistic(of(q), beta)), np.sort(logistic(of(v), beta))
+        share = 1 - np.arange(len(at)) / len(at)
+        ratio = (1 - np.searchsorted(other, at, side="left") / len(other)) / share
+        slack = (np.sqrt(np.log(4 / delta) / (2 * len(other))) + np.sqrt(np.log(4 / delta) / (2 * len(at)))) * (1 + gamma) / share
+        found.append(ratio[np.argmin(ratio + slack)])
+    return float(np.mean(found)) if found else 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """From rows whose crc32(doc_id as text) mod 5 is not 0; texts are sampled by a hash of the id, up to the given numbers."""
     found_by_workers(docs.sparkSession)
-    trusted, sizes = labelled(docs, labels.where("quality = 1"), "quality", remainder("doc_id", 5) != 0, positives)
-    negatives = labels.where((F.col("quality") == 0) & (remainder("doc_id", 5) != 0)).select("doc_id").distinct().count()
-    n = sizes.get(1, 0)
-    prior = float(np.clip((n + 1) / (n + negatives + 2), 0.02, 0.98))
-    ids = docs.where(remainder("doc_id", 5) != 0).select(F.col("doc_id").alias("any_id")).where("any_id is not null").distinct().orderBy(F.xxhash64(F.lit(5), "any_id"), "any_id").limit(unlabelled)
-    web = texts_of(docs, ids, "any_id")
-    p, u = measured(trusted), measured(web)
+    allowed = (remainder("doc_id", 5) != 0) & F.col("doc_id").isNotNull()
+    some = lambda df, kind, n, seed: df.where(allowed).select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n).select(F.col("doc_id").alias("own_id"), *[F.lit(k == kind).alias(k) for k in ("trusted", "web")])
+    ids = some(labels.where("quality = 1").select("doc_id").distinct(), "trusted", positives, 1).unionByName(some(docs.select("doc_id"), "web", unlabelled, 5))
+    # bounded by the given numbers; texts are read once for both
+    ids = ids.groupBy("own_id").agg(F.max("trusted").alias("trusted"), F.max("web").alias("web"))
+    sample = texts_of(docs, ids, "own_id", "trusted", "web")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches_of(frames):
+            yield pd.DataFrame({"trusted": f["trusted"].to_numpy(), "web": f["web"].to_numpy(), "x": list(features(list(f["text"])))})
+
+    got = sorted(sample.select("trusted", "web", "text").mapInPandas(run, "trusted boolean, web boolean, x array<double>").collect(), key=lambda r: r["x"])
+    p, u = (np.asarray([r["x"] for r in got if r[kind]]).reshape(-1, len(FEATURES)) for kind in ("trusted", "web"))
     if not len(p) or not len(u):
-        return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(len(FEATURES)), np.log(prior / (1 - prior))), prior)
-    return fit(p, u, prior)
+        return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1), 0.5)
+    return fit(p, u, float(np.clip(estimated_prior(p, u), 0.02, 0.98)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -88,6 +88,23 @@ def test_risk_is_kept_from_going_negative():
     assert model(r.normal(2, 1, (100, 3))).mean() > 0.85 and model(r.normal(-2, 1, (100, 3))).mean() < 0.2
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_the_prior_is_estimated_without_negatives(prior):
+    r = np.random.default_rng(int(prior * 100))
+    positive = r.normal(1.5, 1, (2000, 4))
+    n = int(4000 * prior)
+    unlabelled = np.vstack([r.normal(1.5, 1, (n, 4)), r.normal(-1.5, 1, (4000 - n, 4))])
+    assert pu_quality.estimated_prior(positive, r.permutation(unlabelled)) == pytest.approx(prior, abs=0.05)
+
+
+def test_labels_of_zero_change_nothing(spark):
+    """Positive-unlabelled: negatives are not read."""
+    rows = [(k, f"Some words, in order. And {k} more of them here." if k % 2 else f"### $$$ {k} ### @@@ x x x x") for k in range(80)]
+    label = lambda zeros: spark.createDataFrame([(k, 1, 0) for k in range(1, 80, 4)] + [(k, 0, 0) for k in zeros], "doc_id long, quality int, toxic int")
+    a, b = (pu_quality.train(docs(spark, *rows), label(z)) for z in ([], range(0, 80, 2)))
+    assert a.prior == b.prior and a.weights == pytest.approx(b.weights)
+
+
 def test_quality_without_positives(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = pu_quality.train(docs(spark, (1, "a b c")), none)
@@ -276,22 +293,23 @@ def test_language_equals_brute_force(spark):
     """The query's answer from the convolution itself, window by window."""
     r = np.random.default_rng(4)
     network = langid_cnn.Network(["a", "b", "c"], r.normal(size=(256, 8)).astype(np.float32), {w: r.normal(size=(w, 8, 16)).astype(np.float32) for w in (2, 3, 4)}, {w: r.normal(size=16).astype(np.float32) for w in (2, 3, 4)}, (r.normal(size=(48, 3)) / 5).astype(np.float32), np.zeros(3, np.float32))
+    length = langid_cnn.LENGTH
     texts = {k: words(k, 5 + 30 * k) for k in range(9)} | {20: "É", 21: "x" * 381, 22: "ab" * 500}
     got = {x["doc_id"]: x for x in langid_cnn.predict(docs(spark, *texts.items()), network).collect()}
     for i, t in texts.items():
         data = t.lower().encode()
         total, at = np.zeros(3), 0
         while True:
-            part = np.zeros(384, dtype=np.int64)
-            own = data[at : at + 384]
+            part = np.zeros(length, dtype=np.int64)
+            own = data[at : at + length]
             part[: len(own)] = list(own)
             h = []
             for w in (2, 3, 4):
-                z = np.stack([sum(network.embedding[part[k + j]] @ network.filters[w][j] for j in range(w)) + network.biases[w] for k in range(384 - w + 1)])
+                z = np.stack([sum(network.embedding[part[k + j]] @ network.filters[w][j] for j in range(w)) + network.biases[w] for k in range(length - w + 1)])
                 h.append(np.maximum(z.max(axis=0), 0))
             z = np.concatenate(h) @ network.dense + network.offset
             total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(own)
-            at += 381
+            at += length - 3
             if at + 3 >= len(data):
                 break
         total /= total.sum()
