@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bounded, fresh, quoted, text_hash
+from lodestrata.llm.common import bounded, cut, fresh, quoted, text_hash
 
 WINDOW = 10
 #: The letters that are lowered, and what stands between words.
@@ -92,6 +92,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole: bool =
     """docs without contaminated documents or, if not whole, with the hit words (and what follows each up to the next) cut out."""
     hit_id, hit_key, spans, key, runs = fresh(docs, "id", "hit", "spans", "key", "runs")
     found = hits(docs, benchmark, n).select(F.col("doc_id").alias(hit_id), F.col("key").alias(hit_key), F.col("spans").alias(spans))
+    # documents with a hit are narrow rows; where they are few, whole texts need not be shuffled to meet them
+    found = cut(found.drop(spans) if whole else found)
+    found = F.broadcast(found) if bounded(found) else found
     keyed = docs.withColumn(key, text_hash())
     on = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(key) == F.col(hit_key))
     if whole:
@@ -107,8 +110,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole: bool =
     hit = F.col(spans).isNotNull()
     joined = keyed.join(found, on, "left").withColumn(runs, merged)
     joined = joined.withColumn(own, F.when(hit, F.expr(f"regexp_extract_all(text, r'({word})', 1)"))).withColumn(between, F.when(hit, F.expr(f"split(text, r'{word}')")))
-    cut = F.expr(f"concat({between}[0], array_join(transform({own}, (w, i) -> if(exists({runs}, r -> i >= r.start and i < r.end), '', concat(w, {between}[i + 1]))), ''))")
-    return joined.withColumn("text", F.when(F.col(spans).isNotNull(), cut).otherwise(F.col("text"))).select(*[quoted(c) for c in docs.columns])
+    left = F.expr(f"concat({between}[0], array_join(transform({own}, (w, i) -> if(exists({runs}, r -> i >= r.start and i < r.end), '', concat(w, {between}[i + 1]))), ''))")
+    return joined.withColumn("text", F.when(F.col(spans).isNotNull(), left).otherwise(F.col("text"))).select(*[quoted(c) for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

@@ -201,7 +201,7 @@ def copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return met.groupBy("rank", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(gone)))).alias("gone"))
 
 
-def remaining(text: str, u: Units, gone) -> tuple[str, list[tuple[int, int]]]:
+def remaining(text: str, u: Units, gone, least_run: int = LEAST_RUN) -> tuple[str, list[tuple[int, int]]]:
     """The text without the units that go, and their spans; units that follow one another are one span. u: the units of this text."""
 
     def together(numbers: list[int]) -> list[list[int]]:
@@ -216,7 +216,7 @@ def remaining(text: str, u: Units, gone) -> tuple[str, list[tuple[int, int]]]:
     alone = u.counts & ~u.short
 
     def goes(g: list[int]) -> bool:
-        return int(u.words[g].sum()) >= LEAST_RUN or bool(u.begins[g[0]] and u.finishes[g[-1]] and alone[g[0]] and alone[g[-1]])
+        return int(u.words[g].sum()) >= least_run or bool(u.begins[g[0]] and u.finishes[g[-1]] and alone[g[0]] and alone[g[-1]])
 
     spans = []
     for g in together(sorted(int(k) for k in gone)):
@@ -235,19 +235,23 @@ def remaining(text: str, u: Units, gone) -> tuple[str, list[tuple[int, int]]]:
     return (left.rstrip() if spans and at >= len(text) else left), spans
 
 
-def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str | None = None) -> DataFrame:
-    """docs with repeated units cut from text; with spans, a column of that name has what was cut (start, end in code points)."""
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str | None = None, least_run: int = LEAST_RUN) -> DataFrame:
+    """docs with repeated units cut from text; with spans, a column of that name has what was cut (start, end in code points).
+
+    With a least_run of 1 every repeated unit goes, however short the run it stands in.
+    """
     key_rank, key_h, gone = fresh(docs, "rank", "h", "gone")
     found = copies(docs, least_words).select(F.col("rank").alias(key_rank), F.col("h").alias(key_h), F.col("gone").alias(gone))
     met = docs.join(found, (rank() == F.col(key_rank)) & (F.xxhash64("text") == F.col(key_h)), "left").select(*[quoted(c) for c in docs.columns], gone)
     at = [c.lower() for c in docs.columns].index("text")
+    text_name = docs.columns[at]
     schema = docs.select(*[quoted(c) for c in docs.columns], *([F.lit(None).cast("array<struct<start:int,end:int>>").alias(spans)] if spans else [])).schema
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, text_name)):
             texts, lists = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             cuts: list[list[tuple[int, int]]] = [[] for _ in texts]
             some = [k for k, g in enumerate(lists) if g]
@@ -256,7 +260,7 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, spans: str | None = N
                 edges = np.searchsorted(u.text, np.arange(hi - lo + 1))
                 for j, k in enumerate(some[lo:hi]):
                     own = slice(edges[j], edges[j + 1])
-                    texts[k], cuts[k] = remaining(texts[k], Units(*[getattr(u, n)[own] for n in u.__dataclass_fields__]), lists[k])
+                    texts[k], cuts[k] = remaining(texts[k], Units(*[getattr(u, n)[own] for n in u.__dataclass_fields__]), lists[k], least_run)
             columns, names = list(b.columns[:-1]), b.schema.names[:-1]
             columns[at] = pa.array(texts, type=pa.string())
             if spans:

@@ -58,6 +58,15 @@ def test_scan_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan) and "BroadcastHashJoin" in plan
 
 
+def test_very_long_texts(spark):
+    long = [(1, words(5, 60_000) + " " + words(1, 25) + " " + words(6, 60_000)), (2, words(5, 60_000))]
+    items = [(1, words(1, 25))]
+    got = decontam.scan(docs(spark, *long), spark.createDataFrame(items, ITEM))
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()], key=str) == scanned(long, items)
+    joined = bayes_jaccard.join(docs(spark, *long, (3, long[0][1] + " end"))).collect()
+    assert sorted((r["id"], r["class_id"], r["n_links"]) for r in joined) == joined_by_hand([*long, (3, long[0][1] + " end")])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEM)
     assert [r["contaminated"] for r in decontam.scan(docs(spark, (1, "a b")), none).collect()] == [False]
@@ -71,6 +80,7 @@ def test_remove_documents_and_spans(spark):
     items = spark.createDataFrame([(1, "three little words")], ITEM)
     whole = decontam.remove(df, items)
     assert sorted(r["doc_id"] for r in whole.collect()) == [2, 3] and whole.columns == df.columns
+    assert not re.search("Python|Pandas|Arrow|SortMergeJoin", whole._jdf.queryExecution().executedPlan().toString())
     cut = decontam.remove(df, items, whole=False)
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "Keep, and this.", 2: "clean text", 3: None} and cut.columns == df.columns
 
@@ -120,7 +130,7 @@ def plain_units(text):
     return out
 
 
-def by_hand(rows):
+def by_hand(rows, least_run=13):
     """Texts after dedup, from the definition: units in rank order, the first of each stays."""
     seen, out = {}, {}
     for d, text in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0])):
@@ -134,7 +144,7 @@ def by_hand(rows):
             elif goes:
                 runs.append((s, e, n, begins, finishes))
             last = goes
-        for s, e in [r[:2] for r in reversed(runs) if r[2] >= 13 or (r[3] and r[4])]:
+        for s, e in [r[:2] for r in reversed(runs) if r[2] >= least_run or (r[3] and r[4])]:
             end = e
             while end < len(text) and text[end].isspace():
                 end += 1
@@ -143,11 +153,14 @@ def by_hand(rows):
     return out
 
 
-def test_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("least_run", [13, 1])
+def test_dedup_equals_brute_force(spark, least_run):
+    """With a run of 1 every repeated unit goes."""
     passage = words(11, 80)
     rows = [(k, words(20 + k, 60) + " " + passage + " " + words(50 + k, 40) + "\n" + words(7, 20) + ".\nshort line") for k in range(12)] + [(99, words(20, 60)), (100, "")]
-    got = cut(spark, *rows)
-    assert {d: r["text"] for d, r in got.items()} == by_hand(rows)
+    rows += [(200 + k, words(800 + k, 30) + " " + words(12, 9) + ". " + words(830 + k, 30)) for k in range(6)]
+    got = cut(spark, *rows, least_run=least_run)
+    assert {d: r["text"] for d, r in got.items()} == by_hand(rows, least_run)
     assert got[0]["spans"] == [] and all(len(got[k]["spans"]) >= 1 for k in range(1, 12))
 
 
