@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import with_results
-from lodestrata.llm.learning import batches_of, remainder, texts_of
+from lodestrata.llm.learning import batches_of, cutoff, remainder, share, texts_of
 from lodestrata.session import found_by_workers
 
 LENGTH = 192
@@ -144,13 +144,16 @@ def train(docs: DataFrame, a_language: int = A_LANGUAGE, in_all: int = IN_ALL, n
     """From text and non-null lang of rows whose crc32(doc_id as text) mod 3 is not 1."""
     found_by_workers(docs.sparkSession)
     own = docs.select("doc_id", "lang", "text").where((remainder("doc_id", 3) != 1) & F.col("lang").isNotNull())
-    languages = sorted(r[0] for r in own.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in own.where("doc_id is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Network([], *[None] * 5)
     each = max(1, min(a_language, in_all // len(languages)))
-    # ids only, chosen by a hash: bounded by in_all, and cut in each partition before they are shuffled
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.where("doc_id is not null").select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each)
+    # ids only, chosen by a hash: a language's rows are cut to about twice what is wanted before they are ranked, so a common one is
+    # no more work than others
+    under = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, cutoff(each, n))]), F.col("lang"))
+    first = Window.partitionBy("lang").orderBy(share("doc_id"), "doc_id")
+    ids = own.where(F.col("doc_id").isNotNull() & (share("doc_id") < under)).select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each)
     ids = ids.groupBy(F.col("doc_id").alias("own_id")).agg(F.min("lang").alias("own_lang"))
     number = {lang: k for k, lang in enumerate(languages)}
 

@@ -18,6 +18,21 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def share(key: str, seed: int = 1) -> Column:
+    """A hash of the key as a number from 0 to 1: rows are sampled in its order, the same at every size and however rows are dealt."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1) / float(1 << 63)
+
+
+def cutoff(n: int, of: int) -> float:
+    """A share under which, of so many rows, about twice n lie: fewer than n do with no chance to speak of, and what is sorted is bounded."""
+    return 1.0 if of <= 4 * n + 64 else (2 * n + 64) / of
+
+
+def some_of(df: DataFrame, key: str, n: int, of: int, seed: int = 1) -> DataFrame:
+    """The n rows of df, which has so many, that come first by share()."""
+    return df.where(share(key, seed) < cutoff(n, of)).orderBy(share(key, seed), key).limit(n)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, a_class: int) -> tuple[DataFrame, dict[int, int]]:
     """At most a_class labelled texts of each class (text, y), chosen by a hash of the id, and how many rows each class has.
 
@@ -26,8 +41,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, a_
     """
     own = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("y"))
     sizes = {int(r["y"]): int(r["n"]) for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("label_id"), F.col("label_id")
-    ids = own.where("y = 1").orderBy(*order).limit(a_class).unionByName(own.where("y = 0").orderBy(*order).limit(a_class))
+    ids = some_of(own.where("y = 1"), "label_id", a_class, sizes.get(1, 0)).unionByName(some_of(own.where("y = 0"), "label_id", a_class, sizes.get(0, 0)))
     return texts_of(docs, ids, "label_id", "y"), sizes
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import with_results
 from lodestrata.llm.hashing import hashed, joined_bytes, runs, word_bytes
-from lodestrata.llm.learning import batches_of, fit_logistic, logistic, remainder, texts_of
+from lodestrata.llm.learning import batches_of, fit_logistic, logistic, remainder, some_of, texts_of
 from lodestrata.session import found_by_workers
 
 THRESHOLD = 0.3
@@ -138,8 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """From rows whose crc32(doc_id as text) mod 5 is not 0; texts are sampled by a hash of the id, up to the given numbers."""
     found_by_workers(docs.sparkSession)
     allowed = (remainder("doc_id", 5) != 0) & F.col("doc_id").isNotNull()
-    some = lambda df, kind, n, seed: df.where(allowed).select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n).select(F.col("doc_id").alias("own_id"), *[F.lit(k == kind).alias(k) for k in ("trusted", "web")])
-    ids = some(labels.where("quality = 1").select("doc_id").distinct(), "trusted", positives, 1).unionByName(some(docs.select("doc_id"), "web", unlabelled, 5))
+    trusted, web = labels.where(allowed & (F.col("quality") == 1)).select("doc_id").distinct(), docs.where(allowed).select("doc_id")
+    kind = lambda k: [F.lit(k == c).alias(c) for c in ("trusted", "web")]
+    ids = some_of(trusted, "doc_id", positives, trusted.count(), 1).select(F.col("doc_id").alias("own_id"), *kind("trusted"))
+    ids = ids.unionByName(some_of(web, "doc_id", unlabelled, web.count(), 5).select(F.col("doc_id").alias("own_id"), *kind("web")))
     # bounded by the given numbers; texts are read once for both
     ids = ids.groupBy("own_id").agg(F.max("trusted").alias("trusted"), F.max("web").alias("web"))
     sample = texts_of(docs, ids, "own_id", "trusted", "web")

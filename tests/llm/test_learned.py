@@ -31,6 +31,16 @@ def test_remainder_is_crc(spark):
     assert [r["r"] for r in got] == [crc(7, 3), crc(123456, 3), zlib.crc32(b"") % 3]
 
 
+def test_samples_are_full_and_what_is_sorted_is_bounded(spark):
+    from lodestrata.llm.learning import cutoff, share, some_of
+
+    for n, of in [(5, 40_000), (100, 40_000), (3, 10), (50, 40)]:
+        df = spark.range(of).withColumnRenamed("id", "doc_id")
+        got = [r[0] for r in some_of(df, "doc_id", n, of).collect()]
+        every = [r[0] for r in df.orderBy(share("doc_id"), "doc_id").limit(n).collect()]
+        assert sorted(got) == sorted(every) and df.where(share("doc_id") < cutoff(n, of)).count() <= max(4 * n + 64, 3 * n + 100)
+
+
 def test_language(spark, tables):
     d, _ = tables
     network = langid_cnn.train(d)
