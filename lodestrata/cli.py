@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 import uuid
 from datetime import UTC, datetime
 
@@ -108,10 +109,20 @@ def ask(spark: SparkSession, args) -> None:
     asked = acl.askers(questions, s.users, s.roles)
     if args.email and not asked.where("user_id is not null").count():
         raise SystemExit(f"unknown user: {args.email}")
-    hits = s.final(s.hits(questions), questions, args.top_k)
-    done = answer.answered(asked, hits)
+    took: dict[str, float] = {}
+
+    def timed(stage: str, rows: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        rows = rows.cache()
+        rows.count()
+        took[stage] = round(1000 * (time.perf_counter() - began), 1)
+        return rows
+
+    wide = timed("retrieve", s.hits(questions))
+    hits = timed("rerank", s.final(wide, questions, args.top_k))
+    done = timed("llm", answer.answered(asked, hits))
     at = datetime.now(UTC).isoformat(sep=" ")
-    s.store.append("query_traces", answer.traces(done, hits, at))
+    s.store.append("query_traces", answer.traces(done, hits, at, latency_ms=took))
     row = done.first()
     print(row["answer"] or "No answer: nothing that may be shown is close enough.")
     if row["answer"]:

@@ -106,6 +106,8 @@ class Settings:
     max_tokens: int = MAX_TOKENS
     embed_batch: int = 64
     embed_retries: int = 3
+    #: The path of a rank file of byte-pair tokens that workers can read; without one token counts are approximate.
+    vocabulary: str | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.min_tokens <= self.max_tokens or self.max_tokens < 1:
@@ -122,5 +124,5 @@ class Settings:
         for f in fields(cls):
             raw = env.get(f"LODESTRATA_{f.name.upper()}")
             if raw is not None:
-                given[f.name] = (float if f.type == "float" else int)(raw)
+                given[f.name] = {"float": float, "int": int}.get(f.type, str)(raw)
         return cls(**given)

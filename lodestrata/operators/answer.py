@@ -84,23 +84,24 @@ def citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return cited.join(own, ["qid", "n"])
 
 
-def is_not_found(answer: Column) -> Column:
-    return tx.strip(answer).startswith(NOT_FOUND)
+def is_not_found(answer: Column, anywhere: bool = False) -> Column:
+    """Whether the model says that it found nothing: at the answer's start or, as the second evaluation reads it, anywhere in it."""
+    return answer.contains(NOT_FOUND) if anywhere else tx.strip(answer).startswith(NOT_FOUND)
 
 
-def outcomes(asked: DataFrame, answers: DataFrame) -> DataFrame:
+def outcomes(asked: DataFrame, answers: DataFrame, anywhere: bool = False) -> DataFrame:
     """asked (with refused) with answer, stop_reason, truncated and outcome; refused ones were never generated."""
     a = answers.select(F.col("qid").alias("a_qid"), *[c for c in answers.columns if c != "qid"])
     both = asked.join(a, F.col("qid") == F.col("a_qid"), "left").drop("a_qid")
-    outcome = F.when(F.col("refused"), "refused_by_floor").when(is_not_found(F.col("answer")), "refused_by_model").otherwise("answered")
+    outcome = F.when(F.col("refused"), "refused_by_floor").when(is_not_found(F.col("answer"), anywhere), "refused_by_model").otherwise("answered")
     return both.withColumn("truncated", F.coalesce(F.col("stop_reason") == "max_tokens", F.lit(False))).withColumn("outcome", outcome)
 
 
-def answered(questions: DataFrame, hits: DataFrame, generate: Generator = offline_generator, floor: float = RERANK_FLOOR) -> DataFrame:
+def answered(questions: DataFrame, hits: DataFrame, generate: Generator = offline_generator, floor: float = RERANK_FLOOR, anywhere: bool = False) -> DataFrame:
     """The floor first; what it refuses is split off before generation, so that a costly generator never sees it."""
     asked = floored(questions, hits, floor)
     pending = asked.where(~F.col("refused")).select("qid")
-    return outcomes(asked, generate(hits.join(F.broadcast(pending), "qid", "left_semi")))
+    return outcomes(asked, generate(hits.join(pending, "qid", "left_semi")), anywhere)
 
 
 def spoken(done: DataFrame) -> Iterator[tuple[object, str]]:
@@ -117,8 +118,12 @@ def trace_hits(hits: DataFrame, in_prompt: bool) -> DataFrame:
     return hits.groupBy("qid").agg(F.array_sort(F.collect_list(order)).alias("o")).select("qid", F.transform("o", lambda x: x["t"]).alias("retrieval"))
 
 
-def traces(done: DataFrame, hits: DataFrame, at: str, embedding_model: str = "offline", model: str = "offline") -> DataFrame:
-    """Rows for query_traces; ``at`` is one timestamp for the run, and ids come from it and the question."""
+def traces(done: DataFrame, hits: DataFrame, at: str, embedding_model: str = "offline", model: str = "offline", latency_ms: dict[str, float] | None = None) -> DataFrame:
+    """Rows for query_traces; ``at`` is one timestamp for the run, and ids come from it and the question.
+
+    latency_ms has the wall time of each stage (retrieve, rerank, llm) of the batch, which all its questions share.
+    """
+    stages = F.create_map(*[F.lit(x) for kv in latency_ms.items() for x in kv]).cast("map<string,double>") if latency_ms else F.lit(None).cast("map<string,double>")
     floor_rows = trace_hits(hits, False).withColumnRenamed("retrieval", "r0")
     prompt_rows = trace_hits(hits, True).withColumnRenamed("retrieval", "r1")
     both = done.join(floor_rows, "qid", "left").join(prompt_rows, "qid", "left")
@@ -126,5 +131,5 @@ def traces(done: DataFrame, hits: DataFrame, at: str, embedding_model: str = "of
     return both.select(
         stable_id(F.lit(at), F.col("qid").cast("string")).alias("id"), F.lit(None).cast("string").alias("message_id"), "user_id", F.col("question").alias("raw_query"), F.lit(None).cast("string").alias("rewritten_query"), F.lit(True).alias("needs_retrieval"),
         F.when(generated, F.col("r1")).otherwise(F.col("r0")).alias("retrieval"), F.lit(PROMPT_VERSION).alias("prompt_version"), F.when(generated, F.lit(model)).alias("model"), F.lit(embedding_model).alias("embedding_model"),
-        "input_tokens", "output_tokens", F.lit("miss").alias("cache_status"), "stop_reason", "outcome", F.lit(at).cast("timestamp").alias("created_at"),
+        "input_tokens", "output_tokens", stages.alias("latency_ms"), F.lit("miss").alias("cache_status"), "stop_reason", "outcome", F.lit(at).cast("timestamp").alias("created_at"),
     )

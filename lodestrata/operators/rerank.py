@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.config import FINAL_K
 from lodestrata.functions import analysis
 from lodestrata.operators.search import top
+from lodestrata.sources.shared import small
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -23,7 +24,7 @@ def offline_coverage(question: Column, content: Column) -> Column:
 def pairs(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """hits with their question and text."""
     texts = chunks.select(F.col("chunk_id").alias("of_chunk"), "content", *[c for c in ("source_path", "heading_path") if c in chunks.columns])
-    return hits.join(F.broadcast(questions.select("qid", "question")), "qid").join(texts, F.col("chunk_id") == F.col("of_chunk")).drop("of_chunk")
+    return hits.join(small(questions.select("qid", "question")), "qid").join(texts, F.col("chunk_id") == F.col("of_chunk")).drop("of_chunk")
 
 
 def rerank(pairs_: DataFrame, scorer: Scorer = offline_coverage, top_k: int = FINAL_K) -> DataFrame:

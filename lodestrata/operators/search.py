@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.config import K_PER_BRANCH
 from lodestrata.functions import analysis, vectors
+from lodestrata.sources.shared import small
 
 
 class SearchBackend(Protocol):
@@ -27,7 +28,7 @@ def scored(questions: DataFrame, allow: DataFrame, embeddings: DataFrame, unit:
     """qid, chunk_id, department, dense_score of every allowed pair. unit: vectors have unit length already."""
     asked = questions.select("qid", F.col("vector").alias("q")).where("q is not null").join(allow, "qid")
     score = vectors.dot(F.col("embedding"), F.col("q")) if unit else vectors.cosine(F.col("embedding"), F.col("q"))
-    return embeddings.join(F.broadcast(asked), "department").select("qid", "chunk_id", "department", score.alias("dense_score")).where("dense_score is not null")
+    return embeddings.join(small(asked), "department").select("qid", "chunk_id", "department", score.alias("dense_score")).where("dense_score is not null")
 
 
 def top(rows: DataFrame, within: list[str], order: list[Column], k: int, name: str) -> DataFrame:
@@ -64,7 +65,7 @@ def matches(questions: DataFrame, allow: DataFrame, terms: DataFrame) -> DataFra
     Only the postings of asked terms survive the first join, in an allowed department, before anything is grouped.
     """
     asked = question_terms(questions).join(allow, "qid")
-    found = terms.join(F.broadcast(asked), ["term", "department"])
+    found = terms.join(small(asked), ["term", "department"])
     whole = found.groupBy("qid", "chunk_id", "department").agg(F.count("*").alias("n_found"), F.max("n_terms").alias("n_terms"), F.sum("n").alias("lexical_score"))
     return whole.where("n_found = n_terms").select("qid", "chunk_id", "department", F.col("lexical_score").cast("long").alias("lexical_score"))
 
@@ -84,7 +85,7 @@ def english_matches(questions: DataFrame, allow: DataFrame, terms: DataFrame) ->
     """matches() over english_terms(), with a proximity rank as lexical_score (double); only asked lexemes' postings are grouped."""
     asked = questions.select("qid", analysis.english_query("question").alias("q"))
     asked = asked.select("qid", F.size("q").alias("n_terms"), "q", F.explode("q").alias("term")).join(allow, "qid")
-    found = terms.join(F.broadcast(asked), ["term", "department"])
+    found = terms.join(small(asked), ["term", "department"])
     whole = found.groupBy("qid", "chunk_id", "department").agg(F.collect_list(F.struct("term", "positions")).alias("v"), F.max("n_terms").alias("n_terms"), F.first("q").alias("q"))
     return whole.where(F.size("v") == F.col("n_terms")).select("qid", "chunk_id", "department", analysis.english_rank("v", "q").alias("lexical_score"))
 

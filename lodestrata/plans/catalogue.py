@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.config import FINAL_K, K_PER_BRANCH, MAX_TOKENS, POOL
+from lodestrata.config import FINAL_K, K_PER_BRANCH, MAX_TOKENS, NOT_FOUND, POOL
 from lodestrata.functions import analysis, chunking, providers, vectors
 from lodestrata.functions import text as tx
 from lodestrata.functions import tokens as tk
@@ -15,7 +15,7 @@ from lodestrata.operators import acl, answer, evals, fusion, ingest, rerank, sea
 from lodestrata.plans import driver_tables as dt
 from lodestrata.plans import oracle
 from lodestrata.sources import corpus, seeds, store
-from lodestrata.sources.shared import kept
+from lodestrata.sources.shared import kept, small
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -78,9 +78,7 @@ def upsert_documents(spark, sf):
 
 @query
 def upsert_counts(spark, sf):
-    old = _stored(spark, sf).select("source_path", F.lit(True).alias("had"))
-    met = dt.documents(spark, sf).join(old, "source_path", "left")
-    return met.agg(F.count_if(F.col("had").isNull()).alias("inserted"), F.count_if(F.col("had").isNotNull()).alias("updated"))
+    return store.upsert_tally(_stored(spark, sf), dt.documents(spark, sf), ["source_path"])
 
 
 @query
@@ -90,14 +88,23 @@ def embedding_cascade(spark, sf):
     return store.cascaded(dt.embeddings(spark, sf).select("chunk_id", "department"), "chunk_id", gone, "id")
 
 
+@query
+def reference_set_null(spark, sf):
+    """References to tombstoned documents become null, the rows stay."""
+    gone = _stored(spark, sf).where("status = 'tombstoned'").select(F.col("id").cast("long").alias("id"))
+    rows = read(spark, sf, "embeddings").select("vec_id", F.col("vec_id").alias("document_id"))
+    return store.unset(rows, "document_id", gone, "id")
+
+
 @query
 def replace_chunks(spark, sf):
     """Chunks of changed documents are replaced, the others stay."""
-    docs = dt.documents(spark, sf)
-    changed = ingest.diffed(docs, _stored(spark, sf)).where("change in ('added', 'updated')").select("doc_id")
-    old = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.lit("old").alias("generation")).join(changed, "doc_id", "left_anti")
-    new = docs.join(changed, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("content", "\n")).alias("chunk_index", "line")).select("doc_id", "chunk_index", F.lit("new").alias("generation"))
-    return old.unionByName(new).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "generation")
+    docs = dt.documents(spark, sf).withColumnRenamed("doc_id", "document_id")
+    changed = ingest.diffed(docs, _stored(spark, sf)).where("change in ('added', 'updated')").select(F.col("document_id").alias("id"))
+    old = docs.select("document_id", F.lit(0).alias("chunk_index"), F.lit("old").alias("generation"))
+    pieces = docs.join(changed, F.col("document_id") == F.col("id"), "left_semi").select("document_id", F.posexplode(F.split("content", "\n")).alias("chunk_index", "line"))
+    new = ingest.replaced(old, changed, pieces.select("document_id", "chunk_index", F.lit("new").alias("generation")))
+    return new.select(F.col("document_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "generation")
 
 
 @query
@@ -278,6 +285,14 @@ def hybrid_rrf(spark, sf):
     return r.select("qid", "chunk_id", "department", F.round("dense_score", 6).alias("dense_score"), "dense_rank", "lexical_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
 
+@query
+def retriever_active(spark, sf):
+    """What a user calls: a retriever over a backend whose chunks have a status; tombstoned ones are in no branch."""
+    chunks = dt.chunks(spark, sf).withColumn("status", F.when(F.col("chunk_id") % 11 == 0, "tombstoned").otherwise("active"))
+    found = fusion.Retriever(search.TableBackend(dt.embeddings(spark, sf), chunks), dt.users(spark), dt.roles(spark)).retrieve(dt.questions(spark, sf))
+    return found.select("qid", "chunk_id", "department", "dense_rank", "lexical_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank")
+
+
 @query
 def rerank_topk(spark, sf):
     return _reranked(spark, sf).select("qid", "n", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("rrf_score", 6).alias("rrf_score"))
@@ -321,7 +336,7 @@ def refusal_floor(spark, sf):
 def prompt_evidence(spark, sf):
     got = answer.evidence(_reranked(spark, sf))
     q = dt.questions(spark).select("qid", "question")
-    return got.join(F.broadcast(q), "qid").select("qid", "n_excerpts", F.sha2(answer.user_message(F.col("question"), F.col("evidence")), 256).alias("message_hash"))
+    return got.join(small(q), "qid").select("qid", "n_excerpts", F.sha2(answer.user_message(F.col("question"), F.col("evidence")), 256).alias("message_hash"))
 
 
 @query
@@ -343,6 +358,14 @@ def citation_extract(spark, sf):
     return own.select("conv_id", "turn", F.array_join(F.transform(answer.cited_numbers(F.col("t")), lambda x: x.cast("string")), ",").alias("numbers"))
 
 
+@query
+def not_found_forms(spark, sf):
+    """A model's refusal as either evaluation reads it: at the answer's start, and anywhere in it."""
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(f"  {NOT_FOUND} "), "text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(f" {NOT_FOUND}"))).otherwise(F.col("text"))
+    own = read(spark, sf, "conversations").select("conv_id", "turn", said.alias("t"))
+    return own.select("conv_id", "turn", answer.is_not_found(F.col("t")).alias("at_start"), answer.is_not_found(F.col("t"), anywhere=True).alias("anywhere"))
+
+
 @query
 def outcome_classify(spark, sf):
     asked, _, final = _ranked(spark, sf)
@@ -443,7 +466,7 @@ def oversize_report(spark, sf):
 
 @query
 def force_split(spark, sf):
-    own = read(spark, sf, "documents").select("doc_id", F.posexplode(tk.force_split(F.col("text"), MAX_TOKENS)).alias("place", "piece"))
+    own = tk.force_split(read(spark, sf, "documents").select("doc_id", "text"), "text", MAX_TOKENS)
     return own.select("doc_id", F.col("place").cast("long").alias("place"), F.length("piece").cast("long").alias("chars"), F.sha2("piece", 256).alias("hash"))
 
 
@@ -517,6 +540,50 @@ def walk_filter(spark, sf):
     return corpus.walked(files).select("relative_path", "department", "source_path")
 
 
+def _conversations(spark, sf, line) -> DataFrame:
+    """conv_id, body: a line or block for each turn, in turn."""
+    turns = read(spark, sf, "conversations").select("conv_id", F.struct("turn", line.alias("l")).alias("t"))
+    return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["l"]).alias("ls"))
+
+
+@query
+def chunk_sections(spark, sf):
+    """Conversations as Markdown, a heading of level 1 to 3 for each turn: the sections with their heading paths."""
+    block = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text")
+    own = _conversations(spark, sf, block).select("conv_id", F.posexplode(chunking.section_column(F.array_join("ls", "\n"))).alias("place", "s"))
+    return own.select("conv_id", F.col("place").cast("long").alias("place"), F.array_join("s.path", " > ").alias("path"), F.sha2("s.text", 256).alias("hash"))
+
+
+@query
+def packed_paragraphs(spark, sf):
+    """Lines as paragraphs in groups of at most 100 tokens; a longer one is a group of its own."""
+    own = read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.packed_column(F.split("text", "\n"), 100)).alias("place", "g"))
+    return own.select("doc_id", F.col("place").cast("long").alias("place"), F.col("g.first").cast("long").alias("first"), F.col("g.units").cast("long").alias("units"), F.col("g.tokens").cast("long").alias("tokens"), F.col("g.whole").alias("whole"))
+
+
+def _words() -> Column:
+    return F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
+
+
+def _cut(own: DataFrame, body) -> DataFrame:
+    found = own.select("conv_id", F.posexplode(chunking.cut_column(body, 40)).alias("place", "piece"))
+    return found.select("conv_id", F.col("place").cast("long").alias("place"), F.length("piece").cast("long").alias("chars"), F.sha2("piece", 256).alias("hash"))
+
+
+@query
+def table_pieces(spark, sf):
+    """A table with a row for each turn, cut at rows; every piece repeats the header."""
+    row = F.concat(F.lit("| "), F.col("turn").cast("string"), F.lit(" | "), _words(), F.lit(" |"))
+    return _cut(_conversations(spark, sf, row), F.concat(F.lit("| turn | words |\n|---|---|\n"), F.array_join("ls", "\n")))
+
+
+@query
+def code_pieces(spark, sf):
+    """A fenced block with a line for each turn, cut at lines; every piece is fenced."""
+    line = F.concat(F.lit("say("), F.col("turn").cast("string"), F.lit(") "), _words())
+    return _cut(_conversations(spark, sf, line), F.concat(F.lit("```py\n"), F.array_join("ls", "\n"), F.lit("\n```")))
+
+
 @query
 def paragraph_packing(spark, sf):
     """Texts, lines as paragraphs, packed to the token cap: no SQL says the same, tests hold it against a brute-force version."""

@@ -1,4 +1,4 @@
-"""The driver's tables seen as a corpus: sources are folders, one document is one chunk, the first ten vectors are questions'."""
+"""The driver's tables seen as a corpus: sources are folders, one document is one chunk, and each question is asked with the vector of a row."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.config import CONTENT_ROOT, FOLDERS, GRANTS, USERS
 from lodestrata.operators import acl
 from lodestrata.sources import seeds
+from lodestrata.sources.shared import small
 
-FIRST_DOC = 10
 GUEST = "guest@example.com"
 #: qid, email, role, vec_id, question, category, expect_refusal, expected_doc_paths: fixed values, as no text of the tables asks anything.
 QUESTIONS = [
@@ -35,21 +35,21 @@ def folders(spark: SparkSession) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Allowed documents: doc_id, source, folder, department, source_path, content, content_hash."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.col("text").alias("content"))
-    both = docs.join(F.broadcast(folders(spark)), "source")
+    both = docs.join(small(folders(spark)), "source")
     path = F.concat(F.lit(CONTENT_ROOT + "/"), "folder", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return both.select("doc_id", "source", "folder", "department", path.alias("source_path"), "content", F.sha2("content", 256).alias("content_hash"))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """chunk_id, department, source_path, heading_path, content of the corpus."""
-    docs = documents(spark, sf).where(F.col("doc_id") >= FIRST_DOC)
+    docs = documents(spark, sf)
     return docs.select(F.col("doc_id").alias("chunk_id"), "department", "source_path", F.col("source_path").alias("heading_path"), "content")
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").where(F.col("doc_id") >= FIRST_DOC)
-    own = docs.join(F.broadcast(folders(spark)), "source").select("doc_id", "department")
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").where(F.col("vec_id") >= FIRST_DOC)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    own = docs.join(small(folders(spark)), "source").select("doc_id", "department")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     return vectors.join(own, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("chunk_id"), "department", "embedding")
 
 
@@ -69,8 +69,8 @@ def questions(spark: SparkSession, sf: str | None = None) -> DataFrame:
     rows = rows.withColumn("qid", F.col("qid").cast("long")).withColumn("email", F.col("email").cast("string")).withColumn("role", F.col("role").cast("string")).withColumn("expected_doc_paths", F.split("paths", r"\|")).drop("paths")
     if sf is None:
         return rows.drop("vec_id")
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where(F.col("vec_id") < FIRST_DOC).select(F.col("vec_id").cast("long").alias("of_vec"), F.col("embedding").alias("vector"))
-    return rows.join(F.broadcast(vectors), F.col("vec_id") == F.col("of_vec"), "left").drop("vec_id", "of_vec")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where(F.col("vec_id").isin(sorted({q[3] for q in QUESTIONS}))).select(F.col("vec_id").cast("long").alias("of_vec"), F.col("embedding").alias("vector"))
+    return rows.join(small(vectors), F.col("vec_id") == F.col("of_vec"), "left").drop("vec_id", "of_vec")
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +92,7 @@ docs AS (
   SELECT doc_id, source, folder, department, '{CONTENT_ROOT}/' || folder || '/' || doc_id || '.md' AS source_path, text AS content, sha256(text) AS content_hash
   FROM documents JOIN folders USING (source)
 ),
-chunks AS (SELECT doc_id AS chunk_id, department, source_path, source_path AS heading_path, content FROM docs WHERE doc_id >= {FIRST_DOC}),
+chunks AS (SELECT doc_id AS chunk_id, department, source_path, source_path AS heading_path, content FROM docs),
 emb AS (SELECT vec_id AS chunk_id, department, embedding FROM embeddings JOIN chunks ON vec_id = chunk_id),
 grants(role, department) AS (VALUES {_rows([(r, d) for r, ds in GRANTS.items() for d in ds])}),
 seed_users(email, role) AS (VALUES {_rows([*USERS.items(), (GUEST, None)])}),

@@ -78,6 +78,27 @@ def _w(*parts: str) -> str:
     return f"WITH {BASE_SQL}" + "".join(f", {p}" for p in parts)
 
 
+#: Turns as lines: conv_id, k (from 0), t.
+_TURN = "regexp_replace(text[1:60], '[^A-Za-z ]', '', 'g')"
+
+
+def _packed(units: str, key: str, most: int, frame: str = "0") -> str:
+    """units (key, k, t, n) with g: a new group where n more tokens don't fit; what is over the cap alone is a group alone."""
+    full = f"({frame} + r.n > {most} OR {frame} + u.n > {most} OR r.size + u.n > {most})"
+    return f"""RECURSIVE u AS ({units}), r AS (
+      SELECT {key}, k, t, n, {frame} + n AS size, 0 AS g FROM u WHERE k = 0
+      UNION ALL SELECT u.{key}, u.k, u.t, u.n, CASE WHEN {full} THEN {frame} + u.n ELSE r.size + u.n END, r.g + {full}::INT FROM r JOIN u ON u.{key} = r.{key} AND u.k = r.k + 1
+    )"""
+
+
+def _pieces(line: str, head: str, tail: str) -> str:
+    frame = f"(len(regexp_extract_all({head}, '{TOKEN}')) + len(regexp_extract_all({tail}, '{TOKEN}')))"
+    units = f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, {line} AS t, len(regexp_extract_all({line}, '{TOKEN}')) AS n FROM conversations"
+    join = "|| chr(10) ||"
+    return f"""WITH {_packed(units, 'conv_id', 40, frame)}, p AS (SELECT conv_id, g, string_agg(t, chr(10) ORDER BY k) AS b FROM r GROUP BY conv_id, g), x AS (SELECT conv_id, g, {head} {join} b {f"{join} {tail}" if tail != "''" else ""} AS piece FROM p)
+      SELECT conv_id, g::BIGINT AS place, length(piece) AS chars, sha256(piece) AS hash FROM x"""
+
+
 _SIZED = f"sized AS (SELECT department, source_path, content, len(regexp_extract_all(content, '{TOKEN}'))::BIGINT AS t FROM docs)"
 
 SQL: dict[str, str] = {
@@ -89,6 +110,16 @@ SQL: dict[str, str] = {
     "upsert_documents": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",
     "upsert_counts": _w(STORED) + " SELECT count(*) FILTER (s.id IS NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS updated FROM docs d LEFT JOIN stored s USING (source_path)",
     "embedding_cascade": _w(STORED) + " SELECT chunk_id, department FROM emb WHERE chunk_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned')",
+    "reference_set_null": _w(STORED) + " SELECT vec_id, CASE WHEN vec_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned') THEN vec_id END AS document_id FROM embeddings",
+    "retriever_active": _w(f"live AS (SELECT * FROM chunks WHERE chunk_id % 11 <> 0), live_emb AS (SELECT * FROM emb WHERE chunk_id % 11 <> 0), {HYBRID.replace('FROM chunks', 'FROM live').replace('JOIN emb e', 'JOIN live_emb e')}")
+    + " SELECT qid, chunk_id, department, dense_rank, lexical_rank, round(rrf_score, 6) AS rrf_score, rank FROM hybrid",
+    "not_found_forms": f"WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '  {_N} ' || text WHEN 1 THEN text || ' {_N}' ELSE text END AS t FROM conversations) SELECT conv_id, turn, starts_with(trim(t), '{_N}') AS at_start, contains(t, '{_N}') AS anywhere FROM t",
+    "chunk_sections": """WITH t AS (SELECT conv_id, turn, turn % 3 + 1 AS level, role || ' ' || turn AS head, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+      h AS (SELECT t.conv_id, t.place, string_agg(a.head, ' > ' ORDER BY a.turn) AS path FROM t JOIN t a ON a.conv_id = t.conv_id AND a.turn <= t.turn WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.conv_id = t.conv_id AND u.turn > a.turn AND u.turn <= t.turn AND u.level <= a.level) GROUP BY t.conv_id, t.place)
+      SELECT t.conv_id, t.place, path, sha256(trim(text)) AS hash FROM t JOIN h USING (conv_id, place)""",
+    "packed_paragraphs": f"WITH {_packed(f"SELECT doc_id, k, ls[k + 1] AS t, len(regexp_extract_all(ls[k + 1], '{TOKEN}')) AS n FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))", 'doc_id', 100)} SELECT doc_id, g::BIGINT AS place, min(k) AS first, count(*) AS units, sum(n)::BIGINT AS tokens, bool_and(n <= 100) AS whole FROM r GROUP BY doc_id, g",
+    "table_pieces": _pieces(f"'| ' || turn || ' | ' || {_TURN} || ' |'", "'| turn | words |' || chr(10) || '|---|---|'", "''"),
+    "code_pieces": _pieces(f"'say(' || turn || ') ' || {_TURN}", "'```py'", "'```'"),
     "replace_chunks": _w(STORED, DIFF) + " SELECT doc_id, 0::BIGINT AS chunk_index, 'old' AS generation FROM diff WHERE change NOT IN ('added', 'updated') UNION ALL SELECT doc_id, unnest(range(len(string_split(content, chr(10)))))::BIGINT, 'new' FROM diff WHERE change IN ('added', 'updated')",
     "ingest_balance": _w(STORED, DIFF, "st AS (SELECT CASE WHEN length(content) < 40 THEN 'skipped_stub' ELSE change END AS s FROM diff)")
     + " SELECT count(*) AS walked, count(*) FILTER (s = 'added') AS added, count(*) FILTER (s IN ('updated', 'reactivated')) AS updated, count(*) FILTER (s = 'unchanged') AS unchanged, count(*) FILTER (s = 'skipped_stub') AS skipped_stub, 0::BIGINT AS skipped_empty, 0::BIGINT AS errored, count(*) FILTER (s IN ('added', 'updated')) AS chunks_written, true AS balanced FROM st",

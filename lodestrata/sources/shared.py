@@ -1,20 +1,62 @@
-"""Rows kept in the folder that all executors share."""
+"""Rows kept in the folder that all executors share, and sizes that decide whether rows may be broadcast."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A relation is broadcast only if its measured size is at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where it is unset, as in local tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestrata-checkpoints"
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session, as in tests, may go without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+    return f"{tempfile.gettempdir()}/lodestrata-checkpoints"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; what reads it twice doesn't compute it twice, and it survives lost executors."""
+    """df, computed once and written to the shared folder; what reads it twice doesn't compute it twice, and it survives lost executors.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files once nothing refers to them.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this package wrote and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df's values, measured by one aggregate, stay under limit bytes, so that it may be broadcast."""
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(quoted(name))
+        if kind == "string" or kind == "binary":
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+        elif kind.startswith("array"):
+            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)).cast("long")
+        else:
+            size = size + F.lit(16).cast("long")
+    got = df.agg(F.coalesce(F.sum(size + F.lit(32).cast("long")), F.lit(0)).alias("n")).first()
+    return got["n"] <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked to be broadcast if it is measured to be small enough; else Spark shuffles it."""
+    return F.broadcast(df) if bounded(df, limit) else df

@@ -1,8 +1,10 @@
 import math
+import os
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.functions.chunking import Chunker, Section, common_path, fenced, sections
 from lodestrata.functions.tokens import Approximate, tokenizer
@@ -96,3 +98,32 @@ def test_bound_holds_for_any_text(body, least, most):
 def test_windows_cover(n, most):
     got = Chunker(1, most).windows(" ".join(["w"] * n))
     assert "".join(got) == " ".join(["w"] * n) and len(got) <= math.ceil(n / max(1, math.ceil(n / math.ceil(n / most))))
+
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no rank file")
+@pytest.mark.parametrize("text", ["plain words only, and more of them " * 30, "é" * 200, "日本語のテキスト" * 40, "👩‍👩‍👧‍👦 zwj " * 30, "naïve café — “quoted” … " * 20])
+def test_vocabulary_windows_join_to_the_text(text):
+    v = tokenizer(RANKS)
+    for most in (5, 17, 64):
+        got = v.windows(text, most)
+        assert "".join(got) == text and "\ufffd" not in "".join(got) and len(got) >= -(-v.count(text) // most) - 1
+    assert v.windows(text, 10_000) == [text]
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no rank file")
+def test_a_rank_file_decides_sizes(spark):
+    from lodestrata.functions.chunking import chunk_column
+
+    rows = spark.createDataFrame([("# A\n" + "Some words, é and more. " * 60,)], "body string")
+    got = rows.select(chunk_column(F.col("body"), F.lit("T"), 5, 50, RANKS).alias("c")).first()["c"]
+    v = tokenizer(RANKS)
+    assert got["error"] is None and len(got["chunks"]) > 3 and all(c["token_count"] == v.count(c["content"]) for c in got["chunks"])
+
+
+def test_packing_groups_every_unit_once():
+    c = Chunker(0, 10)
+    groups = c.pack(["a b", "c " * 30, "d", "e f g h i j k", "l"], lambda g: (g, True), 1, lambda t: [([t], False)])
+    assert [g for g, _ in groups] == [["a b"], ["c " * 30], ["d", "e f g h i j k", "l"]] and [w for _, w in groups] == [True, False, True]

@@ -153,4 +153,40 @@ def test_settings_and_allowlist():
 
 
 def test_front_matter():
-    assert corpus.front_title("title: A b ") == "A b" and corpus.front_title("title: 5") is None and corpus.front_title("a: [") is None and corpus.front_title("- x") is None
+    assert corpus.front_title("title: A b ") == "A b" and corpus.front_title("title: 5") is None and corpus.front_title("- x") is None and corpus.front_title("") is None
+
+
+FILES = [
+    ("---\ntitle: T\n---\nbody", "T", "body", None), ("---\n---\nbody", None, "body", None), ("---\r\ntitle: T\r\n---\r\nbody", "T", "body", None), ("no front\n---\nx", None, "no front\n---\nx", None),
+    ("---\ntitle: T\nsummary: x---\nowner: me\n---\nbody\n---\nmore", "T", "body\n---\nmore", None), ("---\ntitle: [\n---\nbody", None, "body", "ParserError"), ("---\ntitle: T\nnever closed", None, "---\ntitle: T\nnever closed", None),
+]
+
+
+def test_front_matter_of_files(spark):
+    """Only a line of three dashes closes the block, and broken YAML is the file's error."""
+    rows = spark.createDataFrame([(k, bytearray(f[0].encode())) for k, f in enumerate(FILES)], "k int, content binary")
+    got = {r["k"]: r for r in corpus.parsed(rows).collect()}
+    for k, (_, title, body, error) in enumerate(FILES):
+        assert (got[k]["front_title"], got[k]["body"]) == (title, body), k
+        assert got[k]["error"].startswith(error) if error else got[k]["error"] is None, k
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lodestrata.sources import shared
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_folder(far)
+    far.conf.get = lambda *_: "hdfs://somewhere"
+    assert shared.shared_folder(far) == "hdfs://somewhere"
+
+
+def test_broadcast_is_measured(spark):
+    from lodestrata.sources.shared import bounded, small
+
+    rows = spark.createDataFrame([("x" * 1000,)] * 50, "t string")
+    assert bounded(rows) and not bounded(rows, 10_000)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(spark.range(3).crossJoin(small(rows))) and "broadcast" not in plan(spark.range(3).crossJoin(small(rows, 10_000)))
