@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from lodestrata.session import found_by_workers
+from lodestrata.sources.shared import bounded, quoted, removed, shared_folder
 from lodestrata.sources.shared import kept as cut
-from lodestrata.sources.shared import shared_folder
-
-#: A relation is broadcast only if its measured size is at most this many bytes.
-BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,25 +41,6 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether df's values, measured by one aggregate, stay under limit bytes, so that it may be broadcast."""
-    size = F.lit(0).cast("long")
-    for name, kind in df.dtypes:
-        c = F.col(quoted(name))
-        if kind == "string" or kind == "binary":
-            size = size + F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
-        elif kind.startswith("array"):
-            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)).cast("long")
-        else:
-            size = size + F.lit(16).cast("long")
-    got = df.agg(F.coalesce(F.sum(size + F.lit(32).cast("long")), F.lit(0)).alias("n")).first()
-    return got["n"] <= limit
-
-
 def ranked(df: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
     """df, whose rows are narrow, with its gapless 0-based rank by keys, found without bringing all rows to one task.
 
@@ -142,4 +120,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["BROADCAST_BYTES", "bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "shared_folder", "slices", "table", "text_hash", "with_results"]
+__all__ = ["bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "removed", "shared_folder", "slices", "table", "text_hash", "with_results"]
