@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bayes_jaccard, decontam, line_dedup, pack_pow2, toxicity
-from lodestrata.llm.common import shared_folder, table
+from lodestrata.llm.common import removed, shared_folder, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir; what lies between them is written to the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over the documents of sf_dir; what lies between them is written to the shared checkpoint folder.
+
+    A stage's rows go once the next one's are written; the last one's stay, as the caller reads them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{folder}/{name}"
     return docs
