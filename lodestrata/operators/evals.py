@@ -97,7 +97,8 @@ def latest_runs(runs: DataFrame, n: int = 5) -> DataFrame:
 def percentile_index(values: DataFrame, value: str, shares: list[float], key: list[str] | None = None) -> DataFrame:
     """The value at 0-based place floor(n * share) of the sorted values, the last at most; a row a share.
 
-    Values are counted first, so that what is ordered are distinct values with running counts, not rows.
+    Values are counted first, so that what is ordered are distinct values with running counts, not rows. Without a key they are ordered
+    in one task: this is meant for values with few distinct ones, such as token counts, whose number their bound limits.
     """
     key = key or []
     counts = values.groupBy(*key, value).agg(F.count("*").alias("c"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from lodestrata.operators import acl, answer, evals, fusion, ingest, rerank, sea
 from lodestrata.plans import driver_tables as dt
 from lodestrata.plans import oracle
 from lodestrata.sources import corpus, seeds, store
-from lodestrata.sources.shared import kept, small
+from lodestrata.sources.shared import kept, shared_folder, small
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -76,6 +77,16 @@ def upsert_documents(spark, sf):
     return store.upserted(_stored(spark, sf), new, ["source_path"]).select("id", "source_path", "content_hash", "status")
 
 
+@query
+def stored_snapshot(spark, sf):
+    """Through the store: an older state is committed, the new documents are upserted by key, and the pointer shows the result."""
+    s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    shaped = lambda df: df.select("id", F.lit("handbook").alias("source"), "source_path", "department", "content_hash", "status")
+    s.commit({"documents": shaped(_stored(spark, sf))})
+    s.upsert("documents", shaped(dt.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "source_path", "department", "content_hash", F.lit("active").alias("status"))))
+    return s.read("documents").select("id", "source_path", "content_hash", "status")
+
+
 @query
 def upsert_counts(spark, sf):
     return store.upsert_tally(_stored(spark, sf), dt.documents(spark, sf), ["source_path"])

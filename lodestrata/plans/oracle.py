@@ -108,6 +108,7 @@ SQL: dict[str, str] = {
     "hash_diff": _w(STORED, DIFF) + " SELECT doc_id, change FROM diff",
     "tombstone_diff": _w(STORED) + " SELECT id, CASE WHEN status = 'active' AND source_path NOT IN (SELECT source_path FROM docs) THEN 'tombstoned' ELSE status END AS status FROM stored",
     "upsert_documents": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",
+    "stored_snapshot": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",
     "upsert_counts": _w(STORED) + " SELECT count(*) FILTER (s.id IS NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS updated FROM docs d LEFT JOIN stored s USING (source_path)",
     "embedding_cascade": _w(STORED) + " SELECT chunk_id, department FROM emb WHERE chunk_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned')",
     "reference_set_null": _w(STORED) + " SELECT vec_id, CASE WHEN vec_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned') THEN vec_id END AS document_id FROM embeddings",
