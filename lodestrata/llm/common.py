@@ -60,7 +60,16 @@ def ranked(df: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
 
 
 #: Rows of whole texts, and bytes of them, that a Python worker works at once: texts vary from words to megabytes.
-TEXT_ROWS, TEXT_BYTES = 500, 1 << 20
+TEXT_ROWS, TEXT_BYTES = 500, 1 << 19
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> SparkSession:
+    """For jobs (the registered queries, the pipeline's stages) whose executors have little memory: from now on Python workers of this
+    session get at most so many rows at once. Operators never change the session; they cut what they get."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    return spark
 
 
 def by_bytes(texts: pd.Series, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
@@ -120,4 +129,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "removed", "shared_folder", "slices", "table", "text_hash", "with_results"]
+__all__ = ["bounded", "by_bytes", "cut", "fresh", "mix64", "quoted", "ranked", "removed", "shared_folder", "slices", "table", "text_batches", "text_hash", "with_results"]

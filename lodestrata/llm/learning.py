@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_bytes
+from lodestrata.llm.common import TEXT_BYTES, by_bytes
 
 
 def remainder(doc_id: Column | str, n: int) -> Column:
@@ -87,7 +87,7 @@ def logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
 
 
-def batches_of(frames: Iterator[pd.DataFrame], text: str = "text", limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
+def batches_of(frames: Iterator[pd.DataFrame], text: str = "text", limit: int = TEXT_BYTES) -> Iterator[pd.DataFrame]:
     """Frames cut so that each holds about limit characters of text."""
     for f in frames:
         for lo, hi in by_bytes(f[text], limit):

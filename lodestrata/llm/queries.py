@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bayes_jaccard, decontam, hilbert, html_crf, langid_cnn, line_dedup, pack_pow2, pu_quality, topk_mih, toxicity
-from lodestrata.llm.common import table
+from lodestrata.llm.common import table, text_batches
 from lodestrata.llm.learning import remainder
 
 
@@ -66,7 +66,11 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_multi_index_topk, op2_html_tree_model, op3_byte_cnn_langid, op4_line_dedup, op5_decontamination, op6_pu_quality, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
-    return {f.__name__: f for f in found}
+    return {f.__name__: _in_batches(f) for f in found}
+
+
+def _in_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(text_batches(spark), sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
