@@ -204,22 +204,24 @@ def outcome_migration(spark, sf):
 
 
 def _allow(spark, sf):
-    asked = dt.asked(spark, sf)
+    """Askers and their departments, computed once: what is measured and joined later reads them again."""
+    asked = kept(dt.asked(spark, sf))
     return asked, acl.allowed(asked)
 
 
-def _dense(spark, sf):
-    asked, allow = _allow(spark, sf)
-    return search.dense_pools(asked, allow, dt.embeddings(spark, sf), K_PER_BRANCH)
+def _dense(spark, sf, asked=None):
+    asked = asked or _allow(spark, sf)
+    return search.dense_pools(*asked, dt.embeddings(spark, sf), K_PER_BRANCH)
 
 
-def _lexical(spark, sf):
-    asked, allow = _allow(spark, sf)
-    return search.matches(asked, allow, search.chunk_terms(dt.chunks(spark, sf)))
+def _lexical(spark, sf, asked=None):
+    asked = asked or _allow(spark, sf)
+    return search.matches(*asked, search.chunk_terms(dt.chunks(spark, sf)))
 
 
-def _hybrid(spark, sf):
-    return fusion.rrf(search.dense_ranked(_dense(spark, sf)), search.lexical_ranked(_lexical(spark, sf)), POOL)
+def _hybrid(spark, sf, asked=None):
+    asked = asked or _allow(spark, sf)
+    return fusion.rrf(search.dense_ranked(_dense(spark, sf, asked)), search.lexical_ranked(_lexical(spark, sf, asked)), POOL)
 
 
 def _pairs(spark, sf):
@@ -232,8 +234,8 @@ def _reranked(spark, sf):
 
 def _ranked(spark, sf):
     """Askers, fused pool and final hits, each computed once: pool sizes bound them, and all that follows reads them again."""
-    asked, _ = _allow(spark, sf)
-    wide = kept(_hybrid(spark, sf))
+    both = asked, _ = _allow(spark, sf)
+    wide = kept(_hybrid(spark, sf, both))
     final = kept(rerank.rerank(rerank.pairs(wide, dt.questions(spark), dt.chunks(spark, sf)), top_k=FINAL_K))
     return asked, wide, final
 
@@ -324,8 +326,8 @@ def acl_clean(spark, sf):
 @query
 def acl_violations(spark, sf):
     """Hits outside the asker's departments: none."""
-    _, allow = _allow(spark, sf)
-    return acl.violations(_hybrid(spark, sf), allow).agg(F.count("*").alias("n"))
+    both = _, allow = _allow(spark, sf)
+    return acl.violations(_hybrid(spark, sf, both), allow).agg(F.count("*").alias("n"))
 
 
 # -- answers --------------------------------------------------------------------------------------------------------------------------
