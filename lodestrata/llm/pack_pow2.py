@@ -67,6 +67,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in same} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def merges_follow_ids(model: dict, special: set[str]) -> bool:
+    """Whether the merges make every token of more than one letter, one each, in the order of their ids: only then do ids alone tell what merges first."""
+    vocab = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab.get("".join(p)) for p in pairs]
+    letters = {t for t in vocab if len(t.removesuffix(SUFFIX)) == 1}
+    return None not in made and all(a < b for a, b in zip(made, made[1:])) and len(made) == len(vocab) - len(letters) - len(special & vocab.keys())
+
+
 class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, through a cache of the ids of words.
 
@@ -86,7 +95,7 @@ class WordIds:
         rules = json.loads(Path(path).read_text(encoding="utf-8"))
         # every rule counts: a file that differs in one of them is read whole
         own = {k: rules.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")} | {"model": {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}}
-        self.by_word = own == WORD_RULES
+        self.by_word = own == WORD_RULES and merges_follow_ids(rules["model"], set(self.special))
         if self.by_word:
             letters, special = byte_letters(), set(self.special)
             ranks = {}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bayes_jaccard, decontam, hilbert, html_crf, langid_cnn, line_dedup, pack_pow2, pu_quality, topk_mih, toxicity
-from lodestrata.llm.common import table, text_batches
+from lodestrata.llm import bayes_jaccard, decontam, hilbert, html_crf, langid_cnn, line_dedup, pack_pow2, pu_quality, resampling, token_records, topk_mih, toxicity, whitening
+from lodestrata.llm.common import shared_folder, table, text_batches
 from lodestrata.llm.learning import remainder
 
 
@@ -64,9 +65,24 @@ def op10_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pow2.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_crc_ring_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' token ids, written as records and read back; the files stay in the shared folder, as the rows are read from them."""
+    folder = f"{shared_folder(spark)}/token-records-{uuid.uuid4().hex}"
+    token_records.write(table(spark, sf_dir, "documents"), folder)
+    return token_records.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index_topk, op2_html_tree_model, op3_byte_cnn_langid, op4_line_dedup, op5_decontamination, op6_pu_quality, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing)
-    return {f.__name__: f if f is op1_multi_index_topk else _in_batches(f) for f in found}
+    found = (op1_multi_index_topk, op2_html_tree_model, op3_byte_cnn_langid, op4_line_dedup, op5_decontamination, op6_pu_quality, op7_bayes_jaccard_join, op8_levenshtein_toxicity, op9_hilbert_shards, op10_pow2_packing, op11_crc_ring_resampling, op12_token_records, op13_svd_whitening)
+    return {f.__name__: f if f in (op1_multi_index_topk, op13_svd_whitening) else _in_batches(f) for f in found}
 
 
 def _in_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -74,4 +90,4 @@ def _in_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index_topk": topk_mih.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL}
+    return {"op1_multi_index_topk": topk_mih.ORACLE_SQL, "op5_decontamination": decontam.ORACLE_SQL, "op11_crc_ring_resampling": resampling.ORACLE_SQL}
