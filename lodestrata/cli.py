@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata.config import FINAL_K, MAX_TOKENS, MIN_TOKENS, PROMPT_VERSION, Settings, load_allowlist
 from lodestrata.functions import chunking, providers
 from lodestrata.operators import acl, answer, evals, fusion, ingest, rerank, search
+from lodestrata.operators.vector_index import VectorIndex
 from lodestrata.session import local_session
 from lodestrata.sources import corpus, seeds
 from lodestrata.sources.store import Store
@@ -67,7 +68,7 @@ class Session:
         docs = self.store.read("documents").select(F.col("id").alias("d_id"), "source_path")
         chunks = self.store.read("chunks").where("status = 'active'")
         self.chunks = chunks.join(docs, F.col("document_id") == F.col("d_id")).select(F.col("id").alias("chunk_id"), "department", "content", "heading_path", "source_path", "status")
-        self.embeddings, self.terms = self.store.read("chunk_embeddings"), self.store.read("chunk_terms")
+        self.embeddings, self.terms, self.cells = self.store.read("chunk_embeddings"), self.store.read("chunk_terms"), VectorIndex(self.store)
         self.users = acl.by_email(seeds.users(spark), seeds.user_roles(spark), seeds.role_department_access(spark))
         self.roles = acl.by_role(seeds.roles(spark), seeds.role_department_access(spark))
 
@@ -75,7 +76,7 @@ class Session:
         return questions.withColumn("vector", providers.offline_embedder()(F.col("question")))
 
     def hits(self, questions: DataFrame, pool: int = 25) -> DataFrame:
-        return fusion.Retriever(search.TableBackend(self.embeddings, self.chunks, english=True, terms=self.terms), self.users, self.roles).retrieve(questions, top_k=pool)
+        return fusion.Retriever(search.TableBackend(self.embeddings, self.chunks, english=True, terms=self.terms, cells=self.cells), self.users, self.roles).retrieve(questions, top_k=pool)
 
     def final(self, hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         return rerank.rerank(rerank.pairs(hits, questions, self.chunks), top_k=k)

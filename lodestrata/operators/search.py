@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.config import K_PER_BRANCH
 from lodestrata.functions import analysis, vectors
+from lodestrata.operators import postings, vector_index
+from lodestrata.operators.ranking import question_terms, top
 from lodestrata.sources.shared import small
 
 
@@ -31,11 +33,6 @@ def scored(questions: DataFrame, allow: DataFrame, embeddings: DataFrame, unit:
     return embeddings.join(small(asked), "department").select("qid", "chunk_id", "department", score.alias("dense_score")).where("dense_score is not null")
 
 
-def top(rows: DataFrame, within: list[str], order: list[Column], k: int, name: str) -> DataFrame:
-    """The first k of each group with their rank; Spark cuts each partition to k before it shuffles."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long")).where(F.col(name) <= k)
-
-
 def dense_pools(questions: DataFrame, allow: DataFrame, embeddings: DataFrame, k: int = K_PER_BRANCH, unit: bool = True) -> DataFrame:
     """The best k of each department a question may see, with rank_in_department."""
     return top(scored(questions, allow, embeddings, unit), ["qid", "department"], [F.desc("dense_score"), F.asc("chunk_id")], k, "rank_in_department")
@@ -47,26 +44,26 @@ def dense_ranked(pools: DataFrame) -> DataFrame:
     return pools.withColumn("dense_rank", F.row_number().over(w).cast("long"))
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """The inverted index: chunk_id, department, term, n."""
-    words = chunks.select("chunk_id", "department", F.explode(analysis.tokens(F.col("content"))).alias("term"))
-    return words.groupBy("chunk_id", "department", "term").agg(F.count("*").alias("n"))
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """chunk_id, department, term: every word where it stands, so nothing is shuffled before a join picks the asked ones."""
+    return chunks.select("chunk_id", "department", F.explode(analysis.tokens(F.col("content"))).alias("term"))
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """qid, term, n_terms; a question without terms has no row, so it matches nothing."""
-    found = questions.select("qid", analysis.terms(F.col("question")).alias("ts"))
-    return found.select("qid", F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """The inverted index: chunk_id, department, term, n. It groups all words of all chunks: for an index that is stored."""
+    return chunk_words(chunks).groupBy("chunk_id", "department", "term").agg(F.count("*").alias("n"))
 
 
 def matches(questions: DataFrame, allow: DataFrame, terms: DataFrame) -> DataFrame:
     """qid, chunk_id, department, lexical_score of every allowed chunk that has all terms; the score is how often they occur.
 
-    Only the postings of asked terms survive the first join, in an allowed department, before anything is grouped.
+    terms are chunk_words(), or postings with n. Only those of asked terms in an allowed department survive the first join, a broadcast one
+    while the asked terms are few, and they are grouped in each task before anything is shuffled.
     """
     asked = question_terms(questions).join(allow, "qid")
     found = terms.join(small(asked), ["term", "department"])
-    whole = found.groupBy("qid", "chunk_id", "department").agg(F.count("*").alias("n_found"), F.max("n_terms").alias("n_terms"), F.sum("n").alias("lexical_score"))
+    score = F.sum("n") if "n" in terms.columns else F.count("*")
+    whole = found.groupBy("qid", "chunk_id", "department").agg(F.size(F.collect_set("term")).alias("n_found"), F.max("n_terms").alias("n_terms"), score.alias("lexical_score"))
     return whole.where("n_found = n_terms").select("qid", "chunk_id", "department", F.col("lexical_score").cast("long").alias("lexical_score"))
 
 
@@ -91,18 +88,25 @@ def english_matches(questions: DataFrame, allow: DataFrame, terms: DataFrame) ->
 
 
 class TableBackend:
-    """Exact search over DataFrames: embeddings (chunk_id, department, embedding) and chunks (chunk_id, department, content, status)."""
+    """Exact search over DataFrames: embeddings (chunk_id, department, embedding) and chunks (chunk_id, department, content, status).
+
+    terms: stored English lexemes. blocks: stored block-max postings, for the simple analyser. cells: a stored vector index, for the dense branch.
+    """
 
-    def __init__(self, embeddings: DataFrame, chunks: DataFrame, english: bool = False, unit: bool = True, terms: DataFrame | None = None):
+    def __init__(self, embeddings: DataFrame, chunks: DataFrame, english: bool = False, unit: bool = True, terms: DataFrame | None = None, blocks: DataFrame | None = None, cells: vector_index.VectorIndex | None = None):
         live = chunks.where("status = 'active'") if "status" in chunks.columns else chunks
         self.embeddings = embeddings.join(live.select("chunk_id"), "chunk_id", "left_semi") if "status" in chunks.columns else embeddings
-        self.english, self.unit = english, unit
+        self.english, self.unit, self.blocks, self.cells = english, unit, blocks, cells
         # a stored index saves analysing all texts for each batch of questions
-        index = terms if terms is not None else english_terms(live) if english else chunk_terms(live)
+        index = terms if terms is not None else english_terms(live) if english else chunk_words(live)
         self.terms = index.join(live.select("chunk_id"), "chunk_id", "left_semi") if terms is not None and "status" in chunks.columns else index
 
     def dense(self, questions: DataFrame, allow: DataFrame, k: int = K_PER_BRANCH) -> DataFrame:
+        if self.cells:
+            return dense_ranked(self.cells.search(questions, allow, k))
         return dense_ranked(dense_pools(questions, allow, self.embeddings, k, self.unit))
 
     def lexical(self, questions: DataFrame, allow: DataFrame, k: int = K_PER_BRANCH) -> DataFrame:
+        if self.blocks is not None and not self.english:
+            return postings.ranked(questions, allow, self.blocks, k)
         return lexical_ranked((english_matches if self.english else matches)(questions, allow, self.terms), k)

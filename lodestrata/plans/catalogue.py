@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +13,11 @@ from lodestrata.config import FINAL_K, K_PER_BRANCH, MAX_TOKENS, NOT_FOUND, POOL
 from lodestrata.functions import analysis, chunking, providers, vectors
 from lodestrata.functions import text as tx
 from lodestrata.functions import tokens as tk
-from lodestrata.operators import acl, answer, evals, fusion, ingest, rerank, search
+from lodestrata.operators import acl, answer, evals, fusion, ingest, postings, rerank, search, vector_index
 from lodestrata.plans import driver_tables as dt
 from lodestrata.plans import oracle
 from lodestrata.sources import corpus, seeds, store
-from lodestrata.sources.shared import kept, shared_folder, small
+from lodestrata.sources.shared import kept, removed, shared_folder, small
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -77,14 +78,39 @@ def upsert_documents(spark, sf):
     return store.upserted(_stored(spark, sf), new, ["source_path"]).select("id", "source_path", "content_hash", "status")
 
 
-@query
-def stored_snapshot(spark, sf):
-    """Through the store: an older state is committed, the new documents are upserted by key, and the pointer shows the result."""
+@contextmanager
+def _scratch(spark) -> Iterator[store.Store]:
+    """A store that goes when the query has kept what it gives back."""
     s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    try:
+        yield s
+    finally:
+        removed(spark, s.root)
+
+
+def _two_versions(spark, sf, s: store.Store) -> None:
     shaped = lambda df: df.select("id", F.lit("handbook").alias("source"), "source_path", "department", "content_hash", "status")
     s.commit({"documents": shaped(_stored(spark, sf))})
     s.upsert("documents", shaped(dt.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "source_path", "department", "content_hash", F.lit("active").alias("status"))))
-    return s.read("documents").select("id", "source_path", "content_hash", "status")
+
+
+@query
+def stored_snapshot(spark, sf):
+    """Through the store: an older state is committed, the new documents are upserted by key, and the newest version shows the result."""
+    with _scratch(spark) as s:
+        _two_versions(spark, sf, s)
+        return kept(s.read("documents").select("id", "source_path", "content_hash", "status"))
+
+
+@query
+def stored_version(spark, sf):
+    """What the upsert changed, read from the version before it and the one after: kept, replaced or new."""
+    with _scratch(spark) as s:
+        _two_versions(spark, sf, s)
+        then, now = (s.read("documents", version=v).select("id", "source_path", "content_hash", "status") for v in (1, 2))
+        was = then.withColumnsRenamed({c: f"was_{c}" for c in then.columns})
+        state = F.when(F.col("was_id").isNull(), "new").when(F.struct("content_hash", "status").eqNullSafe(F.struct("was_content_hash", "was_status")), "kept").otherwise("replaced")
+        return kept(now.join(was, F.col("source_path") == F.col("was_source_path"), "left").select("id", "source_path", state.alias("state"), "was_status"))
 
 
 @query
@@ -216,7 +242,7 @@ def _dense(spark, sf, asked=None):
 
 def _lexical(spark, sf, asked=None):
     asked = asked or _allow(spark, sf)
-    return search.matches(*asked, search.chunk_terms(dt.chunks(spark, sf)))
+    return search.matches(*asked, search.chunk_words(dt.chunks(spark, sf)))
 
 
 def _hybrid(spark, sf, asked=None):
@@ -278,6 +304,46 @@ def lexical_topk(spark, sf):
     return search.lexical_ranked(_lexical(spark, sf))
 
 
+def _blocks(spark, sf, s: store.Store) -> DataFrame:
+    s.commit({"chunk_blocks": postings.sorted_blocks(postings.blocks(dt.chunks(spark, sf)))}, check=False)
+    return s.read("chunk_blocks")
+
+
+@query
+def blockmax_topk(spark, sf):
+    """lexical_topk from stored block-max postings: no text is scanned, and spans that can't enter the list are never read."""
+    with _scratch(spark) as s:
+        return kept(postings.ranked(*_allow(spark, sf), _blocks(spark, sf, s)))
+
+
+@query
+def blockmax_skips(spark, sf):
+    """What blockmax_topk read for each question: spans and postings, of those that there are."""
+    with _scratch(spark) as s:
+        return kept(postings.skips(*_allow(spark, sf), _blocks(spark, sf, s)))
+
+
+@query
+def vector_index_topk(spark, sf):
+    """dense_topk_per_department from the stored index: the nearest cells, then those that their radius doesn't rule out."""
+    with _scratch(spark) as s:
+        index = vector_index.VectorIndex(s, number=True)
+        index.build(dt.embeddings(spark, sf))
+        return kept(index.search(*_allow(spark, sf)).select("qid", "department", "chunk_id", F.round("dense_score", 6).alias("dense_score"), "rank_in_department"))
+
+
+@query
+def vector_index_recall(spark, sf):
+    """Of each question's true nearest, how many its nearest cells alone give, and how many cells were read."""
+    with _scratch(spark) as s:
+        index, asked = vector_index.VectorIndex(s, number=True), _allow(spark, sf)
+        index.build(dt.embeddings(spark, sf))
+        found = index.search(*asked, exact=False).select("qid", "chunk_id", F.lit(1).alias("found"))
+        cells = index.near(*asked).groupBy("qid").agg(F.count("*").alias("cells"), F.count_if(F.col("near") <= vector_index.PROBES).alias("cells_read"))
+        both = _dense(spark, sf, asked).join(found, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.count("*").alias("n_true"), F.count("found").alias("n_found"))
+        return kept(both.join(cells, "qid").withColumn("recall", F.col("n_found") / F.col("n_true")))
+
+
 @query
 def term_statistics(spark, sf):
     """The inverted index by department: terms, postings, occurrences."""

@@ -109,6 +109,9 @@ SQL: dict[str, str] = {
     "tombstone_diff": _w(STORED) + " SELECT id, CASE WHEN status = 'active' AND source_path NOT IN (SELECT source_path FROM docs) THEN 'tombstoned' ELSE status END AS status FROM stored",
     "upsert_documents": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",
     "stored_snapshot": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",
+    "stored_version": _w(STORED) + """ SELECT id, source_path, 'kept' AS state, status AS was_status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs)
+UNION ALL SELECT d.doc_id::VARCHAR, d.source_path, CASE WHEN s.id IS NULL THEN 'new' WHEN s.content_hash = d.content_hash AND s.status = 'active' THEN 'kept' ELSE 'replaced' END, s.status
+FROM docs d LEFT JOIN stored s USING (source_path)""",
     "upsert_counts": _w(STORED) + " SELECT count(*) FILTER (s.id IS NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS updated FROM docs d LEFT JOIN stored s USING (source_path)",
     "embedding_cascade": _w(STORED) + " SELECT chunk_id, department FROM emb WHERE chunk_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned')",
     "reference_set_null": _w(STORED) + " SELECT vec_id, CASE WHEN vec_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned') THEN vec_id END AS document_id FROM embeddings",
@@ -142,6 +145,8 @@ SQL: dict[str, str] = {
     "dense_global_rank": _w(DENSE) + " SELECT qid, chunk_id, department, dense_rank FROM dense_ranked",
     "lexical_match_all_terms": _w(LEXICAL) + " SELECT qid, chunk_id, department, lexical_score FROM matched",
     "lexical_topk": _w(LEXICAL) + " SELECT qid, chunk_id, department, lexical_score, lexical_rank FROM lexical",
+    "blockmax_topk": _w(LEXICAL) + " SELECT qid, chunk_id, department, lexical_score, lexical_rank FROM lexical",
+    "vector_index_topk": _w(DENSE) + " SELECT qid, department, chunk_id, round(dense_score, 6) AS dense_score, rank_in_department FROM dense",
     "term_statistics": _w(LEXICAL) + " SELECT department, count(DISTINCT term) AS terms, count(*) AS postings, sum(n)::BIGINT AS occurrences FROM postings GROUP BY department",
     "hybrid_rrf": _w(HYBRID) + " SELECT qid, chunk_id, department, round(dense_score, 6) AS dense_score, dense_rank, lexical_rank, round(rrf_score, 6) AS rrf_score, rank FROM hybrid",
     "rerank_topk": _w(RERANK) + " SELECT qid, n, chunk_id, round(rerank_score, 6) AS rerank_score, round(rrf_score, 6) AS rrf_score FROM final",

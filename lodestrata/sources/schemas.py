@@ -20,6 +20,9 @@ DDL = {
     "chunk_terms": "chunk_id string not null, department string not null, term string not null, positions array<int>",
     "embedding_models": "model_name string not null, dimensions int not null, table_name string not null, is_active boolean not null, created_at timestamp",
     "chunk_embeddings": "chunk_id string not null, embedding array<float> not null, department string not null",
+    "chunk_blocks": "department string not null, term string not null, span long not null, block_max long not null, n_postings long not null, postings array<struct<chunk_id:string,n:bigint>>",
+    "vector_centroids": "department string not null, number int not null, centroid array<float> not null, radius double not null",
+    "vector_index": "chunk_id string not null, department string not null, embedding array<float> not null",
     "ingestion_runs": "id string not null, started_at timestamp, finished_at timestamp, git_commit string, status string not null, stats struct<walked:bigint,added:bigint,updated:bigint,unchanged:bigint,skipped_stub:bigint,skipped_empty:bigint,errored:bigint,chunks_written:bigint,tombstoned:bigint,embed_seconds:double,write_seconds:double>",
     "ingestion_errors": "run_id string not null, source_path string, error string, created_at timestamp",
     "conversations": "id string not null, user_id string, title string, running_summary string, created_at timestamp, updated_at timestamp",
@@ -43,7 +46,7 @@ REFERENCES = {
     "user_roles": [("user_id", "users", "id"), ("role_id", "roles", "id")], "role_department_access": [("role_id", "roles", "id")], "chunks": [("document_id", "documents", "id")], "chunk_embeddings": [("chunk_id", "chunks", "id")],
     "chunk_terms": [("chunk_id", "chunks", "id")], "ingestion_errors": [("run_id", "ingestion_runs", "id")], "eval_results": [("run_id", "eval_runs", "id")],
 }
-PARTITIONED = {"chunk_embeddings": ["department"], "chunk_terms": ["department"]}
+PARTITIONED = {"chunk_embeddings": ["department"], "chunk_terms": ["department"], "chunk_blocks": ["department"], "vector_index": ["department"]}
 
 
 def schema(table: str) -> T.StructType:
