@@ -1,0 +1,114 @@
+"""Whitening against one decomposition of the whole matrix."""
+
+import numpy as np
+import pytest
+
+from lodestrata.llm import whitening
+
+from .helpers import SF
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def brute(rows, k=32):
+    """x, n, S, and the whitened vectors by a plain eigendecomposition of x's covariance."""
+    x = np.array([[int(np.floor(64 * np.float64(np.float32(c)))) + 1_000_000 for c in v] for _, v in rows], dtype=np.int64)
+    n, sums = len(x), x.sum(axis=0)
+    centred = x - sums / n
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    keep = values > 1e-9 * max(values[0], 1e-300)
+    return x, n, sums, values[keep], centred @ vectors[:, keep] / np.sqrt(values[keep]), (centred**2).sum() / n
+
+
+def check(got, rows, k=32):
+    x, n, sums, values, want, trace = brute(rows, k)
+    ids = [d for d, _ in rows]
+    assert len(got) == len(rows) * len(values)
+    by = {(r.vec_id, r.component): r for r in got.itertuples()}
+    for j in range(len(values)):
+        own = np.array([by[d, j + 1].whitened for d in ids])
+        assert min(np.abs(own - want[:, j]).max(), np.abs(own + want[:, j]).max()) < 1e-6
+        assert abs(by[ids[0], j + 1].explained - values[j] / trace) < 1e-9
+    for d, v in zip(ids, x, strict=True):
+        assert by[d, 1].deviation == sum((n * int(a) - int(s)) ** 2 for a, s in zip(v, sums, strict=True))
+    assert set(got["n"]) == {n} and got["identity_error"].nunique() == 1 and 0 <= got["identity_error"].iloc[0] < 1e-6
+
+
+def vectors(seed, n, dims):
+    r = np.random.default_rng(seed)
+    turn, _ = np.linalg.qr(r.normal(size=(dims, dims)))
+    return [(k, (r.normal(size=dims) * np.linspace(9, 1, dims) @ turn + 3).tolist()) for k in range(n)]
+
+
+@pytest.mark.parametrize(("n", "dims", "parts"), [(300, 8, 5), (500, 40, 20), (37, 40, 4), (3, 2, 3)])
+def test_equals_one_decomposition(spark, n, dims, parts):
+    rows = vectors(n, n, dims)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = whitening.whiten(df).toPandas()
+    if n > dims:
+        check(got, rows)
+    else:  # centred, n rows have n - 1 dimensions
+        assert got["component"].max() == min(n - 1, dims, 32) and got["identity_error"].iloc[0] < 1e-6
+
+
+def test_merging_loses_nothing():
+    """Any tree over any blocks gives the covariance of all rows, with every dimension."""
+    r = np.random.default_rng(1)
+    x = r.integers(-500, 500, size=(1000, 12)) * np.array([1] * 11 + [0]) + np.arange(12) * 10**6
+    want = np.cov(x.T, bias=True)
+    for cuts in ([500], [1, 2, 3], [7, 900, 999], list(range(10, 1000, 10))):
+        states = [whitening.state_of(b) for b in np.split(x, cuts)]
+        for fan in (2, 3, len(states)):
+            held = states
+            while len(held) > 1:
+                held = [whitening.merged(held[k : k + fan]) for k in range(0, len(held), fan)]
+            assert held[0].n == 1000 and (held[0].sums == x.sum(axis=0)).all()
+            assert np.abs(whitening.covariance(held[0]) - want).max() < 1e-7 * np.abs(want).max()
+
+
+def test_states_travel():
+    s = whitening.state_of(np.arange(12).reshape(4, 3) ** 2)
+    t = whitening.State.unpacked(s.packed(), 3)
+    assert t.n == s.n and all((a == b).all() for a, b in zip(s[1:], t[1:], strict=True))
+
+
+def test_tables_vectors(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    check(whitening.whiten(df.repartition(7)).toPandas(), [(r["vec_id"], r["embedding"]) for r in df.collect()])
+
+
+def test_tree_of_many_states(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "MERGED", 3)
+    monkeypatch.setattr(whitening, "BLOCK", 5)
+    rows = vectors(4, 400, 6)
+    check(whitening.whiten(spark.createDataFrame(rows, SCHEMA).repartition(23), components=4).toPandas(), rows, 4)
+
+
+def test_rows_that_do_not_count(spark):
+    rows = vectors(2, 40, 4)
+    bad = [(100, None), (101, []), (102, [1.0, None, 2.0, 3.0]), (103, [float("nan")] * 4), (104, [float("inf"), 1.0, 1.0, 1.0]), (105, [1.0, 2.0]), (106, [1e30, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows + bad], SCHEMA + ", component int, x string")
+    check(whitening.whiten(df).toPandas(), rows)
+
+
+def test_repeats_and_null_ids(spark):
+    rows = vectors(3, 30, 4)
+    got = whitening.whiten(spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], SCHEMA)).toPandas()
+    assert len(got) == 32 * 4 and set(got["n"]) == {32} and got["vec_id"].isna().sum() == 4
+
+
+def test_empty_and_without_variance(spark):
+    assert whitening.whiten(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, None)], SCHEMA)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0])], SCHEMA)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(k, [1.0, 2.0]) for k in range(9)], SCHEMA)).count() == 0
+    flat = whitening.whiten(spark.createDataFrame([(k, [float(k), 2.0, float(k)]) for k in range(9)], SCHEMA)).toPandas()
+    assert set(flat["component"]) == {1} and abs(flat["explained"].iloc[0] - 1) < 1e-12
+
+
+def test_deviations_past_64_bits():
+    x = np.array([[3, 4], [10, 0]], dtype=np.int64)
+    assert whitening.deviations(x, 2, np.array([13, 4])) == [49 + 16, 49 + 16]
+    big = np.array([[2**38, 0], [0, 5]], dtype=np.int64)
+    assert whitening.deviations(big, 2**20, np.array([0, 0])) == [None, 25 << 40]
