@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.config import FINAL_K, K_PER_BRANCH, MAX_TOKENS, NOT_FOUND, POOL
+from lodestrata.config import FINAL_K, GRANTS, K_PER_BRANCH, MAX_TOKENS, NOT_FOUND, POOL
 from lodestrata.functions import analysis, chunking, providers, vectors
 from lodestrata.functions import text as tx
 from lodestrata.functions import tokens as tk
@@ -172,52 +172,77 @@ def seeded_sample(spark, sf):
 # -- identity and seeds -------------------------------------------------------------------------------------------------------------
 
 
+def _people(spark, sf):
+    """Customers as users: each has the role of its market segment, every third one a second role; every tenth has none."""
+    names = sorted(GRANTS)
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("email"), F.col("c_name").alias("display_name"), "c_custkey", "c_mktsegment")
+    place = F.pmod(F.length("c_mktsegment") + F.ascii("c_mktsegment"), F.lit(len(names)))
+    role = lambda k: F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(k, F.lit(len(names))) + 1).cast("int"))
+    held = F.when(F.col("c_custkey") % 10 == 0, F.array().cast("array<string>")).when(F.col("c_custkey") % 3 == 0, F.array(role(place), role(place + 1))).otherwise(F.array(role(place)))
+    links = c.select(F.col("id").alias("user_id"), F.explode(held).alias("role")).join(seeds.roles(spark).withColumnRenamed("id", "role_id"), F.col("role") == F.col("name")).select("user_id", "role_id")
+    return c.select("id", "email", "display_name"), links
+
+
 @query
 def acl_by_user(spark, sf):
-    return dt.users(spark).select("email", F.explode("departments").alias("department"))
+    users, links = _people(spark, sf)
+    return acl.by_email(users, links, seeds.role_department_access(spark)).select("email", F.explode_outer("departments").alias("department"))
 
 
 @query
 def acl_by_role(spark, sf):
-    return dt.roles(spark).select("role", F.explode("departments").alias("department"))
+    """Each role's departments, with how many customers hold it."""
+    _, links = _people(spark, sf)
+    held = links.join(seeds.roles(spark), F.col("role_id") == F.col("id")).groupBy(F.col("name").alias("role")).agg(F.count("*").alias("n_users"))
+    return acl.by_role(seeds.roles(spark), seeds.role_department_access(spark)).join(held, "role").select("role", "n_users", F.explode("departments").alias("department"))
 
 
 @query
 def acl_unknown_user(spark, sf):
-    emails = seeds.values(spark, [("nobody@example.com",), (dt.GUEST,), ("exec@example.com",)], "email")
-    return acl.resolved(emails, dt.users(spark)).select("email", "user_id", F.size("departments").cast("long").alias("n_departments"))
+    """Askers of all events, some of whom are no users."""
+    users, links = _people(spark, sf)
+    emails = read(spark, sf, "events").select(F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 7).cast("string"), 9, "0")).alias("email")).distinct()
+    return acl.resolved(emails, acl.by_email(users, links, seeds.role_department_access(spark))).select("email", "user_id", F.size("departments").cast("long").alias("n_departments"))
 
 
 @query
 def role_seed_lateral(spark, sf):
+    """Grants that customers have through each role."""
+    _, links = _people(spark, sf)
     access = seeds.role_department_access(spark)
-    return access.join(seeds.roles(spark), F.col("role_id") == F.col("id")).groupBy("name").agg(F.count("*").alias("n_grants"))
+    return links.join(access, "role_id").join(seeds.roles(spark), F.col("role_id") == F.col("id")).groupBy("name").agg(F.count("*").alias("n_grants"))
 
 
 @query
 def identity_seed(spark, sf):
-    both = seeds.user_roles(spark).join(seeds.users(spark), F.col("user_id") == F.col("id")).select("user_id", "email", "role_id")
-    return both.join(seeds.roles(spark).withColumnRenamed("id", "rid"), F.col("role_id") == F.col("rid")).select("email", F.col("name").alias("role"))
+    users, links = _people(spark, sf)
+    return links.join(users, F.col("user_id") == users.id).join(seeds.roles(spark).withColumnRenamed("id", "rid"), F.col("role_id") == F.col("rid")).select("email", F.col("name").alias("role"))
+
+
+def _questions_asked(spark, sf):
+    """Turns as golden questions: every third conversation's are asked by nobody in particular."""
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 3).alias("question"), F.when(F.col("conv_id") % 3 != 0, F.concat("role", F.lit("@example.com"))).alias("email"))
 
 
 @query
 def golden_seed_antijoin(spark, sf):
     """Questions that an older set lacks; a null email equals a null email."""
-    new = dt.questions(spark).select("qid", "question", "email")
-    return seeds.absent(new, new.where("qid in (1, 9, 10)").select("question", "email"), ["question", "email"])
+    new = _questions_asked(spark, sf)
+    return seeds.absent(new, new.where("conv_id % 5 = 0").select("question", "email"), ["question", "email"])
 
 
 @query
 def seed_twice(spark, sf):
     """Seeding an already seeded table changes nothing."""
-    one = dt.questions(spark).select("question", "email", "role")
-    return seeds.seeded(seeds.seeded(one.where("qid < 5") if "qid" in one.columns else one.limit(0), one, ["question", "email", "role"]), one, ["question", "email", "role"])
+    rows, keys = _questions_asked(spark, sf).select("question", "email"), ["question", "email"]
+    older = rows.where("email is null").distinct()
+    return seeds.seeded(seeds.seeded(older, rows, keys), rows, keys)
 
 
 @query
 def allowlist_duplicates(spark, sf):
-    """Departments that several folders map to."""
-    return dt.folders(spark).groupBy("department").agg(F.count("*").alias("n")).where("n > 1")
+    """Departments whose documents lie in several folders."""
+    return dt.documents(spark, sf).groupBy("department").agg(F.count_distinct("folder").alias("n"), F.count("*").alias("n_docs")).where("n > 1")
 
 
 @query
@@ -334,12 +359,12 @@ def vector_index_topk(spark, sf):
 
 @query
 def vector_index_recall(spark, sf):
-    """Of each question's true nearest, how many its nearest cells alone give, and how many cells were read."""
+    """Of each question's true nearest, how many the approximate search finds, and how many cells it reads."""
     with _scratch(spark) as s:
         index, asked = vector_index.VectorIndex(s, number=True), _allow(spark, sf)
         index.build(dt.embeddings(spark, sf))
-        found = index.search(*asked, exact=False).select("qid", "chunk_id", F.lit(1).alias("found"))
-        cells = index.near(*asked).groupBy("qid").agg(F.count("*").alias("cells"), F.count_if(F.col("near") <= vector_index.PROBES).alias("cells_read"))
+        found = index.search(*asked, reach=vector_index.REACH).select("qid", "chunk_id", F.lit(1).alias("found"))
+        cells = index.cells_read(*asked, reach=vector_index.REACH)
         both = _dense(spark, sf, asked).join(found, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.count("*").alias("n_true"), F.count("found").alias("n_found"))
         return kept(both.join(cells, "qid").withColumn("recall", F.col("n_found") / F.col("n_true")))
 
@@ -576,26 +601,25 @@ def analysed_terms(spark, sf):
 
 @query
 def common_prefix(spark, sf):
-    """The shared path of each source's folder with all before it, on constants."""
-    rows = seeds.values(spark, [(1, "a>b>c|a>b>d|a>b"), (2, "a|b"), (3, "x>y"), (4, "a>b>c|a>x>c")], "id, paths")
-    paths = F.transform(F.split("paths", r"\|"), lambda p: F.split(p, ">"))
-    return rows.select(F.col("id").cast("long").alias("id"), F.array_join(tx.common_prefix(paths), ">").alias("prefix"))
-
-
-SHORTCODES = [
-    (1, 'a {{< yes >}} b {{< no >}} {{< label name="x" color="y" >}}'),
-    (2, "{{% alert title=1 %}}inner{{% /alert %}} {{< panel >}}p{{< /panel >}}"),
-    (3, 'x {{% include "inc/a.md" %}} y {{% include "none.md" %}}'),
-    (4, "one\n\n\n\n{{< unknown\nmore >}}\n\n\ntwo  "),
-    (5, "plain"),
-]
+    """What each page's address shares with the one before it."""
+    own = read(spark, sf, "pages").select("page_id", F.split("url", "/").alias("a"))
+    both = own.join(own.select((F.col("page_id") + 1).alias("page_id"), F.col("a").alias("b")), "page_id")
+    return both.select("page_id", F.array_join(tx.common_prefix(F.array("a", "b")), "/").alias("prefix"))
 
 
 @query
 def shortcode_clean(spark, sf):
-    rows = seeds.values(spark, SHORTCODES, "id, body")
+    """Turns with shortcodes around them: those that mean a text, wrappers, includes (known and not), others, over several lines."""
+    text, say = F.col("text"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    body = (
+        F.when(F.col("turn") % 5 == 0, say("a {{< yes >}} ", text, ' {{< no >}} {{< label name="x" color="y" >}}'))
+        .when(F.col("turn") % 5 == 1, say("{{% alert title=1 %}}", "i ", text, " n{{% /alert %}} {{< panel >}}p{{< /panel >}}"))
+        .when(F.col("turn") % 5 == 2, say('x {{% include "inc/a.md" %}} ', text, ' {{% include "none.md" %}}'))
+        .when(F.col("turn") % 5 == 3, say("one\n\n\n\n{{< unknown\nmore >}}\n\n\n", text, "  two  "))
+        .otherwise(say("z ", text, " z"))
+    )
     known = F.create_map(F.lit("inc/a.md"), F.lit("$1 included {{< yes >}}"))
-    return rows.select(F.col("id").cast("long").alias("id"), tx.without_shortcodes(F.col("body"), known).alias("body"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.sha2(tx.without_shortcodes(body, known), 256).alias("hash"))
 
 
 @query
@@ -606,17 +630,21 @@ def delink(spark, sf):
 
 @query
 def resolve_title(spark, sf):
-    rows = seeds.values(spark, [(1, "Given", "a/b.md"), (2, None, "finance/on-call_3rd.md"), (3, "", "finance/sub-team/_index.md"), (4, None, "top.md")], "id, given, path")
-    none = F.array().cast("array<array<string>>")
-    return rows.select(F.col("id").cast("long").alias("id"), tx.resolved_title(F.col("given").cast("string"), none, F.col("path")).alias("title"))
+    """Titles: given, else the first heading of level 1, else from the file's name, or its folder's for an index."""
+    docs = dt.documents(spark, sf).select("doc_id", "folder")
+    given = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Given "), "folder")).when(F.col("doc_id") % 4 == 1, "")
+    headings = F.when(F.col("doc_id") % 8 == 1, F.array(F.array(F.lit("A"), F.lit("b")), F.array(F.lit("Own")))).otherwise(F.array().cast("array<array<string>>"))
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat("folder", F.lit("/on-call_"), F.col("doc_id").cast("string"), F.lit("rd.md"))).otherwise(F.concat(F.lit("top/"), "folder", F.lit("/_index.md")))
+    return docs.select("doc_id", tx.resolved_title(given, headings, path).alias("title"))
 
 
 @query
 def walk_filter(spark, sf):
-    """Which paths of a listing are walked."""
-    paths = ["finance/a.md", "finance/sub/_index.md", "finance/.x.md", "finance/.hidden/a.md", "finance/_drafts/a.md", "ceo/a.md", "unknown/a.md", "top.md", "total-rewards/a.md"]
-    files = seeds.values(spark, [(p,) for p in paths], "relative_path")
-    return corpus.walked(files).select("relative_path", "department", "source_path")
+    """Which paths of a listing are walked: every document as a file, hidden and private names and folders among them, and folders that aren't allowed."""
+    d = read(spark, sf, "documents").select("doc_id", "source").join(F.broadcast(dt.folders(spark)), "source", "left")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("/", "/sub/_index", "/.x", "/.hidden/", "/_drafts/", "/a/b/")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    path = F.when(F.col("doc_id") % 19 == 0, F.concat(F.lit("top"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.coalesce("folder", "source"), name, F.col("doc_id").cast("string")))
+    return corpus.walked(d.select(F.concat(path, F.lit(".md")).alias("relative_path"))).select("relative_path", "department", "source_path")
 
 
 def _conversations(spark, sf, line) -> DataFrame:
@@ -641,7 +669,14 @@ def packed_paragraphs(spark, sf):
 
 
 def _words() -> Column:
-    return F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
+    return F.regexp_replace("text", "[^A-Za-z ]", "")
+
+
+def _word_lines(line) -> Column:
+    """A whole turn as lines of at most eight words, each put into line()."""
+    ws = F.array_remove(F.split(_words(), " "), "")
+    some = F.sequence(F.lit(0), F.greatest(F.floor((F.size(ws) + 7) / 8).cast("int"), F.lit(1)) - 1)
+    return F.array_join(F.transform(some, lambda i: line(F.array_join(F.slice(ws, i * 8 + 1, 8), " "))), "\n")
 
 
 def _cut(own: DataFrame, body) -> DataFrame:
@@ -651,16 +686,16 @@ def _cut(own: DataFrame, body) -> DataFrame:
 
 @query
 def table_pieces(spark, sf):
-    """A table with a row for each turn, cut at rows; every piece repeats the header."""
-    row = F.concat(F.lit("| "), F.col("turn").cast("string"), F.lit(" | "), _words(), F.lit(" |"))
-    return _cut(_conversations(spark, sf, row), F.concat(F.lit("| turn | words |\n|---|---|\n"), F.array_join("ls", "\n")))
+    """Whole conversations as tables, cut at rows; every piece repeats the header."""
+    row = lambda w: F.concat(F.lit("| "), F.col("turn").cast("string"), F.lit(" | "), w, F.lit(" |"))
+    return _cut(_conversations(spark, sf, _word_lines(row)), F.concat(F.lit("| turn | words |\n|---|---|\n"), F.array_join("ls", "\n")))
 
 
 @query
 def code_pieces(spark, sf):
-    """A fenced block with a line for each turn, cut at lines; every piece is fenced."""
-    line = F.concat(F.lit("say("), F.col("turn").cast("string"), F.lit(") "), _words())
-    return _cut(_conversations(spark, sf, line), F.concat(F.lit("```py\n"), F.array_join("ls", "\n"), F.lit("\n```")))
+    """Whole conversations as fenced blocks, cut at lines; every piece is fenced."""
+    line = lambda w: F.concat(F.lit("say("), F.col("turn").cast("string"), F.lit(") "), w)
+    return _cut(_conversations(spark, sf, _word_lines(line)), F.concat(F.lit("```py\n"), F.array_join("ls", "\n"), F.lit("\n```")))
 
 
 @query
@@ -670,15 +705,13 @@ def paragraph_packing(spark, sf):
     return chunking.exploded(own.select("doc_id", F.col("c.chunks").alias("chunks"))).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), F.length("content").cast("long").alias("chars"))
 
 
-MARKDOWN = "intro\n\n# One\n\n" + "alpha beta. " * 30 + "\n\n## Two\n\n```\n# no heading\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n### Three\n\nshort\n"
-
-
 @query
 def chunk_markdown(spark, sf):
-    """An authored Markdown text as chunks; rows only, tests pin them."""
-    rows = seeds.values(spark, [(1, MARKDOWN, "Doc"), (2, "no heading at all", "Other")], "id, body, title")
-    made = rows.select(F.col("id").cast("long").alias("id"), chunking.chunk_column(F.col("body"), F.col("title"), 20, 60).alias("c")).select("id", F.col("c.chunks").alias("chunks"))
-    return chunking.exploded(made).select("id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", F.col("token_count").cast("long").alias("token_count"))
+    """Conversations as Markdown, a section a turn with a fence or a table in some, as chunks: small sections merge, large ones are cut. Rows only; tests pin the steps."""
+    head = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit("\n\n"))
+    block = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```\n# no heading\n"), "text", F.lit("\n```"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("| a |\n|---|\n| "), _words(), F.lit(" |"))).otherwise(F.col("text"))
+    made = _conversations(spark, sf, F.concat(head, block)).select("conv_id", chunking.chunk_column(F.array_join("ls", "\n\n"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")), 20, 60).alias("c")).select("conv_id", F.col("c.chunks").alias("chunks"))
+    return chunking.exploded(made).select("conv_id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", F.col("token_count").cast("long").alias("token_count"))
 
 
 @query

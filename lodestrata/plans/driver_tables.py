@@ -35,7 +35,7 @@ def folders(spark: SparkSession) -> DataFrame:
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Allowed documents: doc_id, source, folder, department, source_path, content, content_hash."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.col("text").alias("content"))
-    both = docs.join(small(folders(spark)), "source")
+    both = docs.join(F.broadcast(folders(spark)), "source")  # a constant of a row a folder
     path = F.concat(F.lit(CONTENT_ROOT + "/"), "folder", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return both.select("doc_id", "source", "folder", "department", path.alias("source_path"), "content", F.sha2("content", 256).alias("content_hash"))
 
@@ -48,7 +48,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
-    own = docs.join(small(folders(spark)), "source").select("doc_id", "department")
+    own = docs.join(F.broadcast(folders(spark)), "source").select("doc_id", "department")
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     return vectors.join(own, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("chunk_id"), "department", "embedding")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.config import NOT_FOUND, USERS
+from lodestrata.config import GRANTS, NOT_FOUND
 from lodestrata.plans.driver_tables import BASE_SQL, _rows
 
 _N = NOT_FOUND.replace("'", "''")
@@ -78,8 +78,24 @@ def _w(*parts: str) -> str:
     return f"WITH {BASE_SQL}" + "".join(f", {p}" for p in parts)
 
 
-#: Turns as lines: conv_id, k (from 0), t.
-_TURN = "regexp_replace(text[1:60], '[^A-Za-z ]', '', 'g')"
+#: Whole turns as lines of at most eight words: conv_id, turn, i (from 0), w.
+_LINES = """(SELECT conv_id, turn, i, array_to_string(ws[8 * i + 1 : 8 * i + 8], ' ') AS w FROM (
+      SELECT conv_id, turn, ws, unnest(range(greatest(1, (len(ws) + 7) // 8))) AS i FROM (
+        SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM conversations)))"""
+#: Customers as users with roles: held (id, email, role), customers_as_users (id, email, departments).
+PEOPLE = f"""
+role_names AS (SELECT row_number() OVER (ORDER BY role) - 1 AS k, role FROM (SELECT DISTINCT role FROM grants)),
+placed AS (SELECT c_custkey, c_name, (length(c_mktsegment) + ascii(c_mktsegment)) % {len(GRANTS)} AS k FROM customer WHERE c_custkey % 10 <> 0),
+held AS (
+  SELECT c_custkey::VARCHAR AS id, c_name AS email, role FROM (SELECT * FROM placed UNION ALL SELECT c_custkey, c_name, (k + 1) % {len(GRANTS)} FROM placed WHERE c_custkey % 3 = 0) JOIN role_names USING (k)
+),
+customers_as_users AS (
+  SELECT c_custkey::VARCHAR AS id, c_name AS email, coalesce(ds, []) AS departments FROM customer
+  LEFT JOIN (SELECT id, list_sort(list(DISTINCT department)) AS ds FROM held JOIN grants USING (role) GROUP BY id) h ON h.id = c_custkey::VARCHAR
+)"""
+TURNS = """turns AS (
+  SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:3], ' ') AS question, CASE WHEN conv_id % 3 <> 0 THEN role || '@example.com' END AS email FROM conversations
+)"""
 
 
 def _packed(units: str, key: str, most: int, frame: str = "0") -> str:
@@ -93,7 +109,7 @@ def _packed(units: str, key: str, most: int, frame: str = "0") -> str:
 
 def _pieces(line: str, head: str, tail: str) -> str:
     frame = f"(len(regexp_extract_all({head}, '{TOKEN}')) + len(regexp_extract_all({tail}, '{TOKEN}')))"
-    units = f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, {line} AS t, len(regexp_extract_all({line}, '{TOKEN}')) AS n FROM conversations"
+    units = f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS k, {line} AS t, len(regexp_extract_all({line}, '{TOKEN}')) AS n FROM {_LINES}"
     join = "|| chr(10) ||"
     return f"""WITH {_packed(units, 'conv_id', 40, frame)}, p AS (SELECT conv_id, g, string_agg(t, chr(10) ORDER BY k) AS b FROM r GROUP BY conv_id, g), x AS (SELECT conv_id, g, {head} {join} b {f"{join} {tail}" if tail != "''" else ""} AS piece FROM p)
       SELECT conv_id, g::BIGINT AS place, length(piece) AS chars, sha256(piece) AS hash FROM x"""
@@ -122,22 +138,22 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
       h AS (SELECT t.conv_id, t.place, string_agg(a.head, ' > ' ORDER BY a.turn) AS path FROM t JOIN t a ON a.conv_id = t.conv_id AND a.turn <= t.turn WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.conv_id = t.conv_id AND u.turn > a.turn AND u.turn <= t.turn AND u.level <= a.level) GROUP BY t.conv_id, t.place)
       SELECT t.conv_id, t.place, path, sha256(trim(text)) AS hash FROM t JOIN h USING (conv_id, place)""",
     "packed_paragraphs": f"WITH {_packed(f"SELECT doc_id, k, ls[k + 1] AS t, len(regexp_extract_all(ls[k + 1], '{TOKEN}')) AS n FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))", 'doc_id', 100)} SELECT doc_id, g::BIGINT AS place, min(k) AS first, count(*) AS units, sum(n)::BIGINT AS tokens, bool_and(n <= 100) AS whole FROM r GROUP BY doc_id, g",
-    "table_pieces": _pieces(f"'| ' || turn || ' | ' || {_TURN} || ' |'", "'| turn | words |' || chr(10) || '|---|---|'", "''"),
-    "code_pieces": _pieces(f"'say(' || turn || ') ' || {_TURN}", "'```py'", "'```'"),
+    "table_pieces": _pieces("'| ' || turn || ' | ' || w || ' |'", "'| turn | words |' || chr(10) || '|---|---|'", "''"),
+    "code_pieces": _pieces("'say(' || turn || ') ' || w", "'```py'", "'```'"),
     "replace_chunks": _w(STORED, DIFF) + " SELECT doc_id, 0::BIGINT AS chunk_index, 'old' AS generation FROM diff WHERE change NOT IN ('added', 'updated') UNION ALL SELECT doc_id, unnest(range(len(string_split(content, chr(10)))))::BIGINT, 'new' FROM diff WHERE change IN ('added', 'updated')",
     "ingest_balance": _w(STORED, DIFF, "st AS (SELECT CASE WHEN length(content) < 40 THEN 'skipped_stub' ELSE change END AS s FROM diff)")
     + " SELECT count(*) AS walked, count(*) FILTER (s = 'added') AS added, count(*) FILTER (s IN ('updated', 'reactivated')) AS updated, count(*) FILTER (s = 'unchanged') AS unchanged, count(*) FILTER (s = 'skipped_stub') AS skipped_stub, 0::BIGINT AS skipped_empty, 0::BIGINT AS errored, count(*) FILTER (s IN ('added', 'updated')) AS chunks_written, true AS balanced FROM st",
     "department_counts": _w() + " SELECT department, count(*) AS n FROM chunks GROUP BY department",
     "chunks_per_department": _w() + r" SELECT department, count(*) AS n, sum(length(line))::BIGINT AS chars FROM (SELECT department, unnest(string_split(content, chr(10))) AS line FROM chunks) WHERE regexp_replace(line, '\s', '', 'g') <> '' GROUP BY department",
     "seeded_sample": _w() + " SELECT doc_id, source_path FROM docs ORDER BY sha256('42:' || doc_id), doc_id LIMIT 5",
-    "acl_by_user": _w() + " SELECT email, unnest(departments) AS department FROM people",
-    "acl_by_role": _w() + " SELECT role, unnest(departments) AS department FROM role_departments",
-    "acl_unknown_user": _w() + " SELECT e.email, p.user_id, len(coalesce(p.departments, []))::BIGINT AS n_departments FROM (VALUES ('nobody@example.com'), ('guest@example.com'), ('exec@example.com')) e(email) LEFT JOIN people p USING (email)",
-    "role_seed_lateral": _w() + " SELECT role AS name, count(*) AS n_grants FROM grants GROUP BY role",
-    "identity_seed": f"SELECT email, role FROM (VALUES {_rows(list(USERS.items()))}) u(email, role)",
-    "golden_seed_antijoin": _w() + " SELECT qid, question, email FROM questions n WHERE NOT EXISTS (SELECT 1 FROM questions o WHERE o.qid IN (1, 9, 10) AND o.question = n.question AND o.email IS NOT DISTINCT FROM n.email)",
-    "seed_twice": _w() + " SELECT DISTINCT question, email, role FROM questions",
-    "allowlist_duplicates": _w() + " SELECT department, count(*) AS n FROM folders GROUP BY department HAVING count(*) > 1",
+    "acl_by_user": _w(PEOPLE) + " SELECT email, unnest(CASE WHEN len(departments) > 0 THEN departments ELSE [NULL] END) AS department FROM customers_as_users",
+    "acl_by_role": _w(PEOPLE) + " SELECT role, n_users, unnest(departments) AS department FROM role_departments JOIN (SELECT role, count(*) AS n_users FROM held GROUP BY role) USING (role)",
+    "acl_unknown_user": _w(PEOPLE) + " SELECT e.email, u.id AS user_id, len(coalesce(u.departments, []))::BIGINT AS n_departments FROM (SELECT DISTINCT 'Customer#' || lpad((user_id * 7)::VARCHAR, 9, '0') AS email FROM events) e LEFT JOIN customers_as_users u USING (email)",
+    "role_seed_lateral": _w(PEOPLE) + " SELECT role AS name, count(*) AS n_grants FROM held JOIN grants USING (role) GROUP BY role",
+    "identity_seed": _w(PEOPLE) + " SELECT email, role FROM held",
+    "golden_seed_antijoin": f"WITH {TURNS} SELECT * FROM turns n WHERE NOT EXISTS (SELECT 1 FROM turns o WHERE o.conv_id % 5 = 0 AND o.question IS NOT DISTINCT FROM n.question AND o.email IS NOT DISTINCT FROM n.email)",
+    "seed_twice": f"WITH {TURNS} SELECT DISTINCT question, email FROM turns",
+    "allowlist_duplicates": _w() + " SELECT department, count(DISTINCT folder) AS n, count(*) AS n_docs FROM docs GROUP BY department HAVING count(DISTINCT folder) > 1",
     "outcome_migration": "SELECT CASE turn % 3 WHEN 0 THEN 'refused_by_floor' WHEN 1 THEN 'answered' END AS outcome, count(*) AS n FROM conversations GROUP BY 1",
     "dense_topk_one_department": _w() + " SELECT chunk_id, round(s, 6) AS dense_score FROM (SELECT chunk_id, list_sum(list_transform(list_zip(e.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM emb e, embeddings v WHERE v.vec_id = 0 AND department = 'finance') ORDER BY s DESC, chunk_id LIMIT 25",
     "cosine_scores": "SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score FROM embeddings e, embeddings v WHERE v.vec_id = 2",
@@ -189,10 +205,15 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
     "stub_filter": r"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), chr(10)), lambda x: trim(x) <> '' AND trim(x)[1] NOT IN ('-', '*', '{')) AS ls FROM documents),
       c AS (SELECT doc_id, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0)::BIGINT AS prose_chars FROM p) SELECT doc_id, prose_chars, prose_chars < 200 AS stub FROM c""",
     "analysed_terms": "WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS ts FROM documents) SELECT doc_id, len(ts) AS n_terms, sha256(array_to_string(ts, ' ')) AS hash FROM t",
-    "common_prefix": "SELECT * FROM (VALUES (1::BIGINT, 'a>b'), (2, ''), (3, 'x>y'), (4, 'a')) t(id, prefix)",
-    "shortcode_clean": "SELECT * FROM (VALUES (1::BIGINT, 'a Yes b No [x]'), (2, 'inner p'), (3, 'x $1 included Yes y [included: none.md]'), (4, 'one' || chr(10) || chr(10) || 'two'), (5, 'plain')) t(id, body)",
+    "common_prefix": """WITH p AS (SELECT page_id, string_split(url, '/') AS a FROM pages), pairs AS (SELECT x.page_id, x.a, y.a AS b FROM p x JOIN p y ON x.page_id = y.page_id + 1)
+SELECT page_id, array_to_string(a[1:len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))], '/') AS prefix FROM pairs""",
+    "shortcode_clean": """WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM conversations)
+SELECT conv_id, turn, sha256(CASE turn % 5 WHEN 0 THEN 'a Yes ' || t || ' No [x]' WHEN 1 THEN 'i ' || t || ' n p' WHEN 2 THEN 'x $1 included Yes ' || t || ' [included: none.md]'
+  WHEN 3 THEN 'one' || chr(10) || chr(10) || t || '  two' ELSE 'z ' || t || ' z' END) AS hash FROM t""",
     "delink": "SELECT page_id, 'see it and that' AS t FROM pages",
-    "resolve_title": "SELECT * FROM (VALUES (1::BIGINT, 'Given'), (2, 'On Call 3Rd'), (3, 'Sub Team'), (4, 'Top')) t(id, title)",
-    "walk_filter": "SELECT p AS relative_path, d AS department, 'content/handbook/' || p AS source_path FROM (VALUES ('finance/a.md', 'finance'), ('finance/sub/_index.md', 'finance'), ('finance/.x.md', 'finance'), ('total-rewards/a.md', 'people-group')) t(p, d)",
+    "resolve_title": _w() + """ SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Given ' || folder WHEN doc_id % 8 = 1 THEN 'Own' WHEN doc_id % 2 = 0 THEN 'On Call ' || doc_id || 'Rd'
+  ELSE array_to_string(list_transform(string_split(replace(folder, '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS title FROM docs""",
+    "walk_filter": _w() + """ SELECT folder || n || doc_id || '.md' AS relative_path, department, 'content/handbook/' || folder || n || doc_id || '.md' AS source_path
+FROM (SELECT *, ['/', '/sub/_index', '/.x', NULL, NULL, '/a/b/'][(doc_id % 6 + 1)::INT] AS n FROM docs) WHERE n IS NOT NULL AND doc_id % 19 <> 0""",
     "normalised_vectors": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM e) SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS norm, round(e[1] / n, 6) AS first FROM n",
 }
