@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import analysis
+from lodestrata.sources.shared import kept, small
 
 
 def covered(expected: Column, paths: Column) -> Column:
@@ -95,15 +96,23 @@ def latest_runs(runs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def percentile_index(values: DataFrame, value: str, shares: list[float], key: list[str] | None = None) -> DataFrame:
-    """The value at 0-based place floor(n * share) of the sorted values, the last at most; a row a share.
+    """The value at 0-based place floor(n * share) of the sorted values, the last at most; a row a share (and key).
 
-    Values are counted first, so that what is ordered are distinct values with running counts, not rows. Without a key they are ordered
-    in one task: this is meant for values with few distinct ones, such as token counts, whose number their bound limits.
+    Values are counted, dealt by ranges and sorted; one sum a range tells which range holds a place, and only those ranges are looked into,
+    so no task orders all values, however many are distinct. Nulls have no place.
     """
     key = key or []
-    counts = values.groupBy(*key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(1))
-    running = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = running.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    place = F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)
-    return at.where((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select(*key, "share", F.col(value).cast("long").alias("tokens"))
+    pid, before, n = "__pid", "__before", "__n"
+    counts = values.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("c"))
+    held = kept(counts.repartitionByRange(*key, value).sortWithinPartitions(*key, value).withColumn(pid, F.spark_partition_id()))
+    sums = held.groupBy(*key, pid).agg(F.sum("c").alias("s"))  # a row a range (and key)
+    by = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(1))
+    starts = sums.withColumn(before, F.sum("s").over(by.orderBy(pid)) - F.col("s")).withColumn(n, F.sum("s").over(by))
+    asked = starts.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("place", F.least(F.floor(F.col(n) * F.col("share")), F.col(n) - 1))
+    wanted = asked.where((F.col("place") >= F.col(before)) & (F.col("place") < F.col(before) + F.col("s"))).select(*[F.col(k).alias(f"__{k}") for k in key], F.col(pid).alias("__of"), before, "share", "place")
+    on = F.col(pid) == F.col("__of")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    own = held.join(small(wanted), on)
+    running = own.withColumn("upto", F.col(before) + F.sum("c").over(Window.partitionBy(*key, pid, "share").orderBy(value)))
+    return running.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(*key, "share", F.col(value).cast("long").alias("tokens"))

@@ -16,8 +16,9 @@ from lodestrata.functions import tokens as tk
 from lodestrata.operators import acl, answer, evals, fusion, ingest, postings, rerank, search, vector_index
 from lodestrata.plans import driver_tables as dt
 from lodestrata.plans import oracle
-from lodestrata.sources import corpus, seeds, store
+from lodestrata.sources import corpus, references, seeds, store
 from lodestrata.sources.shared import kept, removed, shared_folder, small
+from lodestrata.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -66,6 +67,25 @@ def hash_diff(spark, sf):
     return ingest.diffed(dt.documents(spark, sf), _stored(spark, sf)).select("doc_id", "change")
 
 
+@query
+def streamed_changes(spark, sf):
+    """hash_diff and tombstone_diff by a stream with keyed state: the older state's notices, then the present documents', then a day without some."""
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    at = lambda when: F.lit(when).cast("timestamp").alias("seen_at")
+    older, now = _stored(spark, sf), dt.documents(spark, sf)
+    waves = [
+        older.select("source_path", "content_hash", at("2024-01-01 00:00:00")).unionByName(older.where("status = 'tombstoned'").select("source_path", F.lit(None).cast("string").alias("content_hash"), at("2024-01-01 01:00:00"))),
+        now.select("source_path", "content_hash", at("2024-01-03 00:00:00")),
+        now.limit(1).select(F.lit("-").alias("source_path"), F.lit("tick").alias("content_hash"), at("2024-01-03 12:00:00")),
+    ]
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{folder}/notices")
+        changes.start(spark, f"{folder}/notices", f"{folder}/out", f"{folder}/state", ttl="1 day").awaitTermination()
+    found = kept(changes.present(spark, f"{folder}/out").where("source_path <> '-'").select("source_path", "change", "content_hash"))
+    removed(spark, folder)
+    return found
+
+
 @query
 def tombstone_diff(spark, sf):
     stored = _stored(spark, sf)
@@ -133,6 +153,18 @@ def reference_set_null(spark, sf):
     return store.unset(rows, "document_id", gone, "id")
 
 
+#: (child, column, parent, key, what a deletion does) of the given tables, three levels deep.
+GIVEN = [("orders", "o_custkey", "customer", "c_custkey", "cascade"), ("lineitem", "l_orderkey", "orders", "o_orderkey", "cascade"), ("lineitem", "l_suppkey", "supplier", "s_suppkey", "set null")]
+
+
+@query
+def cascade_closure(spark, sf):
+    """Deleting customers takes their orders and those orders' lines; deleting suppliers empties the lines' reference to them."""
+    tables = {t: read(spark, sf, t) for t in ("customer", "orders", "lineitem", "supplier")}
+    gone = {"customer": tables["customer"].where("c_custkey % 7 = 0"), "supplier": tables["supplier"].where("s_suppkey % 3 = 0")}
+    return references.deleted(tables, gone, GIVEN)["lineitem"].select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
 @query
 def replace_chunks(spark, sf):
     """Chunks of changed documents are replaced, the others stay."""

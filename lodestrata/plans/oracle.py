@@ -122,6 +122,10 @@ SQL: dict[str, str] = {
     "department_filter": _w() + " SELECT doc_id, department FROM docs WHERE department IN ('finance', 'legal')",
     "content_hash": _w() + " SELECT doc_id, content_hash FROM docs",
     "hash_diff": _w(STORED, DIFF) + " SELECT doc_id, change FROM diff",
+    "streamed_changes": _w(STORED, DIFF) + """ SELECT source_path, change, content_hash FROM diff
+UNION ALL SELECT source_path, 'tombstoned', content_hash FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs)""",
+    "cascade_closure": """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS l_suppkey FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 = 0)""",
     "tombstone_diff": _w(STORED) + " SELECT id, CASE WHEN status = 'active' AND source_path NOT IN (SELECT source_path FROM docs) THEN 'tombstoned' ELSE status END AS status FROM stored",
     "upsert_documents": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",
     "stored_snapshot": _w(STORED) + " SELECT id, source_path, content_hash, status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs) UNION ALL SELECT doc_id::VARCHAR, source_path, content_hash, 'active' FROM docs",

@@ -46,6 +46,15 @@ REFERENCES = {
     "user_roles": [("user_id", "users", "id"), ("role_id", "roles", "id")], "role_department_access": [("role_id", "roles", "id")], "chunks": [("document_id", "documents", "id")], "chunk_embeddings": [("chunk_id", "chunks", "id")],
     "chunk_terms": [("chunk_id", "chunks", "id")], "ingestion_errors": [("run_id", "ingestion_runs", "id")], "eval_results": [("run_id", "eval_runs", "id")],
 }
+#: References that deletions follow, but commits don't verify, as what they name may be kept elsewhere.
+FOLLOWED = {
+    "conversations": [("user_id", "users", "id")], "messages": [("conversation_id", "conversations", "id")], "query_traces": [("message_id", "messages", "id"), ("user_id", "users", "id")], "eval_results": [("question_id", "golden_questions", "id")],
+}
+#: What the deletion of a referenced row does; where nothing is named it is refused.
+ON_DELETE = {
+    ("user_roles", "user_id"): "cascade", ("user_roles", "role_id"): "cascade", ("role_department_access", "role_id"): "cascade", ("chunks", "document_id"): "cascade", ("chunk_embeddings", "chunk_id"): "cascade", ("chunk_terms", "chunk_id"): "cascade",
+    ("ingestion_errors", "run_id"): "cascade", ("messages", "conversation_id"): "cascade", ("query_traces", "message_id"): "set null", ("eval_results", "run_id"): "cascade",
+}
 PARTITIONED = {"chunk_embeddings": ["department"], "chunk_terms": ["department"], "chunk_blocks": ["department"], "vector_index": ["department"]}
 
 

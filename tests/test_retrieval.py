@@ -150,3 +150,20 @@ def test_embedder_retries_and_checks_width(spark):
     bad = providers.embedder(lambda: lambda texts: [[1.0]] * len(texts), 2)
     with pytest.raises(Exception, match="one vector of 2"):
         spark.createDataFrame([("a",)], "t string").select(bad("t")).collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 19, 20, 500])
+def test_percentiles_of_distinct_values(spark, n):
+    """All values distinct, many alike, nulls among them, with and without a key; no task orders them all."""
+    distinct = spark.range(n).select((F.col("id") * 7919 % 10007).alias("v"), (F.col("id") % 3).alias("k"))
+    shares = [0.0, 0.5, 0.95, 1.0]
+    at = lambda vs, s: sorted(vs)[min(int(len(vs) * s), len(vs) - 1)]
+    vs = [k * 7919 % 10007 for k in range(n)]
+    got = evals.percentile_index(distinct.unionByName(spark.createDataFrame([(None, 0)], "v long, k long")), "v", shares)
+    assert rows(got, "share", "tokens") == [(s, at(vs, s)) for s in shares]
+    by = evals.percentile_index(distinct.unionByName(distinct), "v", shares, ["k"])
+    want = [(k, s, at([v for j, v in enumerate(vs) if j % 3 == k] * 2, s)) for k in range(min(n, 3)) for s in shares]
+    assert rows(by, "k", "share", "tokens") == sorted(want)
+    assert evals.percentile_index(distinct.limit(0), "v", shares).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__pid" in line.split("], [", 1)[1] for line in plan.splitlines() if "Window [" in line and "__before" not in line.split("AS", 1)[1][:20] and "sum(c" in line)
