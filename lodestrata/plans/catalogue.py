@@ -16,7 +16,7 @@ from lodestrata.functions import tokens as tk
 from lodestrata.operators import acl, answer, evals, fusion, ingest, postings, rerank, search, vector_index
 from lodestrata.plans import driver_tables as dt
 from lodestrata.plans import oracle
-from lodestrata.sources import corpus, references, seeds, store
+from lodestrata.sources import corpus, pieces, references, seeds, sink, store
 from lodestrata.sources.shared import kept, removed, shared_folder, small
 from lodestrata.streaming import changes
 
@@ -502,6 +502,28 @@ def not_found_forms(spark, sf):
     return own.select("conv_id", "turn", answer.is_not_found(F.col("t")).alias("at_start"), answer.is_not_found(F.col("t"), anywhere=True).alias("anywhere"))
 
 
+@query
+def streamed_answers(spark, sf):
+    """Answers told piece by piece through a stream, joined again."""
+    folder = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    got = answer.evidence(_reranked(spark, sf)).join(small(dt.questions(spark).select("qid", "question")), "qid")
+    got.select(F.col("qid").cast("string").alias("qid"), answer.user_message(F.col("question"), F.col("evidence")).alias("prompt")).write.parquet(f"{folder}/prompts")
+    rows = pieces.told(spark, f"{folder}/prompts", "lodestrata.functions.providers:offline_pieces", f"{folder}/out", f"{folder}/state", step=500, most=100_000)
+    found = kept(pieces.joined(rows).select(F.col("qid").cast("long").alias("qid"), F.sha2("answer", 256).alias("answer_hash")))
+    removed(spark, folder)
+    return found
+
+
+@query
+def sunk_messages(spark, sf):
+    """Turns through the transactional sink, the same batch twice, as after a failure: each row is there once."""
+    rows = read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("conversation_id"), "role", F.col("text").alias("content"))
+    with _scratch(spark) as s:
+        for _ in range(2):
+            sink.write(rows, s.root, "messages", "turns", 0)
+        return kept(s.read("messages").select("id", "conversation_id", "role", F.sha2("content", 256).alias("hash")))
+
+
 @query
 def outcome_classify(spark, sf):
     asked, _, final = _ranked(spark, sf)

@@ -177,6 +177,8 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
     "prompt_evidence": _w(RERANK)
     + """ SELECT f.qid, count(*) AS n_excerpts, sha256('Answer the question using only the evidence below.' || chr(10) || chr(10) || '<question>' || chr(10) || q.question || chr(10) || '</question>' || chr(10) || chr(10) || '<evidence>' || chr(10)
       || string_agg('<excerpt number="' || n || '" source="' || heading_path || '">' || chr(10) || content || chr(10) || '</excerpt>', chr(10) || chr(10) ORDER BY n) || chr(10) || '</evidence>') AS message_hash FROM final f JOIN questions q USING (qid) GROUP BY f.qid, q.question""",
+    "streamed_answers": _w(RERANK) + " SELECT qid, sha256(string_agg(string_split(content, chr(10))[1] || ' [' || n || ']', chr(10) ORDER BY n)) AS answer_hash FROM final GROUP BY qid",
+    "sunk_messages": "SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS conversation_id, role, sha256(text) AS hash FROM conversations",
     "generated_answers": _w(DONE) + " SELECT qid, answer, stop_reason, stop_reason = 'max_tokens' AS truncated FROM done WHERE NOT refused",
     "citations": _w(DONE) + r" SELECT qid, n, chunk_id, source_path FROM (SELECT qid, unnest(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{1,2})\]', 1), lambda x: x::BIGINT))) AS n FROM answers) JOIN final USING (qid, n)",
     "citation_extract": r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text || ' [' || turn || '][12] [12] [345] [a]', '\[([0-9]{1,2})\]', 1), lambda x: x::INT))), ',') AS numbers FROM conversations",

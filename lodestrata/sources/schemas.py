@@ -60,3 +60,14 @@ PARTITIONED = {"chunk_embeddings": ["department"], "chunk_terms": ["department"]
 
 def schema(table: str) -> T.StructType:
     return _schema(DDL[table])
+
+
+def columns(table: str) -> list[str]:
+    """A table's column names, in order; needs no session."""
+    depth, names, at = 0, [], 0
+    for k, c in enumerate(DDL[table] + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            names.append(DDL[table][at:k].split()[0])
+            at = k + 1
+    return names
