@@ -62,12 +62,21 @@ def schema(table: str) -> T.StructType:
     return _schema(DDL[table])
 
 
-def columns(table: str) -> list[str]:
-    """A table's column names, in order; needs no session."""
-    depth, names, at = 0, [], 0
+def _fields(table: str) -> list[str]:
+    depth, out, at = 0, [], 0
     for k, c in enumerate(DDL[table] + ","):
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
-            names.append(DDL[table][at:k].split()[0])
+            out.append(DDL[table][at:k].strip())
             at = k + 1
-    return names
+    return out
+
+
+def columns(table: str) -> list[str]:
+    """A table's column names, in order; needs no session."""
+    return [f.split()[0] for f in _fields(table)]
+
+
+def required(table: str) -> list[str]:
+    """Columns that may not be null."""
+    return [f.split()[0] for f in _fields(table) if f.endswith("not null")] if table in DDL else []

@@ -190,3 +190,27 @@ def test_broadcast_is_measured(spark):
     assert bounded(rows) and not bounded(rows, 10_000)
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(spark.range(3).crossJoin(small(rows))) and "broadcast" not in plan(spark.range(3).crossJoin(small(rows, 10_000)))
+
+
+def test_listing_by_folders(spark, tmp_path):
+    """Deep and wide trees, hidden names, other suffixes, an empty folder: as a plain walk gives them, with contents."""
+    for path in ("a.md", "_x/.y/z/_index.md", "w/1.md", "w/2.md", "w/.3.md", "w/no.txt", "é ü/ö.md", "w/deep/er/still/4.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    (tmp_path / "empty" / "more").mkdir(parents=True)
+    want = {os.path.relpath(os.path.join(d, f), tmp_path) for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".md")}
+    sizes = {r["path"]: r["size"] for r in corpus.listed(spark, str(tmp_path)).collect()}
+    assert sizes.keys() == want and all(n == len(p.encode()) for p, n in sizes.items())
+    got = {r["relative_path"]: bytes(r["content"]).decode() for r in corpus.read_tree(spark, f"file://{tmp_path}", slice_bytes=1).collect()}
+    assert got == {p: p for p in want}
+    assert corpus.read_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_checks_are_counted_in_the_write(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s._write("documents", spark.createDataFrame([("d", "s", "p", "x", "h", "odd"), (None, "s", "q", "x", None, "active")], "id string, source string, source_path string, department string, content_hash string, status string"), "n")
+    got = s.counted["documents", "n"]
+    assert got["rows"] == 2 and sorted(v for k, v in got.items() if k != "rows") == [0, 0, 0, 0, 1, 1, 1]
+    with pytest.raises(ConstraintError, match="id is null"):
+        s.commit({"roles": spark.createDataFrame([(None, "a")], "id string, name string")})
+    assert s.version() == 0 and os.listdir(tmp_path / "s" / "roles") == []
