@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -163,7 +164,20 @@ class RecordWriter(DataSourceArrowWriter):
             self._remove([f["name"] for f in old])
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._remove([m.name for m in messages if m])
+        """Removes the job's files, those of tasks that were killed too; one that a task makes even later is left to swept()."""
+        found, at = opened(self.path)
+        self._remove([f.base_name for f in found.get_file_info(afs.FileSelector(at, allow_not_found=True)) if f"-{self.job}-" in f.base_name and f.base_name.endswith(".tok")])
+
+
+def swept(path: str, grace: float = 24 * 3600.0) -> list[str]:
+    """Removes files older than grace seconds that no manifest names, as killed tasks leave them; their names."""
+    found, at = opened(path)
+    named = {f["name"] for f in manifest(path)}
+    own = [f for f in found.get_file_info(afs.FileSelector(at, allow_not_found=True)) if f.base_name.endswith((".tok", ".tok.idx"))]
+    gone = [f for f in own if f.base_name.removesuffix(".idx") not in named and f.mtime_ns < (time.time() - grace) * 1e9]
+    for f in gone:
+        found.delete_file(f.path)
+    return sorted(f.base_name for f in gone)
 
 
 @dataclass
@@ -312,4 +326,4 @@ def shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
     return dealt.select("file", "base", "offset", "size", "start").mapInArrow(run, ROWS)
 
 
-__all__ = ["FORMAT", "TokenRecords", "encoded", "framed", "index", "manifest", "masked", "read", "registered", "shuffled", "unframed", "write"]
+__all__ = ["FORMAT", "TokenRecords", "encoded", "framed", "index", "manifest", "masked", "read", "registered", "shuffled", "swept", "unframed", "write"]
