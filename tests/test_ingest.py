@@ -201,7 +201,7 @@ def test_listing_by_folders(spark, tmp_path):
     want = {os.path.relpath(os.path.join(d, f), tmp_path) for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".md")}
     sizes = {r["path"]: r["size"] for r in corpus.listed(spark, str(tmp_path)).collect()}
     assert sizes.keys() == want and all(n == len(p.encode()) for p, n in sizes.items())
-    got = {r["relative_path"]: bytes(r["content"]).decode() for r in corpus.read_tree(spark, f"file://{tmp_path}", slice_bytes=1).collect()}
+    got = {r["relative_path"]: bytes(r["content"]).decode() for r in corpus.read_tree(spark, f"file://{tmp_path}", slice_bytes=8192).collect()}
     assert got == {p: p for p in want}
     assert corpus.read_tree(spark, str(tmp_path / "empty")).count() == 0
 
