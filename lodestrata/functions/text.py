@@ -10,6 +10,15 @@ from lodestrata.config import STUB_CHARS
 #: What ends a line (Python's rule), and Unicode white space for trimming.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 WRAPPERS = ["alert", "panel", "details", "card"]
+#: Patterns of links and shortcodes, and what some shortcodes mean.
+LINK = r"\[([^\]]+)\]\([^)]+\)"
+INCLUDE = r'\{\{%\s*include\s+"[^"]+"\s*%\}\}'
+YES = r"\{\{<\s*yes\s*>\}\}"
+NO = r"\{\{<\s*no\s*>\}\}"
+LABEL = r'\{\{<\s*label\s+name="([^"]+)"[^>]*>\}\}'
+WRAPPER = r"\{\{%\s*/?NAME\b[^%]*%\}\}"
+SHORTCODE = r"(?s)\{\{[%<].*?[%>]\}\}"
+BLANK_LINES = r"\n{3,}"
 
 
 def strip(c: Column) -> Column:
@@ -28,17 +37,17 @@ def sentences(c: Column) -> Column:
 
 
 def delinked(c: Column) -> Column:
-    return F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return F.regexp_replace(c, LINK, "$1")
 
 
 def included(c: Column, includes: Column | None = None) -> Column:
     """Include shortcodes, each replaced once by includes[rel] (a map column) or a mark."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r'(\{\{%\s*include\s+"[^"]+"\s*%\}\})'), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({INCLUDE})"), F.lit(1)))
     rel = lambda m: F.regexp_extract(m, r'"([^"]+)"', 1)
     text = lambda m: F.coalesce(includes[rel(m)], F.concat(F.lit("[included: "), rel(m), F.lit("]"))) if includes is not None else F.concat(F.lit("[included: "), rel(m), F.lit("]"))
     # split at the shortcodes and put the texts between, so that what is put in is not looked at again
-    between = F.split(c, r'\{\{%\s*include\s+"[^"]+"\s*%\}\}')
-    every = F.regexp_extract_all(c, F.lit(r'(\{\{%\s*include\s+"[^"]+"\s*%\}\})'), F.lit(1))
+    between = F.split(c, INCLUDE)
+    every = F.regexp_extract_all(c, F.lit(f"({INCLUDE})"), F.lit(1))
     put = F.concat(F.transform(every, text), F.array(F.lit("")))
     return F.when(F.size(found) == 0, c).otherwise(F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, b)), ""))
 
@@ -46,13 +55,13 @@ def included(c: Column, includes: Column | None = None) -> Column:
 def without_shortcodes(c: Column, includes: Column | None = None) -> Column:
     """Includes, then the shortcodes that mean a text, then wrappers, then all others; blank lines collapse."""
     c = included(c, includes)
-    c = F.regexp_replace(c, r"\{\{<\s*yes\s*>\}\}", "Yes")
-    c = F.regexp_replace(c, r"\{\{<\s*no\s*>\}\}", "No")
-    c = F.regexp_replace(c, r'\{\{<\s*label\s+name="([^"]+)"[^>]*>\}\}', r"\[$1\]")
+    c = F.regexp_replace(c, YES, "Yes")
+    c = F.regexp_replace(c, NO, "No")
+    c = F.regexp_replace(c, LABEL, r"\[$1\]")
     for tag in WRAPPERS:
-        c = F.regexp_replace(c, r"\{\{%\s*/?" + tag + r"\b[^%]*%\}\}", "")
-    c = F.regexp_replace(c, r"(?s)\{\{[%<].*?[%>]\}\}", "")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+        c = F.regexp_replace(c, WRAPPER.replace("NAME", tag), "")
+    c = F.regexp_replace(c, SHORTCODE, "")
+    return strip(F.regexp_replace(c, BLANK_LINES, "\n\n"))
 
 
 def prose_chars(body: Column) -> Column:
