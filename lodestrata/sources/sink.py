@@ -116,6 +116,14 @@ class _Rows:
         if (files or batch is not None) and not Log(self.root).add(self.table, files, self.app, batch):
             self.remove(messages)
 
+    def sweep(self) -> None:
+        """Removes this writer's files that no manifest names: those of the batch that failed, of killed tasks too. What one writes even later, vacuum() takes."""
+        found, root = afs.FileSystem.from_uri(self.root)
+        named = set(Log(self.root).newest()["tables"].get(self.table, []))
+        for f in found.get_file_info(afs.FileSelector(f"{root}/{self.table}/{self.folder}", allow_not_found=True)):
+            if f"{self.folder}/{f.base_name}" not in named:
+                found.delete_file(f.path)
+
     def remove(self, messages: list[File | None]) -> None:
         found, root = afs.FileSystem.from_uri(self.root)
         for m in messages:
@@ -128,7 +136,7 @@ class BatchRows(_Rows, DataSourceArrowWriter):
         self.show(messages, self.batch)
 
     def abort(self, messages: list[File | None]) -> None:
-        self.remove(messages)
+        self.sweep()
 
 
 class StreamRows(_Rows, DataSourceStreamArrowWriter):
@@ -136,7 +144,7 @@ class StreamRows(_Rows, DataSourceStreamArrowWriter):
         self.show(messages, batchId)
 
     def abort(self, messages: list[File | None], batchId: int) -> None:  # noqa: N803
-        self.remove(messages)
+        self.sweep()
 
 
 class StoreRows(DataSource):
