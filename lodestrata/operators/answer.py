@@ -118,6 +118,23 @@ def trace_hits(hits: DataFrame, in_prompt: bool) -> DataFrame:
     return hits.groupBy("qid").agg(F.array_sort(F.collect_list(order)).alias("o")).select("qid", F.transform("o", lambda x: x["t"]).alias("retrieval"))
 
 
+#: Of a trace's payload as JSON, for reading it.
+PAYLOAD = "array<struct<chunk_id:string,department:string,dense_score:double,dense_rank:bigint,lexical_rank:bigint,rrf_score:double,rerank_score:double,in_prompt:boolean>>"
+
+
+def payload(retrieval: Column) -> Column:
+    """What was ranked as one JSON text, for those who read traces without Spark: absent branches are null, not left out; in_prompt only where it was decided."""
+    one = lambda h: F.struct(*[h[c].alias(c) for c in ("chunk_id", "department", "dense_score", "dense_rank", "lexical_rank", "rrf_score", "rerank_score")])
+    marked = lambda h: F.struct(*[h[c].alias(c) for c in ("chunk_id", "department", "dense_score", "dense_rank", "lexical_rank", "rrf_score", "rerank_score", "in_prompt")])
+    text = lambda h: F.when(h["in_prompt"].isNull(), F.to_json(one(h), {"ignoreNullFields": "false"})).otherwise(F.to_json(marked(h), {"ignoreNullFields": "false"}))
+    return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(retrieval, F.array().cast(PAYLOAD)), text), ","), F.lit("]"))
+
+
+def read_payload(text: Column) -> Column:
+    """payload() as columns again."""
+    return F.from_json(text, PAYLOAD)
+
+
 def traces(done: DataFrame, hits: DataFrame, at: str, embedding_model: str = "offline", model: str = "offline", latency_ms: dict[str, float] | None = None) -> DataFrame:
     """Rows for query_traces; ``at`` is one timestamp for the run, and ids come from it and the question.
 

@@ -15,7 +15,7 @@ from lodestrata.config import K_PER_BRANCH
 from lodestrata.functions import analysis, vectors
 from lodestrata.operators import postings, vector_index
 from lodestrata.operators.ranking import question_terms, top
-from lodestrata.sources.shared import small
+from lodestrata.sources.shared import kept, small
 
 
 class SearchBackend(Protocol):
@@ -27,8 +27,12 @@ class SearchBackend(Protocol):
 
 
 def scored(questions: DataFrame, allow: DataFrame, embeddings: DataFrame, unit: bool = True) -> DataFrame:
-    """qid, chunk_id, department, dense_score of every allowed pair. unit: vectors have unit length already."""
-    asked = questions.select("qid", F.col("vector").alias("q")).where("q is not null").join(allow, "qid")
+    """qid, chunk_id, department, dense_score of every allowed pair. unit: vectors have unit length already.
+
+    Of vectors that are stored by department Spark opens only the folders of departments that someone who asks may see. It prunes by the
+    broadcast of this join, if that is a filtered scan: a join below it is planned anew while it runs, and then no longer the same.
+    """
+    asked = kept(questions.select("qid", F.col("vector").alias("q")).where("q is not null").join(allow, "qid")).where("department > ''")
     score = vectors.dot(F.col("embedding"), F.col("q")) if unit else vectors.cosine(F.col("embedding"), F.col("q"))
     return embeddings.join(small(asked), "department").select("qid", "chunk_id", "department", score.alias("dense_score")).where("dense_score is not null")
 

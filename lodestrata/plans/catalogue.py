@@ -133,6 +133,29 @@ def stored_version(spark, sf):
         return kept(now.join(was, F.col("source_path") == F.col("was_source_path"), "left").select("id", "source_path", state.alias("state"), "was_status"))
 
 
+def _keys(spark, sf, s: store.Store) -> DataFrame:
+    """The older state's keys in a store: a first version of all of them, and then those that had changed since."""
+    older = _stored(spark, sf).withColumn("source", F.lit("handbook"))
+    moved = F.col("status") == "tombstoned"
+    s.commit({"document_keys": store.keys_of(older.withColumn("status", F.lit("active")).withColumn("content_hash", F.when(moved, "before").otherwise(F.col("content_hash"))), 0)})
+    s.append("document_keys", store.keys_of(older.where(moved), 1))
+    return s.read("document_keys")
+
+
+@query
+def keyed_diff(spark, sf):
+    """hash_diff against stored keys in Spark's buckets: only the walked side is shuffled, by path and hash."""
+    with _scratch(spark) as s:
+        return kept(ingest.diffed(dt.documents(spark, sf).drop("content"), _keys(spark, sf, s)).select("doc_id", "change"))
+
+
+@query
+def keyed_vanished(spark, sf):
+    """Active documents that the walk didn't see, by the same buckets."""
+    with _scratch(spark) as s:
+        return kept(ingest.vanished(_keys(spark, sf, s), dt.documents(spark, sf)).select("id", "source_path"))
+
+
 @query
 def upsert_counts(spark, sf):
     return store.upsert_tally(_stored(spark, sf), dt.documents(spark, sf), ["source_path"])
@@ -380,6 +403,19 @@ def blockmax_skips(spark, sf):
         return kept(postings.skips(*_allow(spark, sf), _blocks(spark, sf, s)))
 
 
+@query
+def stored_topk_active(spark, sf):
+    """The nearest 5 active chunks of each department that a role may see, from stored vectors; folders of other departments are never opened."""
+    with _scratch(spark) as s:
+        docs = dt.chunks(spark, sf).select(F.col("chunk_id").cast("string").alias("id"), F.col("chunk_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), "content", "department", F.when(F.col("chunk_id") % 11 == 0, "tombstoned").otherwise("active").alias("status"))
+        vectors_ = dt.embeddings(spark, sf).select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding", "department")
+        s.commit({"chunks": docs, "chunk_embeddings": vectors_}, check=False)
+        asked = kept(dt.asked(spark, sf).where("asker = 'role'"))
+        active = s.read("chunks").withColumnRenamed("id", "chunk_id")
+        found = search.dense_pools(asked, acl.allowed(asked), search.TableBackend(s.read("chunk_embeddings"), active, terms=s.read("chunk_terms")).embeddings, 5)
+        return kept(found.select("qid", "department", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("dense_score", 6).alias("dense_score")))
+
+
 @query
 def vector_index_topk(spark, sf):
     """dense_topk_per_department from the stored index: the nearest cells, then those that their radius doesn't rule out."""
@@ -544,6 +580,15 @@ def trace_rows(spark, sf):
     return got.select("raw_query", "user_id", "outcome", F.col("place").cast("long").alias("place"), F.col("h.chunk_id").alias("chunk_id"), F.col("h.rrf_score").alias("rrf_score"), F.col("h.rerank_score").alias("rerank_score"), F.col("h.in_prompt").alias("in_prompt"))
 
 
+@query
+def trace_payload(spark, sf):
+    """What was ranked, as the JSON text of a trace, written and read again."""
+    asked, _, hits = _ranked(spark, sf)
+    t = answer.traces(_done(asked, hits), hits, "2024-01-01 00:00:00").select("raw_query", "user_id", answer.payload(F.col("retrieval")).alias("json"))
+    shape = t.select("raw_query", "user_id", F.json_array_length("json").cast("long").alias("n"), F.get_json_object("json", "$[0].in_prompt").alias("marked"), F.posexplode_outer(answer.read_payload(F.col("json"))).alias("place", "h"))
+    return shape.select("raw_query", "user_id", "n", "marked", F.col("place").cast("long").alias("place"), "h.chunk_id", "h.department", "h.dense_score", "h.dense_rank", "h.lexical_rank", "h.rrf_score", "h.rerank_score")
+
+
 # -- evaluation -----------------------------------------------------------------------------------------------------------------------
 
 

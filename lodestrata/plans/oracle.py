@@ -122,6 +122,8 @@ SQL: dict[str, str] = {
     "department_filter": _w() + " SELECT doc_id, department FROM docs WHERE department IN ('finance', 'legal')",
     "content_hash": _w() + " SELECT doc_id, content_hash FROM docs",
     "hash_diff": _w(STORED, DIFF) + " SELECT doc_id, change FROM diff",
+    "keyed_diff": _w(STORED, DIFF) + " SELECT doc_id, change FROM diff",
+    "keyed_vanished": _w(STORED) + " SELECT id, source_path FROM stored WHERE status = 'active' AND source_path NOT IN (SELECT source_path FROM docs)",
     "streamed_changes": _w(STORED, DIFF) + """ SELECT source_path, change, content_hash FROM diff
 UNION ALL SELECT source_path, 'tombstoned', content_hash FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs)""",
     "cascade_closure": """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS l_suppkey FROM lineitem
@@ -162,6 +164,8 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
     "dense_topk_one_department": _w() + " SELECT chunk_id, round(s, 6) AS dense_score FROM (SELECT chunk_id, list_sum(list_transform(list_zip(e.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM emb e, embeddings v WHERE v.vec_id = 0 AND department = 'finance') ORDER BY s DESC, chunk_id LIMIT 25",
     "cosine_scores": "SELECT e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score FROM embeddings e, embeddings v WHERE v.vec_id = 2",
     "dense_topk_per_department": _w(DENSE) + " SELECT qid, department, chunk_id, round(dense_score, 6) AS dense_score, rank_in_department FROM dense",
+    "stored_topk_active": _w(DENSE.replace("JOIN emb e", "JOIN (SELECT * FROM emb WHERE chunk_id % 11 <> 0) e").replace("<= 25", "<= 5"))
+    + " SELECT qid, department, chunk_id, round(dense_score, 6) AS dense_score FROM dense WHERE qid IN (SELECT qid FROM asked WHERE asker = 'role')",
     "dense_global_rank": _w(DENSE) + " SELECT qid, chunk_id, department, dense_rank FROM dense_ranked",
     "lexical_match_all_terms": _w(LEXICAL) + " SELECT qid, chunk_id, department, lexical_score FROM matched",
     "lexical_topk": _w(LEXICAL) + " SELECT qid, chunk_id, department, lexical_score, lexical_rank FROM lexical",
@@ -186,6 +190,9 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
     "outcome_histogram": _w(DONE) + " SELECT outcome, count(*) AS n FROM done GROUP BY outcome",
     "trace_rows": _w(DONE)
     + " SELECT d.question AS raw_query, d.user_id, d.outcome, f.n - 1 AS place, f.chunk_id::VARCHAR AS chunk_id, round(f.rrf_score, 6) AS rrf_score, round(f.rerank_score, 6) AS rerank_score, CASE WHEN f.n IS NOT NULL AND d.outcome <> 'refused_by_floor' THEN true END AS in_prompt FROM done d LEFT JOIN final f USING (qid)",
+    "trace_payload": _w(DONE)
+    + """ SELECT d.question AS raw_query, d.user_id, count(f.n) OVER (PARTITION BY d.qid) AS n, CASE WHEN f.n IS NOT NULL AND d.outcome <> 'refused_by_floor' THEN 'true' END AS marked, f.n - 1 AS place, f.chunk_id::VARCHAR AS chunk_id, f.department,
+      round(f.dense_score, 6) AS dense_score, f.dense_rank, f.lexical_rank, round(f.rrf_score, 6) AS rrf_score, round(f.rerank_score, 6) AS rerank_score FROM done d LEFT JOIN final f USING (qid)""",
     "path_recall": _w(METRICS) + " SELECT qid, round(recall_wide, 6) AS recall_wide, round(recall_final, 6) AS recall_final FROM metrics",
     "any_recall": _w(METRICS) + " SELECT qid, recall_wide > 0 AS any_recall_wide, recall_final > 0 AS any_recall_final FROM metrics",
     "eval_summary": _w(METRICS)

@@ -16,6 +16,7 @@ DDL = {
     "user_roles": "user_id string not null, role_id string not null",
     "role_department_access": "role_id string not null, department string not null",
     "documents": "id string not null, source string not null, source_path string not null, title string, department string not null, doc_type string, content_hash string not null, raw_uri string, source_updated_at timestamp, indexed_at timestamp, status string not null",
+    "document_keys": "source string not null, source_path string not null, id string not null, content_hash string not null, status string not null, written long not null",
     "chunks": "id string not null, document_id string not null, chunk_index int not null, content string not null, heading_path string, token_count int, department string not null, status string not null, metadata string, created_at timestamp",
     "chunk_terms": "chunk_id string not null, department string not null, term string not null, positions array<int>",
     "embedding_models": "model_name string not null, dimensions int not null, table_name string not null, is_active boolean not null, created_at timestamp",
@@ -39,7 +40,7 @@ KEYS = {
     "chunk_terms": ["chunk_id", "term"], "embedding_models": ["model_name"], "chunk_embeddings": ["chunk_id"], "golden_questions": ["question", "ask_as_role", "ask_as_email"], "eval_results": ["run_id", "question_id"],
 }
 CHECKS = {
-    "documents": {"status": ["active", "tombstoned"]}, "chunks": {"status": ["active", "tombstoned"]}, "ingestion_runs": {"status": ["running", "succeeded", "failed"]}, "messages": {"role": ["user", "assistant"]},
+    "documents": {"status": ["active", "tombstoned"]}, "document_keys": {"status": ["active", "tombstoned"]}, "chunks": {"status": ["active", "tombstoned"]}, "ingestion_runs": {"status": ["running", "succeeded", "failed"]}, "messages": {"role": ["user", "assistant"]},
     "query_traces": {"outcome": ["answered", "refused_by_floor", "refused_by_model"]},
 }
 REFERENCES = {
@@ -57,6 +58,9 @@ ON_DELETE = {
 }
 PARTITIONED = {"chunk_embeddings": ["department"], "chunk_terms": ["department"], "chunk_blocks": ["department"], "vector_index": ["department"]}
 
+#: Tables in Spark's buckets of a column, whose rows are added and never replaced: of those with one key (the second list) the one that was written last counts.
+CLUSTERED = {"document_keys": ("source_path", ["source", "source_path"], "written")}
+
 
 def schema(table: str) -> T.StructType:
     return _schema(DDL[table])
