@@ -83,9 +83,9 @@ def english_terms(chunks: DataFrame) -> DataFrame:
 
 
 def english_matches(questions: DataFrame, allow: DataFrame, terms: DataFrame) -> DataFrame:
-    """matches() over english_terms(), with a proximity rank as lexical_score (double); only asked lexemes' postings are grouped."""
+    """matches() over english_terms(), with a proximity rank as lexical_score (double); only asked lexemes' postings are grouped, and only folders of allowed departments read."""
     asked = questions.select("qid", analysis.english_query("question").alias("q"))
-    asked = asked.select("qid", F.size("q").alias("n_terms"), "q", F.explode("q").alias("term")).join(allow, "qid")
+    asked = kept(asked.select("qid", F.size("q").alias("n_terms"), "q", F.explode("q").alias("term")).join(allow, "qid")).where("department > ''")
     found = terms.join(small(asked), ["term", "department"])
     whole = found.groupBy("qid", "chunk_id", "department").agg(F.collect_list(F.struct("term", "positions")).alias("v"), F.max("n_terms").alias("n_terms"), F.first("q").alias("q"))
     return whole.where(F.size("v") == F.col("n_terms")).select("qid", "chunk_id", "department", analysis.english_rank("v", "q").alias("lexical_score"))
