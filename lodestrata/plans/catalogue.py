@@ -799,18 +799,18 @@ def code_pieces(spark, sf):
 
 @query
 def paragraph_packing(spark, sf):
-    """Texts, lines as paragraphs, packed to the token cap: no SQL says the same, tests hold it against a brute-force version."""
+    """Texts, lines as paragraphs, packed to the token cap, with their path as title."""
     own = dt.documents(spark, sf).select("doc_id", chunking.chunk_column(F.regexp_replace("content", "\n", "\n\n"), F.col("source_path")).alias("c"))
-    return chunking.exploded(own.select("doc_id", F.col("c.chunks").alias("chunks"))).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), F.length("content").cast("long").alias("chars"))
+    return chunking.exploded(own.select("doc_id", F.col("c.chunks").alias("chunks"))).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("hash"))
 
 
 @query
 def chunk_markdown(spark, sf):
-    """Conversations as Markdown, a section a turn with a fence or a table in some, as chunks: small sections merge, large ones are cut. Rows only; tests pin the steps."""
+    """Conversations as Markdown, a section a turn with a fence or a table in some, as chunks: small sections merge, large ones are cut, heading paths go in front."""
     head = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit("\n\n"))
     block = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```\n# no heading\n"), "text", F.lit("\n```"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("| a |\n|---|\n| "), _words(), F.lit(" |"))).otherwise(F.col("text"))
     made = _conversations(spark, sf, F.concat(head, block)).select("conv_id", chunking.chunk_column(F.array_join("ls", "\n\n"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")), 20, 60).alias("c")).select("conv_id", F.col("c.chunks").alias("chunks"))
-    return chunking.exploded(made).select("conv_id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", F.col("token_count").cast("long").alias("token_count"))
+    return chunking.exploded(made).select("conv_id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", F.col("token_count").cast("long").alias("token_count"), F.sha2("content", 256).alias("hash"))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.config import GRANTS, NOT_FOUND
+from lodestrata.config import GRANTS, MAX_TOKENS, MIN_TOKENS, NOT_FOUND
+from lodestrata.plans import chunk_sql
+from lodestrata.plans.chunk_sql import TOKEN
 from lodestrata.plans.driver_tables import BASE_SQL, _rows
 
 _N = NOT_FOUND.replace("'", "''")
@@ -71,7 +73,6 @@ metrics AS (
          CASE WHEN len(coalesce(expected_doc_paths, [])) > 0 THEN len(list_filter(expected_doc_paths, lambda e: len(list_filter(coalesce(f.ps, []), lambda p: starts_with(p, e))) > 0))::DOUBLE / len(expected_doc_paths) END AS recall_final
   FROM done d JOIN clean c USING (qid) LEFT JOIN wide_paths w USING (qid) LEFT JOIN final_paths f USING (qid) WHERE d.asker IS NOT NULL
 )"""
-TOKEN = r"\s*(?:[A-Za-z0-9]+|[^\sA-Za-z0-9])|\s+$"
 
 
 def _w(*parts: str) -> str:
@@ -115,6 +116,7 @@ def _pieces(line: str, head: str, tail: str) -> str:
       SELECT conv_id, g::BIGINT AS place, length(piece) AS chars, sha256(piece) AS hash FROM x"""
 
 
+_PARAGRAPHS = r"SELECT doc_id::VARCHAR AS doc, 0 AS s, [source_path] AS path, 'plain' AS kind, regexp_replace(replace(content, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body FROM docs WHERE trim(content) <> ''"
 _SIZED = f"sized AS (SELECT department, source_path, content, len(regexp_extract_all(content, '{TOKEN}'))::BIGINT AS t FROM docs)"
 
 SQL: dict[str, str] = {
@@ -146,6 +148,8 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
     "packed_paragraphs": f"WITH {_packed(f"SELECT doc_id, k, ls[k + 1] AS t, len(regexp_extract_all(ls[k + 1], '{TOKEN}')) AS n FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))", 'doc_id', 100)} SELECT doc_id, g::BIGINT AS place, min(k) AS first, count(*) AS units, sum(n)::BIGINT AS tokens, bool_and(n <= 100) AS whole FROM r GROUP BY doc_id, g",
     "table_pieces": _pieces("'| ' || turn || ' | ' || w || ' |'", "'| turn | words |' || chr(10) || '|---|---|'", "''"),
     "code_pieces": _pieces("'say(' || turn || ') ' || w", "'```py'", "'```'"),
+    "paragraph_packing": f"WITH RECURSIVE {BASE_SQL}, {chunk_sql.chunked(_PARAGRAPHS, MIN_TOKENS, MAX_TOKENS)} SELECT doc::BIGINT AS doc_id, chunk_index, token_count, length(content) AS chars, sha256(content) AS hash FROM done",
+    "chunk_markdown": f"WITH RECURSIVE {chunk_sql.TURN_LEVELS}, {chunk_sql.chunked(chunk_sql.TALKS, 20, 60)} SELECT doc::BIGINT AS conv_id, chunk_index, heading_path, token_count, sha256(content) AS hash FROM done",
     "replace_chunks": _w(STORED, DIFF) + " SELECT doc_id, 0::BIGINT AS chunk_index, 'old' AS generation FROM diff WHERE change NOT IN ('added', 'updated') UNION ALL SELECT doc_id, unnest(range(len(string_split(content, chr(10)))))::BIGINT, 'new' FROM diff WHERE change IN ('added', 'updated')",
     "ingest_balance": _w(STORED, DIFF, "st AS (SELECT CASE WHEN length(content) < 40 THEN 'skipped_stub' ELSE change END AS s FROM diff)")
     + " SELECT count(*) AS walked, count(*) FILTER (s = 'added') AS added, count(*) FILTER (s IN ('updated', 'reactivated')) AS updated, count(*) FILTER (s = 'unchanged') AS unchanged, count(*) FILTER (s = 'skipped_stub') AS skipped_stub, 0::BIGINT AS skipped_empty, 0::BIGINT AS errored, count(*) FILTER (s IN ('added', 'updated')) AS chunks_written, true AS balanced FROM st",
