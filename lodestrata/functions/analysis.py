@@ -195,5 +195,5 @@ def rank(vector: dict[str, list[int]], query: list[str]) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def english_rank(vector: pd.Series, query: pd.Series) -> pd.Series:
-    """rank() of english_vector() columns."""
-    return pd.Series([rank({t["term"]: list(t["positions"]) for t in (v if v is not None else [])}, list(q)) for v, q in zip(vector, query, strict=True)])
+    """rank() of english_vector() columns, to nine digits: a sum's last bits depend on its order, and ranks that are equal should tie."""
+    return pd.Series([round(rank({t["term"]: list(t["positions"]) for t in (v if v is not None else [])}, list(q)), 9) for v, q in zip(vector, query, strict=True)])

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.config import FINAL_K, GRANTS, K_PER_BRANCH, MAX_TOKENS, NOT_FOUND, POOL
+from lodestrata.config import FINAL_K, FOLDERS, GRANTS, K_PER_BRANCH, MAX_TOKENS, NOT_FOUND, POOL
 from lodestrata.functions import analysis, chunking, providers, vectors
 from lodestrata.functions import text as tx
 from lodestrata.functions import tokens as tk
@@ -445,12 +445,38 @@ def term_statistics(spark, sf):
 
 @query
 def english_topk(spark, sf):
-    """Full-text search with stop words, stems and proximity ranks: no SQL says the same, tests hold it against a brute-force version."""
+    """Full-text search with stop words, stems and proximity ranks."""
     asked, allow = _allow(spark, sf)
     found = search.lexical_ranked(search.english_matches(asked, allow, search.english_terms(dt.chunks(spark, sf))))
     return found.select("qid", "chunk_id", "lexical_rank", F.round("lexical_score", 6).alias("ts_rank"))
 
 
+@query
+def english_hybrid(spark, sf):
+    """Both branches fused, the full-text one with stop words, stems and proximity ranks."""
+    backend = search.TableBackend(dt.embeddings(spark, sf), dt.chunks(spark, sf), english=True)
+    found = fusion.Retriever(backend, dt.users(spark), dt.roles(spark)).retrieve(dt.questions(spark, sf))
+    return found.select("qid", "chunk_id", "department", "dense_rank", "lexical_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank")
+
+
+@query
+def english_talks(spark, sf):
+    """The first two words of each turn, asked of all departments."""
+    turns = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("question"))
+    allow = turns.select("qid", F.explode(F.array(*[F.lit(d) for d in sorted(set(FOLDERS.values()))])).alias("department"))
+    found = search.lexical_ranked(search.english_matches(turns, allow, search.english_terms(dt.chunks(spark, sf))))
+    return found.select("qid", "chunk_id", "lexical_rank", F.round("lexical_score", 6).alias("ts_rank"))
+
+
+@query
+def english_lexemes(spark, sf):
+    """What the English analyser makes of each whole text: lexemes with their positions."""
+    own = read(spark, sf, "documents").select("doc_id", analysis.english_vector("text").alias("v"))
+    said = F.array_join(F.transform("v", lambda t: F.concat(t["term"], F.lit("="), F.array_join(t["positions"].cast("array<string>"), ","))), " ")
+    places = F.aggregate("v", F.lit(0), lambda n, t: n + F.size(t["positions"]))
+    return own.select("doc_id", F.size("v").cast("long").alias("n_lexemes"), places.cast("long").alias("n_positions"), F.sha2(said, 256).alias("hash"))
+
+
 @query
 def hybrid_rrf(spark, sf):
     r = _hybrid(spark, sf)

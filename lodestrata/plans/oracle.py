@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestrata.config import GRANTS, MAX_TOKENS, MIN_TOKENS, NOT_FOUND
-from lodestrata.plans import chunk_sql
+from lodestrata.plans import chunk_sql, english_sql
 from lodestrata.plans.chunk_sql import TOKEN
 from lodestrata.plans.driver_tables import BASE_SQL, _rows
 
@@ -36,13 +36,19 @@ matched AS (
   GROUP BY q.qid, p.chunk_id, p.department, q.n_terms HAVING count(*) = q.n_terms
 ),
 lexical AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical_score DESC, chunk_id) AS lexical_rank FROM matched QUALIFY lexical_rank <= 25)"""
-HYBRID = f"""{DENSE}, {LEXICAL},
+_FUSED = """
 fused AS (
   SELECT coalesce(d.qid, x.qid) AS qid, coalesce(d.chunk_id, x.chunk_id) AS chunk_id, coalesce(d.department, x.department) AS department, d.dense_score, d.dense_rank, x.lexical_rank,
          coalesce(1.0::DOUBLE / (60 + d.dense_rank), 0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + x.lexical_rank), 0::DOUBLE) AS rrf_score
   FROM dense_ranked d FULL OUTER JOIN lexical x ON d.qid = x.qid AND d.chunk_id = x.chunk_id
 ),
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 25)"""
+HYBRID = f"{DENSE}, {LEXICAL}, {_FUSED}"
+ENGLISH = f"{english_sql.search('chunks', 'questions', 'allow')}, {english_sql.RANKED}"
+#: The first two words of each turn as a question to all departments.
+ASKED_TALKS = """
+talks AS (SELECT conv_id * 1000 + turn AS qid, array_to_string(string_split(text, ' ')[1:2], ' ') AS question FROM conversations),
+talk_allow AS (SELECT qid, unnest((SELECT list(DISTINCT department) FROM folders)) AS department FROM talks)"""
 RERANK = f"""{HYBRID},
 pairs AS (
   SELECT h.*, c.content, c.source_path, c.heading_path, CASE WHEN len(q.ts) > 0 THEN len(list_intersect(q.ts, list_distinct(regexp_split_to_array(lower(c.content), '[^a-z0-9]+'))))::DOUBLE / len(q.ts) ELSE 0.0::DOUBLE END AS rerank_score
@@ -139,6 +145,12 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
     "upsert_counts": _w(STORED) + " SELECT count(*) FILTER (s.id IS NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS updated FROM docs d LEFT JOIN stored s USING (source_path)",
     "embedding_cascade": _w(STORED) + " SELECT chunk_id, department FROM emb WHERE chunk_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned')",
     "reference_set_null": _w(STORED) + " SELECT vec_id, CASE WHEN vec_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned') THEN vec_id END AS document_id FROM embeddings",
+    "english_topk": _w(ENGLISH) + " SELECT qid, chunk_id, lexical_rank, round(score, 6) AS ts_rank FROM lexical",
+    "english_hybrid": _w(DENSE, ENGLISH, _FUSED) + " SELECT qid, chunk_id, department, dense_rank, lexical_rank, round(rrf_score, 6) AS rrf_score, rank FROM hybrid",
+    "english_talks": _w(ASKED_TALKS, english_sql.search("chunks", "talks", "talk_allow"), english_sql.RANKED) + " SELECT qid, chunk_id, lexical_rank, round(score, 6) AS ts_rank FROM lexical",
+    "english_lexemes": f"""WITH d AS (SELECT doc_id AS chunk_id, '' AS department, text AS content FROM documents), q AS (SELECT 0 AS qid, '' AS question), w AS (SELECT 0 AS qid, '' AS department), {english_sql.search("d", "q", "w")},
+      t AS (SELECT chunk_id, term, count(*) AS n, string_agg(place::VARCHAR, ',' ORDER BY place) AS places FROM english_terms GROUP BY ALL), v AS (SELECT chunk_id, count(*) AS n, sum(n)::BIGINT AS m, string_agg(term || '=' || places, ' ' ORDER BY term) AS s FROM t GROUP BY chunk_id)
+      SELECT doc_id, coalesce(n, 0) AS n_lexemes, coalesce(m, 0) AS n_positions, sha256(coalesce(s, '')) AS hash FROM documents LEFT JOIN v ON chunk_id = doc_id""",
     "retriever_active": _w(f"live AS (SELECT * FROM chunks WHERE chunk_id % 11 <> 0), live_emb AS (SELECT * FROM emb WHERE chunk_id % 11 <> 0), {HYBRID.replace('FROM chunks', 'FROM live').replace('JOIN emb e', 'JOIN live_emb e')}")
     + " SELECT qid, chunk_id, department, dense_rank, lexical_rank, round(rrf_score, 6) AS rrf_score, rank FROM hybrid",
     "not_found_forms": f"WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '  {_N} ' || text WHEN 1 THEN text || ' {_N}' ELSE text END AS t FROM conversations) SELECT conv_id, turn, starts_with(trim(t), '{_N}') AS at_start, contains(t, '{_N}') AS anywhere FROM t",
