@@ -156,6 +156,46 @@ def keyed_vanished(spark, sf):
         return kept(ingest.vanished(_keys(spark, sf, s), dt.documents(spark, sf)).select("id", "source_path"))
 
 
+def _waves(spark, sf) -> list[DataFrame]:
+    """Documents as files three times: without some; with frontmatter, broken frontmatter, empty files and stubs, and without others; all of them."""
+    docs = dt.documents(spark, sf).select("doc_id", F.col("folder"), F.coalesce("content", F.lit("")).alias("text"))
+    place, kind = F.concat("folder", F.lit("/"), F.col("doc_id").cast("string")), F.col("doc_id") % 13
+    plain = docs.where("doc_id % 7 <> 0").select(F.concat(place, F.lit(".md")).alias("relative_path"), F.encode("text", "UTF-8").alias("content"))
+    titled = F.concat(F.lit("---\ntitle: T "), F.col("doc_id").cast("string"), F.lit("\n---\n# One\n\n"), "text", F.lit("\n\n## Two\n\n"), "text")
+    body = F.when(kind == 1, F.concat(F.lit("---\ntitle: [\n---\n"), "text")).when(kind == 2, "").when(kind == 3, titled).when(kind == 4, "- a\n- b\n").otherwise(F.col("text"))
+    shaped = docs.select("doc_id", F.concat(place, F.when(kind == 4, "/_index.md").otherwise(".md")).alias("relative_path"), F.encode(body, "UTF-8").alias("content"))
+    return [plain, shaped.where("doc_id % 17 <> 0").drop("doc_id"), shaped.drop("doc_id")]
+
+
+@query
+def ingest_runs(spark, sf):
+    """Three runs of the ingest into one store: what each of them logged, and how many errors it recorded."""
+    with _scratch(spark) as s:
+        for files in _waves(spark, sf):
+            ingest.Ingest(spark, s, files).run()
+        errors = s.read("ingestion_errors").groupBy("run_id").agg(F.count("source_path").alias("n_errors"))
+        runs = s.read("ingestion_runs").join(errors, F.col("id") == F.col("run_id"), "left")
+        counters = [F.col(f"stats.{c}").alias(c) for c in (*ingest.tally_names(), "tombstoned")]
+        # a row a run
+        number = F.row_number().over(Window.orderBy("started_at")).cast("long")
+        return kept(runs.select(number.alias("run"), "status", *counters, F.coalesce("n_errors", F.lit(0)).cast("long").alias("n_errors")))
+
+
+@query
+def ingested(spark, sf):
+    """What the three runs leave: every document's status and title, its chunks, and whether they have a vector and terms."""
+    with _scratch(spark) as s:
+        for files in _waves(spark, sf):
+            ingest.Ingest(spark, s, files).run()
+        docs = s.read("documents").select(F.col("id").alias("document_id"), "source_path", "title", F.col("status").alias("document_status"))
+        vectors, terms = (s.read(t).select(F.col("chunk_id").alias(f"of_{t}")).distinct() for t in ("chunk_embeddings", "chunk_terms"))
+        both = s.read("chunks").join(docs, "document_id", "full").join(vectors, F.col("id") == F.col("of_chunk_embeddings"), "left").join(terms, F.col("id") == F.col("of_chunk_terms"), "left")
+        return kept(both.select(
+            "source_path", "title", "document_status", "status", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", F.col("token_count").cast("long").alias("token_count"), F.sha2("content", 256).alias("hash"),
+            F.col("of_chunk_embeddings").isNotNull().alias("has_vector"), F.col("of_chunk_terms").isNotNull().alias("has_terms"),
+        ))
+
+
 @query
 def upsert_counts(spark, sf):
     return store.upsert_tally(_stored(spark, sf), dt.documents(spark, sf), ["source_path"])

@@ -123,6 +123,22 @@ def _pieces(line: str, head: str, tail: str) -> str:
 
 
 _PARAGRAPHS = r"SELECT doc_id::VARCHAR AS doc, 0 AS s, [source_path] AS path, 'plain' AS kind, regexp_replace(replace(content, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body FROM docs WHERE trim(content) <> ''"
+_STRIPPED = r"regexp_replace(regexp_replace(content, '\\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+#: Three ingest runs: files (kind: what is in it from the second run on; was: stored by the first), the chunks of either content.
+WAVES = f"""
+files AS (SELECT doc_id, source_path, department, {_STRIPPED} AS body, doc_id % 7 <> 0 AND body <> '' AS was, doc_id % 17 <> 0 AS second,
+  CASE doc_id % 13 WHEN 1 THEN 'bad' WHEN 2 THEN 'empty' WHEN 4 THEN 'stub' WHEN 3 THEN CASE WHEN body = '' THEN 'empty' ELSE 'front' END ELSE CASE WHEN body = '' THEN 'empty' ELSE 'text' END END AS kind FROM docs),
+{chunk_sql.chunked("""SELECT doc_id || ':text' AS doc, 1 AS s, [doc_id::VARCHAR] AS path, 'plain' AS kind, body FROM files WHERE body <> ''
+  UNION ALL SELECT doc_id || ':front', 1, ['T ' || doc_id, 'One'], 'plain', body FROM files WHERE kind = 'front'
+  UNION ALL SELECT doc_id || ':front', 2, ['T ' || doc_id, 'One', 'Two'], 'plain', body FROM files WHERE kind = 'front'""", MIN_TOKENS, MAX_TOKENS)},
+n_chunks AS (SELECT doc, count(*) AS n FROM done GROUP BY doc),
+outcomes AS (
+  SELECT 1 AS run, doc_id, CASE WHEN body = '' THEN 'skipped_empty' ELSE 'added' END AS state, 'text' AS content, false AS gone FROM files WHERE doc_id % 7 <> 0
+  UNION ALL SELECT 2, doc_id, CASE kind WHEN 'bad' THEN 'errored' WHEN 'empty' THEN 'skipped_empty' WHEN 'stub' THEN 'skipped_stub' WHEN 'text' THEN CASE WHEN was THEN 'unchanged' ELSE 'added' END ELSE CASE WHEN was THEN 'updated' ELSE 'added' END END,
+    kind, was AND kind IN ('empty', 'stub') FROM files WHERE second
+  UNION ALL SELECT 2, doc_id, NULL, NULL, was FROM files WHERE NOT second
+  UNION ALL SELECT 3, doc_id, CASE kind WHEN 'bad' THEN 'errored' WHEN 'empty' THEN 'skipped_empty' WHEN 'stub' THEN 'skipped_stub' ELSE CASE WHEN second THEN 'unchanged' WHEN NOT was THEN 'added' WHEN kind = 'text' THEN 'reactivated' ELSE 'updated' END END, kind, false FROM files
+)"""
 _SIZED = f"sized AS (SELECT department, source_path, content, len(regexp_extract_all(content, '{TOKEN}'))::BIGINT AS t FROM docs)"
 
 SQL: dict[str, str] = {
@@ -142,6 +158,13 @@ WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custke
     "stored_version": _w(STORED) + """ SELECT id, source_path, 'kept' AS state, status AS was_status FROM stored WHERE source_path NOT IN (SELECT source_path FROM docs)
 UNION ALL SELECT d.doc_id::VARCHAR, d.source_path, CASE WHEN s.id IS NULL THEN 'new' WHEN s.content_hash = d.content_hash AND s.status = 'active' THEN 'kept' ELSE 'replaced' END, s.status
 FROM docs d LEFT JOIN stored s USING (source_path)""",
+    "ingest_runs": f"WITH RECURSIVE {BASE_SQL}, {WAVES}" + """ SELECT run::BIGINT AS run, 'succeeded' AS status, count(state) AS walked, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state IN ('updated', 'reactivated')) AS updated,
+      count(*) FILTER (state = 'unchanged') AS unchanged, count(*) FILTER (state = 'skipped_stub') AS skipped_stub, count(*) FILTER (state = 'skipped_empty') AS skipped_empty, count(*) FILTER (state = 'errored') AS errored,
+      coalesce(sum(n) FILTER (state IN ('added', 'updated')), 0)::BIGINT AS chunks_written, count(*) FILTER (gone) AS tombstoned, count(*) FILTER (state = 'errored') AS n_errors
+      FROM outcomes o LEFT JOIN n_chunks c ON c.doc = o.doc_id || ':' || o.content GROUP BY run""",
+    "ingested": f"WITH RECURSIVE {BASE_SQL}, {WAVES}" + """ SELECT source_path, CASE kind WHEN 'front' THEN 'T ' || doc_id ELSE doc_id::VARCHAR END AS title, status AS document_status, status, chunk_index, heading_path, token_count, sha256(d.content) AS hash, status = 'active' AS has_vector, status = 'active' AND length(regexp_replace(d.content, '[^A-Za-z0-9]', '', 'g')) > 0 AS has_terms
+      FROM (SELECT *, CASE WHEN kind IN ('text', 'front') OR (kind = 'bad' AND second) THEN 'active' ELSE 'tombstoned' END AS status FROM files WHERE was OR kind IN ('text', 'front')) f
+      JOIN done d ON d.doc = f.doc_id || ':' || CASE kind WHEN 'front' THEN 'front' ELSE 'text' END""",
     "upsert_counts": _w(STORED) + " SELECT count(*) FILTER (s.id IS NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS updated FROM docs d LEFT JOIN stored s USING (source_path)",
     "embedding_cascade": _w(STORED) + " SELECT chunk_id, department FROM emb WHERE chunk_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned')",
     "reference_set_null": _w(STORED) + " SELECT vec_id, CASE WHEN vec_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned') THEN vec_id END AS document_id FROM embeddings",
