@@ -163,7 +163,7 @@ FROM docs d LEFT JOIN stored s USING (source_path)""",
       coalesce(sum(n) FILTER (state IN ('added', 'updated')), 0)::BIGINT AS chunks_written, count(*) FILTER (gone) AS tombstoned, count(*) FILTER (state = 'errored') AS n_errors
       FROM outcomes o LEFT JOIN n_chunks c ON c.doc = o.doc_id || ':' || o.content GROUP BY run""",
     "ingested": f"WITH RECURSIVE {BASE_SQL}, {WAVES}" + """ SELECT source_path, CASE kind WHEN 'front' THEN 'T ' || doc_id ELSE doc_id::VARCHAR END AS title, status AS document_status, status, chunk_index, heading_path, token_count, sha256(d.content) AS hash, status = 'active' AS has_vector, status = 'active' AND length(regexp_replace(d.content, '[^A-Za-z0-9]', '', 'g')) > 0 AS has_terms
-      FROM (SELECT *, CASE WHEN kind IN ('text', 'front') OR (kind = 'bad' AND second) THEN 'active' ELSE 'tombstoned' END AS status FROM files WHERE was OR kind IN ('text', 'front')) f
+      FROM (SELECT *, CASE WHEN kind IN ('text', 'front', 'bad') THEN 'active' ELSE 'tombstoned' END AS status FROM files WHERE was OR kind IN ('text', 'front')) f
       JOIN done d ON d.doc = f.doc_id || ':' || CASE kind WHEN 'front' THEN 'front' ELSE 'text' END""",
     "upsert_counts": _w(STORED) + " SELECT count(*) FILTER (s.id IS NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS updated FROM docs d LEFT JOIN stored s USING (source_path)",
     "embedding_cascade": _w(STORED) + " SELECT chunk_id, department FROM emb WHERE chunk_id NOT IN (SELECT id::BIGINT FROM stored WHERE status = 'tombstoned')",
