@@ -61,3 +61,30 @@ def test_english_search_by_brute_force(spark):
             if terms and c.department in q["departments"] and all(t in v for t in terms):
                 want[(q["qid"], c.chunk_id)] = analysis.rank(v, terms)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_vectors_are_made_in_arrow_without_objects_a_row():
+    import pyarrow as pa
+
+    texts = ["The cats and the dog, cats", None, "the", "dog"]
+    made = analysis.vectors(pa.array(texts, pa.string()))
+    assert made.to_pylist() == [[{"term": k, "positions": v} for k, v in sorted(analysis.english(t).items())] for t in texts]
+    assert analysis.vectors(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_lexemes_held_are_bounded(monkeypatch):
+    monkeypatch.setattr(analysis._Lexemes, "MOST", 3)
+    held = analysis._Lexemes()
+    assert [held[w] for w in ("cats", "the", "dogs", "runs", "cats")] == ["cat", None, "dog", "run", "cat"] and len(held) <= 3
+
+
+def test_nearness_of_many_places_is_that_of_each_pair():
+    a, b = list(range(1, 400, 7)), list(range(3, 900, 5))
+    want = 1.0
+    for p in a:
+        for q in b:
+            d = abs(p - q)
+            if d:
+                want *= 1 - math.sqrt(0.01 * (1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))))
+    assert analysis.nearness(a, b) == pytest.approx(want, rel=1e-9, abs=1e-300)
+    assert analysis.nearness([1, 2], [2, 300]) == pytest.approx((1 - math.sqrt(0.01 / (1.005 + 0.05 * math.exp(1 / 1.5 - 2)))) * 1.0)
