@@ -127,3 +127,14 @@ def test_packing_groups_every_unit_once():
     c = Chunker(0, 10)
     groups = c.pack(["a b", "c " * 30, "d", "e f g h i j k", "l"], lambda g: (g, True), 1, lambda t: [([t], False)])
     assert [g for g, _ in groups] == [["a b"], ["c " * 30], ["d", "e f g h i j k", "l"]] and [w for _, w in groups] == [True, False, True]
+
+
+def test_offenders_send_no_text_to_the_driver(spark):
+    from lodestrata.operators import ingest
+
+    rows = spark.createDataFrame([("d", f"p{k % 5}", "t" * (k % 3) + str(k % 4), 5 + k % 3) for k in range(60)], "department string, source_path string, content string, token_count int").repartition(7)
+    made = ingest.offenders(rows, 5)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not any("content" in line for line in plan.splitlines() if "rangepartitioning" in line)
+    want = sorted((r for r in rows.collect() if r["token_count"] > 5), key=lambda r: (r["token_count"], r["department"], r["source_path"], r["content"]), reverse=True)
+    assert made.collect() == want
