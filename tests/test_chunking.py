@@ -129,6 +129,20 @@ def test_packing_groups_every_unit_once():
     assert [g for g, _ in groups] == [["a b"], ["c " * 30], ["d", "e f g h i j k", "l"]] and [w for _, w in groups] == [True, False, True]
 
 
+def test_chunks_of_many_rows_are_made_a_part_at_a_time():
+    import pyarrow as pa
+
+    from lodestrata.functions import chunking
+
+    texts = ["x" * 10, None, "y" * (3 << 20), ""] + ["z"] * 1200
+    got = list(chunking.parts(pa.array(texts), pa.array(range(len(texts)))))
+    assert [t for a, _ in got for t in a] == texts and [n for _, b in got for n in b] == list(range(len(texts)))
+    assert max(len(a) for a, _ in got) <= chunking.ROWS_AT_ONCE and len(got) == 4
+    assert list(chunking.parts(pa.array([], pa.string()))) == []
+    rows = [[("a", "b", 1), ("c", "d", 2)], [], [("e", "f", 3)]]
+    assert chunking.structs(rows, chunking.CHUNK).to_pylist() == [[dict(zip(("heading_path", "content", "token_count"), x, strict=True)) for x in r] for r in rows]
+
+
 def test_offenders_send_no_text_to_the_driver(spark):
     from lodestrata.operators import ingest
 
