@@ -115,3 +115,20 @@ def test_a_task_cuts_each_ask_to_its_best():
     best.asks, best.scores, best.at = [1, 1, 1, 2], [0.5, 0.5, 0.7, 0.1], [0, 1, 2, 0]
     assert [x.tolist() for x in best.cut()] == [[1, 1, 2], [0.7, 0.5, 0.1], [2, 1, 0]]
     assert best.asks == [1, 1, 2]
+
+
+def test_terms_carry_other_columns_without_a_join(spark):
+    from lodestrata.operators import search
+
+    chunks = spark.createDataFrame([("c1", "d", "cats and dogs", 5), ("c2", "e", None, 6)], "chunk_id string, department string, content string, bucket int")
+    made = search.english_terms(chunks, "bucket")
+    assert sorted((r["chunk_id"], r["term"], r["bucket"]) for r in made.collect()) == [("c1", "cat", 5), ("c1", "dog", 5)]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_words_are_remembered():
+    from lodestrata.functions import providers
+
+    texts = ["a b a", None, "b"]
+    assert providers.hashed_words(texts, 8) == providers.hashed_words(texts, 8)
+    assert providers._hashed.cache_info().hits > 0
