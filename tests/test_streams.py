@@ -44,3 +44,44 @@ def test_paths_not_seen_again_are_tombstoned(spark, tmp_path):
     got = [g[1:] for g in run(spark, tmp_path, waves, ttl="1 day")]
     assert ("b", "tombstoned", "1") in got and ("b", "reactivated", "1") in got and got.count(("a", "unchanged", "1")) == 2
     assert ("a", "tombstoned", "1") not in got  # its timer was put off by the second notice
+
+
+def test_a_path_makes_no_frame_and_lists_no_timers():
+    import inspect
+
+    source = inspect.getsource(changes)
+    assert "transformWithStateInPandas" not in source and "listTimers" not in source
+
+
+def test_each_active_path_has_one_timer():
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            self.held = row
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    state, handle = changes.PathState(10), Handle()
+    state.init(handle)
+    say = lambda content_hash, ms: [r["change"] for r in state.handleInputRows(("p",), iter([{"content_hash": content_hash, "ms": ms}]), None)]
+    assert say("a", 5) == ["added"] and handle.timers == [15]
+    assert say("a", 7) == ["unchanged"] and handle.timers == [17]
+    assert say("b", 7) == ["updated"] and handle.timers == [17]
+    assert say("c", 6) == [] and handle.timers == [17]
+    assert say(None, 8) == ["tombstoned"] and handle.timers == []
+    assert say("b", 9) == ["reactivated"] and handle.timers == [19]
