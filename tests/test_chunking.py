@@ -160,3 +160,17 @@ def test_offenders_send_no_text_to_the_driver(spark):
     assert not any("content" in line for line in plan.splitlines() if "rangepartitioning" in line)
     want = sorted((r for r in rows.collect() if r["token_count"] > 5), key=lambda r: (r["token_count"], r["department"], r["source_path"], r["content"]), reverse=True)
     assert made.collect() == want
+
+
+def test_pieces_are_counted_without_being_made(monkeypatch):
+    import random
+
+    from lodestrata.functions import tokens
+
+    draw = random.Random(1)
+    texts = ["", " ", "a", "é", "l'été  d'or ", "日本 語\n", "\x1ca\x1d", "🙂 b", "\ud800 a"] + ["".join(draw.choice("ab1 é\n\t.🙂_'\x1f") for _ in range(draw.randrange(40))) for _ in range(2000)]
+    want = [len(tokens._PIECE.findall(t)) for t in texts]
+    # white space beyond ASCII is left to the pattern
+    assert [Approximate().count(t) for t in ("a\x85", "a  b", " a", "　", "“a” b")] == [len(tokens._PIECE.findall(t)) for t in ("a\x85", "a  b", " a", "　", "“a” b")]
+    monkeypatch.setattr(tokens, "_PIECE", None)
+    assert [Approximate().count(t) for t in texts] == want and Approximate().windows("a b c", 3) == ["a b c"]
