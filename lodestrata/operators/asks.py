@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ from lodestrata.functions import analysis
 
 #: Matches that a task holds before it cuts each ask's to the best k; joined rows, and pairs of places, that are looked at at once.
 HELD, JOINED, PLACES = 1_000_000, 1_000_000, 2_000_000
-#: Cells of a block's matrix (texts x asked lexemes), texts and words of a block, about.
-CELLS, TEXTS, WORDS = 8_000_000, 256, 400_000
+#: Cells of a block's matrix (texts x asked lexemes), texts and characters of a block, about.
+CELLS, TEXTS, CHARACTERS = 8_000_000, 256, 2_000_000
 #: A score may be rounded up by half a unit of its ninth digit; what is that near to the least is ranked.
 SLACK = 2e-9
 _NEAR = -analysis._LOG_LEFT[1:-1]
@@ -160,35 +159,26 @@ class Ranker:
         self.often = np.zeros(1)
 
     def add(self, ids: list, departments: list[str], texts: Iterator[str | None]) -> None:
-        words, own, n = [], [], 0
+        own, held, n = [], [], 0
         for chunk_id, department, text in zip(ids, departments, texts, strict=True):
             if department not in self.departments:
                 continue
-            found = list(map(self.known.__getitem__, analysis._WORD.findall((text or "").lower())))
-            words.append(found)
             own.append((chunk_id, department))
-            n += len(found)
-            if len(words) >= self.rows or n >= WORDS:
-                self._block(words, own)
-                words, own, n = [], [], 0
-        if words:
-            self._block(words, own)
-
-    def _block(self, words: list[list[int]], own: list[tuple]) -> None:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        total = int(sizes.sum())
-        lexeme = np.fromiter(chain.from_iterable(words), np.int64, total)
-        text = np.repeat(np.arange(len(words)), sizes)
-        place = _ranges(np.zeros(len(words), dtype=np.int64), sizes)
-        asked = lexeme >= 0
-        if not asked.any():
+            held.append(text)
+            n += len(text or "")
+            if len(own) >= self.rows or n >= CHARACTERS:
+                self._block(held, own)
+                own, held, n = [], [], 0
+        if own:
+            self._block(held, own)
+
+    def _block(self, texts: list[str | None], own: list[tuple]) -> None:
+        found, sizes, names = analysis.words(texts)
+        number = np.array([self.known[w] for w in names], dtype=np.int64)
+        self.text, self.lexeme, self.first, self.place = analysis.postings(number[found], sizes, len(self.asks.terms))
+        if not len(self.first):
             return
-        key = text[asked] * len(self.asks.terms) + lexeme[asked]
-        order = np.argsort(key, kind="stable")
-        key, self.place = key[order], place[asked][order]
-        self.first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        self.text, self.lexeme = np.divmod(key[self.first], len(self.asks.terms))
-        self.n = np.diff(np.append(self.first, len(key)))
+        self.n = np.diff(np.append(self.first, len(self.place)))
         # the places of all postings in one order, those of two postings farther from each other than counts
         self.width = int(sizes.max()) + 2 * analysis.REACH + 2
         self.spot = np.repeat(np.arange(len(self.n)), self.n) * self.width + self.place

@@ -208,3 +208,19 @@ def test_least_scores_of_long_texts_change_no_result(spark):
         search._asked_rows = plain
     assert told[0] == (True, 0) and not told[1][0] and told[1][1] > 50
     assert len(got) > 500 and got == rows(search.lexical_ranked(search.english_matches(turns, allow, search.english_terms(chunks)), 2))
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = [None, "", "'", "don't 'tis a'b'c d'", "İstanbul's café K", "the\x00x _y-z"] + ["".join(draw.choice("ab1Z' é\n_.") for _ in range(draw.randrange(30))) for _ in range(500)]
+    numbers, sizes, names = analysis.words(texts)
+    ends = sizes.cumsum()
+    assert [[names[k] for k in numbers[e - n : e]] for e, n in zip(ends, sizes, strict=True)] == [analysis._WORD.findall((t or "").lower()) for t in texts]
+    sliced = pa.array(["zz", *[(t or "").lower() if t is not None else None for t in texts]], pa.string()).slice(1)
+    numbers, sizes, names = analysis.runs(sliced)
+    ends = sizes.cumsum()
+    assert [[names[k] for k in numbers[e - n : e]] for e, n in zip(ends, sizes, strict=True)] == [[w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (t or "").lower()).split(" ") if w] for t in texts]
